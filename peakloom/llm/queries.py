@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.llm.common import crc_mod
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -31,7 +33,58 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece)}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.secret_scan import KINDS, scan_documents
+
+    found = scan_documents(documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    base = F.filter("secrets", lambda s: s["kind"] != KINDS[3])
+    return found.select(F.col("id").alias("doc_id"), *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.warc import archive_pages
+    from peakloom.session import scratch_path
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captures = archive_pages(pages, scratch_path(spark, "warc"), payloads=False)
+    fields = F.col("metadata.fields")
+    return captures.select(
+        fields["capture-id"].cast("long").alias("page_id"),
+        F.coalesce(F.col("response.payload_bytes"), fields["payload-bytes"].cast("long")).alias("payload_bytes"),
+        F.coalesce(F.col("response.computed_digest"), F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        fields["refers-to-capture"].cast("long").alias("refers_to"),
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm import language_id
+
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 4) == 2
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm import quality
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = quality.fit(docs, labels, held_out=held_out)
+    found = quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
