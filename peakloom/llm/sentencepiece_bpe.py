@@ -20,7 +20,9 @@ from peakloom.llm.common import text_of
 
 SPACE = "▁"
 #: Distinct words that a task keeps encoded; beyond it the memory starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Texts that are encoded together.
+STEP_ROWS = 250
 #: Symbols that one call of merge() takes at once, so that its arrays stay in cache.
 MERGE_SYMBOLS = 100_000
 TABLE_BITS = 20
@@ -289,17 +291,27 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     CACHE_WORDS words beside one Arrow batch.
     """
 
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(encoding(model_path, False), f"id {kind}, ids array<int>")
+
+
+def encoding(model_path: str, decoded: bool):
+    """The function for mapInArrow: (id, ids), and the decoded text if wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(model_path))
+        model = load(model_path)
+        encoder = Encoder(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(k, STEP_ROWS)
                 ids, offsets = encoder.encode(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
+                out = {"id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
+                if decoded:
+                    out["text"] = pa.array(decode(model, ids, offsets), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    return run
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -318,4 +330,6 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, text): every text encoded and decoded again in one pass over the rows."""
-    return decode_ids(encode_texts(docs, model_path, id_col, text_col), model_path)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(encoding(model_path, True), f"id {kind}, ids array<int>, text string")
