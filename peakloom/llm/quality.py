@@ -24,6 +24,8 @@ DICTIONARY_BYTES = 112_640
 BLOCK = 1024
 LEVEL = 3
 KEEP_SCORE = 0.3
+#: A text's difference is that of itself and PRIOR_BYTES of average text: a few words alone prove little.
+PRIOR_BYTES = 100
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -43,16 +45,19 @@ def dictionary(texts: list[bytes]) -> bytes:
 class Sizer:
     """The normalised difference of compressed sizes under the bad and the good dictionary."""
 
-    def __init__(self, good: bytes, bad: bytes):
+    def __init__(self, good: bytes, bad: bytes, average: float = 0.0):
         import zstandard
 
+        self.average = average  # difference per byte of an average good text
+
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.good, self.bad = (zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), **plain) if d else zstandard.ZstdCompressor(level=LEVEL, **plain) for d in (good, bad))
 
     def difference(self, text: str) -> float:
         data = text.encode("utf-8", "replace")
         parts = blocks(data)
-        return sum(len(self.bad.compress(b)) - len(self.good.compress(b)) for b in parts) / max(len(data), 1)
+        found = sum(len(self.bad.compress(b)) - len(self.good.compress(b)) for b in parts)
+        return (found + PRIOR_BYTES * self.average) / (len(data) + PRIOR_BYTES)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -88,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["__y"] for r in got], int)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        return {"good": b"", "bad": b"", "intercept": float(np.log((share + 1e-6) / (1 - share + 1e-6))), "slope": 0.0}
+        return {"good": b"", "bad": b"", "average": 0.0, "intercept": float(np.log((share + 1e-6) / (1 - share + 1e-6))), "slope": 0.0}
     share = rows.agg(F.avg("__y")).first()[0]
     data = [r["__text"].encode("utf-8", "replace") for r in got]
     nth = np.r_[np.arange((y == 0).sum()), np.arange((y == 1).sum())]
@@ -96,23 +101,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good, bad = (dictionary([d for d, t, k in zip(data, trains, y, strict=True) if t and k == c]) for c in (1, 0))
     held = ~trains if len(set(y[~trains].tolist())) == 2 else np.ones(len(y), bool)
     sizer = Sizer(good, bad)
+    neutral = [sizer.difference(r["__text"]) for r, h in zip(got, held, strict=True) if h and r["__y"] == 1]
+    sizer.average = float(np.median(neutral))
     x = np.array([sizer.difference(r["__text"]) for r, h in zip(got, held, strict=True) if h])
     intercept, slope = fit_logistic(x, y[held].astype(float))
     drawn_share = min(max(float(y[held].mean()), 1e-6), 1 - 1e-6)
     prior = min(max(float(share), 1e-6), 1 - 1e-6)  # the classes were drawn alike; move to their share of all labels
     intercept += float(np.log(prior / (1 - prior)) - np.log(drawn_share / (1 - drawn_share)))
-    return {"good": good, "bad": bad, "intercept": intercept, "slope": slope}
+    return {"good": good, "bad": bad, "average": sizer.average, "intercept": intercept, "slope": slope}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, difference, score): the probability of label 1 for every whole text.
 
-    Null counts as empty, and an empty text has difference 0; null ids pass through; repeated rows repeat; an empty
+    Null counts as empty, and an empty text has the difference of an average good one; null ids pass through; repeated rows repeat; an empty
     table gives no rows; columns other than the two named are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizer = Sizer(model["good"], model["bad"])
+        sizer = Sizer(model["good"], model["bad"], model["average"])
         for batch in batches:
             x = np.array([sizer.difference(str(t)) for t in batch.column(1)])
             p = 1 / (1 + np.exp(-np.clip(model["intercept"] + model["slope"] * x, -30, 30)))
