@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import crc_mod
 
 
+#: No source is repeated more often than this; the least repeated one is used once.
+MAX_REPETITION = 1.5
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -19,6 +23,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.mixing import mix
+
+    found = mix(documents(spark, sf_dir), max_repetition=MAX_REPETITION)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +95,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
