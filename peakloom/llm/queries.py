@@ -85,6 +85,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.multi_index import nearest
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakloom.llm import quality
 
@@ -95,7 +103,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
