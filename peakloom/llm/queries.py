@@ -93,6 +93,13 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.minhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakloom.llm import quality
 
@@ -103,7 +110,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
