@@ -44,6 +44,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.suffix_dedup import drop_repeats
+
+    found = drop_repeats(documents(spark, sf_dir), kept_bytes=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakloom.llm.secret_scan import KINDS, scan_documents
 
@@ -110,7 +118,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
