@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +25,6 @@ def crc_mod(name: str, m: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % m, F.lit(0))
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows left-joined to groups, which has one row per key and its row count in `size`.
 
@@ -45,19 +39,3 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     rest = cold.join(groups.filter(F.col(size) <= limit).hint("merge"), key, "left")
     names = [*rows.columns, *(c for c in groups.columns if c != key)]
     return mapped.filter("__hot").select(*names).unionByName(rest.select(*names))
-
-
-def arrow_rows(df: DataFrame, schema: str, f: Callable[[list, pa.RecordBatch], dict]) -> DataFrame:
-    """mapInArrow where f turns a batch into a dict of output columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = f(batch)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := got[n.name], pa.Array) else pa.array(x, n.type) for n in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import ascii_lower, join_groups, partitions, text_of
+from peakloom.llm.common import ascii_lower, join_groups, text_of
 from peakloom.session import scratch_path
 
 
@@ -81,8 +81,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay, whatever their names.
 
-    Only the losing ids move, not the texts: an anti-join on id drops them.
+    Rows that repeat both id and text stay once.
     """
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates([id_col, text_col])
     labels = exact_dedup(docs, id_col, text_col)
     lost = labels.filter(~F.col("kept")).select(F.col("id").alias("__lost"))
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]), "left_anti").repartition(partitions(docs))
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]), "left_anti")

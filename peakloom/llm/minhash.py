@@ -274,7 +274,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without an id come back with a null component and aren't linked. Rows that repeat an id and text come back
     once; an empty table gives no rows; other columns are ignored. Integer ids are needed.
     """
-    rows = materialize(sketches(docs, width, id_col, text_col).dropDuplicates(["id", "set_key", "n"]) if repeats(docs, id_col) else sketches(docs, width, id_col, text_col), "sketches")
+    docs = docs.select(id_col, text_col)
+    if repeats(docs, id_col):
+        docs = docs.dropDuplicates()
+    rows = materialize(sketches(docs, width, id_col, text_col), "sketches")
     full = rows.filter(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     groups = materialize(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
     sigs = materialize(full.join(groups.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi").select("id", "sig").dropDuplicates(["id"]), "signatures")
@@ -311,3 +314,9 @@ def find_links(docs: DataFrame, sigs: DataFrame, id_col: str, text_col: str, wid
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("likeness", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = materialize(links.union(confirm(pairs, texts, width, percent)), "links")
     return links
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id. All columns stay, whatever their names."""
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    return docs.join(found.filter(~F.col("kept")).select(F.col("id").alias("__lost")), docs[id_col] == F.col("__lost"), "left_anti")

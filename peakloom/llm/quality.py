@@ -127,3 +127,17 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, difference double, score double")
+
+
+def kept_documents(docs: DataFrame, model: dict, text_col: str = "text", least: float = KEEP_SCORE) -> DataFrame:
+    """docs without the rows that score below least; all columns stay, and rows don't move between tasks."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizer = Sizer(model["good"], model["bad"], model["average"])
+        for batch in batches:
+            x = np.array([sizer.difference(t.as_py() or "") for t in batch.column(place)])
+            p = 1 / (1 + np.exp(-np.clip(model["intercept"] + model["slope"] * x, -30, 30)))
+            yield batch.filter(pa.array(p >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
