@@ -1,39 +1,453 @@
-"""Queries over the driver's tables and the SQL they are checked against."""
+"""Queries over the driver's tables and the SQL they are checked against.
+
+lineitem plays the points of spectra, orders the spectra on a grid 64 wide, embeddings the arrays, events an ordered
+series, documents and pages files, conversations ordered text rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.functions import cells
+from peakloom.operators import folds, lookup, signal, verify
+
 QUERIES = {}
 ORACLES = {}
+CHANNELS = [("C126", 20000.0), ("C127", 25000.0), ("C128", 30000.0), ("C129", 45000.0)]
+POINTS = "SELECT l_orderkey AS spectrum, l_extendedprice AS mz, l_quantity AS intensity, l_tax AS tax FROM lineitem"
+SPECTRA = "SELECT o_orderkey AS spectrum, o_orderkey % 64 + 1 AS x, CAST(floor(o_orderkey / 64) AS BIGINT) + 1 AS y FROM orders"
 
 
 def query(sql: str):
     def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql.replace("{points}", f"({POINTS})").replace("{spectra}", f"({SPECTRA})")
         return f
 
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as spectra of a 64-wide grid."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select(F.col("o_orderkey").alias("spectrum"), (F.col("o_orderkey") % 64 + 1).alias("x"), (F.floor(F.col("o_orderkey") / 64) + 1).alias("y"))
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    level = F.substring("o_orderpriority", 1, 1).cast("int")
+    kind = F.when(F.col("o_orderstatus") == "F", "profile").when(F.col("o_orderstatus") == "O", "centroid").otherwise("unknown")
+    return o.select(k.alias("spectrum"), (k % 64 + 1).alias("x"), (F.floor(k / 64) + 1).alias("y"), F.when(level == 5, 0).otherwise(level).alias("ms_level"), kind.alias("representation"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as points: m/z from the price, intensity from the quantity."""
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return p.select(F.col("l_orderkey").alias("spectrum"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
-
-
-@query("""
-    WITH t AS (SELECT l_orderkey AS spectrum, sum(l_quantity) AS tic FROM lineitem GROUP BY 1)
-    SELECT CAST(floor(o_orderkey / 64) AS BIGINT) + 1 AS y, o_orderkey % 64 + 1 AS x, round(coalesce(tic, 0.0), 4) AS tic, tic IS NOT NULL AS present
-    FROM orders LEFT JOIN t ON o_orderkey = spectrum""")
-def ion_image_tic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tic = points(spark, sf_dir).groupBy("spectrum").agg(F.sum("intensity").alias("tic"))
-    grid = spectra(spark, sf_dir).join(tic, "spectrum", "left")
-    return grid.select("y", "x", F.round(F.coalesce("tic", F.lit(0.0)), 4).alias("tic"), F.col("tic").isNotNull().alias("present"))
+    p = table(spark, sf_dir, "lineitem")
+    return p.select(F.col("l_orderkey").alias("spectrum"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"), F.col("l_tax").alias("tax"))
+
+
+@query("SELECT y, x, round(coalesce(tic, 0.0), 4) AS tic, tic IS NOT NULL AS present FROM {spectra} LEFT JOIN (SELECT spectrum, sum(intensity) AS tic FROM {points} GROUP BY 1) USING (spectrum)")
+def ion_image_tic(spark, sf_dir):
+    return signal.ion_image(spectra(spark, sf_dir), points(spark, sf_dir)).withColumn("tic", F.round("tic", 4))
+
+
+@query("SELECT y, x, round(coalesce(tic, 0.0), 4) AS tic, tic IS NOT NULL AS present FROM {spectra} LEFT JOIN (SELECT spectrum, sum(intensity) AS tic FROM {points} WHERE mz BETWEEN 20000 AND 30000 GROUP BY 1) USING (spectrum)")
+def ion_image_window(spark, sf_dir):
+    return signal.ion_image(spectra(spark, sf_dir), points(spark, sf_dir), window=(20000.0, 30000.0)).withColumn("tic", F.round("tic", 4))
+
+
+@query("SELECT spectrum, round(sum(intensity), 4) AS tic, count(*) AS n FROM {points} GROUP BY 1")
+def tic_by_spectrum(spark, sf_dir):
+    return signal.tic_by_spectrum(points(spark, sf_dir), "spectrum", "intensity").withColumn("tic", F.round("tic", 4))
+
+
+@query("""SELECT spectrum, round(sum(intensity), 4) AS tic, min(mz) AS mz_lo, max(mz) AS mz_hi,
+    first(mz ORDER BY intensity DESC, mz) AS base_mz, max(intensity) AS base_intensity FROM {points} GROUP BY 1""")
+def overview_pixels(spark, sf_dir):
+    return signal.overview(points(spark, sf_dir), "spectrum", "mz", "intensity").withColumn("tic", F.round("tic", 4))
+
+
+@query("SELECT spectrum, mz, intensity, row_number() OVER (PARTITION BY spectrum ORDER BY mz) AS rank FROM {points}")
+def sort_points(spark, sf_dir):
+    return signal.rank_points(points(spark, sf_dir).drop("tax"), "spectrum", "mz")
+
+
+@query("""SELECT spectrum, mz, tax FROM (SELECT *, coalesce(lag(tax) OVER w, 0) AS a, coalesce(lead(tax) OVER w, 0) AS b
+    FROM {points} WINDOW w AS (PARTITION BY spectrum ORDER BY mz)) WHERE tax <> 0 OR a <> 0 OR b <> 0""")
+def zero_run_mask(spark, sf_dir):
+    return signal.mask_zero_points(points(spark, sf_dir).drop("intensity"), "spectrum", "mz", "tax")
+
+
+@query("""WITH p AS {points}, k AS (SELECT spectrum, mz, tax FROM (SELECT *, coalesce(lag(tax) OVER w, 0) AS a, coalesce(lead(tax) OVER w, 0) AS b
+    FROM p WINDOW w AS (PARTITION BY spectrum ORDER BY mz)) WHERE tax <> 0 OR a <> 0 OR b <> 0)
+    SELECT count(k.mz) AS kept, count(*) - count(k.mz) AS dropped, count(*) FILTER (k.mz IS NULL AND p.tax <> 0) AS dropped_nonzero,
+    CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed FROM p LEFT JOIN k ON p.spectrum = k.spectrum AND p.mz = k.mz""")
+def mask_audit(spark, sf_dir):
+    p = points(spark, sf_dir).select("spectrum", "mz", "tax")
+    return verify.merge_masked(p, signal.mask_zero_points(p, "spectrum", "mz", "tax"), "spectrum", "mz", "tax")
+
+
+@query("""SELECT spectrum, len(list_filter(v, lambda x, i: x <> 0 OR coalesce(v[i - 1], 0) <> 0 OR coalesce(v[i + 1], 0) <> 0)) AS n_kept, len(v) AS n_all
+    FROM (SELECT spectrum, list(tax ORDER BY mz) AS v FROM {points} GROUP BY 1)""")
+def zero_run_mask_arrays(spark, sf_dir):
+    numbered = signal.rank_points(points(spark, sf_dir), "spectrum", "mz").select("spectrum", F.col("rank").alias("point_index"), "mz", F.col("tax").alias("intensity"))
+    arrays = signal.collect_points(numbered, ["spectrum"])
+    return arrays.select("spectrum", F.size(signal.mask_zero_runs(F.col("mz"), F.col("intensity"))).cast("long").alias("n_kept"), F.size("mz").cast("long").alias("n_all"))
+
+
+@query("SELECT spectrum, CAST(floor(mz / 5000.0) AS BIGINT) AS chunk, count(*) AS n, min(mz) AS lo, max(mz) AS hi FROM {points} GROUP BY 1, 2")
+def mz_chunks(spark, sf_dir):
+    return signal.mz_chunks(points(spark, sf_dir), "spectrum", "mz", 5000.0)
+
+
+@query("SELECT spectrum, row_number() OVER w - 1 AS pos, round(mz - coalesce(lag(mz) OVER w, 0), 6) AS delta FROM {points} WINDOW w AS (PARTITION BY spectrum ORDER BY mz)")
+def delta_encode(spark, sf_dir):
+    numbered = signal.rank_points(points(spark, sf_dir), "spectrum", "mz").withColumnRenamed("rank", "point_index")
+    arrays = signal.collect_points(numbered, ["spectrum"])
+    out = arrays.select("spectrum", F.posexplode(signal.delta_encode(F.col("mz"))).alias("pos", "delta"))
+    return out.withColumns({"delta": F.round("delta", 6), "pos": F.col("pos").cast("long")})
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total, CAST(list_max(embedding) AS DOUBLE) AS top,
+    list_position(embedding, list_max(embedding)) - 1 AS top_at, embedding = list_sort(embedding) AS ascending FROM embeddings""")
+def array_stats(spark, sf_dir):
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(signal.tic(v), 5).alias("total"), F.array_max(v).cast("double").alias("top"),
+        (F.array_position(v, F.array_max(v)) - 1).cast("int").alias("top_at"), signal.is_ascending(v).alias("ascending"),
+    )
+
+
+@query("""SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) - 1 AS pos, CAST(v AS DOUBLE) AS value, i - 1 AS source_pos
+    FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)""")
+def argsort_arrays(spark, sf_dir):
+    v = F.col("embedding")
+    sorted_ = signal.sort_parallel(v, {"source": signal.positions(v)})
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", sorted_.alias("s")).select("vec_id", F.posexplode(F.arrays_zip("s.mz", "s.source")).alias("pos", "p"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("p.mz").cast("double").alias("value"), F.col("p.source").cast("long").alias("source_pos"))
+
+
+@query("SELECT l_orderkey, l_extendedprice, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS narrowed, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) <> l_extendedprice AS changed FROM lineitem")
+def cast_narrowing(spark, sf_dir):
+    narrowed = F.col("l_extendedprice").cast("float").cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", narrowed.alias("narrowed"), (narrowed != F.col("l_extendedprice")).alias("changed"))
+
+
+LEVELS = "SELECT o_orderkey AS spectrum, o_orderkey % 64 + 1 AS x, CAST(floor(o_orderkey / 64) AS BIGINT) + 1 AS y, CASE left(o_orderpriority, 1) WHEN '5' THEN 0 ELSE CAST(left(o_orderpriority, 1) AS INTEGER) END AS ms_level FROM orders"
+
+
+@query(f"""SELECT max(x) AS max_x, max(y) AS max_y, min(lo) FILTER (ms_level = 1) AS mz_lo, max(hi) FILTER (ms_level = 1) AS mz_hi,
+    bool_or(ms_level = 1) AS has_ms1, bool_or(ms_level >= 2) AS has_msn
+    FROM ({LEVELS}) LEFT JOIN (SELECT spectrum, min(mz) AS lo, max(mz) AS hi FROM {{points}} GROUP BY 1) USING (spectrum)""")
+def run_fold(spark, sf_dir):
+    return folds.run_fold(spectra(spark, sf_dir), points(spark, sf_dir))
+
+
+@query("""SELECT c_custkey, CASE WHEN dx IS NOT NULL AND (ox IS NULL OR (ox <= dx AND oy <= dy)) THEN dx ELSE ox END AS x,
+    CASE WHEN dx IS NOT NULL AND (ox IS NULL OR (ox <= dx AND oy <= dy)) THEN dy ELSE oy END AS y,
+    CASE WHEN dx IS NOT NULL AND ox IS NULL THEN 'declared_unobserved' WHEN dx IS NOT NULL AND ox <= dx AND oy <= dy THEN 'declared' WHEN dx IS NOT NULL THEN 'observed_exceeds_declared' WHEN ox IS NOT NULL THEN 'observed' ELSE 'unknown' END AS source
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS dx, CASE WHEN c_custkey % 3 > 0 THEN 10 END AS dy,
+    CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 20 END AS ox, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 12 END AS oy FROM customer)""")
+def grid_reconcile(spark, sf_dir):
+    k = F.col("c_custkey")
+    g = folds.reconcile_grid(F.when(k % 3 > 0, F.col("c_nationkey").cast("long")), F.when(k % 3 > 0, F.lit(10).cast("long")), F.when(k % 5 > 0, k % 20), F.when(k % 5 > 0, k % 12))
+    return table(spark, sf_dir, "customer").select("c_custkey", g.alias("g")).select("c_custkey", "g.*")
+
+
+@query(f"SELECT CASE ms_level WHEN 0 THEN 1 ELSE ms_level END AS level, count(*) AS n, count(*) FILTER (ms_level = 0) AS remapped FROM ({LEVELS}) GROUP BY 1")
+def ms_level_default(spark, sf_dir):
+    s = spectra(spark, sf_dir)
+    return s.groupBy(folds.ms_level_or_ms1(F.col("ms_level")).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ms_level") == 0).alias("remapped"))
+
+
+@query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'spectra_data' ELSE 'spectra_peaks' END AS facet, count(*) AS spectra, CAST(sum(coalesce(n, 0)) AS BIGINT) AS points
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""")
+def route_facets(spark, sf_dir):
+    n = points(spark, sf_dir).groupBy("spectrum").agg(F.count(F.lit(1)).alias("n"))
+    both = spectra(spark, sf_dir).join(n, "spectrum", "left")
+    return both.groupBy(folds.facet_of(F.col("representation")).alias("facet")).agg(F.count(F.lit(1)).alias("spectra"), F.sum(F.coalesce("n", F.lit(0))).alias("points"))
+
+
+PAIRED = """(SELECT x, y, CASE WHEN spectrum % 2 = 0 THEN 1 END AS z FROM {spectra} WHERE spectrum % 10 <> 3) s
+    FULL JOIN (SELECT x, y, CASE WHEN spectrum % 2 = 0 THEN 1 END AS z FROM {spectra} WHERE spectrum % 10 <> 7) o
+    ON s.x = o.x AND s.y = o.y AND s.z IS NOT DISTINCT FROM o.z"""
+
+
+def two_sides(spark, sf_dir):
+    s = spectra(spark, sf_dir).select("spectrum", "x", "y", F.when(F.col("spectrum") % 2 == 0, 1).alias("z"))
+    return s.filter("spectrum % 10 <> 3"), s.filter("spectrum % 10 <> 7")
+
+
+@query(f"SELECT count(*) FILTER (s.x IS NOT NULL AND o.x IS NOT NULL) AS paired, count(*) FILTER (o.x IS NULL) AS missing, count(*) FILTER (s.x IS NULL) AS extra FROM {PAIRED}")
+def pair_pixels(spark, sf_dir):
+    p = lookup.pair(*two_sides(spark, sf_dir), ["x", "y", "z"])
+    return p.agg(F.count_if(F.expr("in_source and in_output")).alias("paired"), F.count_if(F.expr("in_source and not in_output")).alias("missing"), F.count_if(F.expr("in_output and not in_source")).alias("extra"))
+
+
+@query(f"SELECT coalesce(s.x, o.x) AS x, coalesce(s.y, o.y) AS y, s.x IS NOT NULL AS in_source FROM {PAIRED} WHERE s.x IS NULL OR o.x IS NULL")
+def pair_unmatched(spark, sf_dir):
+    return lookup.pair(*two_sides(spark, sf_dir), ["x", "y", "z"]).filter("in_source <> in_output").select("x", "y", "in_source")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def pair_duplicates(spark, sf_dir):
+    return lookup.duplicate_keys(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+PERTURBED = """SELECT spectrum, row_number() OVER (PARTITION BY spectrum ORDER BY mz) AS rank, mz, intensity,
+    mz * CASE WHEN spectrum % 7 = 0 THEN 1.00000005 WHEN spectrum % 11 = 0 THEN 1.001 ELSE 1 END AS mz2,
+    intensity * CASE WHEN spectrum % 5 = 0 THEN 1.0005 WHEN spectrum % 13 = 0 THEN 1.1 ELSE 1 END AS intensity2 FROM {points}"""
+
+
+def compared(spark, sf_dir, tolerance):
+    p, k = signal.rank_points(points(spark, sf_dir).drop("tax"), "spectrum", "mz"), F.col("spectrum")
+    out = p.withColumns({
+        "mz": F.col("mz") * F.when(k % 7 == 0, 1.00000005).when(k % 11 == 0, 1.001).otherwise(1.0),
+        "intensity": F.col("intensity") * F.when(k % 5 == 0, 1.0005).when(k % 13 == 0, 1.1).otherwise(1.0),
+    })
+    return verify.compare_points(p, out, ["spectrum", "rank"], "mz", "intensity", tolerance)
+
+
+@query(f"SELECT spectrum, min(rank) AS first_bad, count(*) AS n_bad FROM ({PERTURBED}) WHERE mz <> mz2 OR intensity <> intensity2 GROUP BY 1")
+def compare_l1(spark, sf_dir):
+    return compared(spark, sf_dir, verify.EXACT)
+
+
+@query(f"SELECT spectrum, min(rank) AS first_bad, count(*) AS n_bad FROM ({PERTURBED}) WHERE abs(mz2 - mz) > 1e-7 * abs(mz) OR abs(intensity2 - intensity) > 1e-3 * abs(intensity) GROUP BY 1")
+def compare_l2(spark, sf_dir):
+    return compared(spark, sf_dir, verify.LOSSY)
+
+
+@query(f"SELECT spectrum, min(rank) AS first_bad, count(*) AS n_bad FROM ({PERTURBED}) WHERE mz <> mz2 OR intensity <> intensity2 GROUP BY 1 ORDER BY n_bad DESC, spectrum LIMIT 20")
+def top_mismatches(spark, sf_dir):
+    return compared(spark, sf_dir, verify.EXACT).orderBy(F.desc("n_bad"), "spectrum").limit(verify.LISTED)
+
+
+@query("""SELECT 'max_y' AS field, CAST(max(y) AS VARCHAR) AS source, CAST(max(y) + 1 AS VARCHAR) AS output FROM {spectra}
+    UNION ALL SELECT 'pixel_x', NULL, '50'""")
+def geometry_symmetry(spark, sf_dir):
+    s = spectra(spark, sf_dir).agg(F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.lit(None).cast("int").alias("pixel_x"), F.lit(None).cast("int").alias("pixel_y"))
+    o = s.withColumns({"max_y": F.col("max_y") + 1, "pixel_x": F.lit(50)})
+    return verify.asymmetric_fields(s, o, ["max_x", "max_y", "pixel_x", "pixel_y"])
+
+
+VALUES = ", ".join(f"('{c}', {t})" for c, t in CHANNELS)
+NEAREST = f"""SELECT k.spectrum, c.channel, coalesce(first(p.intensity ORDER BY abs(p.mz - c.target), p.mz) FILTER (p.mz IS NOT NULL), 0.0) AS intensity
+    FROM (SELECT DISTINCT spectrum FROM {{points}}) k CROSS JOIN (VALUES {VALUES}) c(channel, target)
+    LEFT JOIN {{points}} p ON p.spectrum = k.spectrum AND abs(p.mz - c.target) <= 500 GROUP BY 1, 2"""
+
+
+def channels(spark):
+    return spark.createDataFrame(CHANNELS, "channel string, target double")
+
+
+@query(NEAREST)
+def nearest_peak(spark, sf_dir):
+    return lookup.nearest_points(points(spark, sf_dir), channels(spark), "spectrum", "mz", "intensity", 500.0)
+
+
+@query(f"SELECT spectrum, string_agg(channel, ';' ORDER BY channel) AS channels, string_agg(printf('%.2f', intensity), ';' ORDER BY channel) AS intensities FROM ({NEAREST}) GROUP BY 1")
+def reporter_wide(spark, sf_dir):
+    found = lookup.nearest_points(points(spark, sf_dir), channels(spark), "spectrum", "mz", "intensity", 500.0)
+    wide = found.groupBy("spectrum").agg(F.array_sort(F.collect_list(F.struct("channel", "intensity"))).alias("c"))
+    return wide.select("spectrum", F.array_join("c.channel", ";").alias("channels"), F.array_join(F.transform("c.intensity", lambda v: F.format_string("%.2f", v)), ";").alias("intensities"))
+
+
+@query("SELECT doc_id, CAST(16 + coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, n_chars FROM documents")
+def running_offsets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("part"))
+    return lookup.offsets_in_parts(d, "part", ["doc_id"], "n_chars", 16).select("doc_id", F.col("offset").alias("byte_offset"), "n_chars")
+
+
+CURIES = "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'MS:' || (1000000 + s_suppkey) WHEN 1 THEN ':' || s_suppkey WHEN 2 THEN s_name ELSE 'http://x/' || s_suppkey END AS text FROM supplier"
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN ok THEN split_part(text, ':', 1) END AS prefix, CASE WHEN ok THEN substr(text, strpos(text, ':') + 1) END AS accession, ok
+    FROM (SELECT *, strpos(text, ':') > 1 AND strpos(text, ':') < length(text) AS ok FROM ({CURIES}))""")
+def curie_parse(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("MS:"), (k + 1000000).cast("string"))).when(k % 4 == 1, F.concat(F.lit(":"), k.cast("string"))).when(k % 4 == 2, F.col("s_name")).otherwise(F.concat(F.lit("http://x/"), k.cast("string")))
+    got = table(spark, sf_dir, "supplier").select("s_suppkey", cells.curie(text).alias("c"))
+    return got.select("s_suppkey", "c.prefix", "c.accession", F.col("c").isNotNull().alias("ok"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name ELSE 'not available' END AS value,
+    CASE c_custkey % 3 WHEN 1 THEN 'UNIMOD:' || c_nationkey END AS accession, c_custkey % 3 = 2 AS is_na, CASE c_custkey % 3 WHEN 1 THEN 2 ELSE 0 END AS n_extra FROM customer""")
+def cell_parse(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("c_mktsegment"))).when(k % 3 == 1, F.concat(F.lit("NT="), F.col("c_name"), F.lit(";PP=Any N-term; ac=UNIMOD:"), F.col("c_nationkey").cast("string"), F.lit(";MT=a=b"))).otherwise(F.lit("not available"))
+    got = table(spark, sf_dir, "customer").select("c_custkey", cells.cell(text).alias("c"))
+    return got.select("c_custkey", "c.value", "c.accession", "c.is_na", F.coalesce(F.size("c.extra"), F.lit(0)).alias("n_extra"))
+
+
+STEM = r"regexp_replace(regexp_replace({}, '^.*/', ''), '\.[^.]*$', '')"
+
+
+@query(f"""SELECT r.url AS run, count(d.u) AS matches, CASE WHEN count(d.u) = 0 THEN 'no row' WHEN count(d.u) > 1 THEN 'several rows' ELSE 'one row' END AS diagnostic
+    FROM (SELECT page_id, url FROM pages) r LEFT JOIN (SELECT url AS u FROM pages WHERE page_id % 3 > 0) d ON {STEM.format('r.url')} = {STEM.format('d.u')} GROUP BY r.page_id, r.url""")
+def stem_match(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return lookup.match_runs(p.select(F.col("url").alias("run")), p.filter("page_id % 3 > 0").select(F.col("url").alias("file")), "run", "file")
+
+
+@query("SELECT source, first_seen, row_number() OVER (ORDER BY first_seen) AS rank FROM (SELECT source, min(doc_id) AS first_seen FROM documents GROUP BY 1)")
+def ordered_distinct(spark, sf_dir):
+    return lookup.ordered_distinct(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query("SELECT 'sample-' || row_number() OVER (ORDER BY f) AS sample_id, s AS name, f AS first_row FROM (SELECT c_mktsegment || '/' || c_nationkey AS s, min(c_custkey) AS f FROM customer GROUP BY 1)")
+def sample_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("name", F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")))
+    return folds.sample_table(rows, "name", "c_custkey")
+
+
+@query("""SELECT factor, c_nationkey AS sample, value, min(c_custkey) AS first_row FROM (
+    SELECT c_custkey, c_nationkey, 'segment' AS factor, c_mktsegment AS value FROM customer
+    UNION ALL SELECT c_custkey, c_nationkey, 'sign', CASE WHEN c_acctbal < 0 THEN 'debit' ELSE '' END FROM customer) WHERE value <> '' GROUP BY 1, 2, 3""")
+def factor_levels(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") < 0, "debit").otherwise(" ").alias("sign"))
+    return folds.factor_levels(rows, "c_nationkey", ["segment", "sign"], "c_custkey")
+
+
+@query("SELECT c_nationkey AS sample, first(c_mktsegment ORDER BY c_custkey) AS label FROM customer GROUP BY 1")
+def first_assay_lookup(spark, sf_dir):
+    return lookup.first_match(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("sample"), F.col("c_mktsegment").alias("label")), "sample", "label", "c_custkey")
+
+
+@query("""SELECT n_nationkey, n_name, r_name AS region, CASE WHEN n_nationkey = 0 THEN 'carrier' WHEN n_nationkey % 5 = 1 THEN 'reference' ELSE 'sample' END AS role
+    FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def channel_lookup(spark, sf_dir):
+    r = F.broadcast(table(spark, sf_dir, "region"))
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    both = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left")
+    return both.select("n_nationkey", "n_name", F.col("r_name").alias("region"), cells.channel_role(k == 0, k % 5 == 1, F.lit(False)).alias("role"))
+
+
+@query("SELECT DISTINCT cv FROM (SELECT 'MS' AS cv UNION ALL SELECT 'UO' UNION ALL SELECT split_part(p_type, ' ', 1) FROM part UNION ALL SELECT left(p_brand, 5) FROM part)")
+def cv_reference_set(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    refs = p.select(F.explode(F.array(F.substring_index("p_type", " ", 1), F.substring("p_brand", 1, 5))).alias("cv"))
+    return refs.union(spark.createDataFrame([("MS",), ("UO",)], "cv string")).distinct()
+
+
+@query("""SELECT l_orderkey, l_suppkey, coalesce(s_name, c_name, CAST(l_suppkey AS VARCHAR)) AS resolved, CASE WHEN s_name IS NULL AND c_name IS NULL THEN 'unresolved' END AS diagnostic
+    FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON l_suppkey = s_suppkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON l_suppkey = c_custkey""")
+def id_graph_resolve(spark, sf_dir):
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    s, c = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0"), table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
+    return lookup.resolve(refs, "l_suppkey", [(s, "s_suppkey", "s_name"), (c, "c_custkey", "c_name")])
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events""")
+def fill_down_sections(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return lookup.fill_down(e, ["user_id"], "ts", F.when(F.col("event_type") == "view", F.col("event_id")), "section").select("event_id", "section")
+
+
+@query("SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM conversations")
+def marker_sessions(spark, sf_dir):
+    return lookup.marker_sessions(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user").select("conv_id", "turn", "session")
+
+
+@query("SELECT conv_id, turn, lead(role) OVER w AS next1, lead(role, 2) OVER w AS next2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def pair_lookahead(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lead("role").over(w).alias("next1"), F.lead("role", 2).over(w).alias("next2"))
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def digest_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'Y' ELSE 'N' END AS member FROM documents")
+def membership_flag(spark, sf_dir):
+    return lookup.membership(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_tax = 0)")
+def semi_join(spark, sf_dir):
+    o, p = table(spark, sf_dir, "orders"), points(spark, sf_dir).filter("tax = 0")
+    return o.join(p, o["o_orderkey"] == p["spectrum"], "left_semi").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_join(spark, sf_dir):
+    o, p = table(spark, sf_dir, "orders"), points(spark, sf_dir)
+    return o.join(p, o["o_orderkey"] == p["spectrum"], "left_anti").select("o_orderkey")
+
+
+@query("""SELECT name, row_number() OVER (ORDER BY p, id) - 1 AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p, id) AS n FROM (
+    SELECT 0 AS p, n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 1, n_nationkey, n_name FROM nation)) WHERE n = 1""")
+def union_images(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return lookup.union_by_priority([n.filter("id % 4 = 0"), n], "name", "id").select("name", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("SELECT source, CAST(sum(CASE lang WHEN 'en' THEN n_chars ELSE 0 END) AS BIGINT) AS en_bytes, CAST(sum(CASE lang WHEN 'fr' THEN n_chars ELSE 0 END) AS BIGINT) AS fr_bytes, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM documents GROUP BY 1")
+def size_tiers(spark, sf_dir):
+    return folds.size_tiers(table(spark, sf_dir, "documents"), "source", "lang", "n_chars", ["en", "fr"])
+
+
+@query("SELECT l_returnflag AS family, count(*) FILTER (l_tax <> 0) AS datasets, round(avg(CASE WHEN l_tax <> 0 THEN l_discount / l_tax END), 6) AS mean_ratio FROM lineitem GROUP BY 1")
+def tier_ratio_mean(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "family")
+    return folds.mean_ratio(p, "family", "l_discount", "l_tax").withColumn("mean_ratio", F.round("mean_ratio", 6))
+
+
+@query("SELECT CAST(floor(ln(n_chars) / ln(2) + 1e-12) AS BIGINT) AS bin, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi FROM documents WHERE n_chars >= 1 GROUP BY 1")
+def size_histogram(spark, sf_dir):
+    return folds.log_histogram(table(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("""WITH RECURSIVE s AS (SELECT min(n_chars) AS v FROM documents WHERE n_chars > 0 UNION ALL
+    SELECT (SELECT min(n_chars) FROM documents WHERE n_chars >= s.v * 1.31) FROM s WHERE s.v IS NOT NULL) SELECT CAST(v AS DOUBLE) AS value FROM s WHERE v IS NOT NULL""")
+def gap_sample(spark, sf_dir):
+    return folds.gap_sample(table(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("SELECT event_type AS rule, count(*) AS n, count(*) FILTER (value >= 50) AS passed, count(*) FILTER (NOT value >= 50) AS failed FROM events GROUP BY 1")
+def rule_tally(spark, sf_dir):
+    return folds.rule_tally(table(spark, sf_dir, "events").withColumnRenamed("event_type", "rule"), "rule", F.col("value") >= 50)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 1 THEN 9.0 / (p_size - 1) ELSE 0 END AS a, CASE WHEN p_size * 2 > 1 THEN 4.0 / (p_size * 2 - 1) ELSE 0 END AS e FROM part")
+def affine_map(spark, sf_dir):
+    t = cells.full_extent_affine(F.lit(10), F.lit(5), F.col("p_size"), F.col("p_size") * 2)
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(t, F.lit(0)).alias("a"), F.get(t, F.lit(4)).alias("e"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'rejected' WHEN 2 THEN 'relative' ELSE 'absolute' END AS verdict FROM pages""")
+def path_guard(spark, sf_dir):
+    k = F.col("page_id")
+    name = k.cast("string")
+    location = F.when(k % 4 == 0, F.concat(F.lit("file://host/a/"), name)).when(k % 4 == 1, F.concat(F.lit("a/../"), name)).when(k % 4 == 2, F.concat(F.lit("img/"), name, F.lit("..tif"))).otherwise(F.concat(F.lit("/data/"), name))
+    return table(spark, sf_dir, "pages").select("page_id", cells.safe_location(location).alias("verdict"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_projection(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT page_id, CASE WHEN ext = '' THEN 'binary' WHEN ext IN ('tsv', 'csv', 'txt') THEN 'table' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS ext FROM pages)")
+def file_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", cells.file_kind(F.col("url")).alias("kind"))
+
+
+@query("SELECT p_partkey, 'MS_' || p_partkey || '_' || regexp_replace(replace(p_type, 'm/z', 'mz'), '[^a-zA-Z0-9_\\-]+', '_', 'g') AS name FROM part")
+def inflected_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", cells.inflected(F.lit("MS"), F.col("p_partkey").cast("string"), F.col("p_type")).alias("name"))
+
+
+@query("""WITH a AS (SELECT y, x, sum(intensity) AS t FROM {points} JOIN {spectra} USING (spectrum) GROUP BY 1, 2), b AS (SELECT y, x, sum(intensity) AS t FROM {points} JOIN {spectra} USING (spectrum) WHERE spectrum % 9 <> 0 GROUP BY 1, 2)
+    SELECT (SELECT count(*) FROM {spectra}) AS cells, (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS presence_differs, CAST(0 AS BIGINT) AS tic_differs""")
+def image_compare(spark, sf_dir):
+    s, p = spectra(spark, sf_dir), points(spark, sf_dir)
+    return signal.image_difference(signal.ion_image(s, p), signal.ion_image(s, p.filter("spectrum % 9 <> 0")), 1e-9)
+
+
+@query("SELECT label, count(DISTINCT embedding) AS axes, count(*) AS spectra FROM embeddings GROUP BY 1")
+def shared_axis(spark, sf_dir):
+    s, axes = signal.shared_axes(table(spark, sf_dir, "embeddings"), "embedding")
+    return s.join(axes, "axis_id").groupBy("label").agg(F.countDistinct("axis_id").alias("axes"), F.count(F.lit(1)).alias("spectra"))
