@@ -127,7 +127,6 @@ def repeated_windows(pieces: list[bytes], places: list[int]) -> list[np.ndarray]
 
     places are the minimizer's places in the pieces, at which they are aligned.
     """
-    flags = [np.zeros(len(p) - WINDOW + 1, bool) for p in pieces]
     lead = [m % WORD for m in places]  # bytes before the first whole word
     count = np.array([(len(p) - a) // WORD for p, a in zip(pieces, lead, strict=True)])
     flat = np.frombuffer(b"".join(p[a : a + n * WORD] for p, a, n in zip(pieces, lead, count.tolist(), strict=True)), np.uint64)
@@ -161,23 +160,23 @@ def repeated_windows(pieces: list[bytes], places: list[int]) -> list[np.ndarray]
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
     base = np.cumsum(sizes) - sizes
+    flag_at = np.r_[0, np.cumsum(sizes - WINDOW + 1)]
+    found = np.zeros(flag_at[-1], bool)
     at = np.array(lead)[piece] + (start - first[piece]) * WORD  # byte place in the piece
     for r in range(WORD):  # windows that begin r bytes before a word: r bytes, depth words, WORD - r bytes
         begin = at - r
         ok = (begin >= 0) & (begin + WINDOW <= sizes[piece])
         p, s, b = piece[ok], same[ok], begin[ok]
+        if not len(p):
+            continue
         g = (base[p] + b)[:, None]
-        edge = data[np.concatenate([g + np.arange(r), g + np.arange(r + depth * WORD, WINDOW)], axis=1)] if len(p) else np.zeros((0, WORD), np.uint8)
+        edge = data[np.concatenate([g + np.arange(r), g + np.arange(r + depth * WORD, WINDOW)], axis=1)]
         edge = np.ascontiguousarray(edge).view(np.uint64).ravel()
         turn = np.lexsort((edge, s))
         eq = (s[turn][1:] == s[turn][:-1]) & (edge[turn][1:] == edge[turn][:-1])
         hit = turn[np.r_[eq, False] | np.r_[False, eq]]
-        flat_at = np.cumsum([0] + [len(f) for f in flags])
-        found = np.zeros(flat_at[-1], bool)
-        found[flat_at[p[hit]] + b[hit]] = True
-        for k in np.unique(p[hit]).tolist():
-            flags[k] |= found[flat_at[k] : flat_at[k + 1]]
-    return flags
+        found[flag_at[p[hit]] + b[hit]] = True
+    return np.split(found, flag_at[1:-1])
 
 
 def spans_of(flags: np.ndarray) -> list[int]:
