@@ -24,7 +24,7 @@ from peakloom.llm.graph import components
 from peakloom.session import materialize
 
 CHUNKS, CHUNK_SLOTS, ERRORS = 12, 5, 1
-KEY_SLOTS, MORE_SLOTS = CHUNKS * CHUNK_SLOTS, 196
+KEY_SLOTS, MORE_SLOTS = CHUNKS * CHUNK_SLOTS, 452
 SLOTS = KEY_SLOTS + MORE_SLOTS
 #: Pairs whose key slots differ in at most this many are sure to meet.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
@@ -103,8 +103,8 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = int(offsets[k]), int(offsets[k + 1])
         if a < b:
             least = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
-            for lo in range(a, b, 1024):
-                np.minimum(least, (x[lo : min(lo + 1024, b), None] * FACTORS + OFFSETS).min(axis=0), out=least)
+            for lo in range(a, b, 256):
+                np.minimum(least, (x[lo : min(lo + 256, b), None] * FACTORS + OFFSETS).min(axis=0), out=least)
             out[k] = (mix(least.astype(np.uint64)) >> np.uint64(40)).astype(np.uint16)
     return out
 
@@ -253,9 +253,8 @@ def apart(members: DataFrame, sigs: DataFrame, comp: DataFrame, percent: int, be
             if len(j) and best:
                 top = int(e.argmax())
                 j, e = j[top : top + 1], e[top : top + 1]
-            elif len(j):  # from the first key that both have
-                same = keys[j] == keys[i]
-                first = keys[i][same.argmax(axis=1)]
+            if len(j):  # from the first key that both have; the likeliest of all is the likeliest there too
+                first = keys[i][(keys[j] == keys[i]).argmax(axis=1)]
                 j, e = j[first == this], e[first == this]
             out_a += [own[i]] * len(j)
             out_b.append(own[j])
