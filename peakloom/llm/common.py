@@ -25,6 +25,16 @@ def crc_mod(name: str, m: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % m, F.lit(0))
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows left-joined to groups, which has one row per key and its row count in `size`.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import text_of
+from peakloom.llm.common import release, text_of
 from peakloom.llm.minhash import BASE, INVERSE, mix, powers, repeats
 from peakloom.session import materialize
 
@@ -246,21 +246,26 @@ def mark_pieces(pieces: DataFrame) -> DataFrame:
 
     Minimizers of up to HOT_PIECES pieces meet in one task, several at once; for others each window is a row.
     """
-    per_key = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"))
+    hot_keys = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).filter(f"pieces > {HOT_PIECES}").select("key"), "hot-minimizers")
     all_of_it = pieces.filter("n > 1").select("piece_id", F.array(F.lit(0), F.octet_length("piece") - (WINDOW - 1)).alias("marked"))
-    met = pieces.join(per_key.filter(f"pieces > 1 and pieces <= {HOT_PIECES}").select("key"), "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
+        own: list[tuple] = []  # the pieces of one minimizer; they stay together, and a single one has nothing to meet
         words, at = 0, None
         for batch in batches:
             for key, digest, piece, place in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if words >= MERGE_WORDS and key != at:  # minimizers stay whole
-                    yield flush(pending)
-                    pending, words = [], 0
-                at = key
-                pending.append((digest, piece, place))
-                words += len(piece) // WORD
+                if key != at:
+                    if len(own) > 1:
+                        pending += own
+                        words += sum(len(p) // WORD for _, p, _ in own)
+                    own, at = [], key
+                    if words >= MERGE_WORDS:
+                        yield flush(pending)
+                        pending, words = [], 0
+                own.append((digest, piece, place))
+        if len(own) > 1:
+            pending += own
         if pending:
             yield flush(pending)
 
@@ -269,9 +274,10 @@ def mark_pieces(pieces: DataFrame) -> DataFrame:
         hit = [(d, spans_of(f)) for (d, _, _), f in zip(pending, flags, strict=True) if f.any()]
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in hit], pa.binary()), pa.array([s for _, s in hit], pa.list_(pa.int32()))], names=["piece_id", "marked"])
 
-    dealt = met.select("key", "piece_id", "piece", "place").repartition("key").sortWithinPartitions("key")
+    cold = pieces.select("key", "piece_id", "piece", "place").join(hot_keys, "key", "left_anti")
+    dealt = cold.repartition("key").sortWithinPartitions("key")
     merged = dealt.mapInArrow(run, "piece_id binary, marked array<int>")
-    hot = pieces.join(per_key.filter(f"pieces > {HOT_PIECES}").select("key"), "key", "left_semi")
+    hot = pieces.join(hot_keys, "key", "left_semi")
     return all_of_it.union(merged).union(mark_hot(hot))
 
 
@@ -294,11 +300,13 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, cover): window starts to remove in each text that has any, as arrays of [first start, starts]."""
     rows = keyed(docs, id_col, text_col)
     found = materialize(minimizer_runs(rows), "minimizer-runs")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
-    wanted = found.join(often, "key", "left_semi")
+    often = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "repeated-minimizers")
+    wanted = found.join(often, "key", "left_semi")  # of two tables, so that Spark may split a hot minimizer
     cut = materialize(cut_pieces(rows, wanted), "pieces")
-    distinct = cut.groupBy("key", "piece_id").agg(F.first("piece").alias("piece"), F.first("place").alias("place"), F.sum(F.size("starts")).alias("n"))
-    marked = materialize(mark_pieces(materialize(distinct, "distinct-pieces")), "marked-pieces")
+    release(found, often)
+    distinct = materialize(cut.groupBy("key", "piece_id").agg(F.first("piece").alias("piece"), F.first("place").alias("place"), F.sum(F.size("starts")).alias("n")), "distinct-pieces")
+    marked = materialize(mark_pieces(distinct), "marked-pieces")
+    release(distinct)
     hits = cut.select("id", "h", "piece_id", "starts").join(marked, "piece_id")
     return hits.groupBy("id", "h").agg(F.collect_list(F.struct("starts", "marked")).alias("cover"))
 
