@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 
 
 def fixed_point(values: np.ndarray) -> float:
@@ -68,3 +69,23 @@ def decode_linear(data: bytes) -> np.ndarray:
         whole.append(2 * whole[-1] - whole[-2] + residual)
         k += 1 + n
     return np.array(whole, np.float64) / scale if scale else np.zeros(0)
+
+
+def encode_udf():
+    """A column function: array<double> to bytes, in Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    def encode(values: pd.Series) -> pd.Series:
+        return values.map(lambda a: None if a is None else encode_linear(np.asarray(a, np.float64)))
+
+    return pandas_udf(encode, "binary")
+
+
+def decode_udf():
+    """A column function: bytes to array<double>, in Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    def decode(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else decode_linear(b))
+
+    return pandas_udf(decode, "array<double>")

@@ -94,3 +94,30 @@ def gap_sample(sizes: DataFrame, size: str, least: float = LEAST_GAP) -> DataFra
 def rule_tally(findings: DataFrame, rule: str, passed: Column) -> DataFrame:
     """(rule, n, passed, failed)."""
     return findings.groupBy(rule).agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"))
+
+
+def corpus_tiers(files: DataFrame, dataset: str, name: str, size: str, imaging: str) -> DataFrame:
+    """(dataset, raw_bytes, xml_bytes, archive_bytes, input_bytes, of_raw, of_xml): sizes of each tier and the archive's percentages.
+
+    Raw is vendor files and images, of imaging datasets sidecars and images; XML is spectra or imaging files with what
+    they need. The input is raw if there is any. A percentage of nothing is `n.a.`.
+    """
+    from peakloom.functions.cells import file_kind
+
+    total = lambda kind: F.sum(F.when(F.col("__k") == kind, F.col(size)).otherwise(0))
+    names = ("archive", "image", "imaging", "spectra", "sidecar", "vendor")
+    sums = files.withColumn("__k", file_kind(F.col(name))).groupBy(dataset).agg(F.bool_or(imaging).alias("__i"), *[total(k).alias(k) for k in names])
+    raw = F.when(F.col("__i"), F.col("sidecar") + F.col("image")).otherwise(F.col("vendor") + F.col("image"))
+    text = F.when(F.col("__i"), F.col("imaging") + F.col("sidecar") + F.col("image")).otherwise(F.col("spectra") + F.col("image"))
+    rows = sums.select(dataset, raw.alias("raw_bytes"), text.alias("xml_bytes"), F.col("archive").alias("archive_bytes"))
+
+    def percent(whole: str):
+        some = (F.col(whole) > 0) & (F.col("archive_bytes") > 0)
+        return F.when(some, F.concat(F.bround(100.0 * F.col("archive_bytes") / F.col(whole), 0).cast("long").cast("string"), F.lit("%"))).otherwise("n.a.")
+
+    return rows.select("*", F.when(F.col("raw_bytes") > 0, F.col("raw_bytes")).otherwise(F.col("xml_bytes")).alias("input_bytes"), percent("raw_bytes").alias("of_raw"), percent("xml_bytes").alias("of_xml"))
+
+
+def findings_by_rule(findings: DataFrame, rule: str, file: str) -> DataFrame:
+    """(rule, n, files): findings of each rule and the distinct files that have them; order by n for a report."""
+    return findings.groupBy(rule).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(file).alias("files"))

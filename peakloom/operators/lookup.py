@@ -47,6 +47,11 @@ def nearest_value(mz: Column, values: Column, target: Column, tolerance: float =
     return best["v"]
 
 
+def reporters(mz: Column, values: Column, channels: list[tuple[str, float]], tolerance: float = REPORTER_TOLERANCE) -> Column:
+    """Array of (channel, intensity) in the channels' order; a run has a few dozen channels. Channels have a known target."""
+    return F.array(*[F.struct(F.lit(name).alias("channel"), F.coalesce(nearest_value(mz, values, F.lit(target), tolerance), F.lit(0.0)).alias("intensity")) for name, target in channels])
+
+
 def nearest_points(points: DataFrame, channels: DataFrame, key: str, mz: str, intensity: str, tolerance: float) -> DataFrame:
     """(key, channel, intensity): for each spectrum and channel the intensity nearest to the channel's target, else 0.
 

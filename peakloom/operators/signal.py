@@ -97,6 +97,24 @@ def mz_chunks(points: DataFrame, key: str, mz: str, width: float = CHUNK_WIDTH)
     return points.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("n"), F.min(mz).alias("lo"), F.max(mz).alias("hi"))
 
 
+def chunk_points(points: DataFrame, key: str, mz: str = "mz", intensity: str = "intensity", width: float = CHUNK_WIDTH) -> DataFrame:
+    """(key, chunk, chunk_start, chunk_end, mz, intensity): arrays in m/z order for each spectrum and chunk that has points.
+
+    The bounds are those of the points, so a window of m/z prunes whole chunks by them, also in Parquet.
+    """
+    zipped = F.array_sort(F.collect_list(F.struct(F.col(mz).alias("m"), F.col(intensity).alias("v"))))
+    found = points.groupBy(key, F.floor(F.col(mz) / F.lit(width)).alias("chunk")).agg(F.min(mz).alias("chunk_start"), F.max(mz).alias("chunk_end"), zipped.alias("p"))
+    return found.select(key, "chunk", "chunk_start", "chunk_end", F.col("p.m").alias("mz"), F.col("p.v").alias("intensity"))
+
+
+def chunk_window(chunks: DataFrame, key: str, low: float, high: float) -> DataFrame:
+    """(key, tic, n) of the points of chunks within [low, high]; the filter on bounds goes before the arrays are read."""
+    met = chunks.filter((F.col("chunk_end") >= low) & (F.col("chunk_start") <= high))
+    inside = F.filter(F.arrays_zip("mz", "intensity"), lambda p: p["mz"].between(low, high))
+    part = met.select(key, inside.alias("p")).select(key, tic(F.col("p.intensity")).alias("t"), F.size("p").alias("c")).filter("c > 0")
+    return part.groupBy(key).agg(F.sum("t").alias("tic"), F.sum("c").alias("n"))
+
+
 def delta_encode(a: Column) -> Column:
     """The first value, then the differences."""
     return F.transform(a, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(a, i - 1)))

@@ -269,11 +269,11 @@ def curie_parse(spark, sf_dir):
     return got.select("s_suppkey", "c.prefix", "c.accession", F.col("c").isNotNull().alias("ok"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name ELSE 'not available' END AS value,
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ' ' || c_mktsegment WHEN 1 THEN c_name ELSE 'not available' END AS value,
     CASE c_custkey % 3 WHEN 1 THEN 'UNIMOD:' || c_nationkey END AS accession, c_custkey % 3 = 2 AS is_na, CASE c_custkey % 3 WHEN 1 THEN 2 ELSE 0 END AS n_extra FROM customer""")
 def cell_parse(spark, sf_dir):
     k = F.col("c_custkey")
-    text = F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("c_mktsegment"))).when(k % 3 == 1, F.concat(F.lit("NT="), F.col("c_name"), F.lit(";PP=Any N-term; ac=UNIMOD:"), F.col("c_nationkey").cast("string"), F.lit(";MT=a=b"))).otherwise(F.lit("not available"))
+    text = F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("c_mktsegment"))).when(k % 3 == 1, F.concat(F.lit("NT="), F.col("c_name"), F.lit(";PP=Any N-term; AC=UNIMOD:"), F.col("c_nationkey").cast("string"), F.lit(";MT=a=b"))).otherwise(F.lit("not available"))
     got = table(spark, sf_dir, "customer").select("c_custkey", cells.cell(text).alias("c"))
     return got.select("c_custkey", "c.value", "c.accession", "c.is_na", F.coalesce(F.size("c.extra"), F.lit(0)).alias("n_extra"))
 
@@ -430,9 +430,75 @@ def json_projection(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT page_id, CASE WHEN ext = '' THEN 'binary' WHEN ext IN ('tsv', 'csv', 'txt') THEN 'table' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS ext FROM pages)")
+KIND = """CASE WHEN {n} LIKE '%.archive' THEN 'archive' WHEN regexp_matches({n}, '[.](tif|tiff|png|jpg|jpeg|svs|bmp)$') THEN 'image'
+    WHEN {n} LIKE '%.imzml' THEN 'imaging' WHEN {n} LIKE '%.mzml' THEN 'spectra' WHEN {n} LIKE '%.ibd' THEN 'sidecar'
+    WHEN regexp_matches({n}, '[.](raw|wiff|wiff[.]scan|wiff2|tdf|tdf_bin|baf|yep|uimf)$') OR regexp_matches({n}, '[.](d|raw)/') THEN 'vendor'
+    WHEN regexp_matches({n}, '[.](md|csv|xml|xlsx|txt|json|orig-published-checksum|tsv)$') THEN 'meta'
+    WHEN NOT contains(regexp_replace({n}, '^.*/', ''), '.') THEN 'sidecar' ELSE 'other' END"""
+#: Pages as members of datasets: an extension by id gives every kind.
+NAMED = "SELECT page_id, page_id % 50 AS dataset, page_id % 2 = 0 AS imaging, octet_length(encode(coalesce(html, ''))) AS size, lower(url || CASE page_id % 7 WHEN 0 THEN '.archive' WHEN 1 THEN '.tif' WHEN 2 THEN '.imzML' WHEN 3 THEN '.mzML' WHEN 4 THEN '.ibd' WHEN 5 THEN '.raw' ELSE '' END) AS name FROM pages"
+
+
+def members(spark, sf_dir):
+    k = F.col("page_id")
+    ext = F.element_at(F.array(*map(F.lit, (".archive", ".tif", ".imzML", ".mzML", ".ibd", ".raw", ""))), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", (k % 50).alias("dataset"), (k % 2 == 0).alias("imaging"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"), F.concat("url", ext).alias("name"))
+
+
+@query(f"SELECT page_id, {KIND.format(n='name')} AS kind FROM ({NAMED})")
 def file_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", cells.file_kind(F.col("url")).alias("kind"))
+    return members(spark, sf_dir).select("page_id", cells.file_kind(F.col("name")).alias("kind"))
+
+
+@query(f"""WITH k AS (SELECT *, {KIND.format(n='name')} AS kind FROM ({NAMED})),
+    s AS (SELECT dataset, bool_or(imaging) AS i, {', '.join(f"sum(CASE kind WHEN '{n}' THEN size ELSE 0 END) AS {n}" for n in ('archive', 'image', 'imaging', 'spectra', 'sidecar', 'vendor'))} FROM k GROUP BY 1),
+    t AS (SELECT dataset, CAST(CASE WHEN i THEN sidecar + image ELSE vendor + image END AS BIGINT) AS raw_bytes, CAST(CASE WHEN i THEN imaging + sidecar + image ELSE spectra + image END AS BIGINT) AS xml_bytes, CAST(archive AS BIGINT) AS archive_bytes FROM s)
+    SELECT *, CASE WHEN raw_bytes > 0 THEN raw_bytes ELSE xml_bytes END AS input_bytes,
+    CASE WHEN raw_bytes > 0 AND archive_bytes > 0 THEN CAST(round_even(100.0 * archive_bytes / raw_bytes, 0) AS BIGINT) || '%' ELSE 'n.a.' END AS of_raw,
+    CASE WHEN xml_bytes > 0 AND archive_bytes > 0 THEN CAST(round_even(100.0 * archive_bytes / xml_bytes, 0) AS BIGINT) || '%' ELSE 'n.a.' END AS of_xml FROM t""")
+def corpus_tiers(spark, sf_dir):
+    return folds.corpus_tiers(members(spark, sf_dir), "dataset", "name", "size", "imaging")
+
+
+@query("SELECT event_type AS rule, count(*) AS n, count(DISTINCT user_id) AS files FROM events GROUP BY 1")
+def findings_by_rule(spark, sf_dir):
+    return folds.findings_by_rule(table(spark, sf_dir, "events").withColumnRenamed("event_type", "rule"), "rule", "user_id")
+
+
+@query("SELECT spectrum, round(sum(intensity), 4) AS tic, count(*) AS n FROM {points} WHERE mz BETWEEN 20000 AND 30000 GROUP BY 1")
+def chunk_window(spark, sf_dir):
+    chunks = signal.chunk_points(points(spark, sf_dir), "spectrum", width=5000.0)
+    return signal.chunk_window(chunks, "spectrum", 20000.0, 30000.0).select("spectrum", F.round("tic", 4).alias("tic"), F.col("n").cast("long").alias("n"))
+
+
+LABELS = "CASE c_custkey % 6 WHEN 0 THEN ' TMT127N ' WHEN 1 THEN 'SILAC Light' WHEN 2 THEN 'TMT134C' WHEN 3 THEN 'iTRAQ118' WHEN 4 THEN 'tmt126' ELSE c_mktsegment END"
+
+
+@query(f"""SELECT c_custkey, c_custkey % 6 IN (0, 2, 3) AS isobaric, CASE c_custkey % 6 WHEN 0 THEN 'MS:1002763' WHEN 2 THEN 'MS:1002615' WHEN 3 THEN 'MS:1002628' END AS accession,
+    CASE c_custkey % 6 WHEN 0 THEN 127.124761 WHEN 3 THEN 118.111958 END AS target FROM customer""")
+def isobaric_labels(spark, sf_dir):
+    from peakloom.sources import samples
+
+    labelled = samples.channels(spark, table(spark, sf_dir, "customer").select("c_custkey", F.expr(LABELS).alias("label")))
+    return labelled.select("c_custkey", cells.is_isobaric(F.col("label")).alias("isobaric"), "accession", "target")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_brand END || CASE WHEN p_size % 2 = 0 THEN '; aligned: ' || p_type ELSE '' END AS modality_if_stained,
+    CASE p_partkey % 3 WHEN 0 THEN 'of-analysed-sample: ' || p_name WHEN 1 THEN 'adjacent-section: ' || p_name ELSE p_name END AS subtype, TRUE AS recovered FROM part""")
+def optical_descriptions(spark, sf_dir):
+    from peakloom.sources import optical
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    given = [k % 3 == 0, k % 3 == 1, F.col("p_name"), F.when(size % 3 > 0, F.col("p_brand")), F.when(size % 2 == 0, F.col("p_type"))]
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.struct(*[c.alias(n) for n, c in zip(("of_analysed", "adjacent", "morphology", "staining", "alignment"), given, strict=True)]).alias("was"), optical.fold_description(*given).alias("d"))
+    back = optical.unfold_description(F.col("d.modality"), F.col("d.subtype"))
+    return rows.select("p_partkey", F.when(size % 3 > 0, F.col("d.modality")).alias("modality_if_stained"), F.col("d.subtype").alias("subtype"), F.col("was").eqNullSafe(back).alias("recovered"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS size, CASE WHEN o_totalprice >= 1024 THEN printf('%.1f KB', o_totalprice / 1024) ELSE CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || ' B' END AS human FROM orders WHERE o_totalprice < 1000000")
+def human_sizes(spark, sf_dir):
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").filter("o_totalprice < 1000000").select("o_orderkey", F.round(price, 2).alias("size"), F.when(price >= 1024, cells.human_size(price)).otherwise(cells.human_size(F.round(price, 0).cast("long"))).alias("human"))
 
 
 @query("SELECT p_partkey, 'MS_' || p_partkey || '_' || regexp_replace(replace(p_type, 'm/z', 'mz'), '[^a-zA-Z0-9_\\-]+', '_', 'g') AS name FROM part")

@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.numpress import decode_linear, encode_linear
 from peakloom.operators import folds, signal
+from peakloom.operators.verify import LOSSY
 
 FORMAT_VERSION = "1.0"
+#: Encoding of m/z and level of compression by name.
+PRESETS = {"compact": ("numpress", 19), "lossless": ("delta", 3), "legacy": ("plain", 3)}
+TRACE = "chrom_index long, id string, time array<double>, intensity array<double>"
+MEMBER = "name string, sha256 string, size_bytes long, content binary"
+#: The record of the lossy transform; its bounds are those of verify.LOSSY.
+NUMPRESS = {"transform": "MS:1002312", "name": "Numpress linear prediction m/z compression", "axis": "m/z", "conformance_level": "L2", "mz_rel_err": LOSSY.mz, "intensity_rel_err": LOSSY.intensity}
 META = ["spectrum_index", "native_id", "ms_level", "representation", "x", "y", "z", "rt_seconds"]
 
 
-def write_archive(spectra: DataFrame, path: str, mask: bool = True, metadata: dict | None = None, mz_encoding: str = "plain") -> dict:
-    """Write spectra (arrays mz and intensity beside any of META) as facets under path; returns the index.
+def write_archive(
+    spectra: DataFrame, path: str, mask: bool = True, metadata: dict | None = None, mz_encoding: str = "plain",
+    chromatograms: DataFrame | None = None, members: DataFrame | None = None, level: int = 3,
+) -> dict:
+    """Write spectra (arrays mz and intensity beside any of META, and reporters) as facets under path; returns the index.
 
     Points are sorted by m/z; profiles lose interior zero runs where mask is on; intensities are stored as floats.
     mz_encoding: plain, delta (lossless up to rounding) or numpress (lossy). The facets are partitioned by ranges of
@@ -23,12 +33,13 @@ def write_archive(spectra: DataFrame, path: str, mask: bool = True, metadata: di
     """
     spark = spectra.sparkSession
     have = [c for c in META if c in spectra.columns]
+    extra = [c for c in ("reporters",) if c in spectra.columns]
     ordered = signal.sort_parallel(F.col("mz"), {"intensity": F.col("intensity")})
-    rows = spectra.select(*have, ordered.alias("s"), (~signal.is_ascending(F.col("mz"))).alias("was_unsorted"))
+    rows = spectra.select(*have, *extra, ordered.alias("s"), (~signal.is_ascending(F.col("mz"))).alias("was_unsorted"))
     kept = signal.mask_zero_runs(F.col("s.mz"), F.col("s.intensity"))
     masked = F.when(F.lit(mask) & (F.col("representation") == "profile"), kept).otherwise(F.arrays_zip(F.col("s.mz").alias("mz"), F.col("s.intensity").alias("intensity")))
-    rows = rows.withColumn("p", masked).select(*have, "was_unsorted", F.col("p.mz").alias("mz"), F.col("p.intensity").cast("array<float>").alias("intensity"))
-    rows.select(*have, F.coalesce(F.size("mz"), F.lit(0)).alias("n_points")).write.parquet(f"{path}/facet=spectra_metadata")
+    rows = rows.withColumn("p", masked).select(*have, *extra, "was_unsorted", F.col("p.mz").alias("mz"), F.col("p.intensity").cast("array<float>").alias("intensity"))
+    rows.select(*have, *extra, F.coalesce(F.size("mz"), F.lit(0)).alias("n_points")).write.parquet(f"{path}/facet=spectra_metadata")
     facet = folds.facet_of(F.col("representation"))
     for name in ("spectra_data", "spectra_peaks"):
         part = rows.filter(facet == name).select("spectrum_index", "mz", "intensity")
@@ -36,9 +47,16 @@ def write_archive(spectra: DataFrame, path: str, mask: bool = True, metadata: di
             part = part.withColumn("mz", signal.delta_encode(F.col("mz")))
         elif mz_encoding == "numpress":
             part = numpress(part)
-        part.repartitionByRange("spectrum_index").sortWithinPartitions("spectrum_index").write.option("compression", "zstd").parquet(f"{path}/facet={name}")
+        part.repartitionByRange("spectrum_index").sortWithinPartitions("spectrum_index").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(f"{path}/facet={name}")
+    # both facets are always there; nothing is made up for a run without traces
+    (spark.createDataFrame([], TRACE) if chromatograms is None else chromatograms.select("chrom_index", "id", "time", "intensity")).write.parquet(f"{path}/facet=chromatograms")
+    (spark.createDataFrame([], MEMBER) if members is None else members.select("name", "sha256", "size_bytes", "content")).write.parquet(f"{path}/facet=members")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("was_unsorted").alias("resorted")).first()
-    index = {"version": FORMAT_VERSION, "spectra": counts["n"], "resorted": counts["resorted"], "mz_encoding": mz_encoding, "masked": mask, "metadata": metadata or {}}
+    metadata = dict(metadata or {})
+    if mz_encoding == "numpress":
+        metadata["transform"] = NUMPRESS
+    steps = [s for s, done in (("sorted by m/z", counts["resorted"] > 0), ("zero runs masked", mask), ("m/z coded with loss", mz_encoding == "numpress")) if done]
+    index = {"version": FORMAT_VERSION, "spectra": counts["n"], "resorted": counts["resorted"], "mz_encoding": mz_encoding, "masked": mask, "processing": steps, "metadata": metadata}
     spark.createDataFrame([(json.dumps(index),)], "value string").coalesce(1).write.text(f"{path}/index")
     return index
 
@@ -84,3 +102,57 @@ def read_archive(spark: SparkSession, path: str, representation: str | None = No
     elif index["mz_encoding"] == "numpress":
         arrays = unnumpress(arrays.select("spectrum_index", "mz", "intensity"))
     return meta.join(arrays, "spectrum_index", "left")
+
+
+def member_rows(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """Files to keep as they are in an archive, from a map of member names to paths, with digests and sizes."""
+    out = spark.createDataFrame([], MEMBER)
+    for name, path in files.items():
+        one = spark.read.format("binaryFile").load(path)
+        out = out.unionByName(one.select(F.lit(name).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), "content"))
+    return out
+
+
+def extract_member(spark: SparkSession, path: str, name: str) -> bytes:
+    """A kept file, byte for byte; a name without folders finds the one member that ends in it."""
+    rows = spark.read.parquet(f"{path}/facet=members")
+    exact = F.col("name") == name
+    found = rows.filter(exact | F.col("name").endswith(f"/{name}")).orderBy(exact.desc(), "name").select("content").limit(1).collect()
+    if not found:
+        raise FileNotFoundError(f"{path} has no member {name}")
+    return bytes(found[0]["content"])
+
+
+def conformance(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, reasons): what each archive's index lacks; no reasons for a sound one."""
+
+    def reasons(path: str) -> list[str]:
+        try:
+            index = read_index(spark, path)
+        except Exception as error:  # an unreadable index is a finding
+            return [f"no index: {type(error).__name__}"]
+        checks = (("no version", index.get("version")), ("no spectra count", index.get("spectra") is not None), ("a lossy encoding without a transform record", index.get("mz_encoding") != "numpress" or index["metadata"].get("transform")))
+        return [reason for reason, ok in checks if not ok]
+
+    return spark.createDataFrame([(p, reasons(p)) for p in paths], "path string, reasons array<string>")
+
+
+def oversized_row_groups(spark: SparkSession, path: str, limit: int = 64 << 20) -> DataFrame:
+    """(path, row_group, rows, bytes) of Parquet row groups under path that are larger than limit."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                meta = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata
+                groups = [(file, k, g.num_rows, g.total_byte_size) for k in range(meta.num_row_groups) if (g := meta.row_group(k)).total_byte_size > limit]
+                if groups:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*groups, strict=True)], names=["path", "row_group", "rows", "bytes"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, row_group long, rows long, bytes long")
+
+
+def read_chromatograms(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TRACE).parquet(f"{path}/facet=chromatograms")

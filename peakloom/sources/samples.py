@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakloom.functions.cells import cell
+from peakloom.functions.cells import REAGENTS, UNRESOLVED, UNRESOLVED_TERM, cell, curie
 from peakloom.operators import folds, lookup
 
 
@@ -56,32 +56,32 @@ def factors(cells: DataFrame) -> DataFrame:
     return values.join(named, "row_idx").groupBy("factor", "sample", "value").agg(F.min("row_idx").alias("first_row"))
 
 
+def match_rows(runs: DataFrame, cells: DataFrame, run: str = "path") -> DataFrame:
+    """(run, row_idx) of the table's rows whose data file has the run's stem."""
+    keyed = assays(cells).select(lookup.stem(F.col("data_file")).alias("__stem"), "row_idx")
+    return runs.select(run).withColumn("__stem", lookup.stem(F.col(run))).join(keyed, "__stem").select(run, "row_idx")
+
+
 def bind_runs(runs: DataFrame, cells: DataFrame, run: str = "path") -> DataFrame:
     """(run, sample_ids, diagnostic): the ordered distinct samples of the rows whose data file has the run's stem.
 
     No row or several rows are diagnostics, never errors.
     """
-    named = assays(cells).join(samples(cells).select("sample_id", F.col("name").alias("sample")), "sample", "left")
-    keyed = named.select(lookup.stem(F.col("data_file")).alias("__stem"), "row_idx", "sample_id")
-    left = runs.select(run).withColumn("__stem", lookup.stem(F.col(run)))
-    both = left.join(keyed, "__stem", "left").groupBy(run).agg(F.count("row_idx").alias("n"), F.array_sort(F.collect_list(F.when(F.col("sample_id").isNotNull(), F.struct("row_idx", "sample_id")))).alias("s"))
+    named = assays(cells).join(samples(cells).select("sample_id", F.col("name").alias("sample")), "sample", "left").select("row_idx", "sample_id")
+    both = runs.select(run).join(match_rows(runs, cells, run), run, "left").join(named, "row_idx", "left")
+    both = both.groupBy(run).agg(F.count("row_idx").alias("n"), F.array_sort(F.collect_list(F.when(F.col("sample_id").isNotNull(), F.struct("row_idx", "sample_id")))).alias("s"))
     diagnostic = F.when(F.col("n") == 0, "no row").when(F.col("n") > 1, "several rows")
     return both.select(run, F.array_distinct("s.sample_id").alias("sample_ids"), diagnostic.alias("diagnostic"))
 
 
-# Reporter ions of isobaric reagents by label, in Th (null: not published as one value).
-REPORTERS = {
-    "TMT126": 126.127726, "TMT127": 127.124761, "TMT127N": 127.124761, "TMT127C": 127.131081, "TMT128": 128.134436, "TMT128N": 128.128116,
-    "TMT128C": 128.134436, "TMT129": 129.131471, "TMT129N": 129.131471, "TMT129C": 129.137790, "TMT130": 130.141145, "TMT130N": 130.134825,
-    "TMT130C": 130.141145, "TMT131": 131.138180, "TMT131N": 131.138180, "TMT131C": 131.144500, "ITRAQ113": 113.107873, "ITRAQ114": 114.111228,
-    "ITRAQ115": 115.108263, "ITRAQ116": 116.111618, "ITRAQ117": 117.114973, "ITRAQ118": 118.112008, "ITRAQ119": 119.115363, "ITRAQ121": 121.122072,
-}
-
-
 def channels(spark: SparkSession, labels: DataFrame, label: str = "label") -> DataFrame:
-    """labels with channel and target: the reporter ion of each trimmed label; labels without one have a null target."""
-    known = spark.createDataFrame(sorted(REPORTERS.items()), "channel string, target double")
-    return labels.join(F.broadcast(known), F.trim(F.col(label)) == known["channel"], "left")
+    """labels with channel, accession and target: the reagent of each trimmed label.
+
+    A label that is isobaric but has no reporter ion of its own has the parent term and a null target; others have nulls.
+    """
+    known = [*REAGENTS, *((name, UNRESOLVED_TERM, None) for name in UNRESOLVED)]
+    table = spark.createDataFrame(known, "channel string, accession string, target double")
+    return labels.join(F.broadcast(table), F.trim(F.col(label)) == table["channel"], "left")
 
 
 def isa_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -111,6 +111,72 @@ def paired_columns(header: Column) -> Column:
     return F.filter(with_terms, lambda c: ~c["name"].isin("Term Source REF", "Term Accession Number"))
 
 
+def isa_value_of(value: Column, source: Column, accession: Column) -> Column:
+    """Struct (value, accession, term_source, extra): an accession that is a URL or no CURIE stays in extra."""
+    given = F.nullif(F.trim(accession), F.lit(""))
+    ok = ~F.contains(given, F.lit("://")) & curie(given).isNotNull()
+    return F.struct(F.trim(value).alias("value"), F.when(ok, given).alias("accession"), F.nullif(F.trim(source), F.lit("")).alias("term_source"), F.when(~ok, given).alias("extra"))
+
+
+def unquoted(cells: DataFrame) -> DataFrame:
+    """Cells of an ISA-Tab table without the quotes around headers and values."""
+    return cells.withColumns({c: F.regexp_replace(F.trim(c), '^"|"$', "") for c in ("header", "raw")})
+
+
+def isa_study_samples(study: DataFrame) -> DataFrame:
+    """(sample_id, name, source): the samples of an ISA-Tab study table by sample name, with their source names.
+
+    Assays refer to sample names and traits belong to sources, so both are carried.
+    """
+    cells = unquoted(study)
+    rows = column(cells, "sample name").withColumnRenamed("value", "n").filter("n <> ''")
+    sources = column(cells, "source name").withColumnRenamed("value", "source").withColumnRenamed("row_idx", "first_row")
+    return folds.sample_table(rows, "n", "row_idx").join(sources, "first_row", "left").select("sample_id", "name", "source")
+
+
+def isa_assays(tables: list[DataFrame]) -> DataFrame:
+    """(file_no, row_idx, assay_id, sample, data_files) of ISA-Tab assay tables, one after the other."""
+    out = None
+    for k, table in enumerate(tables):
+        cells = unquoted(table)
+        names = cells.select("row_idx").distinct()
+        for name, header in (("assay", "ms assay name"), ("sample", "sample name")):
+            names = names.join(column(cells, header).withColumnRenamed("value", name), "row_idx", "left")
+        files = cells.filter(F.lower("header").endswith("spectral data file") & (F.col("raw") != "")).groupBy("row_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("f"))
+        part = names.join(files, "row_idx", "left").select(
+            F.lit(k).alias("file_no"), "row_idx", F.coalesce(F.nullif("assay", F.lit("")), F.concat(F.lit("assay-"), (F.col("row_idx") + 1).cast("string"))).alias("assay_id"),
+            "sample", F.coalesce(F.col("f.raw"), F.array().cast("array<string>")).alias("data_files"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bind_isa_runs(runs: DataFrame, assay_rows: DataFrame, run: str = "path") -> DataFrame:
+    """(run, samples, diagnostic): ordered distinct samples of the assays one of whose data files has the run's stem."""
+    files = assay_rows.select("file_no", "row_idx", "sample", F.explode(F.array_distinct(F.transform("data_files", lookup.stem))).alias("__stem"))
+    both = runs.select(run).withColumn("__stem", lookup.stem(F.col(run))).join(files, "__stem", "left")
+    found = both.groupBy(run).agg(F.count("row_idx").alias("n"), F.array_sort(F.collect_list(F.when(F.col("sample").isNotNull(), F.struct("file_no", "row_idx", "sample")))).alias("s"))
+    diagnostic = F.when(F.col("n") == 0, "no row").when(F.col("n") > 1, "several rows")
+    return found.select(run, F.array_distinct("s.sample").alias("samples"), diagnostic.alias("diagnostic"))
+
+
+def locate_isa(path: str) -> dict:
+    """Files of an ISA bundle: from its folder, its investigation, a sibling of it, or an ISA-JSON document.
+
+    {json} or {investigation, studies, assays}; files are found by their prefixes, in order of their names.
+    """
+    import glob
+    import os
+
+    if path.endswith(".json"):
+        return {"json": path}
+    folder = path if os.path.isdir(path) else os.path.dirname(path)
+    found = {kind: sorted(glob.glob(os.path.join(glob.escape(folder), f"{letter}_*.txt"))) for letter, kind in (("i", "investigation"), ("s", "studies"), ("a", "assays"))}
+    if not found["investigation"]:
+        raise FileNotFoundError(f"no investigation file in {folder}")
+    return found | {"investigation": found["investigation"][0]}
+
+
 REF = "struct<`@id`:string>"
 ISA_JSON = (
     f"identifier string, title string, studies array<struct<identifier:string,title:string,materials:struct<sources:array<struct<`@id`:string,name:string>>,samples:array<struct<`@id`:string,name:string>>>,"

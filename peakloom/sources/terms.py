@@ -6,6 +6,9 @@ from __future__ import annotations
 POSITION_X, POSITION_Y, POSITION_Z = "IMS:1000050", "IMS:1000051", "IMS:1000052"
 EXTERNAL_OFFSET, EXTERNAL_LENGTH, EXTERNAL_BYTES = "IMS:1000102", "IMS:1000103", "IMS:1000104"
 GRID_X, GRID_Y, EXTENT_X, EXTENT_Y, PIXEL_X, PIXEL_Y = "IMS:1000042", "IMS:1000043", "IMS:1000044", "IMS:1000045", "IMS:1000046", "IMS:1000047"
+OFFSET_X, OFFSET_Y = "IMS:1000053", "IMS:1000054"
+LINESCAN_SEQUENCE, SCAN_PATTERN, SCAN_TYPE, LINE_DIRECTION = "IMS:1000401", "IMS:1000413", "IMS:1000480", "IMS:1000491"
+MICROMETRE = "UO:0000017"
 IBD_UUID, IBD_SHA1, IBD_MD5, IBD_SHA256 = "IMS:1000080", "IMS:1000091", "IMS:1000090", "IMS:1000092"
 CONTINUOUS, PROCESSED = "IMS:1000030", "IMS:1000031"
 MZ_ARRAY, INTENSITY_ARRAY, TIME_ARRAY = "MS:1000514", "MS:1000515", "MS:1000595"

@@ -219,12 +219,41 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     )
 
 
+# Field, accession, type, name and unit of the geometry terms that have a value.
+GEOMETRY = (
+    ("grid_x", terms.GRID_X, "long", "max count of pixel x", None), ("grid_y", terms.GRID_Y, "long", "max count of pixel y", None),
+    ("extent_x", terms.EXTENT_X, "long", "max dimension x", terms.MICROMETRE), ("extent_y", terms.EXTENT_Y, "long", "max dimension y", terms.MICROMETRE),
+    ("pixel_x", terms.PIXEL_X, "double", "pixel size x", terms.MICROMETRE), ("pixel_y", terms.PIXEL_Y, "double", "pixel size y", terms.MICROMETRE),
+    ("offset_x", terms.OFFSET_X, "long", "absolute position offset x", terms.MICROMETRE), ("offset_y", terms.OFFSET_Y, "long", "absolute position offset y", terms.MICROMETRE),
+)
+# Field, accession and name of those that are only present or absent.
+PRESENCE = (
+    ("linescan_sequence", terms.LINESCAN_SEQUENCE, "top down"), ("scan_pattern", terms.SCAN_PATTERN, "flyback"),
+    ("scan_type", terms.SCAN_TYPE, "horizontal line scan"), ("line_scan_direction", terms.LINE_DIRECTION, "linescan left right"),
+)
+
+
 def read_geometry(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """One row of the declared grid: count, pixel size and extent on both axes. A bad or absent number is null."""
+    """One row for each scanSettings with the fields of GEOMETRY and PRESENCE. A bad or absent number is null; of repeated terms the last counts."""
     rows = elements(spark, path, "scanSettings", f"_id string, {PARAMS}", encoding)
     p = F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>"))
-    fields = {"grid_x": (terms.GRID_X, "long"), "grid_y": (terms.GRID_Y, "long"), "extent_x": (terms.EXTENT_X, "double"), "extent_y": (terms.EXTENT_Y, "double"), "pixel_x": (terms.PIXEL_X, "double"), "pixel_y": (terms.PIXEL_Y, "double")}
-    return rows.select(*[value_of(p, a).try_cast(t).alias(n) for n, (a, t) in fields.items()])
+    valued = [F.trim(value_of(p, a)).try_cast(t).alias(n) for n, a, t, _, _ in GEOMETRY]
+    return rows.select(*valued, *[F.when(has(p, a), F.lit(a)).alias(n) for n, a, _ in PRESENCE])
+
+
+def geometry_params() -> Column:
+    """Array of (accession, name, value, unit) of the geometry that a row declares, from the columns of read_geometry; what is absent stays absent."""
+    valued = [F.when(F.col(n).isNotNull(), F.struct(F.lit(a).alias("accession"), F.lit(name).alias("name"), F.col(n).cast("string").alias("value"), F.lit(u).cast("string").alias("unit"))) for n, a, _, name, u in GEOMETRY]
+    flags = [F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("accession"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"))) for n, _, name in PRESENCE]
+    return F.array_compact(F.array(*valued, *flags))
+
+
+def inspect(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(kind, ms_level, n) of a file's spectra and chromatograms, without decoding an array; an absent level is 1."""
+    level = F.coalesce(F.nullif(value_of(F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>")), terms.MS_LEVEL).try_cast("int"), F.lit(0)), F.lit(1))
+    spectra = elements(spark, path, "spectrum", f"_id string, cvParam array<{PARAM}>", encoding).groupBy(F.lit("spectrum").alias("kind"), level.alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
+    traces = elements(spark, path, "chromatogram", "_id string", encoding).groupBy(F.lit("chromatogram").alias("kind"), F.lit(None).cast("int").alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
+    return spectra.unionByName(traces)
 
 
 def preflight(spark: SparkSession, path: str, sidecar: str, encoding: str = "UTF-8", allow_mismatch: bool = False) -> DataFrame:

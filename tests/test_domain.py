@@ -208,9 +208,11 @@ def test_image_headers(spark, tmp_path):
 def test_cells(spark):
     df = spark.createDataFrame([("MS:1:2", "{ABCDEF01-2345-6789-abcd-ef0123456789}", 3 << 20)], "c string, u string, n long")
     r = df.select(cells.curie(F.col("c")).alias("c"), cells.normal_uuid(F.col("u")).alias("u"), cells.human_size(F.col("n")).alias("h")).first()
-    assert r["c"]["accession"] == "1:2" and r["u"] == "abcdef0123456789abcdef0123456789" and r["h"] == "3.0 MiB"
+    assert r["c"]["accession"] == "1:2" and r["u"] == "abcdef0123456789abcdef0123456789" and r["h"] == "3.0 MB"
     cells.register(spark)
     assert spark.sql("SELECT tic(array(1D, 2D)) AS t, file_stem('a/b.c.raw') AS s").first().asDict() == {"t": 3.0, "s": "b.c"}
+    r = spark.sql("SELECT zero_run_mask(array(1D, 2D, 3D, 4D), array(0D, 0D, 5D, 0D)) AS m, nearest_intensity(array(1D, 2D), array(7D, 8D), 1.9D, 0.2D) AS v, numpress_decode(numpress_encode(array(100D, 101.5D, 103D))) AS d, curie_accession('MS:1:2') AS c").first()
+    assert [p["mz"] for p in r["m"]] == [2, 3, 4] and r["v"] == 8 and r["d"] == pytest.approx([100, 101.5, 103]) and r["c"] == "1:2"
 
 
 def test_gap_sample_and_levels(spark):
