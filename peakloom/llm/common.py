@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A key that holds more than one row in HOT_SHARE is looked up by broadcast; there can be at most HOT_SHARE such keys.
 HOT_SHARE = 1000
@@ -35,6 +36,21 @@ def release(*tables: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def least_rows(rows: DataFrame, key: str, draw: str, limit: int, ties: list[str]) -> DataFrame:
+    """The `limit` rows of each key that have the least draw (a hash, so even over all longs), with `k` from 1.
+
+    The keys are few, such as labels. Their counts tell below which draw some four times as many rows lie as are wanted;
+    only those are shuffled, so what meets in one task doesn't grow with the input. Of equal draws `ties` decides.
+    """
+    counts = rows.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min(draw).alias("__least"))
+    share = F.lit(4.0 * limit) / F.col("__n")
+    below = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    counts = counts.select("__key", F.greatest("__least", below).alias("__below"))
+    near = rows.join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("__key"))).filter(F.col(draw) <= F.col("__below")).select(*rows.columns)
+    first = Window.partitionBy(key).orderBy(draw, *ties)
+    return near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows left-joined to groups, which has one row per key and its row count in `size`.
 

@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from peakloom.llm.common import text_of
+from peakloom.llm.common import least_rows, text_of
 
 #: The fit takes at most FIT_ROWS labelled texts of each class, of at most FIT_BYTES each.
 FIT_ROWS, FIT_BYTES = 1000, 65_536
@@ -86,8 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if held_out is not None:
         rows = rows.filter(~held_out)
     rows = rows.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).distinct()
-    first = Window.partitionBy("__y").orderBy(F.xxhash64("__id"), "__id")
-    drawn = rows.withColumn("__k", F.row_number().over(first)).filter(F.col("__k") <= FIT_ROWS)
+    drawn = least_rows(rows.withColumn("__draw", F.xxhash64("__id")), "__y", "__draw", FIT_ROWS, ["__id"]).select("__id", "__y", F.col("k").alias("__k"))
     texts = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).filter(F.octet_length("__text") <= FIT_BYTES)
     got = texts.join(F.broadcast(drawn), "__id").orderBy("__y", "__k", "__text").select("__text", "__y").limit(2 * FIT_ROWS).collect()
     y = np.array([r["__y"] for r in got], int)
