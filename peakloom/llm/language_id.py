@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from peakloom.llm.common import least_rows
 
 #: The fit takes at most FIT_DOCS texts of each language and FIT_WINDOWS windows of each text.
 FIT_DOCS, FIT_WINDOWS = 1000, 3
@@ -108,16 +109,15 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drawn = []
-            for t in batch.column(2):
+            for t in batch.column(1):
                 w = windows_of(str(t).encode("utf-8", "replace"))
                 drawn.append(w[np.linspace(0, len(w) - 1, min(FIT_WINDOWS, len(w))).astype(int)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.binary())], names=["lang", "draw", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=["lang", "windows"])
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("draw"), F.col(text_col).alias("text"))
-    cut = rows.mapInArrow(run, "lang string, draw long, windows binary")
-    first = Window.partitionBy("lang").orderBy("draw", "windows")
-    return cut.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= FIT_DOCS).select("lang", "windows").collect()
+    drawn = least_rows(rows, "lang", "draw", FIT_DOCS, [F.xxhash64("text"), "text"])
+    return drawn.select("lang", "text").mapInArrow(run, "lang string, windows binary").collect()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
