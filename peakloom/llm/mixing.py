@@ -16,17 +16,18 @@ from pyspark.sql.window import Window
 
 from peakloom.session import materialize
 
-#: Blocks of a source: as many as make its blocks comparable in number at any size.
-BLOCKS = 1024
+#: Blocks of a source, and parts of the one block in which its budget ends: only one part's rows, some millionth of the
+#: source, are put in order.
+BLOCKS, PARTS = 1024, 1024
 #: Bisection goes on until alpha is known to 2**-STEPS.
 STEPS = 20
 #: Sections that one job tries at once: four halvings.
 SECTIONS = 16
 
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> Column:
+def token_counts(text: Column) -> Column:
     """Tokens of a text: its runs of characters other than white space (null: 0)."""
-    return F.coalesce(F.size(F.filter(F.split(docs[text_col], r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
 def measure(shares: DataFrame, alphas: list[float], repetition: bool) -> list[float]:
@@ -109,14 +110,14 @@ def mixed_documents(docs: DataFrame, max_repetition: float, id_col: str = "doc_i
 
 
 def drawn(docs: DataFrame, keep: list[Column], id_col: str, text_col: str, source_col: str, blocks: int, seed: int) -> DataFrame:
-    """The columns to keep, with source, tokens, a random draw of the row and its block."""
+    """The columns to keep, with source, text, a random draw of the row and its block."""
     draw = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
-    rows = docs.select(*keep, docs[source_col].alias("source"), token_counts(docs, text_col).alias("tokens"), draw.alias("__draw"))
+    rows = docs.select(*keep, docs[source_col].alias("source"), docs[text_col].alias("__text"), draw.alias("__draw"))
     return rows.withColumn("block", F.pmod("__draw", F.lit(blocks)).cast("int"))
 
 
 def planned(rows: DataFrame, target_entropy: float | None, max_repetition: float | None, budget: float | None, seed: int) -> DataFrame:
-    sizes = materialize(rows.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")), "block-tokens")
+    sizes = materialize(rows.groupBy("source", "block").agg(F.sum(token_counts(F.col("__text"))).alias("block_tokens")), "block-tokens")
     return materialize(plan_blocks(sizes, target_entropy, max_repetition, budget, seed), "block-plan")
 
 
@@ -142,14 +143,23 @@ def plan_blocks(sizes: DataFrame, target_entropy: float | None, max_repetition:
 
 
 def used_rows(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Each row once for every pass that takes it. Within the block that a budget ends in, rows are taken by their hash while tokens last."""
+    """Each row once for every pass that takes it.
+
+    The block in which a source's budget ends is taken part by part, and the part in which it ends row by row, by hash.
+    Tokens are counted after the join with the plan, so only where they are needed.
+    """
     both = rows.join(plan, rows["source"].eqNullSafe(plan["__source"]) & (rows["block"] == plan["__block"]))
-    # only the one block of a source that is taken in part needs its rows in order
     cut = (F.col("partial") > 0) & ~F.col("whole")
-    order = Window.partitionBy("source", "block").orderBy("__draw", "id", "tokens")
-    partly = both.filter(cut).withColumn("__until", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    partly = partly.withColumn("__last", F.col("__until") <= F.col("partial")).drop("__until")
-    others = both.filter(~cut).withColumn("__last", F.col("partial") > 0)
+    counted = lambda df: df.withColumn("tokens", token_counts(F.col("__text"))).drop("__text", "__source", "__block", "whole")
+    within = counted(both.filter(cut)).withColumn("__part", F.pmod(F.shiftright("__draw", 16), F.lit(PARTS)))
+    parts = within.groupBy("source", "block", "__part", "partial").agg(F.sum("tokens").alias("__of"))
+    before = F.coalesce(F.sum("__of").over(Window.partitionBy("source", "block").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("__part").alias("__p"), (F.col("partial") - before).alias("__left"))
+    placed = within.join(parts, within["source"].eqNullSafe(parts["__s"]) & (within["block"] == parts["__b"]) & (within["__part"] == parts["__p"]))
+    order = Window.partitionBy("source", "block", "__part").orderBy("__draw", "id", "tokens")
+    until = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    partly = placed.withColumn("__last", until <= F.col("__left")).drop("__part", "__left", "__s", "__b", "__p")
+    others = counted(both.filter(~cut)).withColumn("__last", F.col("partial") > 0)
     times = F.col("passes") + F.col("__last").cast("int")
     used = partly.unionByName(others).filter(times > 0)
     used = used.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
