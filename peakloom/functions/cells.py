@@ -119,9 +119,16 @@ def file_kind(name: Column, archive: str = "archive") -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes with a unit of powers of 1024; one decimal from KB on."""
-    for_unit = lambda k, u: F.when(size >= 1024**k, F.concat(F.format_string("%.1f", size / F.lit(float(1024**k))), F.lit(u)))
-    return F.coalesce(*[for_unit(k, u) for k, u in ((4, " TB"), (3, " GB"), (2, " MB"), (1, " KB"))], F.concat(size.cast("string"), F.lit(" B")))
+    """Whole bytes with a unit of powers of 1024; one decimal from KB on, of a tie the even one."""
+    n = size.cast("long")
+
+    def for_unit(k: int, unit: str) -> Column:
+        tenths = F.shiftright(n * 10, 10 * k)
+        twice = (n * 10 - tenths * 1024**k) * 2
+        shown = tenths + F.when((twice > 1024**k) | ((twice == 1024**k) & (tenths % 2 == 1)), 1).otherwise(0)
+        return F.when(n >= 1024**k, F.concat(F.floor(shown / 10).cast("string"), F.lit("."), (shown % 10).cast("string"), F.lit(unit)))
+
+    return F.coalesce(*[for_unit(k, u) for k, u in ((4, " TB"), (3, " GB"), (2, " MB"), (1, " KB"))], F.concat(n.cast("string"), F.lit(" B")))
 
 
 def register(spark: SparkSession) -> None:

@@ -495,10 +495,11 @@ def optical_descriptions(spark, sf_dir):
     return rows.select("p_partkey", F.when(size % 3 > 0, F.col("d.modality")).alias("modality_if_stained"), F.col("d.subtype").alias("subtype"), F.col("was").eqNullSafe(back).alias("recovered"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice, 2) AS size, CASE WHEN o_totalprice >= 1024 THEN printf('%.1f KB', o_totalprice / 1024) ELSE CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || ' B' END AS human FROM orders WHERE o_totalprice < 1000000")
+@query("""SELECT page_id, size, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE size || ' B' END AS human
+    FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) * (page_id % 400) AS BIGINT) AS size FROM pages)""")
 def human_sizes(spark, sf_dir):
-    price = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").filter("o_totalprice < 1000000").select("o_orderkey", F.round(price, 2).alias("size"), F.when(price >= 1024, cells.human_size(price)).otherwise(cells.human_size(F.round(price, 0).cast("long"))).alias("human"))
+    size = F.octet_length(F.coalesce("html", F.lit(""))) * (F.col("page_id") % 400)
+    return table(spark, sf_dir, "pages").select("page_id", size.cast("long").alias("size")).withColumn("human", cells.human_size(F.col("size")))
 
 
 @query("SELECT p_partkey, 'MS_' || p_partkey || '_' || regexp_replace(replace(p_type, 'm/z', 'mz'), '[^a-zA-Z0-9_\\-]+', '_', 'g') AS name FROM part")
