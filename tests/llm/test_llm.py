@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from peakloom.llm import exact_dedup, graph, language_id, minhash, mixing, multi_index, quality, secret_scan, sentencepiece_bpe, suffix_dedup, warc
+from peakloom.llm import common, exact_dedup, graph, language_id, minhash, mixing, multi_index, quality, secret_scan, sentencepiece_bpe, suffix_dedup, warc
 from peakloom.llm.queries import QUERIES
 from peakloom.session import materialize, scratch_path
 
@@ -44,6 +44,31 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+# shared
+
+
+def test_least_rows(spark):
+    rows = spark.range(20_000).selectExpr("id", "CASE WHEN id % 5000 = 1 THEN 'few' WHEN id % 4 = 0 THEN NULL ELSE 'many' END AS key", "xxhash64(id) AS draw")
+    rows = rows.unionByName(spark.range(500).selectExpr("-1L AS id", "'same' AS key", "7L AS draw"))
+    got = common.least_rows(rows, "key", "draw", 50, ["id"]).toPandas()
+    d = rows.toPandas().fillna("null").sort_values(["draw", "id"])
+    for key, own in d.groupby("key"):
+        want = own.head(50)
+        have = got[got.key.fillna("null") == key].sort_values("k")
+        assert have.draw.tolist() == want.draw.tolist() and have.k.tolist() == list(range(1, len(want) + 1)), key
+    assert common.least_rows(rows.limit(0), "key", "draw", 5, ["id"]).count() == 0
+
+
+def test_release(spark):
+    table = materialize(spark.range(5), "kept")
+    folder = table.inputFiles()[0].rpartition("/")[0]
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert store.exists(at)
+    common.release(table)
+    assert not store.exists(at)
+
+
 # 1 exact dedup
 
 
