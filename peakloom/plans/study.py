@@ -83,11 +83,14 @@ def factor_values(runs: DataFrame, cells: DataFrame, run: str = "path") -> DataF
 
 
 def dataset_accession(cells: DataFrame, sample_file: str) -> DataFrame:
-    """One row (accession): first given ProteomeXchange accession, else a repository's prefix of the table's name, else its name."""
-    px = cells.filter(F.lower("header") == "comment[proteomexchange accession number]").select("row_idx", "pos", F.trim("raw").alias("v")).filter(F.col("v") != "").filter(~cell_functions.is_na(F.col("v")))
+    """One row (accession): first given ProteomeXchange accession, else the table's name up to its last two extensions
+    if that begins as a repository's accessions do, else its name up to the last one."""
+    given = F.lower("header") == "characteristics[proteomexchange accession number]"
+    px = cells.filter(given).select("row_idx", "pos", F.trim("raw").alias("v")).filter(F.col("v") != "").filter(~cell_functions.is_na(F.col("v")))
     name = lookup.stem(F.lit(sample_file))
-    prefix = F.regexp_extract(name, r"^((?:PXD|MTBLS|MSV)\d+)", 1)
-    return px.agg(F.min_by("v", F.struct("row_idx", "pos")).alias("px")).select(F.coalesce("px", F.nullif(prefix, F.lit("")), name).alias("accession"))
+    bare = F.regexp_replace(name, r"\.[^.]*$", "")
+    named = F.when(bare.rlike("^(PXD|MTBLS|MSV)"), bare).otherwise(name)
+    return px.agg(F.min_by("v", F.struct("row_idx", "pos")).alias("px")).select(F.coalesce("px", named).alias("accession"))
 
 
 def study_block(accession: str, title: str, reference: str, run: str, sample_ids: list[str] | None) -> dict:

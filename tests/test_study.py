@@ -44,6 +44,9 @@ def test_sample_list(spark, sdrf):
     levels = {r["path"]: r["levels"] for r in study.factor_values(runs, table).collect()}
     assert [tuple(v) for v in levels["/d/run.mzML"]] == [("A", "tumor"), ("B", "none"), ("C", "tumor")]
     assert study.dataset_accession(table, sdrf).first()["accession"] == "PXD000001"
+    assert [study.dataset_accession(table, f).first()["accession"] for f in ("/d/MSV1-x.sdrf.tsv", "mine.sdrf.tsv")] == ["MSV1-x", "mine.sdrf"]
+    given = spark.createDataFrame([(0, 0, "Characteristics[ProteomeXchange accession number]", "not available"), (1, 0, "Characteristics[ProteomeXchange accession number]", " PXD9 ")], table.schema)
+    assert study.dataset_accession(given, sdrf).first()["accession"] == "PXD9"
     assert "run_sample_binding" not in study.study_block("a", "a", "m", "r", [])
 
 
