@@ -1,11 +1,15 @@
 """Secret scan: fixed patterns, and credential values whose password guess cost is high.
 
-The guess cost of a value is the least cost of splitting it into dictionary words, dates, repeats, keyboard walks
-and brute-forced characters, found by dynamic programming over its end positions (log10 of guesses).
+The guess cost of a value is the least cost of splitting it into dictionary words, dates, repeats of blocks of any
+length, keyboard walks and brute-forced characters, found by dynamic programming over its end positions (log10 of
+guesses). Words come from frequent passwords and from the ranked vocabularies of two public tokenizers.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -20,9 +24,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
-#: Contexts whose values are judged by guess cost.
+#: Contexts whose values are judged by guess cost. A scheme word may stand between separator and value.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|login|(?:api|access|private|client)_?(?:key|secret))["']?\x20*[:=]\x20*["']?([^\s"'<>,;]+)""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|login|(?:api|access|private|client|secret)[_-]?(?:key|secret))["']?\x20*[:=]\x20*["']?(?:(?:bearer|basic|token)\x20+["']?)?([^\s"'<>,;]+)""",
     re.IGNORECASE | re.ASCII,
 )
 #: A value is a secret from this cost (log10 of guesses) on.
@@ -36,10 +40,19 @@ changeme default example sample token key server system office company internet
 charlie freedom whatever flower cookie orange banana cheese pepper ginger silver golden purple yellow thunder
 please none null true false your here value string""".split()
 RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
-# Rows along which keyboard walks and sequences run.
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-NEXT = {(r[i], r[i + 1], d) for r in ROWS for i in range(len(r) - 1) for d in (1,)} | {(r[i + 1], r[i], -1) for r in ROWS for i in range(len(r) - 1)}
+# Rows along which sequences run.
+ROWS = ("1234567890", "abcdefghijklmnopqrstuvwxyz")
+NEXT = {(r[i], r[i + 1], 1) for r in ROWS for i in range(len(r) - 1)} | {(r[i + 1], r[i], -1) for r in ROWS for i in range(len(r) - 1)}
+# The rows of a US keyboard, plain and with shift; each row lies half a key to the right of the one above.
+KEYS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
+SHIFTED = ("~!@#$%^&*()_+", " QWERTYUIOP{}|", ' ASDFGHJKL:"', " ZXCVBNM<>?")
+PLACE = {c: (x, y) for rows in (KEYS, SHIFTED) for y, row in enumerate(rows) for x, c in enumerate(row) if c != " "}
+SHIFT = {c for row in SHIFTED for c in row if c != " "}
+#: Steps from a key to its neighbours.
+STEPS = {(-1, 0), (1, 0), (0, -1), (1, -1), (0, 1), (-1, 1)}
+#: Keys at which a walk may start, and neighbours of a key on average.
+STARTS = len(PLACE) // 2
+DEGREE = sum((x + dx, y + dy) in set(PLACE.values()) for x, y in set(PLACE.values()) for dx, dy in STEPS) / STARTS
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?[01]\d[-/.]?[0-3]\d|[0-3]\d[-/.][01]\d[-/.](?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
 #: Leet spellings undone before words are looked up.
 LEET = str.maketrans("@013457$", "aoleasts")
@@ -50,25 +63,117 @@ def char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else 1.52
 
 
+@functools.cache
+def word_ranks() -> dict[str, int]:
+    """Rank of every known word of three letters or more, from 1: the best of WORDS and two vocabularies, most frequent first."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    english = [w.removesuffix("</w>") for w in sorted(vocab, key=vocab.get) if w.endswith("</w>")]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        pieces = [base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in f if line.strip()]
+    many = [w[1:].lower() for w in pieces if w.startswith(" ")]
+    ranks = dict(RANK)
+    for words in (english, many):
+        known = dict.fromkeys(w for w in words if len(w) >= 3 and w.isalpha())
+        for k, w in enumerate(known, 1):
+            ranks[w] = min(k, ranks.get(w, k)) if w not in RANK else RANK[w]
+    return ranks
+
+
+@functools.cache
+def longest_word() -> int:
+    return max(map(len, word_ranks()))
+
+
+def common_length(value: str, a: int, b: int, way: int) -> int:
+    """How many characters from a and from b > a on agree: forwards (way 1), or backwards from those before them (-1)."""
+    n, step = 0, 8
+    most = len(value) - b if way == 1 else a
+    while n < most:
+        m = min(step, most - n)
+        same = value[a + n : a + n + m] == value[b + n : b + n + m] if way == 1 else value[a - n - m : a - n] == value[b - n - m : b - n]
+        if same:
+            n, step = n + m, 2 * step
+        elif m == 1:
+            break
+        else:
+            step = m // 2
+    return n
+
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the maximal runs in which a block of any length stands twice or more (single characters: three times).
+
+    A run of period p holds a multiple of p whose character comes again p further on, so those are looked at and extended.
+    Periods that are multiples of one that the whole value has, and runs whose block is itself a repeat, are left to the
+    shorter block.
+    """
+    n, found, whole = len(value), [], []
+    for p in range(1, n // 2 + 1):
+        if any(p % q == 0 for q in whole):
+            continue
+        a = 0
+        while a + p < n:
+            if value[a] != value[a + p]:
+                a += p
+                continue
+            ahead = common_length(value, a, a + p, 1)
+            start, end = a - common_length(value, a, a + p, -1), a + p + ahead
+            block = value[start : start + p]
+            if end - start >= max(2 * p, 3) and (block + block).find(block, 1) == p:
+                found.append((start, end, p))
+                if end - start == n:
+                    whole.append(p)
+            a += p * (ahead // p + 1)
+    return found
+
+
+@functools.cache
+def walk_cost(length: int, turns: int) -> float:
+    """log10 of the walks of at most so many keys and turns: starts, ways to deal the turns out, and neighbours at each turn."""
+    if length > 40:  # further keys cost what the choice at a turn costs on average
+        return walk_cost(40, min(turns, 39)) + (length - 40) * math.log10(1 + (DEGREE - 1) * turns / length)
+    return math.log10(sum(math.comb(k - 1, t - 1) * STARTS * DEGREE**t for k in range(2, length + 1) for t in range(1, min(turns, k - 1) + 1)))
+
+
+def walks(value: str) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of the maximal walks of three or more characters from key to neighbouring key."""
+    found, i, n = [], 0, len(value)
+    while i < n - 2:
+        j, turns, last = i, 0, None
+        while j + 1 < n and value[j] in PLACE and value[j + 1] in PLACE:
+            (x, y), (u, v) = PLACE[value[j]], PLACE[value[j + 1]]
+            if (u - x, v - y) not in STEPS:
+                break
+            turns, last, j = turns + ((u - x, v - y) != last), (u - x, v - y), j + 1
+        if j - i >= 2:
+            up = sum(c in SHIFT for c in value[i : j + 1])
+            down = j + 1 - i - up
+            mixed = 0.0 if not up else math.log10(2) if not down else min(up, down) * math.log10(2 * (up + down) / min(up, down))
+            found.append((i, j + 1, walk_cost(j + 1 - i, turns) + mixed))
+        i = max(j, i + 1)
+    return found
+
+
 def spans_of(value: str) -> list[tuple[int, int, float]]:
-    """(start, end, cost) of every word, date, repeat and keyboard walk in value."""
+    """(start, end, cost) of every word, date, repeat, sequence and keyboard walk in value."""
     low, plain, n, found = value.lower(), value.lower().translate(LEET), len(value), []
+    if len(low) != n:  # a letter that two stand for
+        low = plain = value
+    ranks, longest = word_ranks(), longest_word()
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = min(RANK.get(low[i:j], 1e9), 2 * RANK.get(plain[i:j], 1e9))
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = min(ranks.get(low[i:j], 1e9), 2 * ranks.get(plain[i:j], 1e9))
             if rank < 1e9:
                 found.append((i, j, math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0)))
         if m := DATE.match(value, i):
             found.append((i, m.end(), math.log10(200) if m.end() - i == 4 else math.log10(365 * 200)))
-    i = 0
-    while i < n:  # maximal runs of one character
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            found.append((i, j, char_cost(value[i]) + math.log10(j - i)))
-        i = j
-    for way in (1, -1):  # maximal walks
+    for i, j, p in repeats(value):
+        block = char_cost(value[i]) if p == 1 else guess_cost(value[i : i + p])
+        found.append((i, j, block + math.log10(j - i)))
+    for way in (1, -1):  # maximal sequences
         i = 0
         while i < n - 1:
             j = i
@@ -77,7 +182,7 @@ def spans_of(value: str) -> list[tuple[int, int, float]]:
             if j - i >= 2:
                 found.append((i, j + 1, math.log10(4 * 26 * (j + 1 - i))))
             i = max(j, i + 1)
-    return found
+    return found + walks(value)
 
 
 def guess_cost(value: str) -> float:
