@@ -2,26 +2,30 @@
 
 A capture is three records that name each other: a response (or a revisit of an earlier response with the same
 payload), the request and a metadata record, both concurrent to it. Spark's text writer lays the records down, one
-gzip stream a file; reading parses whole files by their Content-Length and joins the records of each capture.
+gzip stream a file; reading parses files record by record and joins the records of each capture, whichever names the other.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from base64 import b32encode
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import join_groups
 
-#: Records in a file at most: a file is parsed in one piece.
-RECORDS_PER_FILE = 3000
+#: Bytes after which a task begins another file: a file is parsed by one task. A capture's headers count as HEADER_BYTES.
+FILE_BYTES, HEADER_BYTES = 32 << 20, 1024
+#: Types of the records that are captures.
+MAIN = ("response", "revisit", "resource")
 CRLF = "\r\n"
-RECORD = "record_id string, record_type string, uri string, date string, concurrent_to string, refers_to string, payload_digest string, computed_digest string, payload_bytes long, fields map<string,string>, payload binary"
+RECORD = "record_id string, record_type string, uri string, date string, concurrent_to array<string>, refers_to string, payload_digest string, computed_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
 def base32_sha1(col: Column) -> Column:
@@ -47,7 +51,7 @@ def record(kind: Column, headers: list[tuple[str, Column]], body: Column) -> Col
 
 
 def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(id, uri, payload, digest, n_bytes, first_id): first_id is the response that a revisit refers to, else null.
+    """(id, uri, payload, digest, n_bytes, first_id, first_uri): the last two are those of the response that a revisit refers to, else null.
 
     Of pages with equal payloads of at least least_bytes the one with the smallest id is the response. Only ids and
     digests are grouped; texts of frequent payloads aren't shuffled at all.
@@ -57,14 +61,31 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\s\p{Cntrl}]", "%20").alias("uri"),
         F.coalesce(F.col(html_col), F.lit("")).alias("payload"),
     ).withColumns({"digest": base32_sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
-    groups = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "uri")))
+    groups = rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
     found = join_groups(rows, groups, "digest", "copies")
-    revisit = (F.col("n_bytes") >= least_bytes) & (F.col("copies") > 1) & (F.col("id") > F.col("first_id"))
-    return found.withColumn("first_id", F.when(revisit, F.col("first_id"))).drop("copies")
+    revisit = (F.col("n_bytes") >= least_bytes) & (F.col("copies") > 1) & (F.col("id") > F.col("first.id"))
+    return found.withColumns({"first_id": F.when(revisit, F.col("first.id")), "first_uri": F.when(revisit, F.col("first.uri"))}).drop("copies", "first")
+
+
+def numbered_files(captures: DataFrame) -> DataFrame:
+    """captures with `file`, which in each task counts up whenever the captures since its start pass another FILE_BYTES."""
+    names, limit = [*captures.columns, "file"], FILE_BYTES
+    at = names.index("n_bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            ends = before + np.cumsum(batch.column(at).to_numpy() + HEADER_BYTES)
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends // limit, pa.int32())], names=names)
+
+    return captures.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*captures.dtypes, ("file", "int")]))
 
 
 def write_archive(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write planned captures as gzipped WARC files under path."""
+    """Write planned captures as gzipped WARC files under path, in folders by each task's file number."""
+    captures = numbered_files(captures)
     key, uri = F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("uri")
     revisit = F.col("first_id").isNotNull()
     main = urn(F.lit("response"), key, uri, F.col("digest"))
@@ -75,6 +96,7 @@ def write_archive(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:
         [
             ("WARC-Record-ID", main), when, ("WARC-Target-URI", uri),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            ("WARC-Refers-To", F.when(revisit, urn(F.lit("response"), F.col("first_id").cast("string"), F.col("first_uri"), F.col("digest")))),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
@@ -97,32 +119,40 @@ def write_archive(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:
         [("WARC-Record-ID", urn(F.lit("metadata"), main)), when, ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))],
         fields,
     )
-    rows = captures.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = captures.select("file", F.explode(F.array(request, response, metadata)).alias("value"))
+    rows.write.partitionBy("file").option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes, payloads: bool) -> Iterator[dict]:
-    """The records of one archive file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        head_end = data.index(b"\r\n\r\n", at)
-        head = {}
-        for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            head[name.strip().lower()] = value.strip()
-        body = data[head_end + 4 : head_end + 4 + int(head["content-length"])]
-        at = head_end + 4 + len(body)
+    """The records of one archive file, gzipped (in one member or many) or not; no more than a record is unpacked at a time."""
+    raw = io.BytesIO(data)
+    source = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if data[:2] == b"\x1f\x8b" else raw
+    while line := source.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        lines: list[list[str]] = []
+        while (line := source.readline()).strip():
+            text = line.decode("utf-8", "replace")
+            if lines and text[0] in " \t":  # a folded header goes on
+                lines[-1][1] = f"{lines[-1][1]} {text.strip()}".strip()
+            else:
+                name, _, value = text.partition(":")
+                lines.append([name.strip().lower(), value.strip()])
+        head = dict(lines)
+        body = source.read(int(head["content-length"]))
+        if len(body) != int(head["content-length"]):
+            raise ValueError(f"the archive ends within record {head.get('warc-record-id')}")
         kind, fields, payload = head.get("warc-type"), None, None
         if kind == "response":
             payload = body.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else body
+        elif kind == "resource":
+            payload = body
         elif kind == "metadata":
             pairs = (line.partition(":") for line in body.decode("utf-8", "replace").split("\r\n") if ":" in line)
             fields = [(k.strip(), v.strip()) for k, _, v in pairs]
         yield {
             "record_id": head.get("warc-record-id"), "record_type": kind, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"),
-            "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"),
+            "concurrent_to": [v for n, v in lines if n == "warc-concurrent-to"], "refers_to": head.get("warc-refers-to"),
             "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
             "computed_digest": b32encode(hashlib.sha1(payload).digest()).decode() if payload is not None else None,
             "payload_bytes": len(payload) if payload is not None else None, "fields": fields, "payload": payload if payloads else None,
@@ -132,7 +162,7 @@ def parse(data: bytes, payloads: bool) -> Iterator[dict]:
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record of the archives under path; payloads are left out if not asked for."""
     text = pa.string()
-    schema = pa.schema([(n, text) for n in ("record_id", "record_type", "uri", "date", "concurrent_to", "refers_to", "payload_digest", "computed_digest")] + [("payload_bytes", pa.int64()), ("fields", pa.map_(text, text)), ("payload", pa.binary())])
+    schema = pa.schema([(n, pa.list_(text) if n == "concurrent_to" else text) for n in ("record_id", "record_type", "uri", "date", "concurrent_to", "refers_to", "payload_digest", "computed_digest")] + [("payload_bytes", pa.int64()), ("fields", pa.map_(text, text)), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,25 +176,38 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (record_id, response, request, metadata).
 
-    Requests and metadata join the response or revisit that they are concurrent to. Records that repeat an id are
-    one; of several requests (or metadata records) of a capture the one with the smallest id stands; a missing one
-    is null. Requests of no capture are dropped.
+    Captures are responses, revisits and resources. Requests and metadata join the capture that they are concurrent
+    to, or that says it is concurrent to them. Records that repeat an id are one; of several requests (or metadata
+    records) of a capture the one with the smallest id stands; a missing one is null. Requests of no capture are dropped.
     """
-    main = records.filter(F.col("record_type").isin("response", "revisit"))
-    main = main.select("record_id", F.struct("record_type", "uri", "date", "payload_digest", "computed_digest", "payload_bytes", "payload").alias("response")).groupBy("record_id").agg(F.first("response").alias("response"))
-
-    def beside(kind: str) -> DataFrame:
-        rows = records.filter((F.col("record_type") == kind) & F.col("concurrent_to").isNotNull())
-        nested = F.struct("record_id", "uri", "date", "fields")
-        return rows.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min_by(nested, "record_id").alias(kind))
-
-    return main.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
+    is_main, is_side = F.col("record_type").isin(*MAIN), F.col("record_type").isin("request", "metadata")
+    response = F.struct("record_type", "uri", "date", "refers_to", "payload_digest", "computed_digest", "payload_bytes", "payload")
+    nested = F.struct("record_id", "uri", "date", "fields")
+
+    def beside(kind: str) -> Column:
+        own = F.col("record_type") == kind
+        return F.min_by(F.when(own, F.col("nested")), F.when(own, F.col("nested.record_id"))).alias(kind)
+
+    # each capture under its own id, requests and metadata under the ids that they name
+    keys = F.when(is_main, F.array("record_id")).when(is_side, F.col("concurrent_to"))
+    rows = records.filter(is_main | is_side).select(F.explode(keys).alias("record_id"), "record_type", F.when(is_main, response).alias("response"), F.when(is_side, nested).alias("nested"))
+    found = rows.groupBy("record_id").agg(F.first("response", ignorenulls=True).alias("response"), beside("request"), beside("metadata")).filter(F.col("response").isNotNull())
+    # requests and metadata that a capture names
+    named = records.filter(is_main).select(F.col("record_id").alias("main"), F.explode("concurrent_to").alias("side")).distinct()
+    sides = records.filter(is_side).select(F.col("record_id").alias("side"), "record_type", nested.alias("nested"))
+    other = named.join(sides, "side").groupBy(F.col("main").alias("record_id")).agg(beside("request").alias("request_named"), beside("metadata").alias("metadata_named"))
+
+    def least(kind: str) -> Column:
+        a, b = F.col(kind), F.col(f"{kind}_named")
+        return F.when(a.isNull() | (b["record_id"] < a["record_id"]), b).otherwise(a).alias(kind)
+
+    return found.join(other, "record_id", "left").select("record_id", "response", least("request"), least("metadata"))
 
 
 def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, payloads: bool = True) -> DataFrame:
