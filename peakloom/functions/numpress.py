@@ -1,4 +1,4 @@
-"""MS-Numpress linear coding of m/z arrays, after the published description of the format."""
+"""MS-Numpress coding after the published description of the format: linear for m/z, short logged floats and positive integers for intensities."""
 
 from __future__ import annotations
 
@@ -71,6 +71,31 @@ def decode_linear(data: bytes) -> np.ndarray:
     return np.array(whole, np.float64) / scale if scale else np.zeros(0)
 
 
+def decode_slof(data: bytes) -> np.ndarray:
+    """Short logged floats: a scale (big-endian double), then exp(x / scale) - 1 of each little-endian 16-bit number x."""
+    if len(data) < 8 or len(data) % 2:
+        raise ValueError("short logged floats need a scale and whole 16-bit numbers")
+    scale = struct.unpack(">d", data[:8])[0]
+    return np.exp(np.frombuffer(data, "<u2", offset=8) / scale) - 1
+
+
+def decode_pic(data: bytes) -> np.ndarray:
+    """Positive integers in half bytes, as nibbles_of writes them."""
+    half = [h for b in data for h in (b >> 4, b & 15)]
+    out, k = [], 0
+    while k < len(half):
+        head = half[k]
+        if k + 1 == len(half) and head != 8:  # padding
+            break
+        n = 8 - head if head <= 8 else 16 - head
+        if k + 1 + n > len(half):
+            raise ValueError("the data end within a number")
+        u = sum(d << (4 * i) for i, d in enumerate(half[k + 1 : k + 1 + n]))
+        out.append(u | ((0xFFFFFFFF << (4 * n)) & 0xFFFFFFFF if head > 8 else 0))
+        k += 1 + n
+    return np.array(out, np.float64)
+
+
 def encode_udf():
     """A column function: array<double> to bytes, in Arrow batches."""
     from pyspark.sql.functions import pandas_udf

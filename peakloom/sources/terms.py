@@ -15,5 +15,9 @@ MZ_ARRAY, INTENSITY_ARRAY, TIME_ARRAY = "MS:1000514", "MS:1000515", "MS:1000595"
 FLOAT_32, FLOAT_64, ZLIB, NO_COMPRESSION = "MS:1000521", "MS:1000523", "MS:1000574", "MS:1000576"
 MS_LEVEL, CENTROID, PROFILE = "MS:1000511", "MS:1000127", "MS:1000128"
 SCAN_START, MINUTE, SECOND = "MS:1000016", "UO:0000031", "UO:0000010"
-NUMPRESS_LINEAR = "MS:1002312"
+NUMPRESS_LINEAR, NUMPRESS_PIC, NUMPRESS_SLOF = "MS:1002312", "MS:1002313", "MS:1002314"
+#: The same, compressed by zlib in turn.
+NUMPRESS_LINEAR_ZLIB, NUMPRESS_PIC_ZLIB, NUMPRESS_SLOF_ZLIB = "MS:1002746", "MS:1002747", "MS:1002748"
+#: Compressions of the vocabulary that aren't read: truncation with zlib, alone, with delta and with linear prediction.
+OTHER_COMPRESSION = ("MS:1003088", "MS:1003089", "MS:1003090")
 ISOLATION_TARGET, SELECTED_MZ, CHARGE = "MS:1000827", "MS:1000744", "MS:1000041"

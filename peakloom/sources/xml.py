@@ -19,7 +19,7 @@ from peakloom.sources import terms
 PARAM = "struct<_accession:string,_name:string,_value:string,_unitAccession:string>"
 PARAMS = f"cvParam array<{PARAM}>, referenceableParamGroupRef array<struct<_ref:string>>"
 INNER = f"cvParam:array<{PARAM}>,referenceableParamGroupRef:array<struct<_ref:string>>"
-ARRAYS = f"binaryDataArrayList struct<binaryDataArray:array<struct<{INNER},binary:string,_encodedLength:long>>>"
+ARRAYS = f"binaryDataArrayList struct<binaryDataArray:array<struct<{INNER},binary:string,_encodedLength:long,_arrayLength:long>>>"
 SPECTRUM = (
     f"_index long, _id string, _defaultArrayLength long, {PARAMS}, scanList struct<scan:array<struct<{INNER}>>>, "
     f"precursorList struct<precursor:array<struct<_spectrumRef:string,isolationWindow:struct<{INNER}>,selectedIonList:struct<selectedIon:array<struct<{INNER}>>>>>>, {ARRAYS}"
@@ -68,24 +68,32 @@ def has(params: Column, accession: str) -> Column:
 
 
 def array_entries(lists: Column, shared: dict[str, list]) -> Column:
-    """Array of (params, binary) of a binaryDataArrayList."""
-    items = F.coalesce(lists["binaryDataArray"], F.array().cast(f"array<struct<{INNER},binary:string,_encodedLength:long>>"))
-    return F.transform(items, lambda a: F.struct(params_of(a["cvParam"], a["referenceableParamGroupRef"], shared).alias("params"), a["binary"].alias("binary")))
+    """Array of (params, binary, own_length) of a binaryDataArrayList."""
+    items = F.coalesce(lists["binaryDataArray"], F.array().cast(f"array<struct<{INNER},binary:string,_encodedLength:long,_arrayLength:long>>"))
+    return F.transform(items, lambda a: F.struct(params_of(a["cvParam"], a["referenceableParamGroupRef"], shared).alias("params"), a["binary"].alias("binary"), a["_arrayLength"].alias("own_length")))
 
 
 def entry(entries: Column, accession: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda a: has(a["params"], accession)), F.lit(1))
 
 
-def described(entries: Column, accession: str) -> Column:
-    """Struct (dtype, zlib, binary, offset, length) of the array with the accession; null if there is none."""
+def described(entries: Column, accession: str, wanted: Column | None = None) -> Column:
+    """Struct of how the array with the accession is stored, null if there is none; wanted: the length that inline arrays must have."""
+    wanted = F.lit(None).cast("long") if wanted is None else wanted
     e = entry(entries, accession)
     p = e["params"]
     dtype = F.when(has(p, terms.FLOAT_64), "<f8").when(has(p, terms.FLOAT_32), "<f4")
     number = lambda a: value_of(p, a).try_cast("long")
+    coding = [(terms.NUMPRESS_LINEAR, "linear"), (terms.NUMPRESS_PIC, "pic"), (terms.NUMPRESS_SLOF, "slof"), (terms.NUMPRESS_LINEAR_ZLIB, "linear"), (terms.NUMPRESS_PIC_ZLIB, "pic"), (terms.NUMPRESS_SLOF_ZLIB, "slof")]
+    numpress = F.coalesce(*[F.when(has(p, a), k) for a, k in coding])
+    deflated = has(p, terms.ZLIB) | has(p, terms.NUMPRESS_LINEAR_ZLIB) | has(p, terms.NUMPRESS_PIC_ZLIB) | has(p, terms.NUMPRESS_SLOF_ZLIB)
+    # a term that isn't known but has to do with compression: listed, or named so
+    known = [terms.ZLIB, terms.NO_COMPRESSION, *(a for a, _ in coding)]
+    other = F.filter(p, lambda x: ~x["_accession"].isin(known) & (x["_accession"].isin(*terms.OTHER_COMPRESSION) | F.coalesce(F.lower(x["_name"]).rlike("compress|numpress|truncation"), F.lit(False))))
+    unknown = F.try_element_at(other, F.lit(1))["_accession"]
     return F.when(
         e.isNotNull(),
-        F.struct(dtype.alias("dtype"), has(p, terms.ZLIB).alias("zlib"), e["binary"].alias("binary"), number(terms.EXTERNAL_OFFSET).alias("offset"), number(terms.EXTERNAL_LENGTH).alias("length"), number(terms.EXTERNAL_BYTES).alias("bytes"), has(p, terms.NUMPRESS_LINEAR).alias("numpress")),
+        F.struct(dtype.alias("dtype"), deflated.alias("zlib"), e["binary"].alias("binary"), number(terms.EXTERNAL_OFFSET).alias("offset"), number(terms.EXTERNAL_LENGTH).alias("length"), number(terms.EXTERNAL_BYTES).alias("bytes"), numpress.alias("numpress"), unknown.alias("unknown"), F.coalesce(e["own_length"], wanted).alias("wanted")),
     )
 
 
@@ -101,15 +109,22 @@ def decode(a: dict | None, sidecar=None) -> np.ndarray | None:
             raise ValueError(f"the sidecar ends within an array at byte {a['offset']}")
     else:
         data = base64.b64decode(a["binary"] or "")
-    if a["zlib"]:
+    if a["unknown"]:
+        raise ValueError(f"UNSUPPORTED: compression {a['unknown']}")
+    if a["zlib"] and data:
         data = zlib.decompress(data)
     if a["numpress"]:
-        from peakloom.functions.numpress import decode_linear
+        from peakloom.functions import numpress
 
-        return decode_linear(data)
-    if a["dtype"] is None:
+        out = {"linear": numpress.decode_linear, "pic": numpress.decode_pic, "slof": numpress.decode_slof}[a["numpress"]](data) if data else np.zeros(0)
+    elif a["dtype"] is None:
         raise ValueError("UNSUPPORTED: only 32- and 64-bit floats are read")
-    return np.frombuffer(data, a["dtype"])
+    else:
+        out = np.frombuffer(data, a["dtype"])
+    wanted = a["length"] if sidecar is not None else a["wanted"]
+    if wanted is not None and len(out) != wanted:
+        raise ValueError(f"an array has {len(out)} values, not {wanted}")
+    return out
 
 
 def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> DataFrame:
@@ -147,7 +162,8 @@ def seconds(p: Column) -> Column:
 def read_mzml(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(spectrum_index, native_id, ms_level, representation, rt_seconds, precursor, mz, intensity) of an mzML file, gzipped or not.
 
-    An absent MS level is 1; a spectrum without arrays has null arrays; arrays of another type than floats fail.
+    An absent MS level is 1; a spectrum without arrays has null arrays; arrays of another type than floats fail,
+    and so do those of an unknown compression or of another length than the spectrum's.
     """
     shared = groups(spark, path, encoding)
     df = elements(spark, path, "spectrum", SPECTRUM, encoding)
@@ -165,7 +181,7 @@ def read_mzml(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     rows = df.select(
         F.col("_index").alias("spectrum_index"), F.col("_id").alias("native_id"), F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level).alias("ms_level"),
         representation(p).alias("representation"), seconds(scan_params).alias("rt_seconds"), precursor.alias("precursor"),
-        described(entries, terms.MZ_ARRAY).alias("mz"), described(entries, terms.INTENSITY_ARRAY).alias("intensity"),
+        described(entries, terms.MZ_ARRAY, F.col("_defaultArrayLength")).alias("mz"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"),
     )
     return decoded(rows, ["mz", "intensity"])
 
@@ -173,7 +189,7 @@ def read_mzml(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
 def read_chromatograms(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(chrom_index, id, time, intensity) of an mzML file."""
     entries = array_entries(F.col("binaryDataArrayList"), groups(spark, path, encoding))
-    rows = elements(spark, path, "chromatogram", CHROMATOGRAM, encoding).select(F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), described(entries, terms.TIME_ARRAY).alias("time"), described(entries, terms.INTENSITY_ARRAY).alias("intensity"))
+    rows = elements(spark, path, "chromatogram", CHROMATOGRAM, encoding).select(F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), described(entries, terms.TIME_ARRAY, F.col("_defaultArrayLength")).alias("time"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"))
     return decoded(rows, ["time", "intensity"])
 
 
