@@ -12,6 +12,7 @@ while its ends are still apart.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ KEY_SLOTS, MORE_SLOTS = CHUNKS * CHUNK_SLOTS, 452
 SLOTS = KEY_SLOTS + MORE_SLOTS
 #: Pairs whose key slots differ in at most this many are sure to meet.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Chance at most that a pair at just the wanted similarity shares no key; percents for which the layout can't hold it are rejected.
+MISS = 1e-6
 #: Standard deviations below the wanted similarity at which an estimate from all slots still counts.
 MARGIN = 4.5
 #: Rows of a key that meet in one call; more are dealt to pairs of blocks.
@@ -265,14 +268,24 @@ def apart(members: DataFrame, sigs: DataFrame, comp: DataFrame, percent: int, be
     return rows.groupBy("key", "one", "two").applyInArrow(meet, f"a {kind}, b {kind}, likeness double")
 
 
+def miss_chance(percent: int) -> float:
+    """The chance that in every chunk more than ERRORS slots of a pair at the similarity differ."""
+    s = percent / 100
+    near = sum(math.comb(CHUNK_SLOTS, k) * (1 - s) ** k * s ** (CHUNK_SLOTS - k) for k in range(ERRORS + 1))
+    return (1 - near) ** CHUNKS
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document; linked documents share the smallest id of their component.
 
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets (shingles of `width`
     words; fewer words are one shingle). Null texts count as empty; documents without words are linked with nothing.
     Rows without an id come back with a null component and aren't linked. Rows that repeat an id and text come back
-    once; an empty table gives no rows; other columns are ignored. Integer ids are needed.
+    once; an empty table gives no rows; other columns are ignored. Integer ids are needed. A percent at which a linked
+    pair would be missed with a chance over MISS is rejected.
     """
+    if miss_chance(percent) > MISS:
+        raise ValueError(f"at {percent}% a pair is missed with a chance of {miss_chance(percent):.2g}, over {MISS:g}: other CHUNKS, CHUNK_SLOTS and ERRORS are needed")
     docs = docs.select(id_col, text_col)
     if repeats(docs, id_col):
         docs = docs.dropDuplicates()
