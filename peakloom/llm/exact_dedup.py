@@ -1,8 +1,9 @@
 """Exact dedup on a persistent digest index (DataFrame functions only).
 
-The index is a table bucketed and sorted by digest: one row per distinct text with the id of the document that
-stays and the size of its group. New data is reduced to one row per digest by a partial aggregation, anti-joined to
-the index by sort-merge (the index side is read bucket by bucket and isn't shuffled), and appended.
+The index is a table bucketed and sorted by digest. New data is reduced to one row per digest by a partial
+aggregation and anti-joined to the index by sort-merge (the index side is read bucket by bucket and isn't shuffled).
+Digests that the index lacks are appended with the id of the document that stays; of known digests only a count is
+appended, so group sizes grow with later batches. Documents come in batches from the largest ids down.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import ascii_lower, join_groups, text_of
-from peakloom.session import scratch_path
+from peakloom.llm.common import ascii_lower, join_groups, release, text_of
+from peakloom.session import materialize, scratch_path
+
+#: Batches in which documents meet the index, by ranges of their ids.
+BATCHES = 2
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,7 +27,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A table of (digest, keep_id, group_size), bucketed and sorted by digest."""
+    """A table of (digest, keep_id, group_size), bucketed and sorted by digest; sizes of a digest are summed when it is read."""
 
     def __init__(self, spark: SparkSession, table: str, path: str | None = None, buckets: int | None = None):
         self.spark, self.table, self.path = spark, table, path
@@ -32,50 +36,93 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
-    def read(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def read(self) -> DataFrame:
+        """One row per digest. The table is bucketed by it, so nothing is shuffled."""
+        return self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Those of the groups whose digest the index lacks."""
         if not self.exists():
             return groups
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+    def seen(self, groups: DataFrame) -> DataFrame:
+        """Those whose digest it has, as rows that add to the size of a group and leave its document as it is."""
+        if not self.exists():
+            return groups.limit(0)
+        known = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_semi")
+        return known.withColumn("keep_id", F.lit(None).cast(groups.schema["keep_id"].dataType))
 
     def append(self, groups: DataFrame) -> None:
-        """Add groups with digests that the index lacks."""
-        out = self.unseen(groups).select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
+        """Add groups: new digests with their documents, known ones with their counts."""
+        out = self.unseen(groups).unionByName(self.seen(groups)) if self.exists() else groups
+        out = out.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
         writer = out.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 
+    def drop(self) -> None:
+        """Take the table out of the catalogue and delete its files."""
+        files = self.rows()
+        release(files)
+        self.spark.sql(f"DROP TABLE {self.table}")
+
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """One row per digest: the largest id stays. Counts combine before the shuffle, so a hot text is no hot task."""
     return rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def label(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """Each row with its group from the index: (id, digest, keep_id, group_size, kept)."""
-    found = join_groups(rows, index.read(), "digest", "group_size")
+def label(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each row with its group: (id, digest, keep_id, group_size, kept). Hot digests are told by their rows here.
+
+    groups has (digest, keep_id, group_size, here), the last being the rows of the digest in `rows`.
+    """
+    found = join_groups(rows, groups, "digest", "here").drop("here")
     return found.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
+def batches_of(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """rows in ranges of their ids, the largest first and null ids with the smallest; ids that can't be ranged are one batch."""
+    kind = rows.schema["id"].dataType.simpleString()
+    if batches < 2 or kind not in ("tinyint", "smallint", "int", "bigint"):
+        return [rows]
+    shares = [k / batches for k in range(batches - 1, 0, -1)]
+    cuts = rows.agg(F.percentile_approx("id", shares, 1000).alias("c")).first()["c"] or []
+    out, above = [], F.lit(True)
+    for cut in cuts:
+        own = F.coalesce(F.col("id") > cut, F.lit(False))
+        out.append(rows.filter(own & above))
+        above = ~own
+    return [*out, rows.filter(above)]
+
+
 def fresh_index(spark: SparkSession) -> DigestIndex:
-    """An empty index in the shared folder; it goes when the application ends."""
+    """An empty index in the shared folder."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
     """One row per document: (id, digest, keep_id, group_size, kept).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty; of equal texts the row with the
     largest id stays, or the row the index had before. Rows that repeat both id and text are one document and come
     back once. A null id is a document of its own group's texts and stays only where no id is known. An empty table
-    gives no rows. Other columns of docs are ignored.
+    gives no rows. Other columns of docs are ignored. group_size counts all documents that the index has seen,
+    those of earlier calls too. An index of the call's own is dropped again.
     """
+    own = index is None
     index = index or fresh_index(docs.sparkSession)
-    rows = digests(docs, id_col, text_col).distinct()
-    index.append(groups_of(rows))
-    return label(rows, index)
+    rows = materialize(digests(docs, id_col, text_col).distinct(), "digests")
+    for batch in batches_of(rows, batches):
+        index.append(groups_of(batch))
+    here = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("here"))
+    groups = materialize(here.join(index.read(), "digest").select("digest", "keep_id", "group_size", "here"), "digest-groups")
+    if own:
+        index.drop()
+    return label(rows, groups)
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
