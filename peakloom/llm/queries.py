@@ -47,9 +47,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakloom.llm.suffix_dedup import drop_repeats
 
-    found = drop_repeats(documents(spark, sf_dir), kept_bytes=False)
+    found = drop_repeats(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    # n_bytes is the input's size; what is left comes as text, in which bytes that a cut leaves without their character are U+FFFD
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", text.alias("text"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ words of eight bytes, and shards of pieces get a suffix order and a transform ea
 refining their interleave, one more word a round (rows are stably sorted by the word before them); a boundary
 between rows that appears in round d is a common prefix of d - 1 words. Rows that no boundary separates after
 WINDOW / 8 - 1 rounds are repeated intervals, and the last eight bytes of each window are compared exactly.
+
+Pieces of a minimizer that is in very many of them are cut into narrower ones and dealt out again, by the bytes that
+all windows of such a piece share; those meet and merge in the same way.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ WINDOW, GRAM, WORD = 400, 24, 8
 SPAN = 1 << 20
 #: Words in a shard, and words that one merge takes unless a single minimizer has more.
 SHARD_WORDS, MERGE_WORDS = 8192, 60_000
-#: A minimizer of more distinct pieces is dealt out again, by the window itself.
+#: Pieces of a key that has more distinct ones are cut into windows of fewer offsets and dealt out again by what those share.
 HOT_PIECES = 20_000
+#: Offsets of the minimizer in the windows of a piece, at each dealing after the first. With one, equal keys are equal windows.
+OFFSETS = (48, 8, 1)
 POSITION_BITS = 24
 
 
@@ -241,17 +246,17 @@ def cut_pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"id {kind}, h long, key long, piece_id binary, piece binary, place int, starts array<long>")
 
 
-def mark_pieces(pieces: DataFrame) -> DataFrame:
+def mark_pieces(pieces: DataFrame, level: int = 0) -> DataFrame:
     """(piece_id, marked): runs of repeated window starts in each of distinct pieces (key, piece_id, piece, place, n).
 
-    Minimizers of up to HOT_PIECES pieces meet in one task, several at once; for others each window is a row.
+    Keys of up to HOT_PIECES pieces meet in one task, several at once; the pieces of others are narrowed first.
     """
-    hot_keys = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).filter(f"pieces > {HOT_PIECES}").select("key"), "hot-minimizers")
+    hot_keys = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).filter(f"pieces > {HOT_PIECES}").select("key"), "hot-keys")
     all_of_it = pieces.filter("n > 1").select("piece_id", F.array(F.lit(0), F.octet_length("piece") - (WINDOW - 1)).alias("marked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
-        own: list[tuple] = []  # the pieces of one minimizer; they stay together, and a single one has nothing to meet
+        own: list[tuple] = []  # the pieces of one key; they stay together, and a single one has nothing to meet
         words, at = 0, None
         for batch in batches:
             for key, digest, piece, place in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -274,26 +279,51 @@ def mark_pieces(pieces: DataFrame) -> DataFrame:
         hit = [(d, spans_of(f)) for (d, _, _), f in zip(pending, flags, strict=True) if f.any()]
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in hit], pa.binary()), pa.array([s for _, s in hit], pa.list_(pa.int32()))], names=["piece_id", "marked"])
 
-    cold = pieces.select("key", "piece_id", "piece", "place").join(hot_keys, "key", "left_anti")
+    cold, some_hot = pieces.select("key", "piece_id", "piece", "place"), level < len(OFFSETS) and not hot_keys.isEmpty()
+    if some_hot:
+        cold = cold.join(hot_keys, "key", "left_anti")
     dealt = cold.repartition("key").sortWithinPartitions("key")
-    merged = dealt.mapInArrow(run, "piece_id binary, marked array<int>")
-    hot = pieces.join(hot_keys, "key", "left_semi")
-    return all_of_it.union(merged).union(mark_hot(hot))
+    found = all_of_it.union(dealt.mapInArrow(run, "piece_id binary, marked array<int>"))
+    return found.union(mark_narrowed(pieces.join(hot_keys, "key", "left_semi"), level)) if some_hot else found
+
+
+def mark_narrowed(pieces: DataFrame, level: int) -> DataFrame:
+    """The same for pieces of hot keys: they are cut by the minimizer's offset, and what is marked in a part is marked in the whole."""
+    parts = materialize(narrowed(pieces, OFFSETS[level]), "narrow-pieces")
+    distinct = parts.groupBy("key", "piece_id").agg(F.first("piece").alias("piece"), F.first("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    marked = materialize(mark_pieces(materialize(distinct, "distinct-narrow-pieces"), level + 1), "marked-narrow-pieces")
+    both = parts.select("piece_id", "whole_id", "start").join(marked, "piece_id")
+    moved = F.transform("marked", lambda x, k: F.when(k % 2 == 0, x + F.col("start")).otherwise(x))
+    return both.select(F.col("whole_id").alias("piece_id"), moved.alias("marked"))
 
 
-def mark_hot(pieces: DataFrame) -> DataFrame:
-    """The same for pieces of hot minimizers: windows with equal digests are counted, wherever they lie."""
+def narrowed(pieces: DataFrame, offsets: int) -> DataFrame:
+    """(whole_id, start, key, piece_id, piece, place): the parts of each piece whose windows have the minimizer at one of `offsets` neighbouring offsets.
+
+    The key is a hash of the bytes that all windows with these offsets have, so equal windows have equal keys.
+    """
+    names = ["whole_id", "start", "key", "piece_id", "piece", "place"]
+    schema = pa.schema([("whole_id", pa.binary()), ("start", pa.int32()), ("key", pa.int64()), ("piece_id", pa.binary()), ("piece", pa.binary()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, piece in zip(batch.column(0), batch.column(1), strict=True):
-                d, p = digest.as_py(), piece.as_py()
-                n = len(p) - WINDOW + 1
-                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([blake2b(p[k : k + WINDOW], digest_size=16).digest() for k in range(n)], pa.binary())], names=["piece_id", "start", "window"])
-
-    windows = pieces.select("piece_id", "piece").mapInArrow(run, "piece_id binary, start int, window binary")
-    often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("window")
-    return windows.join(often, "window", "left_semi").groupBy("piece_id").agg(F.flatten(F.sort_array(F.collect_list(F.array("start", F.lit(1))))).alias("marked"))
+            rows = []
+            for key, whole, piece, place in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                last = len(piece) - WINDOW
+                for low in range((place - last) // offsets * offsets, place + 1, offsets):
+                    first, end = max(place - low - offsets + 1, 0), min(place - low, last)
+                    shared = piece[place - low : place - low - offsets + 1 + WINDOW]
+                    part = piece[first : end + WINDOW]
+                    own = blake2b(shared, digest_size=8, key=(key % (1 << 64)).to_bytes(8, "little"), salt=low.to_bytes(2, "little")).digest()
+                    digest = blake2b(part, digest_size=16, salt=(place - first).to_bytes(2, "little") + low.to_bytes(2, "little")).digest()
+                    rows.append((whole, first, int.from_bytes(own, "little", signed=True), digest, part, place - first))
+                if len(rows) > 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+
+    return pieces.select("key", "piece_id", "piece", "place").mapInArrow(run, "whole_id binary, start int, key long, piece_id binary, piece binary, place int")
 
 
 def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -204,6 +204,20 @@ def test_suffix_dedup_hot_minimizers(spark, monkeypatch):
     test_suffix_dedup_is_brute_force(spark)
 
 
+def test_suffix_dedup_beyond_a_span(spark):
+    """Texts longer than a span: passages across its border, in it twice, and in another text."""
+    rng, span = random.Random(12), suffix_dedup.SPAN
+    noise = lambda n: rng.randbytes(n // 2).hex()
+    passage, other = noise(1000), noise(600)
+    a = noise(span - 500) + passage + noise(5000) + other + noise(span - 100) + passage[:500] + noise(300)
+    b = noise(777) + other + noise(span - 1800) + passage + noise(20)
+    want = [[(a.index(passage), 1000), (a.index(other), 600), (a.rindex(passage[:500]), 500)], [(b.index(other), 600), (b.index(passage), 1000)]]
+    got = suffix_dedup.drop_repeats(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"), kept_bytes=False).orderBy("id").collect()
+    for r, spans in zip(got, want, strict=True):
+        # a passage may go on by a few characters that happen to be alike
+        assert [abs(s["start"] - at) + abs(s["end"] - s["start"] - n) < 8 for s, (at, n) in zip(r["spans"], spans, strict=True)].count(False) == 0
+
+
 def test_suffix_dedup_corners(odd, none):
     got = suffix_dedup.drop_repeats(odd).collect()
     assert len(got) == len(ODD) - 1
