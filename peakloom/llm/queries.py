@@ -66,7 +66,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
     base = F.filter("secrets", lambda s: s["kind"] != KINDS[3])
-    return found.select(F.col("id").alias("doc_id"), *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count(KINDS[3]), F.array_max("secrets.cost").alias("top_cost"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,18 +196,27 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def scan(text: str, threshold: float = GUESS_COST) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of every secret, in order; kind indexes KINDS."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
+def priced(text: str, threshold: float = GUESS_COST) -> list[tuple[int, int, int, float | None]]:
+    """(start, kind, end, cost) of every secret, in order; kind indexes KINDS. Every credential-context value is priced,
+    those of base spans too: assignments carry the cost of their value, access keys and hex runs have none."""
+    costs: dict[str, float] = {}  # a text may repeat its values
+
+    def cost(value: str) -> float:
+        if value not in costs:
+            costs[value] = guess_cost(value)
+        return costs[value]
+
+    found = [(m.start(), 0, m.end(), cost(m[2])) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    found += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
-    base = [(s, e) for s, _, e in found]
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(s <= a and b <= e for s, e in base) and guess_cost(m[1]) >= threshold:
-            found.append((a, 3, b))
-    return sorted(found)
+        found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+    found += [(m.start(), 2, m.end(), None) for m in HEX_LONG.finditer(text)]
+    found += [(m.start(1), 3, m.end(1), cost(m[1])) for m in CONTEXT.finditer(text) if cost(m[1]) >= threshold]
+    return sorted(found, key=lambda s: s[:3])
+
+
+def scan(text: str, threshold: float = GUESS_COST) -> list[tuple[int, int, int]]:
+    """The same without costs."""
+    return [s[:3] for s in priced(text, threshold)]
 
 
 #: Maximal runs of HEX of the least length: the same matches as HEX with short ones dropped.
@@ -215,18 +224,19 @@ HEX_LONG = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = GUESS_COST) -> DataFrame:
-    """(id, secrets array<struct<kind, start, end, value>>) of every whole text, by start, then kind.
+    """(id, secrets array<struct<kind, start, end, value, cost>>) of every whole text, by start, then kind.
 
-    Positions are code points, end exclusive. Null and empty texts have no secrets; null ids pass through; repeated
+    Positions are code points, end exclusive. A value in a credential context whose guess cost reaches the threshold is a
+    span of kind guess, also inside an assignment, whose own span then stays beside it. Null and empty texts have no secrets; null ids pass through; repeated
     rows repeat; an empty table gives no rows; columns other than the two named are ignored.
     """
 
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("cost", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[{"kind": KINDS[k], "start": s, "end": e, "value": text[s:e]} for s, k, e in scan(text, threshold)] for text in map(str, batch.column(1))]
+            out = [[{"kind": KINDS[k], "start": s, "end": e, "value": text[s:e], "cost": c} for s, k, e, c in priced(text, threshold)] for text in map(str, batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "secrets"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, secrets array<struct<kind:string,start:int,end:int,value:string>>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, secrets array<struct<kind:string,start:int,end:int,value:string,cost:double>>")
