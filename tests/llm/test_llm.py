@@ -351,16 +351,59 @@ def test_neighbours_corners(spark):
     assert multi_index.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_every_code_within_the_radius_is_found(spark):
+@pytest.mark.parametrize("radius", [9, 90, 256])
+def test_every_code_within_the_radius_is_found(spark, monkeypatch, radius):
+    monkeypatch.setattr(multi_index, "ROWS", 32)
+    monkeypatch.setattr(multi_index, "STEP", 7)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 16))
+    x = np.repeat(rng.normal(size=(200, 16)), 2, axis=0) + 0.02 * rng.normal(size=(400, 16))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
-    model = multi_index.fit(df, 5)
+    model = multi_index.fit(df)
     index = materialize(multi_index.encoded(df, model), "codes")
-    codes = np.array([np.frombuffer(r["code"], np.uint8) for r in index.orderBy("id").collect()])
-    apart = multi_index.POP[codes[:, None] ^ codes[None]].sum(axis=2)
-    got = multi_index.search(materialize(index.filter("id < 20"), "some"), index, model, 5, 400).collect()
-    assert Counter((r["query_id"], r["id"]) for r in got) == Counter((q, v) for q in range(20) for v in range(400) if v != q and apart[q, v] <= 5)
+    codes = multi_index.words([bytes(r["code"]) for r in index.orderBy("id").collect()], model["chunks"])
+    apart = multi_index.distances(codes[:, None], codes[None])
+    got = multi_index.search(index.filter("id < 20"), index, model, radius).collect()
+    assert Counter((r["query_id"], r["id"], r["apart"]) for r in got) == Counter((q, v, apart[q, v]) for q in range(20) for v in range(400) if apart[q, v] <= radius)
+    assert sum(multi_index.thresholds(radius, model["chunks"])) == radius + 1 - model["chunks"] and len(got) > 20
+
+
+def test_copies_scales_and_ties(spark):
+    """A third of all rows are one vector; ids come several times; every query has its 5 nearest by brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)).round(3)
+    x[::3] = x[0]
+    x[1::30] *= 4.0
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:40] + [(7, x[9].tolist())], "vec_id long, embedding array<double>")
+    got = multi_index.nearest(df, F.col("vec_id") % 5 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, own in got.sort_values("rank").groupby("query_id"):
+        score = u @ u[q]
+        best = score.copy()
+        best[7] = max(best[7], score[9])
+        best[q] = -9
+        order = np.lexsort((np.arange(300), -best.round(12)))[:5]
+        assert own["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(own.score, best[own["id"]], atol=1e-12)
+        assert q % 3 or own["id"].tolist() == order.tolist()
+        hits += len(set(order) & set(own["id"]))
+    assert hits >= 0.9 * 5 * 60 and got.query_id.nunique() == 60
+
+
+def test_close_neighbours_take_few_comparisons(spark):
+    """Where neighbours are near, the chunks hold few candidates: what is looked at is a small share of all pairs."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(700, 32)), 6, axis=0) + 0.05 * rng.normal(size=(4200, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    model = multi_index.fit(df)
+    index = materialize(multi_index.encoded(df, model), "codes")
+    radius = multi_index.fit_radius(index, index, model, 5)
+    codes = multi_index.words([bytes(r["code"]) for r in index.orderBy("id").collect()], model["chunks"])
+    q, most = codes[:100], multi_index.thresholds(radius, model["chunks"])
+    looked = sum((np.bitwise_count(q[:, c][:, None] ^ codes[:, c][None]) <= most[c]).sum() for c in range(model["chunks"]))
+    assert looked < 0.1 * len(q) * len(codes)
+    ranked = (multi_index.distances(q[:, None], codes[None]) <= radius).sum()
+    assert ranked < 0.01 * len(q) * len(codes)
 
 
 # 9 near duplicates
