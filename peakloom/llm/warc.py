@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import join_groups
+from peakloom.session import materialize
 
 #: Bytes after which a task begins another file: a file is parsed by one task. A capture's headers count as HEADER_BYTES.
 FILE_BYTES, HEADER_BYTES = 32 << 20, 1024
@@ -124,7 +125,10 @@ def write_archive(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:
 
 
 def parse(data: bytes, payloads: bool) -> Iterator[dict]:
-    """The records of one archive file, gzipped (in one member or many) or not; no more than a record is unpacked at a time."""
+    """The records of one archive file, gzipped (in one member or many) or not; no more than a record is unpacked at a time.
+
+    A record without a proper length, or one within which the file ends, is an error: what follows it can't be told apart.
+    """
     raw = io.BytesIO(data)
     source = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if data[:2] == b"\x1f\x8b" else raw
     while line := source.readline():
@@ -139,6 +143,8 @@ def parse(data: bytes, payloads: bool) -> Iterator[dict]:
                 name, _, value = text.partition(":")
                 lines.append([name.strip().lower(), value.strip()])
         head = dict(lines)
+        if not head.get("content-length", "").isdecimal():
+            raise ValueError(f"record {head.get('warc-record-id')} has no length")
         body = source.read(int(head["content-length"]))
         if len(body) != int(head["content-length"]):
             raise ValueError(f"the archive ends within record {head.get('warc-record-id')}")
@@ -160,7 +166,7 @@ def parse(data: bytes, payloads: bool) -> Iterator[dict]:
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives under path; payloads are left out if not asked for."""
+    """Every record of the archives under path; payloads are left out if not asked for. A broken archive fails."""
     text = pa.string()
     schema = pa.schema([(n, pa.list_(text) if n == "concurrent_to" else text) for n in ("record_id", "record_type", "uri", "date", "concurrent_to", "refers_to", "payload_digest", "computed_digest")] + [("payload_bytes", pa.int64()), ("fields", pa.map_(text, text)), ("payload", pa.binary())])
 
@@ -218,4 +224,6 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     other than the three named are ignored.
     """
     write_archive(plan_captures(pages, id_col, url_col, html_col, least_bytes), path)
-    return assemble(read_archive(pages.sparkSession, path, payloads))
+    records = read_archive(pages.sparkSession, path, payloads)
+    # each file is parsed once: records are joined from several sides
+    return assemble(materialize(records, "warc-records"))

@@ -47,3 +47,13 @@ def test_cut_archives_fail():
     assert next(warc.parse(whole, True))["payload"] == b"plain"
     with pytest.raises(ValueError):
         list(warc.parse(whole[:-6], True))
+    with pytest.raises(ValueError, match="no length"):
+        list(warc.parse(whole.replace(b"Content-Length: 5", b"Content-Type: text/plain"), True))
+
+
+def test_long_pages(spark, tmp_path):
+    """Payloads of several MB, between short ones, come back whole."""
+    pages = spark.createDataFrame([(k, f"http://{k}", f"<{k}>" + "é\r\n" * (700_000 if k % 3 == 0 else 2)) for k in range(7)], "page_id long, url string, html string")
+    got = {r["metadata"]["fields"]["capture-id"]: r["response"] for r in warc.archive_pages(pages, str(tmp_path / "w")).collect()}
+    want = {str(r["page_id"]): r["html"].encode() for r in pages.collect()}
+    assert {k: bytes(r["payload"]) for k, r in got.items()} == want and all(r["computed_digest"] == r["payload_digest"] for r in got.values())
