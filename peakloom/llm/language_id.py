@@ -68,8 +68,28 @@ class Network:
             parts.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.out_bias)), np.float32)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy; the gradient flows to the position of each filter's maximum."""
+        cols, act, h = self.pooled(x)
+        z = h @ self.out + self.out_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        dh = (p @ self.out.T) * (h > 0)
+        at = act.argmax(axis=1)  # (windows, filters)
+        hit = np.take_along_axis(cols, at[:, :, None], axis=1)  # (windows, filters, wide * EMBED)
+        grads = {"out": h.T @ p, "out_bias": p.sum(axis=0), "bias": dh.sum(axis=0)}
+        grads["filters"] = np.einsum("wf,wfc->cf", dh, hit) * self.mask
+        dcols = dh[:, :, None] * self.filters.T[None]
+        grads["embed"] = np.zeros_like(self.embed)
+        for j in range(self.wide):
+            bytes_at = np.take_along_axis(x, at + j, axis=1)
+            np.add.at(grads["embed"], bytes_at.ravel(), dcols[:, :, j * EMBED : (j + 1) * EMBED].reshape(-1, EMBED))
+        return grads
+
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> None:
-        """Cross entropy by Adam; the gradient flows to the position of each filter's maximum."""
+        """Cross entropy by Adam."""
         rng = np.random.default_rng(seed)
         names = ("embed", "filters", "bias", "out", "out_bias")
         first, second = ({n: np.zeros_like(getattr(self, n)) for n in names} for _ in range(2))
@@ -78,22 +98,7 @@ class Network:
             order = rng.permutation(len(x))
             for k in range(0, len(x), BATCH):
                 xb, yb = x[order[k : k + BATCH]], y[order[k : k + BATCH]]
-                cols, act, h = self.pooled(xb)
-                z = h @ self.out + self.out_bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                dh = (p @ self.out.T) * (h > 0)
-                at = act.argmax(axis=1)  # (windows, filters)
-                hit = np.take_along_axis(cols, at[:, :, None], axis=1)  # (windows, filters, wide * EMBED)
-                grads = {"out": h.T @ p, "out_bias": p.sum(axis=0), "bias": dh.sum(axis=0)}
-                grads["filters"] = np.einsum("wf,wfc->cf", dh, hit) * self.mask
-                dcols = dh[:, :, None] * self.filters.T[None]
-                grads["embed"] = np.zeros_like(self.embed)
-                for j in range(self.wide):
-                    bytes_at = np.take_along_axis(xb, at + j, axis=1)
-                    np.add.at(grads["embed"], bytes_at.ravel(), dcols[:, :, j * EMBED : (j + 1) * EMBED].reshape(-1, EMBED))
+                grads = self.gradients(xb, yb)
                 step += 1
                 for n in names:
                     g = grads[n]

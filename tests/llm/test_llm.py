@@ -312,6 +312,40 @@ def test_language_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_network_is_a_convolution_with_its_gradient():
+    """Log probabilities against a convolution written out, and a step of training against numeric gradients."""
+    rng = np.random.default_rng(1)
+    net = language_id.Network(3, seed=2)
+    x, y = rng.integers(0, 256, (5, 40)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+
+    def naive(net):
+        out = []
+        for row in x:
+            h = []
+            for f in range(net.n):
+                width = language_id.WIDTHS[f // language_id.FILTERS]
+                w = net.filters[:, f].reshape(net.wide, language_id.EMBED)[:width].astype(np.float64)
+                acts = [(net.embed[row[k : k + width]] * w).sum() for k in range(40 - net.wide + 1)]
+                h.append(max(max(acts) + net.bias[f], 0.0))
+            z = np.array(h) @ net.out + net.out_bias
+            out.append(z - np.log(np.exp(z).sum()))
+        return np.array(out)
+
+    assert np.allclose(net.log_probabilities(x), naive(net), atol=1e-4)
+    loss = lambda: -naive(net)[np.arange(5), y].mean()
+    grads = net.gradients(x, y)
+    for name in ("embed", "filters", "bias", "out", "out_bias"):
+        flat, g = getattr(net, name).reshape(-1), grads[name].reshape(-1)
+        for at in np.argsort(-np.abs(g))[:4]:
+            was = flat[at]
+            flat[at] = was + 1e-3
+            up = loss()
+            flat[at] = was - 1e-3
+            down = loss()
+            flat[at] = was
+            assert g[at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4), name
+
+
 def test_language_corners(odd, none):
     model = language_id.fit(odd)
     got = language_id.predict(odd.union(odd.limit(1).selectExpr("99L", "'123 !'", *odd.columns[2:])), model).collect()
