@@ -541,6 +541,23 @@ def test_quality_held_out(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and good.predicted.mean() > 0.98 and bad.predicted.mean() < 0.2
 
 
+def test_quality_difference_is_brute_force(spark, docs):
+    """Scores follow from the sizes of whole blocks under the two dictionaries; long labelled texts take part in the fit."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    long = docs.limit(1).selectExpr("990001L AS doc_id", "repeat('plain words of a long text ', 9000) AS text", *docs.columns[2:])
+    model = quality.fit(docs.unionByName(long), labels.unionByName(spark.createDataFrame([(990001, 1, 0)], labels.schema)))
+    assert quality.FIT_BYTES - quality.BLOCK < len(quality.spread(b"x" * 200_000)) <= quality.FIT_BYTES and quality.spread(b"abc") == b"abc"
+    options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False, "level": quality.LEVEL}
+    good, bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(model[k]), **options) for k in ("good", "bad"))
+    for r in quality.score(docs, model).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").collect():
+        data = (r["text"] or "").encode()
+        sizes = sum(len(bad.compress(data[k : k + 1024])) - len(good.compress(data[k : k + 1024])) for k in range(0, len(data), 1024))
+        x = (sizes + 100 * model["average"]) / (len(data) + 100)
+        assert r["difference"] == pytest.approx(x) and r["score"] == pytest.approx(1 / (1 + np.exp(-model["intercept"] - model["slope"] * x)))
+
+
 def test_quality_corners(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (5, None), (6, 0), (None, 1), (77, 0)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
