@@ -37,9 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): the token ids of every use of a document."""
-    found = sentencepiece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded_sha256): the token ids of every use of a document, and the digest of what they decode to."""
+    found = sentencepiece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", keep_good), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("encoding", encode)]
