@@ -89,7 +89,8 @@ def mix(
     """(id, source, tokens, pass, block, position): one row for each time that a document is used.
 
     budget is in tokens; None is the least budget under which every source gets at least one whole pass, so that
-    no document is lost. position orders the whole mixture: blocks of all sources interleave by a hash.
+    no document is lost. position orders the whole mixture: blocks of all sources interleave by a hash;
+    only rows with equal id and text share one.
 
     A null source is a source of its own; null and empty texts have no tokens and appear in every whole pass; rows
     that repeat are used each; null ids pass through; an empty table gives no rows; other columns are ignored.
@@ -102,11 +103,15 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, max_repetition: float, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """docs with each row as often as the mixture without a budget uses it, at least once; all columns stay."""
+    """docs with each row as often as the mixture without a budget uses it, at least once; all columns stay.
+
+    Rows come in the mixture's order, by position: written files follow it from the first to the last.
+    """
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
     rows = drawn(docs, [row.alias("__row"), docs[id_col].alias("id")], id_col, text_col, source_col, BLOCKS, seed)
     used = used_rows(rows, planned(rows, None, max_repetition, None, seed), seed)
-    return used.select(*[F.col("__row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+    ordered = used.select("position", "__row").repartitionByRange("position").sortWithinPartitions("position")
+    return ordered.select(*[F.col("__row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
 
 
 def drawn(docs: DataFrame, keep: list[Column], id_col: str, text_col: str, source_col: str, blocks: int, seed: int) -> DataFrame:

@@ -111,7 +111,8 @@ def test_mixing_meets_the_limit(spark, docs):
     assert ((take - epochs * have).abs() <= most + 2).all()
     assert used.position.is_unique
     first = used[used["pass"] == 0]
-    assert len(first) == len(texts) and mixing.mixed_documents(skewed, 2.0).count() == len(used)
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(skewed, 2.0).select("doc_id").collect()]
+    assert len(first) == len(texts) and mixed == used.sort_values("position", kind="stable").id.tolist()
 
 
 def test_mixing_entropy_and_budget(spark, docs):
@@ -595,4 +596,6 @@ def test_pipeline_stages(spark, docs):
             assert have == had.keys()
         if k == 4:
             sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-            assert all(r["ids"] == sp.encode(had[r["doc_id"]]) for r in stage.collect())
+            for r in stage.collect():
+                assert r["ids"] == sp.encode(had[r["doc_id"]])
+                assert r["decoded_sha256"] == hashlib.sha256(sp.decode(r["ids"]).encode()).hexdigest()
