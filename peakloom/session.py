@@ -26,10 +26,12 @@ def local_session(app: str = "peakloom", cpus: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and Spark is local (tests)."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "peakloom-shared"))
         folder = sc.getCheckpointDir()
     return folder
