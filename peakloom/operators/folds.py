@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from peakloom.operators.lookup import ranked
 from peakloom.operators.signal import finite
+from peakloom.session import materialize
 
 # Upper bounds of the size classes of a corpus, in MB.
 HISTOGRAM_EDGES = (10, 20, 50, 100, 200, 500, 1000)
@@ -50,8 +51,7 @@ def facet_of(representation: Column) -> Column:
 def sample_table(rows: DataFrame, name: str, order: str) -> DataFrame:
     """(sample_id, name, first_row): one per distinct name, `sample-N` by where it is first seen."""
     first = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("first_row"))
-    rank = F.row_number().over(Window.orderBy("first_row"))
-    return first.select(F.concat(F.lit("sample-"), rank.cast("string")).alias("sample_id"), F.col(name).alias("name"), "first_row")
+    return ranked(first, ["first_row"], "__rank").select(F.concat(F.lit("sample-"), F.col("__rank").cast("string")).alias("sample_id"), F.col(name).alias("name"), "first_row")
 
 
 def factor_levels(rows: DataFrame, sample: str, factors: list[str], order: str) -> DataFrame:
@@ -80,15 +80,20 @@ def log_histogram(sizes: DataFrame, size: str, base: float = 2.0) -> DataFrame:
 def gap_sample(sizes: DataFrame, size: str, least: float = LEAST_GAP) -> DataFrame:
     """(value): greedily from the least size, each at least `least` times the one before.
 
-    Sequential by nature; candidates are first thinned to the least and largest size of fine log bins, of which a
-    few thousand span all sizes, and only those meet.
+    Sequential by nature, with log(largest / least) / log(least gap) steps. The least and largest size of fine log bins,
+    of which a few thousand span all sizes, come to the driver; only where a step ends within a bin is that bin asked.
     """
-    fine = F.floor(F.log(F.col(size)) / math.log(least) * 64)
-    thin = sizes.filter(F.col(size) > 0).groupBy(fine.alias("b")).agg(F.sort_array(F.collect_set(size)).alias("s")).select(F.explode("s").alias("v")).distinct()
-    ordered = thin.agg(F.sort_array(F.collect_list("v")).alias("v"))
-    start = F.array().cast("array<double>")
-    picked = F.aggregate(F.col("v"), start, lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) * least), F.concat(acc, F.array(x.cast("double")))).otherwise(acc))
-    return ordered.select(F.explode(picked).alias("value"))
+    spark, v = sizes.sparkSession, F.col(size).cast("double")
+    distinct = materialize(sizes.filter(v > 0).select(v.alias("v")).distinct().withColumn("b", F.floor(F.log("v") / math.log(least) * 64)), "sizes")
+    bins = [(r["lo"], r["hi"], r["b"]) for r in distinct.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()]
+    picked, bound = [], 0.0
+    for lo, hi, b in bins:
+        if hi < bound:
+            continue
+        value = lo if lo >= bound else distinct.filter((F.col("b") == b) & (F.col("v") >= bound)).agg(F.min("v")).first()[0]
+        picked.append((float(value),))
+        bound = value * least
+    return spark.createDataFrame(picked, "value double")
 
 
 def rule_tally(findings: DataFrame, rule: str, passed: Column) -> DataFrame:
@@ -121,3 +126,29 @@ def corpus_tiers(files: DataFrame, dataset: str, name: str, size: str, imaging:
 def findings_by_rule(findings: DataFrame, rule: str, file: str) -> DataFrame:
     """(rule, n, files): findings of each rule and the distinct files that have them; order by n for a report."""
     return findings.groupBy(rule).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(file).alias("files"))
+
+
+def group_totals(files: DataFrame, subset: str, dataset: str, size: str, unlisted: list[str]) -> DataFrame:
+    """(subset, datasets, files, bytes) of every subset, and a row with a null subset: the totals of those that are listed."""
+    named = files.withColumn("__listed", ~F.col(subset).isin(*unlisted) if unlisted else F.lit(True))
+    totals = [F.countDistinct(dataset).alias("datasets"), F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes")]
+    return named.groupBy(subset).agg(*totals).unionByName(named.filter("__listed").groupBy(F.lit(None).cast("string").alias(subset)).agg(*totals))
+
+
+def qualifying(tiers: DataFrame, least_mb: float) -> DataFrame:
+    """Of datasets' tiers (as corpus_tiers gives them) those whose input is larger than so many MB and that have an archive."""
+    return tiers.filter((F.col("input_bytes") > F.lit(least_mb * 1024 * 1024)) & (F.col("archive_bytes") > 0))
+
+
+def listing_order(files: DataFrame, group: str, name: str, archive: str = "archive") -> DataFrame:
+    """files with `place` (from 1) in their group: archives first, then by name without case."""
+    from pyspark.sql.window import Window
+
+    low = F.lower(name)
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy((~low.endswith(f".{archive}")).cast("int"), low, name)))
+
+
+def exit_tally(runs: DataFrame, code: str, meanings: dict[int, str]) -> DataFrame:
+    """(outcome, n): how often each exit code came, by its meaning; an unknown code is its number."""
+    named = F.coalesce(*[F.when(F.col(code) == k, F.lit(v)) for k, v in meanings.items()], F.col(code).cast("string"))
+    return runs.groupBy(named.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

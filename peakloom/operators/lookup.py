@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peakloom.session import materialize
+
 #: Half width of the window in which a reporter ion is looked for, in Th.
 REPORTER_TOLERANCE = 0.01
 
 
-def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, first_seen, rank): each value once, ranked from 1 by where it is first seen.
+def ranked(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """df with `name`: each row's place in the order, counted from start.
 
-    The rank needs one total order of the distinct values; do without the column where they are many.
+    Rows are sorted in ranges; only the ranges' sizes meet in one task.
     """
+    ranges = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    placed = offsets_in_parts(ranges.withColumn("__one", F.lit(1)), "__part", order, "__one", start)
+    return placed.withColumn(name, F.col("offset").cast("long")).drop("offset", "__one", "__part")
+
+
+def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, first_seen, rank): each value once, ranked from 1 by where it is first seen."""
     first = df.groupBy(value).agg(F.min(order).alias("first_seen"))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("first_seen", value)))
+    return ranked(first, ["first_seen", value], "rank")
 
 
 def pair(source: DataFrame, output: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,18 +61,41 @@ def reporters(mz: Column, values: Column, channels: list[tuple[str, float]], tol
     return F.array(*[F.struct(F.lit(name).alias("channel"), F.coalesce(nearest_value(mz, values, F.lit(target), tolerance), F.lit(0.0)).alias("intensity")) for name, target in channels])
 
 
+#: Channels that a run can have; more are refused, as each is a column of one aggregation.
+MOST_CHANNELS = 200
+
+
 def nearest_points(points: DataFrame, channels: DataFrame, key: str, mz: str, intensity: str, tolerance: float) -> DataFrame:
     """(key, channel, intensity): for each spectrum and channel the intensity nearest to the channel's target, else 0.
 
-    A band join on buckets as wide as the tolerance: each channel meets the points of three buckets, not all points.
-    channels has (channel, target) and is a short list; of a tie the smaller m/z stands.
+    channels has (channel, target), of at most MOST_CHANNELS rows; those without a target are left out. All channels
+    are found in one aggregation over the points. Of a tie the smaller m/z stands.
     """
-    bucket = F.floor(F.col(mz) / F.lit(tolerance))
-    wanted = channels.select("channel", "target", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("target") / F.lit(tolerance)) + k)).alias("bucket"))
-    met = points.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket").filter(F.abs(F.col(mz) - F.col("target")) <= tolerance)
-    best = met.groupBy(key, "channel").agg(F.min_by(intensity, F.struct(F.abs(F.col(mz) - F.col("target")), F.col(mz))).alias("found"))
-    all_of_them = points.select(key).distinct().join(F.broadcast(channels.select("channel")))
-    return all_of_them.join(best, [key, "channel"], "left").select(key, "channel", F.coalesce("found", F.lit(0.0)).alias("intensity"))
+    wanted = channels.filter("target is not null").orderBy("channel").select("channel", "target").limit(MOST_CHANNELS + 1).collect()
+    if len(wanted) > MOST_CHANNELS:
+        raise ValueError(f"more than {MOST_CHANNELS} channels")
+
+    def found(target: float):
+        apart = F.abs(F.col(mz) - F.lit(target))
+        near = apart <= tolerance
+        return F.coalesce(F.min_by(F.when(near, F.col(intensity)), F.when(near, F.struct(apart, F.col(mz)))), F.lit(0.0))
+
+    sums = points.groupBy(key).agg(*[found(c["target"]).alias(f"c{k}") for k, c in enumerate(wanted)], F.lit(1).alias("__any"))
+    pairs = F.array(*[F.struct(F.lit(c["channel"]).alias("channel"), F.col(f"c{k}").alias("intensity")) for k, c in enumerate(wanted)])
+    return sums.select(key, F.explode(pairs).alias("p")).select(key, "p.channel", "p.intensity")
+
+
+def passthrough_reporters(values: Column, channels: list[tuple[str, float | None]]) -> Column:
+    """Array of (channel, intensity) from a spectrum's own reporter array, which has a value for each channel with a known
+    reporter ion, in their order; missing values are 0, channels without an ion have no row."""
+    known = [name for name, target in channels if target is not None]
+    return F.array(*[F.struct(F.lit(name).alias("channel"), F.coalesce(F.get(values, F.lit(k)), F.lit(0.0)).alias("intensity")) for k, name in enumerate(known)])
+
+
+def lookahead(rows: DataFrame, key: list[str], order: str, value: str, steps: int) -> DataFrame:
+    """rows with next1, next2, ...: the values that follow in each group."""
+    w = Window.partitionBy(*key).orderBy(order)
+    return rows.withColumns({f"next{k}": F.lead(value, k).over(w) for k in range(1, steps + 1)})
 
 
 def stem(path: Column) -> Column:
@@ -99,6 +131,13 @@ def resolve(refs: DataFrame, ref: str, tables: list[tuple[DataFrame, str, str]])
     return out.drop(*[f"__{x}{k}" for k in range(len(tables)) for x in "kv"])
 
 
+def known_causes(findings: DataFrame, causes: DataFrame, rule: str, unknown: str = "not classified") -> DataFrame:
+    """findings with cause and remedy of their rule from (rule, cause, remedy); a rule without an entry is `unknown`, its remedy null."""
+    known = causes.select(F.col(rule).alias("__rule"), "cause", "remedy")
+    found = findings.join(known, F.col(rule) == F.col("__rule"), "left").drop("__rule")
+    return found.withColumn("cause", F.coalesce("cause", F.lit(unknown)))
+
+
 def membership(rows: DataFrame, members: DataFrame, key: str, yes: str = "Y", no: str = "N") -> DataFrame:
     """rows with `member`: yes where the key is among the members."""
     known = members.select(F.col(key).alias("__m")).distinct()
@@ -113,13 +152,13 @@ def union_by_priority(parts: list[DataFrame], key: str, order: str) -> DataFrame
         tagged = p if tagged is None else tagged.unionByName(p)
     first = Window.partitionBy(key).orderBy("__p", order)
     once = tagged.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return once.withColumn("ordinal", F.row_number().over(Window.orderBy("__p", order)) - 1).drop("__p")
+    return ranked(once, ["__p", order], "ordinal", 0).drop("__p")
 
 
 def running_offsets(sizes: DataFrame, order: list[str], size: str, start: int) -> DataFrame:
-    """sizes with `offset`: start plus the sizes of all rows before. A file's layout, so one total order."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("offset", F.lit(start) + F.coalesce(F.sum(size).over(w), F.lit(0)))
+    """sizes with `offset`: start plus the sizes of all rows before, in ranges of the order."""
+    ranges = materialize(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    return offsets_in_parts(ranges, "__part", order, size, start).drop("__part")
 
 
 def offsets_in_parts(sizes: DataFrame, part: str, order: list[str], size: str, start: int) -> DataFrame:

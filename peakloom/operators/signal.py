@@ -6,6 +6,8 @@ spectrum key, an m/z and an intensity column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,11 +99,15 @@ def mz_chunks(points: DataFrame, key: str, mz: str, width: float = CHUNK_WIDTH)
     return points.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("n"), F.min(mz).alias("lo"), F.max(mz).alias("hi"))
 
 
-def chunk_points(points: DataFrame, key: str, mz: str = "mz", intensity: str = "intensity", width: float = CHUNK_WIDTH) -> DataFrame:
+def chunk_points(points: DataFrame, key: str, mz: str = "mz", intensity: str = "intensity", width: float = CHUNK_WIDTH, window: tuple[float, float] | None = None) -> DataFrame:
     """(key, chunk, chunk_start, chunk_end, mz, intensity): arrays in m/z order for each spectrum and chunk that has points.
 
-    The bounds are those of the points, so a window of m/z prunes whole chunks by them, also in Parquet.
+    The bounds are those of the points, so a window of m/z prunes whole chunks by them, also in Parquet. window: only
+    chunks that it meets are made; the filter on m/z reaches the scan of the points.
     """
+    if window:
+        low, high = (math.floor(w / width) * width for w in window)
+        points = points.filter((F.col(mz) >= low) & (F.col(mz) < high + width))
     zipped = F.array_sort(F.collect_list(F.struct(F.col(mz).alias("m"), F.col(intensity).alias("v"))))
     found = points.groupBy(key, F.floor(F.col(mz) / F.lit(width)).alias("chunk")).agg(F.min(mz).alias("chunk_start"), F.max(mz).alias("chunk_end"), zipped.alias("p"))
     return found.select(key, "chunk", "chunk_start", "chunk_end", F.col("p.m").alias("mz"), F.col("p.v").alias("intensity"))
@@ -121,9 +127,21 @@ def delta_encode(a: Column) -> Column:
 
 
 def delta_decode(a: Column) -> Column:
-    """Running sums: the inverse of delta_encode up to rounding."""
-    sums = F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + F.when(F.size(s) > 0, F.element_at(s, -1)).otherwise(F.lit(0.0)))))
-    return sums
+    """Running sums: the inverse of delta_encode up to rounding, in linear time by Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    def sums(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else np.cumsum(x))
+
+    sums.__annotations__ = {"values": pd.Series, "return": pd.Series}  # names are only known in here
+    return F.pandas_udf(sums, "array<double>")(a)
+
+
+def narrowed(values: Column) -> tuple[Column, Column]:
+    """(values as single precision holds them, whether that changes them)."""
+    single = values.cast("float").cast("double")
+    return single, single != values
 
 
 def tic_by_spectrum(points: DataFrame, key: str, intensity: str) -> DataFrame:
@@ -131,6 +149,26 @@ def tic_by_spectrum(points: DataFrame, key: str, intensity: str) -> DataFrame:
     return points.groupBy(key).agg(F.sum(intensity).alias("tic"), F.count(F.lit(1)).alias("n"))
 
 
+def sort_with_mobility(mz: Column, mobility: Column, intensity: Column) -> Column:
+    """Struct of mz, mobility and intensity by m/z, then mobility; nothing is moved where the lengths differ."""
+    order = F.array_sort(F.arrays_zip(mz.alias("m"), mobility.alias("d"), positions(mz).alias("i")))
+    same = (F.size(mz) == F.size(mobility)) & (F.size(mz) == F.size(intensity))
+    by = lambda a: F.when(same, permuted(a, order)).otherwise(a)
+    return F.struct(by(mz).alias("mz"), by(mobility).alias("mobility"), by(intensity).alias("intensity"))
+
+
+def image_grid(spectra: DataFrame, order: str, nx: int, ny: int) -> tuple[DataFrame, DataFrame]:
+    """(y, x, tic, present) of every cell of the grid, and one row (dropped): pixels that lie outside it.
+
+    spectra has x, y, tic; of several on a cell the last one by `order` counts. Cells without one have tic 0.
+    """
+    inside = F.col("x").between(1, nx) & F.col("y").between(1, ny)
+    last = spectra.filter(inside).groupBy("y", "x").agg(F.max_by("tic", order).alias("tic"))
+    rows = spectra.sparkSession.range(1, ny + 1).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nx).cast("long"))).alias("x"))
+    cells = rows.join(last, ["y", "x"], "left").select("y", "x", F.coalesce("tic", F.lit(0.0)).alias("tic"), F.col("tic").isNotNull().alias("present"))
+    return cells, spectra.agg(F.count_if(~F.coalesce(inside, F.lit(False))).alias("dropped"))
+
+
 def ion_image(spectra: DataFrame, points: DataFrame, key: str = "spectrum", intensity: str = "intensity", window: tuple[float, float] | None = None, mz: str = "mz") -> DataFrame:
     """(y, x, tic, present): each pixel's summed intensity, in an m/z window if given. Pixels without points are absent.
 
@@ -161,7 +199,7 @@ def image_difference(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> Data
 
 
 def shared_axes(df: DataFrame, mz: str = "mz") -> tuple[DataFrame, DataFrame]:
-    """(spectra with axis_id in place of mz, axes): equal m/z arrays are stored once."""
-    keyed = df.withColumn("axis_id", F.sha2(F.to_json(mz), 256))
+    """(spectra with axis_id in place of mz, axes): equal m/z arrays are stored once, by a key of 128 bits."""
+    keyed = df.withColumn("axis_id", F.concat_ws(":", F.xxhash64(mz), F.xxhash64(F.lit(7), mz)))
     axes = keyed.groupBy("axis_id").agg(F.first(mz).alias(mz))
     return keyed.drop(mz), axes

@@ -36,14 +36,24 @@ def first_difference(source: Column, output: Column, tolerance: float) -> Column
     return F.when(F.size(source) != F.size(output), F.lit(-1).cast("long")).when(at > 0, at - 1)
 
 
+def sides(source: DataFrame, output: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """Rows of both sides under one another: keys, the values of each side (null in rows of the other), and `is_source`.
+
+    A union and one grouping take a single shuffle where a full outer join takes one for each side.
+    """
+    def side(df: DataFrame, own: bool) -> DataFrame:
+        cols = [F.when(F.lit(mine == own), F.col(c)).alias(f"__{n}{'s' if mine else 'o'}") for c, n in values.items() for mine in (True, False)]
+        return df.select(*keys, F.lit(own).alias("is_source"), *cols)
+
+    return side(source, True).unionByName(side(output, False))
+
+
 def compare_points(source: DataFrame, output: DataFrame, keys: list[str], mz: str, intensity: str, tolerance: Tolerance) -> DataFrame:
     """(first key, first_bad, n_bad): for each spectrum with differences, the first position and their number.
 
     keys: the spectrum and the position in it; both sides have it once.
     """
-    s = source.select(*keys, F.col(mz).alias("__ms"), F.col(intensity).alias("__is"))
-    o = output.select(*keys, F.col(mz).alias("__mo"), F.col(intensity).alias("__io"))
-    both = s.join(o, keys, "full_outer")
+    both = sides(source, output, keys, {mz: "m", intensity: "i"}).groupBy(*keys).agg(*[F.max(f"__{c}").alias(f"__{c}") for c in ("ms", "mo", "is", "io")])
     bad = differs(F.col("__ms"), F.col("__mo"), tolerance.mz) | differs(F.col("__is"), F.col("__io"), tolerance.intensity)
     return both.filter(bad).groupBy(keys[0]).agg(F.min(keys[1]).alias("first_bad"), F.count(F.lit(1)).alias("n_bad"))
 
@@ -51,57 +61,44 @@ def compare_points(source: DataFrame, output: DataFrame, keys: list[str], mz: st
 def merge_masked(source: DataFrame, output: DataFrame, key: str, mz: str, intensity: str, tolerance: Tolerance = EXACT) -> DataFrame:
     """One row of gates for source points against an output with zero runs masked, on equal (spectrum, m/z).
 
-    Dropped points must be zero; added points and changed intensities fail. m/z ties are told apart by their turn.
+    Dropped points must be zero; added points and changed intensities fail. Of m/z ties the n-th smallest intensities meet.
     """
-    from pyspark.sql.window import Window
-
-    s = source.select(key, mz, F.col(intensity).alias("__is")).withColumn("__n", F.row_number().over(Window.partitionBy(key, mz).orderBy("__is")))
-    o = output.select(key, mz, F.col(intensity).alias("__io")).withColumn("__n", F.row_number().over(Window.partitionBy(key, mz).orderBy("__io")))
-    both = s.join(o, [key, mz, "__n"], "full_outer")
-    kept = F.col("__is").isNotNull() & F.col("__io").isNotNull()
+    both = sides(source, output, [key, mz], {intensity: "i"}).groupBy(key, mz).agg(*[F.sort_array(F.collect_list(f"__i{side}")).alias(side) for side in "so"])
+    n, m = F.size("s"), F.size("o")
+    rest = F.slice("s", m + 1, F.greatest(n - m, F.lit(0)))
+    changed = F.size(F.filter(F.zip_with("s", "o", lambda x, y: x.isNotNull() & y.isNotNull() & differs(x, y, tolerance.intensity)), lambda bad: bad))
     return both.agg(
-        F.count_if(kept).alias("kept"),
-        F.count_if(F.col("__io").isNull()).alias("dropped"),
-        F.count_if(F.col("__io").isNull() & (F.col("__is") != 0)).alias("dropped_nonzero"),
-        F.count_if(F.col("__is").isNull()).alias("added"),
-        F.count_if(kept & differs(F.col("__is"), F.col("__io"), tolerance.intensity)).alias("changed"),
+        F.coalesce(F.sum(F.least(n, m)), F.lit(0)).alias("kept"),
+        F.coalesce(F.sum(F.greatest(n - m, F.lit(0))), F.lit(0)).alias("dropped"),
+        F.coalesce(F.sum(F.size(F.filter(rest, lambda x: x != 0))), F.lit(0)).alias("dropped_nonzero"),
+        F.coalesce(F.sum(F.greatest(m - n, F.lit(0))), F.lit(0)).alias("added"),
+        F.coalesce(F.sum(changed), F.lit(0)).alias("changed"),
     )
 
 
 def merge_tolerant(source: DataFrame, output: DataFrame, key: str, tolerance: Tolerance = LOSSY) -> DataFrame:
-    """(key, kept, dropped, dropped_nonzero, added, changed) where m/z may be off: two pointers over each spectrum.
+    """(key, kept, dropped, dropped_nonzero, added, changed) where m/z may be off.
 
-    Both sides have sorted arrays mz and intensity. The match isn't transitive, so a join can't express it.
+    Both sides have sorted arrays mz and intensity. The match isn't transitive, so a join can't express it; each
+    spectrum's arrays are merged in numpy.
     """
-    import numpy as np
     import pyarrow as pa
 
-    names = ["kept", "dropped", "dropped_nonzero", "added", "changed"]
+    from peakloom.operators import arrays
 
-    def merge(sm, si, om, oi):
-        i = j = 0
-        got = dict.fromkeys(names, 0)
-        while i < len(sm) or j < len(om):
-            if i < len(sm) and j < len(om) and abs(om[j] - sm[i]) <= tolerance.mz * abs(sm[i]):
-                got["kept"] += 1
-                got["changed"] += int(not (np.isfinite(si[i]) and np.isfinite(oi[j]) and abs(oi[j] - si[i]) <= tolerance.intensity * abs(si[i])))
-                i, j = i + 1, j + 1
-            elif i < len(sm) and (j >= len(om) or sm[i] < om[j]):
-                got["dropped"] += 1
-                got["dropped_nonzero"] += int(si[i] != 0)
-                i += 1
-            else:
-                got["added"] += 1
-                j += 1
-        return got
+    names = ["kept", "dropped", "dropped_nonzero", "added", "changed"]
 
     def run(batches):
         for b in batches:
-            rows = [merge(*(c.as_py() or [] for c in r)) for r in zip(*(b.column(k) for k in range(1, 5)), strict=True)]
+            parts = [arrays.flat(b.column(k))[:2] for k in range(1, 5)]
+            rows = []
+            for r in range(b.num_rows):
+                sm, si, om, oi = (v[at[r] : at[r + 1]] for v, at in parts)
+                rows.append(arrays.merged((sm, si), (om, oi), tolerance.mz, tolerance.intensity))
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[n] for r in rows], pa.int64()) for n in names], names=[key, *names])
 
-    s = source.select(key, F.col("mz").alias("sm"), F.col("intensity").alias("si"))
-    o = output.select(key, F.col("mz").alias("om"), F.col("intensity").alias("oi"))
+    s = source.select(key, F.col("mz").cast("array<double>").alias("sm"), F.col("intensity").cast("array<double>").alias("si"))
+    o = output.select(key, F.col("mz").cast("array<double>").alias("om"), F.col("intensity").cast("array<double>").alias("oi"))
     both = s.join(o, key, "full_outer")
     return both.mapInArrow(run, f"{key} {both.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 

@@ -127,8 +127,8 @@ def argsort_arrays(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_extendedprice, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS narrowed, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) <> l_extendedprice AS changed FROM lineitem")
 def cast_narrowing(spark, sf_dir):
-    narrowed = F.col("l_extendedprice").cast("float").cast("double")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", narrowed.alias("narrowed"), (narrowed != F.col("l_extendedprice")).alias("changed"))
+    single, changed = signal.narrowed(F.col("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", single.alias("narrowed"), changed.alias("changed"))
 
 
 LEVELS = "SELECT o_orderkey AS spectrum, o_orderkey % 64 + 1 AS x, CAST(floor(o_orderkey / 64) AS BIGINT) + 1 AS y, CASE left(o_orderpriority, 1) WHEN '5' THEN 0 ELSE CAST(left(o_orderpriority, 1) AS INTEGER) END AS ms_level FROM orders"
@@ -349,10 +349,7 @@ def marker_sessions(spark, sf_dir):
 
 @query("SELECT conv_id, turn, lead(role) OVER w AS next1, lead(role, 2) OVER w AS next2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def pair_lookahead(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lead("role").over(w).alias("next1"), F.lead("role", 2).over(w).alias("next2"))
+    return lookup.lookahead(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role", 2).drop("role")
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
@@ -467,7 +464,7 @@ def findings_by_rule(spark, sf_dir):
 
 @query("SELECT spectrum, round(sum(intensity), 4) AS tic, count(*) AS n FROM {points} WHERE mz BETWEEN 20000 AND 30000 GROUP BY 1")
 def chunk_window(spark, sf_dir):
-    chunks = signal.chunk_points(points(spark, sf_dir), "spectrum", width=5000.0)
+    chunks = signal.chunk_points(points(spark, sf_dir), "spectrum", width=5000.0, window=(20000.0, 30000.0))
     return signal.chunk_window(chunks, "spectrum", 20000.0, 30000.0).select("spectrum", F.round("tic", 4).alias("tic"), F.col("n").cast("long").alias("n"))
 
 

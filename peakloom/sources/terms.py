@@ -21,3 +21,7 @@ NUMPRESS_LINEAR_ZLIB, NUMPRESS_PIC_ZLIB, NUMPRESS_SLOF_ZLIB = "MS:1002746", "MS:
 #: Compressions of the vocabulary that aren't read: truncation with zlib, alone, with delta and with linear prediction.
 OTHER_COMPRESSION = ("MS:1003088", "MS:1003089", "MS:1003090")
 ISOLATION_TARGET, SELECTED_MZ, CHARGE = "MS:1000827", "MS:1000744", "MS:1000041"
+ISOLATION_LOWER, ISOLATION_UPPER, COLLISION_ENERGY = "MS:1000828", "MS:1000829", "MS:1000045"
+INTEGER_32, INTEGER_64 = "MS:1000519", "MS:1000522"
+MS1_SPECTRUM, MSN_SPECTRUM, MASS_SPECTRUM = "MS:1000579", "MS:1000580", "MS:1000294"
+CONVERSION, CUSTOM_SOFTWARE = "MS:1000544", "MS:1000799"

@@ -6,6 +6,7 @@ Spark's XML source splits a file by element, so a file's spectra are read by man
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,29 +23,70 @@ INNER = f"cvParam:array<{PARAM}>,referenceableParamGroupRef:array<struct<_ref:st
 ARRAYS = f"binaryDataArrayList struct<binaryDataArray:array<struct<{INNER},binary:string,_encodedLength:long,_arrayLength:long>>>"
 SPECTRUM = (
     f"_index long, _id string, _defaultArrayLength long, {PARAMS}, scanList struct<scan:array<struct<{INNER}>>>, "
-    f"precursorList struct<precursor:array<struct<_spectrumRef:string,isolationWindow:struct<{INNER}>,selectedIonList:struct<selectedIon:array<struct<{INNER}>>>>>>, {ARRAYS}"
+    f"precursorList struct<precursor:array<struct<_spectrumRef:string,isolationWindow:struct<{INNER}>,activation:struct<{INNER}>,selectedIonList:struct<selectedIon:array<struct<{INNER}>>>>>>, {ARRAYS}"
 )
 CHROMATOGRAM = f"_index long, _id string, _defaultArrayLength long, {PARAMS}, {ARRAYS}"
 GROUP = f"_id string, cvParam array<{PARAM}>"
 
 
-def elements(spark: SparkSession, path: str, tag: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """One row per element with the tag; a malformed file fails."""
+def elements(spark: SparkSession, path: str, tag: str, schema: str, encoding: str | None = None) -> DataFrame:
+    """One row per element with the tag; a malformed file fails. Without an encoding the prolog's is taken."""
+    encoding = encoding or detect_encoding(spark, path)
     return spark.read.format("xml").option("rowTag", tag).option("encoding", encoding).option("mode", "FAILFAST").schema(schema).load(path)
 
 
+def chunks(spark: SparkSession, path: str, size: int = 1 << 16) -> Iterator[bytes]:
+    """The first bytes of a file, of a folder's first file, chunk by chunk as long as they are asked for; a gzipped one is unpacked."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.getFileStatus(at).isDirectory():
+        inside = sorted(str(f.getPath()) for f in fs.listStatus(at) if f.isFile() and f.getPath().getName()[:1] not in "._" and f.getLen() > 0)
+        at = jvm.org.apache.hadoop.fs.Path(inside[0])
+    stream, unpack = fs.open(at), zlib.decompressobj(31) if str(at).endswith(".gz") else None
+    try:
+        while data := bytes(stream.readNBytes(size)):
+            yield unpack.decompress(data) if unpack else data
+    finally:
+        stream.close()
+
+
 def sniff_encoding(head: bytes) -> str:
     """UTF-8 for a prolog that says UTF-8 or ASCII, or nothing; else Latin-1."""
-    import re
-
     found = re.search(rb"""encoding\s*=\s*["']([A-Za-z0-9._-]+)["']""", head[:512])
     name = found[1].decode().lower() if found else "utf-8"
     return "UTF-8" if name in ("utf-8", "utf8", "us-ascii", "ascii") else "ISO-8859-1"
 
 
-def groups(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, list]:
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    return sniff_encoding(next(chunks(spark, path, 512), b""))
+
+
+#: Headers end before the spectra; a file that has none is read up to so many bytes.
+HEADER_END, HEADER_LIMIT = b"<spectrumList", 64 << 20
+
+
+def header_text(spark: SparkSession, path: str, encoding: str | None = None) -> str:
+    """What stands before the spectra: the file is read no further."""
+    data = b""
+    for chunk in chunks(spark, path):
+        before = max(0, len(data) - len(HEADER_END))
+        data += chunk
+        if HEADER_END in data[before:] or len(data) > HEADER_LIMIT:
+            break
+    return data.partition(HEADER_END)[0].decode(encoding or sniff_encoding(data), "replace")
+
+
+def header_elements(spark: SparkSession, path: str, tag: str, schema: str, encoding: str | None = None) -> DataFrame:
+    """One row per element with the tag in the file's header."""
+    found = re.findall(rf"<{tag}(?:\s[^>]*?)?/>|<{tag}(?:\s[^>]*)?>.*?</{tag}>", header_text(spark, path, encoding), re.DOTALL)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(found)], "place int, xml string")
+    return rows.select("place", F.from_xml("xml", schema, {"mode": "FAILFAST"}).alias("e")).orderBy("place").select("e.*")
+
+
+def groups(spark: SparkSession, path: str, encoding: str | None = None) -> dict[str, list]:
     """Parameter groups of a file by id: a header table of a few rows."""
-    rows = elements(spark, path, "referenceableParamGroup", GROUP, encoding).collect()
+    rows = header_elements(spark, path, "referenceableParamGroup", GROUP, encoding).collect()
     return {r["_id"]: [p.asDict() for p in r["cvParam"] or []] for r in rows}
 
 
@@ -79,10 +121,16 @@ def entry(entries: Column, accession: str) -> Column:
 
 def described(entries: Column, accession: str, wanted: Column | None = None) -> Column:
     """Struct of how the array with the accession is stored, null if there is none; wanted: the length that inline arrays must have."""
+    return description(entry(entries, accession), wanted)
+
+
+def description(e: Column, wanted: Column | None = None, integers: bool = False) -> Column:
+    """The same for one entry. m/z and intensities are floats; other arrays may be integers."""
     wanted = F.lit(None).cast("long") if wanted is None else wanted
-    e = entry(entries, accession)
     p = e["params"]
     dtype = F.when(has(p, terms.FLOAT_64), "<f8").when(has(p, terms.FLOAT_32), "<f4")
+    if integers:
+        dtype = dtype.when(has(p, terms.INTEGER_32), "<i4").when(has(p, terms.INTEGER_64), "<i8")
     number = lambda a: value_of(p, a).try_cast("long")
     coding = [(terms.NUMPRESS_LINEAR, "linear"), (terms.NUMPRESS_PIC, "pic"), (terms.NUMPRESS_SLOF, "slof"), (terms.NUMPRESS_LINEAR_ZLIB, "linear"), (terms.NUMPRESS_PIC_ZLIB, "pic"), (terms.NUMPRESS_SLOF_ZLIB, "slof")]
     numpress = F.coalesce(*[F.when(has(p, a), k) for a, k in coding])
@@ -97,13 +145,32 @@ def described(entries: Column, accession: str, wanted: Column | None = None) ->
     )
 
 
+def array_term(p: Column) -> Column:
+    """The parameter that says what an array holds: all of their names end so."""
+    return F.try_element_at(F.filter(p, lambda x: F.coalesce(x["_name"].endswith(" array"), F.lit(False))), F.lit(1))
+
+
+def other_arrays(entries: Column, wanted: Column | None = None) -> Column:
+    """Array of (accession, name, unit, stored) of all arrays but m/z and intensity, such as ion mobility."""
+    others = F.filter(entries, lambda a: ~has(a["params"], terms.MZ_ARRAY) & ~has(a["params"], terms.INTENSITY_ARRAY))
+    return F.transform(others, lambda a: F.struct(
+        array_term(a["params"])["_accession"].alias("accession"), array_term(a["params"])["_name"].alias("name"),
+        array_term(a["params"])["_unitAccession"].alias("unit"), description(a, wanted, True).alias("stored"),
+    ))
+
+
+def stored_type(description: Column) -> Column:
+    """f64 or f32, as the source stores an array; what Numpress codes is f64 when decoded."""
+    return F.when(description["numpress"].isNotNull() | (description["dtype"] == "<f8"), "f64").when(description["dtype"] == "<f4", "f32")
+
+
 def decode(a: dict | None, sidecar=None) -> np.ndarray | None:
     """One array from inline base64 text or from the sidecar."""
     if a is None:
         return None
     if sidecar is not None:
         sidecar.seek(a["offset"])
-        size = a["bytes"] or a["length"] * (8 if a["dtype"] == "<f8" else 4)
+        size = a["bytes"] or a["length"] * (8 if a["dtype"] in ("<f8", "<i8") else 4)
         data = sidecar.read(size)
         if len(data) != size:
             raise ValueError(f"the sidecar ends within an array at byte {a['offset']}")
@@ -118,7 +185,7 @@ def decode(a: dict | None, sidecar=None) -> np.ndarray | None:
 
         out = {"linear": numpress.decode_linear, "pic": numpress.decode_pic, "slof": numpress.decode_slof}[a["numpress"]](data) if data else np.zeros(0)
     elif a["dtype"] is None:
-        raise ValueError("UNSUPPORTED: only 32- and 64-bit floats are read")
+        raise ValueError("UNSUPPORTED: of m/z and intensities only 32- and 64-bit floats are read")
     else:
         out = np.frombuffer(data, a["dtype"])
     wanted = a["length"] if sidecar is not None else a["wanted"]
@@ -127,20 +194,40 @@ def decode(a: dict | None, sidecar=None) -> np.ndarray | None:
     return out
 
 
+#: Arrays beside m/z and intensity.
+OTHERS = "array<struct<accession:string,name:string,unit:string,values:array<double>>>"
+
+
 def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> DataFrame:
-    """df with the array descriptions in the columns `pairs` replaced by arrays of doubles. sidecar: a path that all executors can open."""
-    kept = [c for c in df.columns if c not in pairs]
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} array<double>" for c in pairs])
+    """df with the array descriptions in the columns `pairs`, and in `others` if it is there, replaced by arrays of doubles.
+
+    sidecar: a path that all executors can open.
+    """
+    more = [c for c in ("others",) if c in df.columns]
+    kept = [c for c in df.columns if c not in pairs and c not in more]
+    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} array<double>" for c in pairs] + [f"{c} {OTHERS}" for c in more])
+    doubles = pa.list_(pa.float64())
+    listed = pa.list_(pa.struct([("accession", pa.string()), ("name", pa.string()), ("unit", pa.string()), ("values", doubles)]))
+
+    def column(arrays: list[np.ndarray | None]) -> pa.Array:
+        """Lists from arrays without a Python object per value."""
+        sizes = np.array([0 if x is None else len(x) for x in arrays], np.int64)
+        flat = np.concatenate([x for x in arrays if x is not None]).astype(np.float64) if sizes.any() else np.zeros(0)
+        gone = pa.array([x is None for x in arrays], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat), mask=gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = open(sidecar, "rb") if sidecar else None
         try:
-            for b in batches:
-                cols = [b.column(b.schema.get_field_index(c)) for c in kept]
-                for c in pairs:
-                    out = [decode(a.as_py(), source) for a in b.column(b.schema.get_field_index(c))]
-                    cols.append(pa.array([None if x is None else x.astype(np.float64) for x in out], pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(cols, names=kept + pairs)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, DECODE_ROWS):
+                    b = whole.slice(lo, DECODE_ROWS)
+                    cols = [b.column(b.schema.get_field_index(c)) for c in kept]
+                    cols += [column([decode(a.as_py(), source) for a in b.column(b.schema.get_field_index(c))]) for c in pairs]
+                    for c in more:
+                        out = [[{k: e[k] for k in ("accession", "name", "unit")} | {"values": decode(e["stored"], source)} for e in a.as_py() or []] for a in b.column(b.schema.get_field_index(c))]
+                        cols.append(pa.array([[e | {"values": None if e["values"] is None else e["values"].astype(np.float64)} for e in a] for a in out], listed))
+                    yield pa.RecordBatch.from_arrays(cols, names=kept + pairs + more)
         finally:
             if source:
                 source.close()
@@ -148,6 +235,10 @@ def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> Data
     return df.mapInArrow(run, schema)
 
 
+#: Spectra that are decoded at once.
+DECODE_ROWS = 256
+
+
 def representation(p: Column) -> Column:
     return F.when(has(p, terms.PROFILE), "profile").when(has(p, terms.CENTROID), "centroid").otherwise("unknown")
 
@@ -159,11 +250,12 @@ def seconds(p: Column) -> Column:
     return F.when(t["_unitAccession"] == terms.MINUTE, v * 60).otherwise(v)
 
 
-def read_mzml(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(spectrum_index, native_id, ms_level, representation, rt_seconds, precursor, mz, intensity) of an mzML file, gzipped or not.
+def read_mzml(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(spectrum_index, native_id, ms_level, level_absent, representation, rt_seconds, precursor, mz_type, intensity_type, mz, intensity, others) of an mzML file, gzipped or not.
 
-    An absent MS level is 1; a spectrum without arrays has null arrays; arrays of another type than floats fail,
-    and so do those of an unknown compression or of another length than the spectrum's.
+    An absent MS level is 1; a spectrum without arrays has null arrays; m/z and intensities of another type than floats
+    fail, and so do arrays of an unknown compression or of another length than the spectrum's or their own. The types
+    are those of the source (f64, f32); arrays are doubles here. others has all further arrays.
     """
     shared = groups(spark, path, encoding)
     df = elements(spark, path, "spectrum", SPECTRUM, encoding)
@@ -172,29 +264,36 @@ def read_mzml(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     scan_params = F.coalesce(scan["cvParam"], F.array().cast(f"array<{PARAM}>"))
     first = F.get(F.col("precursorList.precursor"), F.lit(0))
     ion = F.get(first["selectedIonList"]["selectedIon"], F.lit(0))
+    window = lambda a: value_of(first["isolationWindow"]["cvParam"], a).try_cast("double")
     precursor = F.when(first.isNotNull(), F.struct(
-        first["_spectrumRef"].alias("ref"), value_of(first["isolationWindow"]["cvParam"], terms.ISOLATION_TARGET).try_cast("double").alias("target"),
+        first["_spectrumRef"].alias("ref"), window(terms.ISOLATION_TARGET).alias("target"), window(terms.ISOLATION_LOWER).alias("lower"), window(terms.ISOLATION_UPPER).alias("upper"),
         value_of(ion["cvParam"], terms.SELECTED_MZ).try_cast("double").alias("selected_mz"), value_of(ion["cvParam"], terms.CHARGE).try_cast("int").alias("charge"),
+        value_of(first["activation"]["cvParam"], terms.COLLISION_ENERGY).try_cast("double").alias("energy"),
     ))
     entries = array_entries(F.col("binaryDataArrayList"), shared)
     level = value_of(p, terms.MS_LEVEL).try_cast("int")
     rows = df.select(
-        F.col("_index").alias("spectrum_index"), F.col("_id").alias("native_id"), F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level).alias("ms_level"),
+        F.col("_index").alias("spectrum_index"), F.col("_id").alias("native_id"), F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level).alias("ms_level"), (F.coalesce(level, F.lit(0)) == 0).alias("level_absent"),
         representation(p).alias("representation"), seconds(scan_params).alias("rt_seconds"), precursor.alias("precursor"),
         described(entries, terms.MZ_ARRAY, F.col("_defaultArrayLength")).alias("mz"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"),
+        other_arrays(entries, F.col("_defaultArrayLength")).alias("others"),
     )
-    return decoded(rows, ["mz", "intensity"])
+    return decoded(with_types(rows), ["mz", "intensity"])
+
+
+def with_types(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"mz_type": stored_type(F.col("mz")), "intensity_type": stored_type(F.col("intensity"))})
 
 
-def read_chromatograms(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_chromatograms(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(chrom_index, id, time, intensity) of an mzML file."""
     entries = array_entries(F.col("binaryDataArrayList"), groups(spark, path, encoding))
     rows = elements(spark, path, "chromatogram", CHROMATOGRAM, encoding).select(F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), described(entries, terms.TIME_ARRAY, F.col("_defaultArrayLength")).alias("time"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"))
     return decoded(rows, ["time", "intensity"])
 
 
-def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str = "UTF-8", strict: bool = True) -> DataFrame:
-    """(spectrum_index, native_id, x, y, z, ms_level, representation, mz, intensity) of an imzML file and its sidecar.
+def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
+    """(spectrum_index, native_id, x, y, z, ms_level, level_absent, representation, mz_type, intensity_type, mz, intensity) of an imzML file and its sidecar.
 
     Coordinates are strict: a pixel without x or y fails, or is left out where strict is off. z may be absent.
     """
@@ -208,9 +307,10 @@ def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str = "UT
     coordinate = lambda a: value_of(at, a).try_cast("long")
     rows = df.select(
         F.col("_index").alias("spectrum_index"), F.col("_id").alias("native_id"), coordinate(terms.POSITION_X).alias("x"), coordinate(terms.POSITION_Y).alias("y"), coordinate(terms.POSITION_Z).alias("z"),
-        F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level).alias("ms_level"), representation(p).alias("representation"),
+        F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level).alias("ms_level"), (F.coalesce(level, F.lit(0)) == 0).alias("level_absent"), representation(p).alias("representation"),
         described(entries, terms.MZ_ARRAY).alias("mz"), described(entries, terms.INTENSITY_ARRAY).alias("intensity"),
     )
+    rows = with_types(rows)
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
     if strict:
         checked = F.when(placed, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("no coordinates: "), F.coalesce("native_id", F.lit("?")))).cast("long"))
@@ -223,9 +323,9 @@ def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str = "UT
 HEADER = f"fileContent struct<cvParam:array<{PARAM}>>"
 
 
-def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """One row (uuid, checksum_type, checksum, storage_mode) from an imzML file's description."""
-    rows = elements(spark, path, "fileDescription", HEADER, encoding)
+def read_header(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """One row (uuid, checksum_type, checksum, storage_mode) from an imzML file's description; only the header is read."""
+    rows = header_elements(spark, path, "fileDescription", HEADER, encoding)
     p = F.coalesce(F.col("fileContent.cvParam"), F.array().cast(f"array<{PARAM}>"))
     kinds = (("sha256", terms.IBD_SHA256), ("sha1", terms.IBD_SHA1), ("md5", terms.IBD_MD5))
     return rows.select(
@@ -249,10 +349,10 @@ PRESENCE = (
 )
 
 
-def read_geometry(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_geometry(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """One row for each scanSettings with the fields of GEOMETRY and PRESENCE. A bad or absent number is null; of repeated terms the last counts."""
-    rows = elements(spark, path, "scanSettings", f"_id string, {PARAMS}", encoding)
-    p = F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>"))
+    rows = header_elements(spark, path, "scanSettings", f"_id string, {PARAMS}", encoding)
+    p = params_of(F.col("cvParam"), F.col("referenceableParamGroupRef"), groups(spark, path, encoding))
     valued = [F.trim(value_of(p, a)).try_cast(t).alias(n) for n, a, t, _, _ in GEOMETRY]
     return rows.select(*valued, *[F.when(has(p, a), F.lit(a)).alias(n) for n, a, _ in PRESENCE])
 
@@ -264,7 +364,7 @@ def geometry_params() -> Column:
     return F.array_compact(F.array(*valued, *flags))
 
 
-def inspect(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def inspect(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(kind, ms_level, n) of a file's spectra and chromatograms, without decoding an array; an absent level is 1."""
     level = F.coalesce(F.nullif(value_of(F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>")), terms.MS_LEVEL).try_cast("int"), F.lit(0)), F.lit(1))
     spectra = elements(spark, path, "spectrum", f"_id string, cvParam array<{PARAM}>", encoding).groupBy(F.lit("spectrum").alias("kind"), level.alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
@@ -272,7 +372,7 @@ def inspect(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFram
     return spectra.unionByName(traces)
 
 
-def preflight(spark: SparkSession, path: str, sidecar: str, encoding: str = "UTF-8", allow_mismatch: bool = False) -> DataFrame:
+def preflight(spark: SparkSession, path: str, sidecar: str, encoding: str | None = None, allow_mismatch: bool = False) -> DataFrame:
     """One row (uuid_ok, checksum_ok, ok): the sidecar's first 16 bytes and digest against the header.
 
     The file is digested by one task, as a digest is sequential. allow_mismatch forgives the digest only.
