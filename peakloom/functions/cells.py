@@ -131,6 +131,27 @@ def human_size(size: Column) -> Column:
     return F.coalesce(*[for_unit(k, u) for k, u in ((4, " TB"), (3, " GB"), (2, " MB"), (1, " KB"))], F.concat(n.cast("string"), F.lit(" B")))
 
 
+def plain_text(text: Column) -> Column:
+    """text without inline tags, with the entities for ampersand and multiplication sign as characters."""
+    bare = F.regexp_replace(text, "<[^>]+>", "")
+    return F.replace(F.replace(bare, F.lit("&amp;"), F.lit("&")), F.lit("&times;"), F.lit("\u00d7"))
+
+
+# Tag of a file by how its name ends, in order.
+FILE_TAGS = (
+    (".imzml", "imzml"), (".ibd", "ibd"), (".mzml", "mzml"), (".raw", "raw"), (".d", "raw"), (".wiff", "raw"), (".sdrf.tsv", "sdrf"), (".tsv", "sdrf"),
+    (".txt", "isa"), (".tif", "img"), (".tiff", "img"), (".png", "img"), (".jpg", "img"), (".svs", "img"),
+)
+
+
+def file_tag(name: Column, archive: str = "archive") -> Column:
+    """A file's tag: by its ending, else up to six characters of its extension, else `file`."""
+    low = F.lower(name)
+    known = [F.when(low.endswith(end), F.lit(tag)) for end, tag in ((f".{archive}", archive), *FILE_TAGS)]
+    rest = F.when(F.contains(name, F.lit(".")), F.substring(F.substring_index(name, ".", -1), 1, 6)).otherwise("file")
+    return F.coalesce(*known, rest)
+
+
 def register(spark: SparkSession) -> None:
     """Make the point and cell functions available to SQL: functions over built-ins, and Arrow functions for the codec."""
     functions = {

@@ -323,9 +323,11 @@ def channel_lookup(spark, sf_dir):
 
 @query("SELECT DISTINCT cv FROM (SELECT 'MS' AS cv UNION ALL SELECT 'UO' UNION ALL SELECT split_part(p_type, ' ', 1) FROM part UNION ALL SELECT left(p_brand, 5) FROM part)")
 def cv_reference_set(spark, sf_dir):
+    from peakloom.plans import study
+
     p = table(spark, sf_dir, "part")
     refs = p.select(F.explode(F.array(F.substring_index("p_type", " ", 1), F.substring("p_brand", 1, 5))).alias("cv"))
-    return refs.union(spark.createDataFrame([("MS",), ("UO",)], "cv string")).distinct()
+    return study.vocabulary_set(refs.withColumnRenamed("cv", "id")).select(F.col("id").alias("cv"))
 
 
 @query("""SELECT l_orderkey, l_suppkey, coalesce(s_name, c_name, CAST(l_suppkey AS VARCHAR)) AS resolved, CASE WHEN s_name IS NULL AND c_name IS NULL THEN 'unresolved' END AS diagnostic
@@ -354,7 +356,9 @@ def pair_lookahead(spark, sf_dir):
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def digest_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    from peakloom.sources import archive
+
+    return archive.distinct_content(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("sha256", "digest")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'Y' ELSE 'N' END AS member FROM documents")

@@ -10,13 +10,21 @@ from peakloom.operators import lookup
 from peakloom.sources import samples
 
 SAMPLE_LABEL, LOCAL = "MS:1002602", "peakloom"
-# Identifier and name of the vocabularies that parameters may refer to.
+# Identifier, official name, address and version of the vocabularies that parameters may refer to.
 VOCABULARIES = (
-    ("MS", "PSI mass spectrometry ontology"), ("UO", "Units of measurement ontology"), ("IMS", "Mass spectrometry imaging ontology"),
-    ("UNIMOD", "Unimod protein modifications"), ("EFO", "Experimental factor ontology"), ("OBI", "Ontology for biomedical investigations"),
-    ("BFO", "Basic formal ontology"), ("NCIT", "NCI thesaurus"), ("BTO", "BRENDA tissue ontology"), ("PRIDE", "PRIDE controlled vocabulary"),
-    ("HANCESTRO", "Human ancestry ontology"), (LOCAL, "terms of this library that no vocabulary has"),
-)
+    ("MS", "Proteomics Standards Initiative Mass Spectrometry Ontology", "http://purl.obolibrary.org/obo/ms/4.1.248/ms.obo", "4.1.248"),
+    ("UO", "Units of measurement ontology", "http://purl.obolibrary.org/obo/uo/releases/2026-01-16/uo.obo", "2026-01-16"),
+    ("IMS", "Imaging Mass Spectrometry Ontology", "https://raw.githubusercontent.com/imzML/imzML/master/imagingMS.obo", "1.1.0"),
+    ("UNIMOD", "UNIMOD protein modification database", "http://www.unimod.org/obo/unimod.obo", "2024.01"),
+    ("EFO", "Experimental Factor Ontology", "http://www.ebi.ac.uk/efo/efo.obo", None),
+    ("OBI", "Ontology for Biomedical Investigations", "http://purl.obolibrary.org/obo/obi.obo", None),
+    ("BFO", "Basic Formal Ontology", "http://purl.obolibrary.org/obo/bfo.obo", None),
+    ("NCIT", "NCI Thesaurus OBO Edition", "http://purl.obolibrary.org/obo/ncit.obo", None),
+    ("BTO", "BRENDA Tissue Ontology", "http://purl.obolibrary.org/obo/bto.obo", None),
+    ("PRIDE", "PRIDE Controlled Vocabulary", "http://purl.obolibrary.org/obo/pride_cv.obo", None),
+    ("HANCESTRO", "Human Ancestry Ontology", "http://purl.obolibrary.org/obo/hancestro.obo", None),
+    (LOCAL, "terms of this library that no vocabulary has", "urn:peakloom:terms", "0.2"),
+)
 #: Vocabularies that every archive refers to.
 ALWAYS = ("MS", "UO")
 
@@ -101,8 +109,24 @@ def study_block(accession: str, title: str, reference: str, run: str, sample_ids
     return block
 
 
+def known_vocabularies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(VOCABULARIES, "id string, full_name string, uri string, version string")
+
+
 def vocabularies(spark: SparkSession, listed: DataFrame, params: str = "parameters") -> DataFrame:
-    """(id, full_name) of the vocabularies that parameters refer to, and those that are always; full_name is null for an unknown one."""
-    refs = listed.select(F.explode(params).alias("p")).select(F.col("p.cv_ref").alias("id")).filter("id <> ''")
-    known = spark.createDataFrame(VOCABULARIES, "id string, full_name string")
-    return refs.union(spark.createDataFrame([(v,) for v in ALWAYS], "id string")).distinct().join(F.broadcast(known), "id", "left")
+    """(id, full_name, uri, version) of the vocabularies that parameters refer to by themselves or by their unit, and of those
+    that are always; all but the id is null for an unknown one."""
+    fields = {f.name for f in listed.schema[params].dataType.elementType.fields}
+    refs = None
+    for c in ("cv_ref", "unit_cv_ref"):
+        if c in fields:
+            own = listed.select(F.explode(params).alias("p")).select(F.col(f"p.{c}").alias("id"))
+            refs = own if refs is None else refs.union(own)
+    return vocabulary_set(refs.filter("id <> ''"))
+
+
+def vocabulary_set(refs: DataFrame, always: tuple[str, ...] = ALWAYS) -> DataFrame:
+    """The same for a table of identifiers (id)."""
+    spark = refs.sparkSession
+    ids = refs.select("id").union(spark.createDataFrame([(v,) for v in always], "id string")).distinct()
+    return ids.join(F.broadcast(known_vocabularies(spark)), "id", "left")

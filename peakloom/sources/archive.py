@@ -4,84 +4,127 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from peakloom.functions.numpress import decode_linear, encode_linear
-from peakloom.operators import folds, signal
+from peakloom.operators import arrays, folds, signal
 from peakloom.operators.verify import LOSSY
+from peakloom.session import materialize
 
 FORMAT_VERSION = "1.0"
-#: Encoding of m/z and level of compression by name.
-PRESETS = {"compact": ("numpress", 19), "lossless": ("delta", 3), "legacy": ("plain", 3)}
+#: By name: encoding of m/z, level of compression, most points in a row group (0: as many as the writer likes).
+PRESETS = {"compact": ("numpress", 19, 2_000_000), "lossless": ("delta", 19, 2_000_000), "legacy": ("plain", 3, 0)}
 TRACE = "chrom_index long, id string, time array<double>, intensity array<double>"
 MEMBER = "name string, sha256 string, size_bytes long, content binary"
 #: The record of the lossy transform; its bounds are those of verify.LOSSY.
 NUMPRESS = {"transform": "MS:1002312", "name": "Numpress linear prediction m/z compression", "axis": "m/z", "conformance_level": "L2", "mz_rel_err": LOSSY.mz, "intensity_rel_err": LOSSY.intensity}
-META = ["spectrum_index", "native_id", "ms_level", "representation", "x", "y", "z", "rt_seconds"]
+#: Columns of a pixel's place: whole numbers from 1, z may be absent.
+COORDINATES = StructType([StructField("x", LongType(), False), StructField("y", LongType(), False), StructField("z", LongType(), True)])
+META = ["spectrum_index", "native_id", "ms_level", "representation", *COORDINATES.names, "rt_seconds", "mz_type", "intensity_type", "precursor"]
+FACETS = ("spectra_data", "spectra_peaks")
+#: Spectra out of order that the index names.
+LISTED = 32
+
+
+def checked(spectra: DataFrame) -> DataFrame:
+    """spectra whose rows fail if axes differ in length, a coordinate is below 1, or a centroid's m/z isn't finite."""
+    mz, intensity = F.col("mz"), F.col("intensity")
+    name = F.coalesce(F.col("native_id") if "native_id" in spectra.columns else F.lit(None), F.col("spectrum_index").cast("string"))
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    faults = [(size(mz) != size(intensity), "axes differ in length: ")]
+    for c in COORDINATES.names:
+        if c in spectra.columns:
+            faults.append((F.coalesce(F.col(c) < 1, F.lit(False)), f"COORDINATE: {c} is below 1: "))
+    if "representation" in spectra.columns:
+        faults.append(((F.col("representation") == "centroid") & signal.first_non_finite(mz).isNotNull(), "an m/z isn't finite: "))
+    fault = F.coalesce(*[F.when(bad, F.concat(F.lit(text), name)) for bad, text in faults])
+    return spectra.withColumn("mz", F.when(fault.isNotNull(), F.raise_error(fault).cast(spectra.schema["mz"].dataType)).otherwise(mz))
 
 
 def write_archive(
-    spectra: DataFrame, path: str, mask: bool = True, metadata: dict | None = None, mz_encoding: str = "plain",
-    chromatograms: DataFrame | None = None, members: DataFrame | None = None, level: int = 3,
+    spectra: DataFrame, path: str, mask: bool = True, metadata: dict | None = None, mz_encoding: str = "plain", chromatograms: DataFrame | None = None,
+    members: DataFrame | None = None, level: int = 3, group_points: int = 0, intensity_width: str = "float",
 ) -> dict:
-    """Write spectra (arrays mz and intensity beside any of META, and reporters) as facets under path; returns the index.
+    """Write spectra (arrays mz and intensity beside any of META, others and reporters) as facets under path; returns the index.
 
-    Points are sorted by m/z; profiles lose interior zero runs where mask is on; intensities are stored as floats.
-    mz_encoding: plain, delta (lossless up to rounding) or numpress (lossy). The facets are partitioned by ranges of
-    spectrum_index, so a reader prunes by it. Without an index the folder is no archive.
+    Points are sorted by m/z; profiles lose interior zero runs where mask is on. Spectra that `checked` refuses fail.
+    mz_encoding: plain, delta (lossless up to rounding) or numpress (lossy). intensity_width: float, double, or source:
+    double if any spectrum's intensities are. Spectra are decoded once, into a scratch table from which all is written.
+    The facets are partitioned by ranges of spectrum_index, so a reader prunes by it. Without an index the folder is no
+    archive.
     """
     spark = spectra.sparkSession
     have = [c for c in META if c in spectra.columns]
-    extra = [c for c in ("reporters",) if c in spectra.columns]
-    ordered = signal.sort_parallel(F.col("mz"), {"intensity": F.col("intensity")})
-    rows = spectra.select(*have, *extra, ordered.alias("s"), (~signal.is_ascending(F.col("mz"))).alias("was_unsorted"))
-    kept = signal.mask_zero_runs(F.col("s.mz"), F.col("s.intensity"))
-    masked = F.when(F.lit(mask) & (F.col("representation") == "profile"), kept).otherwise(F.arrays_zip(F.col("s.mz").alias("mz"), F.col("s.intensity").alias("intensity")))
-    rows = rows.withColumn("p", masked).select(*have, *extra, "was_unsorted", F.col("p.mz").alias("mz"), F.col("p.intensity").cast("array<float>").alias("intensity"))
-    rows.select(*have, *extra, F.coalesce(F.size("mz"), F.lit(0)).alias("n_points")).write.parquet(f"{path}/facet=spectra_metadata")
-    facet = folds.facet_of(F.col("representation"))
-    for name in ("spectra_data", "spectra_peaks"):
-        part = rows.filter(facet == name).select("spectrum_index", "mz", "intensity")
-        if mz_encoding == "delta":
-            part = part.withColumn("mz", signal.delta_encode(F.col("mz")))
-        elif mz_encoding == "numpress":
-            part = numpress(part)
-        part.repartitionByRange("spectrum_index").sortWithinPartitions("spectrum_index").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(f"{path}/facet={name}")
-    # both facets are always there; nothing is made up for a run without traces
-    (spark.createDataFrame([], TRACE) if chromatograms is None else chromatograms.select("chrom_index", "id", "time", "intensity")).write.parquet(f"{path}/facet=chromatograms")
+    extra = [c for c in ("reporters", "others") if c in spectra.columns]
+    flag = F.col("level_absent") if "level_absent" in spectra.columns else F.lit(False)
+    rows = checked(spectra.select(*have, *extra, "mz", "intensity", flag.alias("level_absent")))
+    rows = materialize(arrays.canonical(rows, mask, "others" in extra).withColumn("facet", folds.facet_of(F.col("representation"))), "canonical-spectra")
+
+    wide = F.bool_or(F.col("intensity_type") == "f64") if "intensity_type" in have else F.lit(dict(spectra.dtypes)["intensity"] == "array<double>")
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("was_unsorted").alias("resorted"), F.count_if("level_absent").alias("remapped"), F.coalesce(wide if "intensity_type" in have else F.max(wide), F.lit(False)).alias("wide"),
+        F.coalesce(F.bool_or(F.col("ms_level") == 1), F.lit(False)).alias("ms1") if "ms_level" in have else F.lit(False).alias("ms1"),
+        F.coalesce(F.bool_or(F.col("ms_level") > 1), F.lit(False)).alias("msn") if "ms_level" in have else F.lit(False).alias("msn"),
+        *[F.count_if(F.col("facet") == f).alias(f) for f in FACETS],
+    ).first()
+    width = "double" if intensity_width == "double" or (intensity_width == "source" and counts["wide"]) else "float"
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level}
+    if group_points:
+        options["parquet.block.row.count.limit"] = group_points
+
+    rows.select(*have, *[c for c in extra if c == "reporters"], F.coalesce(F.size("mz"), F.lit(0)).alias("n_points")).write.options(**options).parquet(f"{path}/facet=spectra_metadata")
+    part = rows.select("facet", "spectrum_index", "mz", F.col("intensity").cast(f"array<{width}>").alias("intensity"), *[c for c in extra if c == "others"])
+    if mz_encoding == "delta":
+        part = part.withColumn("mz", signal.delta_encode(F.col("mz")))
+    elif mz_encoding == "numpress":
+        part = coded(part, encode=True)
+    part.repartitionByRange("facet", "spectrum_index").sortWithinPartitions("facet", "spectrum_index").write.options(**options).mode("append").partitionBy("facet").parquet(path)
+    for facet in FACETS:  # both are always there
+        if not counts[facet]:
+            part.filter("false").drop("facet").coalesce(1).write.parquet(f"{path}/facet={facet}")
+    # nothing is made up for a run without traces
+    (spark.createDataFrame([], TRACE) if chromatograms is None else chromatograms.select("chrom_index", "id", "time", "intensity")).write.options(**options).parquet(f"{path}/facet=chromatograms")
     (spark.createDataFrame([], MEMBER) if members is None else members.select("name", "sha256", "size_bytes", "content")).write.parquet(f"{path}/facet=members")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("was_unsorted").alias("resorted")).first()
+
+    narrowed = width == "float" and counts["wide"]
+    warnings = []
+    if counts["remapped"]:
+        warnings.append({"kind": "MS level absent, taken as 1", "n": counts["remapped"]})
+    if counts["resorted"]:
+        first = [r[0] for r in rows.filter("was_unsorted").select("spectrum_index").orderBy("spectrum_index").limit(LISTED).collect()]
+        warnings.append({"kind": "m/z not ascending, sorted", "n": counts["resorted"], "first": first})
     metadata = dict(metadata or {})
     if mz_encoding == "numpress":
         metadata["transform"] = NUMPRESS
-    steps = [s for s, done in (("sorted by m/z", counts["resorted"] > 0), ("zero runs masked", mask), ("m/z coded with loss", mz_encoding == "numpress")) if done]
-    index = {"version": FORMAT_VERSION, "spectra": counts["n"], "resorted": counts["resorted"], "mz_encoding": mz_encoding, "masked": mask, "processing": steps, "metadata": metadata}
+    done = [("sorted by m/z", counts["resorted"] > 0), ("zero runs masked", mask), ("m/z coded with loss", mz_encoding == "numpress"), ("intensities narrowed to 32 bits", narrowed)]
+    index = {
+        "version": FORMAT_VERSION, "spectra": counts["n"], "resorted": counts["resorted"], "mz_encoding": mz_encoding, "masked": mask, "intensity_width": width, "narrowed": narrowed,
+        "content": [t for t, some in (("ms1", counts["ms1"]), ("msn", counts["msn"])) if some], "warnings": warnings, "processing": [s for s, ok in done if ok], "metadata": metadata,
+    }
     spark.createDataFrame([(json.dumps(index),)], "value string").coalesce(1).write.text(f"{path}/index")
     return index
 
 
-def numpress(part: DataFrame) -> DataFrame:
+def coded(part: DataFrame, encode: bool) -> DataFrame:
+    """part with m/z as Numpress bytes, or back as doubles."""
     import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            coded = pa.array([None if a is None else encode_linear(np.array(a, np.float64)) for a in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), coded, b.column(2)], names=["spectrum_index", "mz", "intensity"])
-
-    return part.mapInArrow(run, f"spectrum_index {part.schema['spectrum_index'].dataType.simpleString()}, mz binary, intensity array<float>")
-
-
-def unnumpress(part: DataFrame) -> DataFrame:
-    import pyarrow as pa
+    at, names = part.columns.index("mz"), part.columns
+    kind = "binary" if encode else "array<double>"
 
     def run(batches):
         for b in batches:
-            mz = pa.array([None if a is None else decode_linear(a) for a in b.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), mz, b.column(2)], names=["spectrum_index", "mz", "intensity"])
+            cols = list(b.columns)
+            if encode:
+                cols[at] = pa.array([None if a is None else encode_linear(np.array(a, np.float64)) for a in cols[at].to_pylist()], pa.binary())
+            else:
+                cols[at] = pa.array([None if a is None else decode_linear(a) for a in cols[at].to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return part.mapInArrow(run, f"spectrum_index {part.schema['spectrum_index'].dataType.simpleString()}, mz array<double>, intensity array<float>")
+    return part.mapInArrow(run, ", ".join(f"{c} {kind if c == 'mz' else t}" for c, t in part.dtypes))
 
 
 def read_index(spark: SparkSession, path: str) -> dict:
@@ -90,18 +133,40 @@ def read_index(spark: SparkSession, path: str) -> dict:
 
 
 def read_archive(spark: SparkSession, path: str, representation: str | None = None) -> DataFrame:
-    """Metadata and arrays of an archive's spectra; filters on spectrum_index reach the facets' scans."""
+    """Metadata and arrays of an archive's spectra; filters on spectrum_index reach the facets' scans.
+
+    Arrays come from the facet that a spectrum's representation names; one representation reads one facet only.
+    """
     index = read_index(spark, path)
     meta = spark.read.parquet(f"{path}/facet=spectra_metadata")
+    names = FACETS
     if representation:
         meta = meta.filter(F.col("representation") == representation)
-    facets = [spark.read.parquet(f"{path}/facet={n}") for n in ("spectra_data", "spectra_peaks")]
-    arrays = facets[0].unionByName(facets[1])
+        names = ("spectra_data",) if representation == "profile" else ("spectra_peaks",)
+    arrays_ = None
+    for n in names:
+        facet = spark.read.parquet(f"{path}/facet={n}").withColumn("__facet", F.lit(n))
+        arrays_ = facet if arrays_ is None else arrays_.unionByName(facet)
     if index["mz_encoding"] == "delta":
-        arrays = arrays.withColumn("mz", signal.delta_decode(F.col("mz")))
+        arrays_ = arrays_.withColumn("mz", signal.delta_decode(F.col("mz")))
     elif index["mz_encoding"] == "numpress":
-        arrays = unnumpress(arrays.select("spectrum_index", "mz", "intensity"))
-    return meta.join(arrays, "spectrum_index", "left")
+        arrays_ = coded(arrays_, encode=False)
+    routed = meta.withColumn("__facet", folds.facet_of(F.col("representation")) if "representation" in meta.columns else F.lit("spectra_peaks"))
+    return routed.join(arrays_, ["spectrum_index", "__facet"], "left").drop("__facet")
+
+
+def pixels(spark: SparkSession, path: str) -> DataFrame:
+    """read_archive for imaging: an archive whose first spectrum has no place isn't imaging, one with a later gap is damaged."""
+    spectra = read_archive(spark, path)
+    missing = None
+    if "x" in spectra.columns and "y" in spectra.columns:
+        gaps = spark.read.parquet(f"{path}/facet=spectra_metadata").filter("x is null or y is null")
+        missing = gaps.agg(F.min("spectrum_index")).first()[0]
+    if "x" not in spectra.columns or "y" not in spectra.columns or missing == 0:
+        raise ValueError("NOT IMAGING: the archive's spectra have no coordinates")
+    if missing is not None:
+        raise ValueError(f"COORDINATE: spectrum {missing} has no coordinates")
+    return spectra
 
 
 def member_rows(spark: SparkSession, files: dict[str, str]) -> DataFrame:
@@ -109,10 +174,20 @@ def member_rows(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     out = spark.createDataFrame([], MEMBER)
     for name, path in files.items():
         one = spark.read.format("binaryFile").load(path)
-        out = out.unionByName(one.select(F.lit(name).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), "content"))
+        out = out.unionByName(digested(one.select(F.lit(name).alias("name"), "content"), "content").select("name", "sha256", "size_bytes", "content"))
     return out
 
 
+def digested(rows: DataFrame, content: str) -> DataFrame:
+    """rows with sha256 and size_bytes of a column."""
+    return rows.withColumns({"sha256": F.sha2(F.col(content).cast("binary"), 256), "size_bytes": F.octet_length(content).cast("long")})
+
+
+def distinct_content(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(sha256, first_id, copies, bytes) of equal contents, by digest."""
+    return digested(rows, content).groupBy("sha256").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.sum("size_bytes").alias("bytes"))
+
+
 def extract_member(spark: SparkSession, path: str, name: str) -> bytes:
     """A kept file, byte for byte; a name without folders finds the one member that ends in it."""
     rows = spark.read.parquet(f"{path}/facet=members")
@@ -123,36 +198,95 @@ def extract_member(spark: SparkSession, path: str, name: str) -> bytes:
     return bytes(found[0]["content"])
 
 
-def conformance(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, reasons): what each archive's index lacks; no reasons for a sound one."""
+#: What an index is read as when archives are audited.
+INDEX = "version string, spectra long, mz_encoding string, metadata struct<study:string,transform:string,vocabularies:array<struct<id:string,uri:string,version:string>>>"
 
-    def reasons(path: str) -> list[str]:
-        try:
-            index = read_index(spark, path)
-        except Exception as error:  # an unreadable index is a finding
-            return [f"no index: {type(error).__name__}"]
-        checks = (("no version", index.get("version")), ("no spectra count", index.get("spectra") is not None), ("a lossy encoding without a transform record", index.get("mz_encoding") != "numpress" or index["metadata"].get("transform")))
-        return [reason for reason, ok in checks if not ok]
 
-    return spark.createDataFrame([(p, reasons(p)) for p in paths], "path string, reasons array<string>")
+def audit(indexes: DataFrame) -> DataFrame:
+    """(path, reasons, injected) from (path, index, members, units): faults of each archive's index, none for a sound one.
 
+    index is its JSON text (null where there is none), members the names of kept files, units those of its columns.
+    injected: whether sample metadata is kept as a member and the index has a study.
+    """
+    i = F.from_json("index", INDEX)
+    rows = indexes.select("path", "members", "units", F.col("index").isNotNull().alias("given"), i.alias("i"))
+    vocabularies = F.coalesce("i.metadata.vocabularies", F.array().cast("array<struct<id:string,uri:string,version:string>>"))
+    incomplete = F.filter(vocabularies, lambda v: F.coalesce(v["id"], F.lit("")).isin("") | F.coalesce(v["uri"], F.lit("")).isin("") | F.coalesce(v["version"], F.lit("")).isin(""))
+    missing_uo = F.exists(F.coalesce("units", F.array().cast("array<string>")), lambda u: u.startswith("UO:")) & ~F.exists(vocabularies, lambda v: v["id"] == "UO")
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    faults = [
+        (~F.col("given") | F.col("i").isNull(), F.lit("no index")),
+        (F.col("given") & blank(F.col("i.version")), F.lit("no version")),
+        (F.col("given") & F.col("i.spectra").isNull(), F.lit("no spectra count")),
+        ((F.col("i.mz_encoding") == "numpress") & F.col("i.metadata.transform").isNull(), F.lit("a lossy encoding without a transform record")),
+        (F.col("given") & (F.size(vocabularies) == 0), F.lit("no vocabularies")),
+        (F.size(incomplete) > 0, F.concat(F.lit("incomplete vocabularies: "), F.array_join(F.transform(incomplete, lambda v: F.coalesce(v["id"], F.lit("?"))), ", "))),
+        (missing_uo, F.lit("units without their vocabulary")),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), text) for bad, text in faults]))
+    kept = F.exists(F.coalesce("members", F.array().cast("array<string>")), lambda m: m.startswith("sample_metadata/"))
+    return rows.select("path", reasons.alias("reasons"), F.coalesce(kept & F.col("i.metadata.study").isNotNull(), F.lit(False)).alias("injected"))
 
-def oversized_row_groups(spark: SparkSession, path: str, limit: int = 64 << 20) -> DataFrame:
-    """(path, row_group, rows, bytes) of Parquet row groups under path that are larger than limit."""
+
+def conformance(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """audit of archives: all indexes and member lists are read in one job each."""
+    at = spark.createDataFrame([(p,) for p in paths], "path string")
+    texts = spark.read.text([f"{p}/index" for p in paths if exists(spark, f"{p}/index")]) if any(exists(spark, f"{p}/index") for p in paths) else None
+    norm = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/*", "/"), "/+$", "")
+    keyed = at.withColumn("__p", norm(F.col("path")))
+    if texts is None:
+        return audit(keyed.select("path", F.lit(None).cast("string").alias("index"), F.array().cast("array<string>").alias("members"), F.array().cast("array<string>").alias("units")))
+    texts = texts.select(norm(F.regexp_replace(F.input_file_name(), "/index/[^/]*$", "")).alias("__p"), F.col("value").alias("index"))
+    have = [f"{p}/facet=members" for p in paths if exists(spark, f"{p}/facet=members")]
+    kept = spark.read.option("recursiveFileLookup", True).schema(MEMBER).parquet(*have) if have else spark.createDataFrame([], MEMBER)
+    kept = kept.select(norm(F.regexp_replace(F.input_file_name(), "/facet=members/[^/]*$", "")).alias("__p"), "name").groupBy("__p").agg(F.collect_set("name").alias("members"))
+    both = keyed.join(texts, "__p", "left").join(kept, "__p", "left")
+    # retention times are stored in seconds, a UO unit
+    units = F.when(F.col("index").isNotNull(), F.array(F.lit("UO:0000010")))
+    return audit(both.select("path", "index", "members", units.alias("units")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_group, rows, bytes) of the row groups of all Parquet files under path; only footers are read."""
     import pyarrow as pa
-    import pyarrow.parquet as pq
 
     def run(batches):
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
         for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                meta = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata
-                groups = [(file, k, g.num_rows, g.total_byte_size) for k in range(meta.num_row_groups) if (g := meta.row_group(k)).total_byte_size > limit]
-                if groups:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*groups, strict=True)], names=["path", "row_group", "rows", "bytes"])
+            for file in b.column(0).to_pylist():
+                store, inner = pafs.FileSystem.from_uri(file if "://" in file or file.startswith("/") else f"file:///{file.removeprefix('file:').lstrip('/')}")
+                with store.open_input_file(inner) as f:
+                    meta = pq.ParquetFile(f).metadata
+                    groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+                cols = [[file] * len(groups), list(range(len(groups))), [g.num_rows for g in groups], [g.total_byte_size for g in groups]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "row_group", "rows", "bytes"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, row_group long, rows long, bytes long")
+    return files.select("path").mapInArrow(run, "path string, row_group long, rows long, bytes long")
+
+
+def oversized_row_groups(spark: SparkSession, path: str, limit: int = 64 << 20) -> DataFrame:
+    """(path, row_group, rows, bytes) of the row groups that are larger than limit."""
+    return row_groups(spark, path).filter(F.col("bytes") > limit)
 
 
 def read_chromatograms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE).parquet(f"{path}/facet=chromatograms")
+
+
+def both_axes(x: Column, y: Column) -> Column:
+    """Struct (x, y), null unless both are there."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
+def imaging_block(geometry: DataFrame) -> DataFrame:
+    """One row (grid, pixel_size, extent, offset, and the presence terms) from read_geometry's: a pair of axes or nothing."""
+    pairs = [both_axes(F.col(f"{a}_x"), F.col(f"{a}_y")).alias(n) for a, n in (("grid", "declared_grid"), ("pixel", "pixel_size"), ("extent", "extent"), ("offset", "offset"))]
+    return geometry.select(*pairs, "linescan_sequence", "scan_pattern", "scan_type", "line_scan_direction")

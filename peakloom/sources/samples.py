@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from peakloom.functions.cells import REAGENTS, UNRESOLVED, UNRESOLVED_TERM, cell, curie
 from peakloom.operators import folds, lookup
@@ -16,8 +15,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     Quotes mean nothing, rows may be ragged, headers may repeat: hence lines, not the CSV source. A missing cell is
     empty; cells beyond the header are dropped; an empty file gives no rows.
     """
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).filter(F.trim("value") != "")
-    rows = text.withColumn("row_idx", F.row_number().over(Window.orderBy("line")) - 2)  # one small file, in file order
+    lines = F.filter(F.split("value", "\r?\n"), lambda v: F.trim(v) != "")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("line", "value")).withColumn("row_idx", F.col("line") - 1)
     head = rows.filter("row_idx = -1").select(F.split("value", "\t", -1).alias("names"))
     both = rows.filter("row_idx >= 0").join(F.broadcast(head)).select("row_idx", "names", F.split("value", "\t", -1).alias("cells"))
     spread = both.select("row_idx", "cells", F.posexplode("names").alias("pos", "header"))
@@ -100,6 +99,43 @@ def isa_value(blocks: DataFrame, section: str, key: str) -> DataFrame:
     return found.filter("v is not null").agg(F.min_by("v", "line").alias("value"))
 
 
+def isa_values(blocks: DataFrame, section: str, key: str) -> DataFrame:
+    """(place, value) of all non-blank values of the first line with a key in a section."""
+    line = blocks.filter((F.col("section") == section) & (F.col("key") == key)).orderBy("line").limit(1)
+    return line.select(F.posexplode("values").alias("place", "value")).select("place", F.trim("value").alias("value")).filter("value <> ''")
+
+
+def isa_identity(blocks: DataFrame) -> DataFrame:
+    """One row (accession, title): the study's, else the investigation's, else empty."""
+    def first(name: str) -> Column:
+        def own(section: str, key: str) -> Column:
+            hit = (F.col("section") == section) & (F.col("key") == key)
+            return F.nullif(F.trim(F.min_by(F.when(hit, F.get("values", F.lit(0))), F.when(hit, F.col("line")))), F.lit(""))
+
+        return F.coalesce(own("STUDY", f"Study {name}"), own("INVESTIGATION", f"Investigation {name}"), F.lit(""))
+
+    return blocks.agg(first("Identifier").alias("accession"), first("Title").alias("title"))
+
+
+def isa_ontologies(blocks: DataFrame) -> DataFrame:
+    """(name) of the ontologies that an investigation declares."""
+    return isa_values(blocks, "ONTOLOGY SOURCE REFERENCE", "Term Source Name").select(F.col("value").alias("name")).distinct()
+
+
+def isa_traits(study: DataFrame) -> DataFrame:
+    """(row_idx, pos, category, value struct<value, accession, term_source, extra>) of an ISA-Tab table's characteristics and factors.
+
+    A value column takes the term columns right after it; what isn't a CURIE stays in extra.
+    """
+    cells = unquoted(study)
+    header = cells.select("pos", "header").distinct().agg(F.array_sort(F.collect_list(F.struct("pos", "header"))).alias("h")).select(F.explode(paired_columns(F.col("h.header"))).alias("c")).select("c.*")
+    wanted = header.filter(F.col("name").rlike(r"(?i)^(characteristics|factor value|parameter value)\["))
+    named = wanted.select("pos", "ref_pos", "accession_pos", F.regexp_extract("name", r"\[(.*)\]", 1).alias("category"))
+    at = lambda c, n: cells.select("row_idx", F.col("pos").alias(c), F.col("raw").alias(n))
+    rows = named.join(at("pos", "__v"), "pos").join(at("ref_pos", "__s"), ["row_idx", "ref_pos"], "left").join(at("accession_pos", "__a"), ["row_idx", "accession_pos"], "left")
+    return rows.select("row_idx", "pos", "category", isa_value_of(F.col("__v"), F.col("__s"), F.col("__a")).alias("value"))
+
+
 def paired_columns(header: Column) -> Column:
     """Array of (pos, name, ref_pos, accession_pos): ISA-Tab value columns with the term columns that follow them."""
     named = F.transform(header, lambda h, i: F.struct(i.alias("pos"), h.alias("name")))
@@ -163,7 +199,8 @@ def bind_isa_runs(runs: DataFrame, assay_rows: DataFrame, run: str = "path") ->
 def locate_isa(path: str) -> dict:
     """Files of an ISA bundle: from its folder, its investigation, a sibling of it, or an ISA-JSON document.
 
-    {json} or {investigation, studies, assays}; files are found by their prefixes, in order of their names.
+    {json} or {investigation, studies, assays}: the files that the investigation names, which must be there; where it
+    names none, those with the prefixes, in order of their names.
     """
     import glob
     import os
@@ -171,10 +208,31 @@ def locate_isa(path: str) -> dict:
     if path.endswith(".json"):
         return {"json": path}
     folder = path if os.path.isdir(path) else os.path.dirname(path)
-    found = {kind: sorted(glob.glob(os.path.join(glob.escape(folder), f"{letter}_*.txt"))) for letter, kind in (("i", "investigation"), ("s", "studies"), ("a", "assays"))}
-    if not found["investigation"]:
-        raise FileNotFoundError(f"no investigation file in {folder}")
-    return found | {"investigation": found["investigation"][0]}
+    own = os.path.basename(path)
+    if own.startswith("i_") and not os.path.isdir(path):
+        investigation = path
+    else:
+        found = sorted(glob.glob(os.path.join(glob.escape(folder), "i_*.txt")))
+        if not found:
+            raise FileNotFoundError(f"no investigation file in {folder}")
+        investigation = found[0]
+    declared: dict[str, list[str]] = {"Study File Name": [], "Study Assay File Name": []}
+    with open(investigation, encoding="utf-8", errors="replace") as f:  # a few lines
+        for line in f:
+            key, *values = (v.strip().strip('"') for v in line.rstrip("\r\n").split("\t"))
+            if key in declared and not declared[key]:
+                declared[key] = [v for v in values if v]
+
+    def files(names: list[str], letter: str) -> list[str]:
+        if not names:
+            return sorted(glob.glob(os.path.join(glob.escape(folder), f"{letter}_*.txt")))
+        paths = [os.path.join(folder, n) for n in names]
+        for p in paths:
+            if not os.path.exists(p):
+                raise FileNotFoundError(f"{investigation} names {p}, which isn't there")
+        return paths
+
+    return {"investigation": investigation, "studies": files(declared["Study File Name"], "s"), "assays": files(declared["Study Assay File Name"], "a")}
 
 
 REF = "struct<`@id`:string>"

@@ -292,11 +292,8 @@ def read_chromatograms(spark: SparkSession, path: str, encoding: str | None = No
     return decoded(rows, ["time", "intensity"])
 
 
-def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
-    """(spectrum_index, native_id, x, y, z, ms_level, level_absent, representation, mz_type, intensity_type, mz, intensity) of an imzML file and its sidecar.
-
-    Coordinates are strict: a pixel without x or y fails, or is left out where strict is off. z may be absent.
-    """
+def imzml_rows(spark: SparkSession, path: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
+    """What read_imzml gives before any array is read: mz and intensity say where the arrays are stored."""
     shared = groups(spark, path, encoding)
     df = elements(spark, path, "spectrum", SPECTRUM, encoding)
     p = params_of(F.col("cvParam"), F.col("referenceableParamGroupRef"), shared)
@@ -313,11 +310,17 @@ def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str | Non
     rows = with_types(rows)
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
     if strict:
-        checked = F.when(placed, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("no coordinates: "), F.coalesce("native_id", F.lit("?")))).cast("long"))
-        rows = rows.withColumn("x", checked)
-    else:
-        rows = rows.filter(placed)
-    return decoded(rows, ["mz", "intensity"], sidecar)
+        fault = F.when(~placed, F.concat(F.lit("COORDINATE: none for "), F.coalesce("native_id", F.lit("?"))))
+        return rows.withColumn("x", F.when(placed, F.col("x")).otherwise(F.raise_error(fault).cast("long")))
+    return rows.filter(placed)
+
+
+def read_imzml(spark: SparkSession, path: str, sidecar: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
+    """(spectrum_index, native_id, x, y, z, ms_level, level_absent, representation, mz_type, intensity_type, mz, intensity) of an imzML file and its sidecar.
+
+    Coordinates are strict: a pixel without x or y fails, or is left out where strict is off. z may be absent.
+    """
+    return decoded(imzml_rows(spark, path, encoding, strict), ["mz", "intensity"], sidecar)
 
 
 HEADER = f"fileContent struct<cvParam:array<{PARAM}>>"
