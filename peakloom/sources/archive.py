@@ -221,7 +221,7 @@ def audit(indexes: DataFrame) -> DataFrame:
         ((F.col("i.mz_encoding") == "numpress") & F.col("i.metadata.transform").isNull(), F.lit("a lossy encoding without a transform record")),
         (F.col("given") & (F.size(vocabularies) == 0), F.lit("no vocabularies")),
         (F.size(incomplete) > 0, F.concat(F.lit("incomplete vocabularies: "), F.array_join(F.transform(incomplete, lambda v: F.coalesce(v["id"], F.lit("?"))), ", "))),
-        (missing_uo, F.lit("units without their vocabulary")),
+        (F.col("given") & missing_uo, F.lit("units without their vocabulary")),
     ]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), text) for bad, text in faults]))
     kept = F.exists(F.coalesce("members", F.array().cast("array<string>")), lambda m: m.startswith("sample_metadata/"))

@@ -338,6 +338,38 @@ def read_header(spark: SparkSession, path: str, encoding: str | None = None) ->
     )
 
 
+PLAIN = f"array<{PARAM}>"
+
+
+def read_run(spark: SparkSession, path: str, encoding: str | None = None) -> dict:
+    """What a file's header says of itself: content, software, processings, source files, instruments and the run's references.
+
+    Parameters are lists of (accession, name, value), those of parameter groups first; absent lists are empty.
+    """
+    shared = groups(spark, path, encoding)
+
+    def listed(tag: str, fields: str) -> list[dict]:
+        return [r.asDict(recursive=True) for r in header_elements(spark, path, tag, fields, encoding).collect()]
+
+    def params(e: dict) -> list[dict]:
+        refs = [p for r in e.get("referenceableParamGroupRef") or [] for p in shared.get(r["_ref"], [])]
+        return [{"accession": p["_accession"], "name": p["_name"]} | ({"value": p["_value"]} if p["_value"] else {}) for p in [*refs, *(e.get("cvParam") or [])]]
+
+    content = [p for e in listed("fileContent", PARAMS) for p in params(e)]
+    methods = f"_id string, processingMethod array<struct<_order:int,_softwareRef:string,cvParam:{PLAIN}>>"
+    head = header_text(spark, path, encoding)
+    run = re.search(r"<run\b([^>]*)>", head)
+    attributes = dict(re.findall(r"""([A-Za-z]+)\s*=\s*["']([^"']*)["']""", run[1])) if run else {}
+    return {
+        "content": content,
+        "software": [{"id": e["_id"], "version": e["_version"], "parameters": params(e)} for e in listed("software", f"_id string, _version string, {PARAMS}")],
+        "processings": [{"id": e["_id"], "software": m["_softwareRef"], "parameters": params(m)} for e in listed("dataProcessing", methods) for m in e["processingMethod"] or []],
+        "source_files": [{"id": e["_id"], "name": e["_name"], "location": e["_location"], "parameters": params(e)} for e in listed("sourceFile", f"_id string, _name string, _location string, {PARAMS}")],
+        "instruments": [e["_id"] for e in listed("instrumentConfiguration", "_id string")],
+        "run": {"id": attributes.get("id"), "default_source_file": attributes.get("defaultSourceFileRef"), "default_instrument": attributes.get("defaultInstrumentConfigurationRef")},
+    }
+
+
 # Field, accession, type, name and unit of the geometry terms that have a value.
 GEOMETRY = (
     ("grid_x", terms.GRID_X, "long", "max count of pixel x", None), ("grid_y", terms.GRID_Y, "long", "max count of pixel y", None),
