@@ -45,7 +45,7 @@ def checked(spectra: DataFrame) -> DataFrame:
 
 def write_archive(
     spectra: DataFrame, path: str, mask: bool = True, metadata: dict | None = None, mz_encoding: str = "plain", chromatograms: DataFrame | None = None,
-    members: DataFrame | None = None, level: int = 3, group_points: int = 0, intensity_width: str = "float",
+    members: DataFrame | None = None, level: int = 3, group_points: int = 0, intensity_width: str = "float", finish=None,
 ) -> dict:
     """Write spectra (arrays mz and intensity beside any of META, others and reporters) as facets under path; returns the index.
 
@@ -53,7 +53,7 @@ def write_archive(
     mz_encoding: plain, delta (lossless up to rounding) or numpress (lossy). intensity_width: float, double, or source:
     double if any spectrum's intensities are. Spectra are decoded once, into a scratch table from which all is written.
     The facets are partitioned by ranges of spectrum_index, so a reader prunes by it. Without an index the folder is no
-    archive.
+    archive. finish: called with the spectra's scratch table for further metadata and members, such as need their places.
     """
     spark = spectra.sparkSession
     have = [c for c in META if c in spectra.columns]
@@ -74,6 +74,10 @@ def write_archive(
     if group_points:
         options["parquet.block.row.count.limit"] = group_points
 
+    metadata = dict(metadata or {})
+    if finish:
+        more, members = finish(rows)
+        metadata |= more
     rows.select(*have, *[c for c in extra if c == "reporters"], F.coalesce(F.size("mz"), F.lit(0)).alias("n_points")).write.options(**options).parquet(f"{path}/facet=spectra_metadata")
     part = rows.select("facet", "spectrum_index", "mz", F.col("intensity").cast(f"array<{width}>").alias("intensity"), *[c for c in extra if c == "others"])
     if mz_encoding == "delta":
@@ -95,7 +99,6 @@ def write_archive(
     if counts["resorted"]:
         first = [r[0] for r in rows.filter("was_unsorted").select("spectrum_index").orderBy("spectrum_index").limit(LISTED).collect()]
         warnings.append({"kind": "m/z not ascending, sorted", "n": counts["resorted"], "first": first})
-    metadata = dict(metadata or {})
     if mz_encoding == "numpress":
         metadata["transform"] = NUMPRESS
     done = [("sorted by m/z", counts["resorted"] > 0), ("zero runs masked", mask), ("m/z coded with loss", mz_encoding == "numpress"), ("intensities narrowed to 32 bits", narrowed)]

@@ -1,6 +1,7 @@
 """Spectrum files in XML: mzML with inline arrays, imzML with a binary sidecar.
 
-Spark's XML source splits a file by element, so a file's spectra are read by many tasks; schemas are explicit.
+A file's spectra are read by many tasks: its text is split at their closing tags and each is parsed on its own, with
+explicit schemas. Headers are read on their own, and no further than they go.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from peakloom.sources import terms
 
@@ -29,10 +33,83 @@ CHROMATOGRAM = f"_index long, _id string, _defaultArrayLength long, {PARAMS}, {A
 GROUP = f"_id string, cvParam array<{PARAM}>"
 
 
-def elements(spark: SparkSession, path: str, tag: str, schema: str, encoding: str | None = None) -> DataFrame:
-    """One row per element with the tag; a malformed file fails. Without an encoding the prolog's is taken."""
+def spectrum_texts(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(value): what stands before each closing tag of a spectrum, and what follows the last one. Such texts are split
+    between tasks like lines, so one file is read by many."""
     encoding = encoding or detect_encoding(spark, path)
-    return spark.read.format("xml").option("rowTag", tag).option("encoding", encoding).option("mode", "FAILFAST").schema(schema).load(path)
+    return spark.read.option("lineSep", "</spectrum>").option("encoding", encoding).text(path)
+
+
+def fields_of(element: ElementTree.Element, kind: StructType) -> dict:
+    """An element as a row of a schema: attributes are fields with an underscore, children structs, arrays of structs or their text."""
+    children: dict[str, list] = {}
+    for child in element:
+        children.setdefault(child.tag, []).append(child)
+    out = {}
+    for field in kind.fields:
+        name, t = field.name, field.dataType
+        if name[0] == "_":
+            v = element.get(name[1:])
+            out[name] = int(v) if v is not None and isinstance(t, LongType | IntegerType) else v
+        elif isinstance(t, ArrayType):
+            out[name] = [fields_of(c, t.elementType) for c in children[name]] if name in children else None
+        elif isinstance(t, StructType):
+            out[name] = fields_of(children[name][0], t) if name in children else None
+        else:
+            out[name] = children[name][0].text if name in children else None
+    return out
+
+
+def parse_element(text: str, kind: StructType) -> dict:
+    try:
+        return fields_of(ElementTree.fromstring(text), kind)
+    except (ElementTree.ParseError, ValueError) as error:
+        raise ValueError(f"MALFORMED: {error}: {text[:200]}") from error
+
+
+def cut_elements(text: str, tag: str, close: str | None = None) -> list[str]:
+    """The elements with a tag in a text, which ends where its last one does (close None), or has their closing tags."""
+    out, at, n = [], text.find(f"<{tag}"), len(tag) + 1
+    while at >= 0:
+        if text[at + n : at + n + 1] not in ("", " ", "\t", "\r", "\n", ">", "/"):  # a longer name
+            at = text.find(f"<{tag}", at + n)
+            continue
+        end = text.find(">", at)
+        if end > 0 and text[end - 1] == "/":
+            out.append(text[at : end + 1])
+        elif close is None:
+            return [*out, f"{text[at:]}</{tag}>"]
+        else:
+            end = text.find(close, at) + len(close) - 1
+            out.append(text[at : end + 1] if end >= len(close) - 1 else text[at:])
+            end = max(end, at + n)
+        at = text.find(f"<{tag}", max(end, at + n))
+    return out
+
+
+def parsed(texts: DataFrame, schema: str, tag: str, close: str | None = None) -> DataFrame:
+    """Elements in texts as rows of a schema, cut and parsed by the tasks; a malformed one fails."""
+    kind = StructType.fromDDL(schema)
+    columns = [(f.name, to_arrow_type(f.dataType)) for f in kind.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, DECODE_ROWS):
+                rows = [parse_element(x, kind) for t in b.column(0).slice(lo, DECODE_ROWS).to_pylist() for x in cut_elements(t, tag, close)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in columns], names=[n for n, _ in columns])
+
+    return texts.mapInArrow(run, kind)
+
+
+def spectrum_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None) -> DataFrame:
+    """One row per spectrum element, in no particular order; a malformed one fails."""
+    return parsed(spectrum_texts(spark, path, encoding), schema, "spectrum")
+
+
+def chromatogram_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None) -> DataFrame:
+    """One row per chromatogram element; they follow the spectra."""
+    some = spectrum_texts(spark, path, encoding).filter(F.contains("value", F.lit("<chromatogram")))
+    return parsed(some, schema, "chromatogram", "</chromatogram>")
 
 
 def chunks(spark: SparkSession, path: str, size: int = 1 << 16) -> Iterator[bytes]:
@@ -80,8 +157,8 @@ def header_text(spark: SparkSession, path: str, encoding: str | None = None) ->
 def header_elements(spark: SparkSession, path: str, tag: str, schema: str, encoding: str | None = None) -> DataFrame:
     """One row per element with the tag in the file's header."""
     found = re.findall(rf"<{tag}(?:\s[^>]*?)?/>|<{tag}(?:\s[^>]*)?>.*?</{tag}>", header_text(spark, path, encoding), re.DOTALL)
-    rows = spark.createDataFrame([(k, x) for k, x in enumerate(found)], "place int, xml string")
-    return rows.select("place", F.from_xml("xml", schema, {"mode": "FAILFAST"}).alias("e")).orderBy("place").select("e.*")
+    kind = StructType.fromDDL(schema)
+    return spark.createDataFrame([parse_element(x, kind) for x in found], kind)
 
 
 def groups(spark: SparkSession, path: str, encoding: str | None = None) -> dict[str, list]:
@@ -258,7 +335,7 @@ def read_mzml(spark: SparkSession, path: str, encoding: str | None = None) -> Da
     are those of the source (f64, f32); arrays are doubles here. others has all further arrays.
     """
     shared = groups(spark, path, encoding)
-    df = elements(spark, path, "spectrum", SPECTRUM, encoding)
+    df = spectrum_elements(spark, path, SPECTRUM, encoding)
     p = params_of(F.col("cvParam"), F.col("referenceableParamGroupRef"), shared)
     scan = F.get(F.col("scanList.scan"), F.lit(0))
     scan_params = F.coalesce(scan["cvParam"], F.array().cast(f"array<{PARAM}>"))
@@ -288,14 +365,14 @@ def with_types(rows: DataFrame) -> DataFrame:
 def read_chromatograms(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(chrom_index, id, time, intensity) of an mzML file."""
     entries = array_entries(F.col("binaryDataArrayList"), groups(spark, path, encoding))
-    rows = elements(spark, path, "chromatogram", CHROMATOGRAM, encoding).select(F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), described(entries, terms.TIME_ARRAY, F.col("_defaultArrayLength")).alias("time"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"))
+    rows = chromatogram_elements(spark, path, CHROMATOGRAM, encoding).select(F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), described(entries, terms.TIME_ARRAY, F.col("_defaultArrayLength")).alias("time"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"))
     return decoded(rows, ["time", "intensity"])
 
 
 def imzml_rows(spark: SparkSession, path: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
     """What read_imzml gives before any array is read: mz and intensity say where the arrays are stored."""
     shared = groups(spark, path, encoding)
-    df = elements(spark, path, "spectrum", SPECTRUM, encoding)
+    df = spectrum_elements(spark, path, SPECTRUM, encoding)
     p = params_of(F.col("cvParam"), F.col("referenceableParamGroupRef"), shared)
     scan = F.get(F.col("scanList.scan"), F.lit(0))
     at = params_of(scan["cvParam"], scan["referenceableParamGroupRef"], shared)
@@ -402,8 +479,8 @@ def geometry_params() -> Column:
 def inspect(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(kind, ms_level, n) of a file's spectra and chromatograms, without decoding an array; an absent level is 1."""
     level = F.coalesce(F.nullif(value_of(F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>")), terms.MS_LEVEL).try_cast("int"), F.lit(0)), F.lit(1))
-    spectra = elements(spark, path, "spectrum", f"_id string, cvParam array<{PARAM}>", encoding).groupBy(F.lit("spectrum").alias("kind"), level.alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
-    traces = elements(spark, path, "chromatogram", "_id string", encoding).groupBy(F.lit("chromatogram").alias("kind"), F.lit(None).cast("int").alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
+    spectra = spectrum_elements(spark, path, f"_id string, cvParam array<{PARAM}>", encoding).groupBy(F.lit("spectrum").alias("kind"), level.alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
+    traces = chromatogram_elements(spark, path, "_id string", encoding).groupBy(F.lit("chromatogram").alias("kind"), F.lit(None).cast("int").alias("ms_level")).agg(F.count(F.lit(1)).alias("n"))
     return spectra.unionByName(traces)
 
 
