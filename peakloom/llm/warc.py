@@ -189,7 +189,8 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (record_id, response, request, metadata).
 
     Captures are responses, revisits and resources. Requests and metadata join the capture that they are concurrent
-    to, or that says it is concurrent to them. Records that repeat an id are one; of several requests (or metadata
+    to, or that says it is concurrent to them; a metadata record also joins the captures of the requests that it names
+    or that name it. Records that repeat an id are one; of several requests (or metadata
     records) of a capture the one with the smallest id stands; a missing one is null. Requests of no capture are dropped.
     """
     is_main, is_side = F.col("record_type").isin(*MAIN), F.col("record_type").isin("request", "metadata")
@@ -206,8 +207,15 @@ def assemble(records: DataFrame) -> DataFrame:
     found = rows.groupBy("record_id").agg(F.first("response", ignorenulls=True).alias("response"), beside("request"), beside("metadata")).filter(F.col("response").isNotNull())
     # requests and metadata that a capture names
     named = records.filter(is_main).select(F.col("record_id").alias("main"), F.explode("concurrent_to").alias("side")).distinct()
+    # metadata that a request of a capture names, or that names it
+    links = records.filter(is_side).select(F.col("record_id").alias("side"), F.col("record_type").alias("kind"), F.explode("concurrent_to").alias("target")).distinct()
+    by_request = links.filter("kind = 'request'").select(F.col("side").alias("request"), "target")
+    about = by_request.select("request", F.col("target").alias("side")).union(links.filter("kind = 'metadata'").select(F.col("target").alias("request"), "side"))
+    captures = by_request.select("request", F.col("target").alias("main")).union(named.select(F.col("side").alias("request"), "main"))
+    beyond = about.join(captures, "request").filter("main <> side").select("main", "side", F.lit(True).alias("by_request"))
     sides = records.filter(is_side).select(F.col("record_id").alias("side"), "record_type", nested.alias("nested"))
-    other = named.join(sides, "side").groupBy(F.col("main").alias("record_id")).agg(beside("request").alias("request_named"), beside("metadata").alias("metadata_named"))
+    linked = named.withColumn("by_request", F.lit(False)).union(beyond).join(sides, "side").filter("not by_request or record_type = 'metadata'")
+    other = linked.groupBy(F.col("main").alias("record_id")).agg(beside("request").alias("request_named"), beside("metadata").alias("metadata_named"))
 
     def least(kind: str) -> Column:
         a, b = F.col(kind), F.col(f"{kind}_named")

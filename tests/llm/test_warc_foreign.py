@@ -34,6 +34,27 @@ def test_either_side_names_the_other(spark, tmp_path):
     assert bytes(got["<s>"]["response"]["payload"]) == b"plain" and got["<s>"]["metadata"]["fields"] == {"b": "2"} and got["<s>"]["request"] is None
 
 
+def test_metadata_joins_through_a_request(spark, tmp_path):
+    http = "Content-Type: application/http;msgtype=response"
+    records = [
+        record("response", "r1", b"HTTP/1.1 200 OK\r\n\r\none", http, "WARC-Concurrent-To: <q1>"),
+        record("request", "q1", b"GET / HTTP/1.1\r\n\r\n"),
+        record("metadata", "m1", b"a: 1\r\n", "WARC-Concurrent-To: <q1>"),
+        record("response", "r2", b"HTTP/1.1 200 OK\r\n\r\ntwo", http),
+        record("request", "q2", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <r2>", "WARC-Concurrent-To: <m2>"),
+        record("metadata", "m2", b"b: 2\r\n"),
+        record("response", "r3", b"HTTP/1.1 200 OK\r\n\r\nthree", http),
+        record("request", "q3", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <r3>"),
+        record("request", "q0", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <q3>"),
+        record("metadata", "m9", b"c: 3\r\n", "WARC-Concurrent-To: <q9>"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    got = {r["record_id"]: r for r in warc.assemble(warc.read_archive(spark, str(tmp_path))).collect()}
+    assert got.keys() == {"<r1>", "<r2>", "<r3>"}
+    assert [got[f"<r{k}>"]["request"]["record_id"] for k in (1, 2, 3)] == ["<q1>", "<q2>", "<q3>"]
+    assert [m and m["record_id"] for m in (got[f"<r{k}>"]["metadata"] for k in (1, 2, 3))] == ["<m1>", "<m2>", None]
+
+
 def test_own_revisits_refer_to_a_record(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 1000)
     pages = spark.createDataFrame([(k, f"http://{k}", "x" * 600 if k < 3 else str(k) * 600) for k in range(8)], "page_id long, url string, html string").coalesce(1)
