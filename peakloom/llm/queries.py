@@ -120,7 +120,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm import annulus
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = annulus.with_digests(*annulus.cluster(vectors))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality, op12_centroids)}
+
+
+def centroids_sql(rounds: int = 3) -> str:
+    """k-means of op12 as one chain of common tables: each round assigns every vector and moves the centroids."""
+    parts = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c, v AS m FROM v
+                 ORDER BY sha256('1:' || vec_id) LIMIT 16)""",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)) AS b FROM v, c{k} GROUP BY vec_id, v)""")
+        if k < rounds:
+            parts.append(f"""s{k} AS (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS guess, sum(x) AS t, count(*) AS n FROM (SELECT b.c AS c, unnest(range(64)) AS i, unnest(v) AS x FROM a{k}) GROUP BY c, i),
+              m{k} AS (SELECT c, list(CASE WHEN guess * n > t THEN guess - 1 WHEN (guess + 1) * n <= t THEN guess + 1 ELSE guess END ORDER BY i) AS m FROM s{k} GROUP BY c),
+              c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} USING (c))""")
+    last = f"a{rounds}"
+    return (
+        "WITH " + ", ".join(parts) + f"""
+        SELECT vec_id, b.c AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM {last} JOIN c{rounds} ON c{rounds}.c = b.c"""
+    )
+
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -149,4 +181,5 @@ ORACLES = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
         FROM documents JOIN reach ON a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
+    "op12_centroids": centroids_sql(),
 }
