@@ -128,7 +128,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality, op12_centroids)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakloom.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality, op12_centroids, op13_collocations)}
 
 
 def centroids_sql(rounds: int = 3) -> str:
@@ -182,4 +188,24 @@ ORACLES = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
         FROM documents JOIN reach ON a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
     "op12_centroids": centroids_sql(),
+    "op13_collocations": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+              FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+        h AS MATERIALIZED (SELECT * FROM f WHERE f >= 100),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM h WHERE k > 1),
+        parts AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(s[1:j], ' ') AS one, array_to_string(s[j + 1:], ' ') AS rest
+                  FROM c, (SELECT unnest(range(1, 5)) AS j) WHERE j < k),
+        cuts AS (SELECT parts.lang, parts.phrase, parts.k, a, j, l.f AS l, r.f AS r, CAST(n AS BIGINT) AS n,
+                        (1000 * CAST(a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * r.f) AS score
+                 FROM parts JOIN h l ON l.lang = parts.lang AND l.phrase = one JOIN h r ON r.lang = parts.lang AND r.phrase = rest JOIN t ON t.lang = parts.lang),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (
+            SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM kept QUALIFY rank <= 2000""",
 }
