@@ -120,6 +120,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from peakloom.llm import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_texts(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_bytes=True)
+    found = byte_bpe.decode_ids(encoded, path)
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakloom.llm import annulus
 
@@ -134,7 +145,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality, op12_centroids, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_sentencepiece, op4_suffix_dedup, op5_secret_scan, op6_warc, op7_language_id, op8_ann, op9_minhash, op10_quality, op11_byte_bpe, op12_centroids, op13_collocations)}
 
 
 def centroids_sql(rounds: int = 3) -> str:
