@@ -164,6 +164,14 @@ def register(spark: SparkSession) -> None:
         "nearest_intensity(mz ARRAY<DOUBLE>, v ARRAY<DOUBLE>, target DOUBLE, tolerance DOUBLE) RETURNS DOUBLE":
             "aggregate(filter(transform(mz, (m, i) -> named_struct('d', abs(m - target), 'v', get(v, i))), p -> p.d <= tolerance), named_struct('d', double('inf'), 'v', 0D), (b, p) -> if(p.d < b.d, p, b)).v",
     }
+    # table functions, for lateral joins: a spectrum's points, and the parts of a sample-table cell
+    functions |= {
+        "points(mz ARRAY<DOUBLE>, v ARRAY<DOUBLE>) RETURNS TABLE(place INT, mz DOUBLE, intensity DOUBLE)":
+            "SELECT p.pos, p.mz_, get(points.v, p.pos) FROM posexplode(points.mz) AS p(pos, mz_)",
+        "sdrf_tokens(cell STRING) RETURNS TABLE(place INT, name STRING, value STRING)":
+            "SELECT t.pos, if(contains(t.token, '='), trim(substring_index(t.token, '=', 1)), NULL), if(contains(t.token, '='), trim(regexp_replace(t.token, '^[^=]*=', '')), t.token)"
+            " FROM posexplode(filter(transform(split(sdrf_tokens.cell, ';'), x -> trim(x)), x -> x <> '')) AS t(pos, token)",
+    }
     for head, body in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     from peakloom.functions import numpress

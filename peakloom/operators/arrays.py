@@ -53,14 +53,35 @@ def unmasked(intensity: np.ndarray, offsets: np.ndarray, masking: np.ndarray) ->
     return some | before | after | ~np.repeat(masking, np.diff(offsets))
 
 
+def along(other: dict, n: int, order: np.ndarray) -> dict:
+    """A further array with its values in an order of the n points; one of another length stays as it is. Whole numbers stay whole."""
+    kinds = {"values": np.float64, "integers": np.int64}
+    return other | {c: np.array(other[c], kind)[order] for c, kind in kinds.items() if other.get(c) is not None and len(other[c]) == n}
+
+
+def piece(other: dict, n: int, begin: int, end: int, first: bool) -> dict | None:
+    """A further array's values of the points [begin, end) of n; one of another length is whole in the first chunk and empty in the others."""
+    out = dict(other)
+    for c in ("values", "integers"):
+        if (v := other.get(c)) is not None:
+            out[c] = v[begin:end] if len(v) == n else v if first else []
+    return out
+
+
 def canonical(spectra: DataFrame, mask: bool, others: bool = False) -> DataFrame:
     """spectra with mz, intensity (doubles) and others in m/z order, profiles without interior zero runs, and was_unsorted.
 
     Arrays as long as m/z are permuted and masked along with it; arrays of another length stay as they are.
     """
-    names = [*spectra.columns, "was_unsorted"]
-    at = {c: spectra.columns.index(c) for c in ("mz", "intensity", "representation")}
-    more = spectra.columns.index("others") if others else None
+    run = ordering(spectra.columns, mask, others)
+    return spectra.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*spectra.dtypes, ("was_unsorted", "boolean")]))
+
+
+def ordering(columns: list[str], mask: bool, others: bool):
+    """What canonical does to batches of these columns."""
+    names = [*columns, "was_unsorted"]
+    at = {c: columns.index(c) for c in ("mz", "intensity", "representation")}
+    more = columns.index("others") if others else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -97,11 +118,53 @@ def canonical(spectra: DataFrame, mask: bool, others: bool = False) -> DataFrame
                     ends, moved = np.r_[0, np.cumsum(sizes)], []
                     for k, arrays in enumerate(cols[more].to_pylist()):
                         n, order = offsets[k + 1] - offsets[k], place[ends[k] : ends[k + 1]] - offsets[k]
-                        moved.append(arrays and [a | {"values": np.array(a["values"], float)[order]} if a["values"] is not None and len(a["values"]) == n else a for a in arrays])
+                        moved.append(arrays and [along(a, n, order) for a in arrays])
                     cols[more] = pa.array(moved, b.schema.field(more).type)
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(bad)], names=names)
 
-    return spectra.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*spectra.dtypes, ("was_unsorted", "boolean")]))
+    return run
+
+
+#: Width of a stored chunk in m/z, and most points in one.
+CHUNK_WIDTH, CHUNK_POINTS = 50.0, 1 << 14
+
+
+def chunk_bounds(mz: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spectrum, begin, end) of the runs of points of one spectrum and one chunk, none longer than CHUNK_POINTS; a spectrum without points has one empty run."""
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    with np.errstate(invalid="ignore"):
+        chunk = np.floor(mz / CHUNK_WIDTH)
+    begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (chunk[1:] != chunk[:-1])][: len(mz)])
+    ends = np.r_[begins[1:], len(mz)][: len(begins)]
+    parts = -(-(ends - begins) // CHUNK_POINTS)
+    first = np.cumsum(parts) - parts
+    begins = np.repeat(begins, parts) + (np.arange(parts.sum()) - np.repeat(first, parts)) * CHUNK_POINTS
+    ends = np.minimum(np.repeat(ends, parts), begins + CHUNK_POINTS)
+    empty = np.flatnonzero(sizes == 0)
+    spectrum = np.r_[row[begins], empty]
+    begins, ends = np.r_[begins, offsets[empty]], np.r_[ends, offsets[empty]]
+    order = np.argsort(spectrum, kind="stable")
+    return spectrum[order], begins[order], ends[order]
+
+
+def bit_deltas(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Differences of the doubles' bit patterns as whole numbers, from run to run anew: nothing is rounded, and ascending values give small numbers."""
+    bits = np.ascontiguousarray(values, np.float64).view(np.int64)
+    out = bits.copy()
+    with np.errstate(over="ignore"):
+        out[1:] -= bits[:-1]
+    out[begins] = bits[begins]
+    return out
+
+
+def from_bit_deltas(deltas: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The inverse, in runs by offsets: running sums that wrap around."""
+    total = np.cumsum(deltas, dtype=np.int64)
+    sizes = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        before = np.repeat(np.r_[np.int64(0), total][offsets[:-1]], sizes)
+        return (total - before).view(np.float64)
 
 
 def off(source: np.ndarray, output: np.ndarray, tolerance: float) -> np.ndarray:
@@ -121,10 +184,11 @@ def positional(s: tuple[np.ndarray, np.ndarray], o: tuple[np.ndarray, np.ndarray
     return found[0], found[1]
 
 
-def merged(s: tuple[np.ndarray, np.ndarray], o: tuple[np.ndarray, np.ndarray], mz_tolerance: float, intensity_tolerance: float) -> dict[str, int]:
+def merged(s: tuple[np.ndarray, np.ndarray], o: tuple[np.ndarray, np.ndarray], mz_tolerance: float, intensity_tolerance: float) -> dict[str, int | None]:
     """kept, dropped, dropped_nonzero, added and changed of a source spectrum against one with points left out, both in m/z order.
 
-    An output point takes the first source point that is within the tolerance and comes after the one taken before.
+    mz_first and intensity_first are the places in the source of the first point that fails by either: one that isn't
+    zero and was left out, or before which one was added; or whose intensity was changed. None if none does. An output point takes the first source point that is within the tolerance and comes after the one taken before.
     """
     (sm, si), (om, oi) = s, o
     n, m = len(sm), len(om)
@@ -138,25 +202,36 @@ def merged(s: tuple[np.ndarray, np.ndarray], o: tuple[np.ndarray, np.ndarray], m
         return merged_slowly(s, o, mz_tolerance, intensity_tolerance)
     rest = np.ones(n, bool)
     rest[taken] = False
-    return {"kept": m, "dropped": n - m, "dropped_nonzero": int((si[rest] != 0).sum()), "added": 0, "changed": int(off(si[taken], oi, intensity_tolerance).sum())}
+    lost, changed = np.flatnonzero(rest & (si != 0)), taken[off(si[taken], oi, intensity_tolerance)]
+    first = lambda places: int(places[0]) if len(places) else None
+    return {"kept": m, "dropped": n - m, "dropped_nonzero": len(lost), "added": 0, "changed": len(changed), "mz_first": first(lost), "intensity_first": first(changed)}
 
 
-def merged_slowly(s, o, mz_tolerance: float, intensity_tolerance: float) -> dict[str, int]:
+def merged_slowly(s, o, mz_tolerance: float, intensity_tolerance: float) -> dict[str, int | None]:
     """The same by two pointers, for the spectra that don't fit."""
     (sm, si), (om, oi) = s, o
-    got = dict.fromkeys(("kept", "dropped", "dropped_nonzero", "added", "changed"), 0)
+    got: dict[str, int | None] = dict.fromkeys(("kept", "dropped", "dropped_nonzero", "added", "changed"), 0) | {"mz_first": None, "intensity_first": None}
+
+    def fails(axis: str, place: int) -> None:
+        got[axis] = place if got[axis] is None else got[axis]
+
     i = j = 0
     while i < len(sm) or j < len(om):
         if i < len(sm) and j < len(om) and not off(sm[i : i + 1], om[j : j + 1], mz_tolerance)[0]:
             got["kept"] += 1
-            got["changed"] += int(off(si[i : i + 1], oi[j : j + 1], intensity_tolerance)[0])
+            if off(si[i : i + 1], oi[j : j + 1], intensity_tolerance)[0]:
+                got["changed"] += 1
+                fails("intensity_first", i)
             i, j = i + 1, j + 1
         elif i < len(sm) and (j >= len(om) or sm[i] < om[j]):
             got["dropped"] += 1
-            got["dropped_nonzero"] += int(si[i] != 0)
+            if si[i] != 0:
+                got["dropped_nonzero"] += 1
+                fails("mz_first", i)
             i += 1
         else:
             got["added"] += 1
+            fails("mz_first", i)
             j += 1
     return got
 
@@ -195,9 +270,7 @@ def compared(both: DataFrame, keys: list[str], mz_tolerance: float, intensity_to
                         mz_first, intensity_first = None, 0
                     elif kind == "profile":
                         got = merged(s, o, mz_tolerance, intensity_tolerance)
-                        gone = got["dropped_nonzero"]
-                        mz_first = 0 if got["added"] or gone else None
-                        intensity_first = 0 if got["changed"] else None
+                        gone, mz_first, intensity_first = got["dropped_nonzero"], got["mz_first"], got["intensity_first"]
                     else:
                         mz_first, intensity_first = positional(s, o, mz_tolerance, intensity_tolerance)
                     rows.append((mz_first, intensity_first, gone, float(np.cumsum(s[1])[-1]) if len(s[1]) else 0.0, float(np.cumsum(o[1])[-1]) if len(o[1]) else 0.0))

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peakloom.operators import arrays
+
 #: Width of an m/z chunk.
 CHUNK_WIDTH = 50.0
 
@@ -127,15 +131,39 @@ def delta_encode(a: Column) -> Column:
 
 
 def delta_decode(a: Column) -> Column:
-    """Running sums: the inverse of delta_encode up to rounding, in linear time by Arrow batches."""
-    import numpy as np
-    import pandas as pd
+    """Running sums: the inverse of delta_encode up to rounding (bit_deltas has none), in linear time by Arrow batches."""
+
+    @F.arrow_udf("array<double>")
+    def sums(lists: pa.Array) -> pa.Array:
+        values, offsets, gone = arrays.flat(lists)
+        out = [np.cumsum(values[x:y]) for x, y in zip(offsets, offsets[1:], strict=False)]
+        return arrays.lists(np.concatenate(out or [np.zeros(0)]), np.diff(offsets), gone, pa.float64())
+
+    return sums(a)
+
+
+def bit_deltas(a: Column) -> Column:
+    """Differences of the bit patterns of doubles as whole numbers: lossless whatever the values, and small for ascending ones."""
+
+    @F.arrow_udf("array<long>")
+    def differences(lists: pa.Array) -> pa.Array:
+        values, offsets, gone = arrays.flat(lists)
+        return arrays.lists(arrays.bit_deltas(values, offsets[:-1][np.diff(offsets) > 0]), np.diff(offsets), gone, pa.int64())
+
+    return differences(a)
+
+
+def from_bit_deltas(a: Column) -> Column:
+    """The inverse of bit_deltas."""
 
-    def sums(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else np.cumsum(x))
+    @F.arrow_udf("array<double>")
+    def values(lists: pa.Array) -> pa.Array:
+        gone = lists.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.where(gone, 0, lists.value_lengths().fill_null(0).to_numpy())
+        found = arrays.from_bit_deltas(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)])
+        return arrays.lists(found, sizes, gone, pa.float64())
 
-    sums.__annotations__ = {"values": pd.Series, "return": pd.Series}  # names are only known in here
-    return F.pandas_udf(sums, "array<double>")(a)
+    return values(a)
 
 
 def narrowed(values: Column) -> tuple[Column, Column]:

@@ -278,6 +278,25 @@ def cell_parse(spark, sf_dir):
     return got.select("c_custkey", "c.value", "c.accession", "c.is_na", F.coalesce(F.size("c.extra"), F.lit(0)).alias("n_extra"))
 
 
+@query("""SELECT c_custkey, place, name, value FROM (SELECT c_custkey, 0 AS place, 'NT' AS name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 1, 'AC', 'UNIMOD:' || c_nationkey FROM customer
+    UNION ALL SELECT c_custkey, 2, NULL, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 2 + (1 - c_custkey % 2), 'MT', 'a=b' FROM customer)""")
+def cell_tokens(spark, sf_dir):
+    """The parts of cells, by a table function in a lateral join of SQL."""
+    cells.register(spark)
+    k = F.col("c_custkey")
+    text = F.concat(F.lit(" NT="), "c_name", F.lit(";AC = UNIMOD:"), F.col("c_nationkey").cast("string"), F.when(k % 2 == 0, F.concat(F.lit("; ; "), "c_mktsegment")).otherwise(""), F.lit(";MT=a=b;"))
+    table(spark, sf_dir, "customer").select("c_custkey", text.alias("cell")).createOrReplaceTempView("customer_cells")
+    return spark.sql("SELECT c_custkey, t.* FROM customer_cells, LATERAL sdrf_tokens(cell) AS t")
+
+
+@query("SELECT vec_id, i - 1 AS place, CAST(embedding[i] AS DOUBLE) AS mz, CAST(embedding[65 - i] AS DOUBLE) AS intensity FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)")
+def lateral_points(spark, sf_dir):
+    """The points of arrays, by a table function in a lateral join of SQL."""
+    cells.register(spark)
+    table(spark, sf_dir, "embeddings").selectExpr("vec_id", "transform(embedding, x -> double(x)) AS mz", "reverse(transform(embedding, x -> double(x))) AS v").createOrReplaceTempView("embedding_arrays")
+    return spark.sql("SELECT vec_id, p.* FROM embedding_arrays, LATERAL points(mz, v) AS p")
+
+
 STEM = r"regexp_replace(regexp_replace({}, '^.*/', ''), '\.[^.]*$', '')"
 
 

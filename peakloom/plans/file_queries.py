@@ -152,16 +152,19 @@ def fidelity_report(spark, sf_dir):
     return fidelity.report(xml.read_imzml(spark, f"{run}.imzML", f"{run}.ibd"), archive.pixels(spark, at), fidelity.Level.L1, geometry=pair)
 
 
-@query(f"""SELECT DISTINCT spectrum FROM {MASKED} WHERE (spectrum % 17 = 0 AND intensity <> 0) OR (spectrum % 19 = 0)""")
+@query(f"""SELECT spectrum, CASE WHEN spectrum % 19 = 0 AND representation <> 'profile' THEN 0 ELSE f END AS place FROM
+    (SELECT spectrum, representation, min(i) FILTER (intensity <> 0) AS f FROM (SELECT p.*, s.representation, row_number() OVER (PARTITION BY spectrum ORDER BY mz) - 1 AS i FROM {DOTS} p JOIN {FROM} s USING (spectrum)) GROUP BY 1, 2)
+    WHERE (f IS NOT NULL AND spectrum % 17 = 0) OR (spectrum % 19 = 0 AND (f IS NOT NULL OR representation <> 'profile'))""")
 def fidelity_damage(spark, sf_dir):
-    """Spectra whose archived intensities or m/z were changed, and no others, are found."""
+    """Spectra whose archived intensities or m/z were changed, and no others, are found, with the place of the first point that differs."""
     run, k = imzml(spark, sf_dir), F.col("spectrum_index")
     output = archive.pixels(spark, converted(spark, sf_dir)).withColumns({
         "intensity": F.when(k % 17 == 0, F.transform("intensity", lambda v: (v * 2).cast("float"))).otherwise(F.col("intensity")),
         "mz": F.when(k % 19 == 0, F.transform("mz", lambda v: v + 1)).otherwise(F.col("mz")),
     })
     found = fidelity.mismatches(xml.read_imzml(spark, f"{run}.imzML", f"{run}.ibd"), output, by="index")
-    return found.filter("mz_first is not null or intensity_first is not null").select(F.col("s_index").alias("spectrum"))
+    place = F.coalesce("mz_first", "intensity_first")
+    return found.filter(place.isNotNull()).select(F.col("s_index").alias("spectrum"), place.alias("place"))
 
 
 @query("SELECT 'l1' AS level, count(*) AS n_source, count(*) FILTER (o_orderkey % 23 <> 0) AS n_output, NULL AS missing, FALSE AS equal FROM orders")
@@ -194,10 +197,13 @@ def mzml(spark: SparkSession, sf_dir: str, at: str) -> str:
                 kind = {"profile": shown(terms.PROFILE), "centroid": shown(terms.CENTROID)}.get(r["representation"], "")
                 time = shown(terms.SCAN_START, r["spectrum_index"] / 8, f' unitAccession="{terms.MINUTE if r["spectrum_index"] % 3 == 0 else terms.SECOND}"')
                 window = shown(terms.ISOLATION_TARGET, 500.5) + shown(terms.ISOLATION_LOWER, 0.5) + shown(terms.ISOLATION_UPPER, 1.5)
-                precursor = f'<precursorList count="1"><precursor><isolationWindow>{window}</isolationWindow><selectedIonList><selectedIon>{shown(terms.CHARGE, r["spectrum_index"] % 4)}</selectedIon></selectedIonList><activation>{shown(terms.COLLISION_ENERGY, 27.5)}</activation></precursor></precursorList>' if r["ms_level"] > 1 else ""
+                second = f'<precursor spectrumRef="order={r["spectrum_index"] - 1}"><isolationWindow>{shown(terms.ISOLATION_TARGET, r["spectrum_index"] / 4)}</isolationWindow><selectedIonList><selectedIon>{shown(terms.CHARGE, 9)}</selectedIon><selectedIon><userParam name="ion" value="b"/></selectedIon></selectedIonList><activation/></precursor>' if r["ms_level"] > 3 else ""
+                precursor = f'<precursorList count="1"><precursor><isolationWindow>{window}</isolationWindow><selectedIonList><selectedIon>{shown(terms.CHARGE, r["spectrum_index"] % 4)}</selectedIon></selectedIonList><activation>{shown(terms.COLLISION_ENERGY, 27.5)}</activation></precursor>{second}</precursorList>' if r["ms_level"] > 1 else ""
+                own = shown("MS:1000129" if r["spectrum_index"] % 2 else "MS:1000130") + f'<userParam name="lot" type="xsd:int" value="{r["spectrum_index"] % 7}"/>'
+                scan = time + shown("MS:1000512", f"line {r['spectrum_index']} &amp; more") + shown("MS:1000927", r["spectrum_index"] / 2, ' unitAccession="UO:0000028" unitName="millisecond"')
                 mobility = f'<binaryDataArray encodedLength="0"><referenceableParamGroupRef ref="packed"/><cvParam cvRef="MS" accession="MS:1003007" name="raw ion mobility array" value=""/>{shown(terms.FLOAT_64)}<binary>{encoded(mz / 2, "<f8")}</binary></binaryDataArray>' if r["spectrum_index"] % 5 == 0 else ""
                 arrays = part(terms.MZ_ARRAY, terms.FLOAT_64, encoded(mz, "<f8")) + part(terms.INTENSITY_ARRAY, width[0], encoded(intensity, width[1])) + mobility
-                out.append((r["spectrum_index"], f'<spectrum index="{r["spectrum_index"]}" id="{r["native_id"]}" defaultArrayLength="{len(mz)}">{shown(terms.MS_LEVEL, r["ms_level"])}{kind}<scanList count="1"><scan>{time}</scan></scanList>{precursor}<binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>'))
+                out.append((r["spectrum_index"], f'<spectrum index="{r["spectrum_index"]}" id="{r["native_id"]}" defaultArrayLength="{len(mz)}">{shown(terms.MS_LEVEL, r["ms_level"])}{kind}{own}<scanList count="1">{shown("MS:1000795")}<scan>{scan}</scan></scanList>{precursor}<binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>'))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([v for _, v in out], pa.string())], names=names)
 
     head = f'<mzML><softwareList count="1"><software id="maker" version="7"/></softwareList><referenceableParamGroupList count="1"><referenceableParamGroup id="packed"><cvParam cvRef="MS" accession="{terms.ZLIB}" name="zlib compression" value=""/></referenceableParamGroup></referenceableParamGroupList><run id="made"><spectrumList>'
@@ -225,6 +231,80 @@ def mzml_spectra(spark, sf_dir):
     )
 
 
+@once("run-archive")
+def archived_run(spark: SparkSession, sf_dir: str, at: str) -> str:
+    convert.convert_run(spark, mzml(spark, sf_dir), f"{at}/archive", preset="lossless")
+    return f"{at}/archive"
+
+
+@query(f"""SELECT o_orderkey AS spectrum, CASE WHEN o_orderkey % 2 = 1 THEN 'negative' ELSE 'positive' END AS polarity, 'line ' || o_orderkey || ' & more' AS filter, o_orderkey / 2.0 AS injection, 'millisecond' AS unit, o_orderkey % 7 AS lot,
+    'MS:1000795' AS combination, CASE WHEN {LEVEL} > 3 THEN 2 WHEN {LEVEL} > 1 THEN 1 ELSE 0 END AS precursors, CASE WHEN {LEVEL} > 3 THEN 'order=' || (o_orderkey - 1) END AS second_ref, CASE WHEN {LEVEL} > 3 THEN o_orderkey / 4.0 END AS second_target, CASE WHEN {LEVEL} > 3 THEN 'b' END AS second_ion FROM orders""")
+def archived_parameters(spark, sf_dir):
+    """Parameters of spectra, scans and precursors out of an archive: polarity, filter string, injection time, a user's own, and the second precursor."""
+    a = archive.read_archive(spark, archived_run(spark, sf_dir))
+    of = lambda params, accession, field="value": F.get(F.filter(params, lambda p: p["accession"] == accession), F.lit(0))[field]
+    scan, second = F.get("scans", F.lit(0))["params"], F.get("precursors", F.lit(1))
+    polarity = F.when(F.exists("params", lambda p: F.coalesce(p["accession"], F.lit("")) == "MS:1000129"), "negative").when(F.exists("params", lambda p: F.coalesce(p["accession"], F.lit("")) == "MS:1000130"), "positive")
+    lot = F.get(F.filter("params", lambda p: p["accession"].isNull() & (p["name"] == "lot") & (p["type"] == "xsd:int")), F.lit(0))["value"]
+    return a.select(
+        F.col("spectrum_index").alias("spectrum"), polarity.alias("polarity"), of(scan, "MS:1000512").alias("filter"), of(scan, "MS:1000927").cast("double").alias("injection"), of(scan, "MS:1000927", "unit_name").alias("unit"), lot.cast("long").alias("lot"),
+        F.get("combination", F.lit(0))["accession"].alias("combination"), F.size("precursors").alias("precursors"), second["ref"].alias("second_ref"), of(second["isolation"], terms.ISOLATION_TARGET).cast("double").alias("second_target"), F.get(F.get(second["ions"], F.lit(1)), F.lit(0))["value"].alias("second_ion"),
+    )
+
+
+@query(f"""SELECT spectrum, count(mz) AS n, round(coalesce(sum(mz), 0), 6) AS mz, round(coalesce(sum(intensity), 0), 4) AS tic FROM {FROM} LEFT JOIN {MASKED} USING (spectrum) GROUP BY 1""")
+def lossless_archive(spark, sf_dir):
+    """Chunks of m/z stored as differences of bit patterns, put together again."""
+    a = archive.read_archive(spark, archived_run(spark, sf_dir))
+    return a.select(F.col("spectrum_index").alias("spectrum"), F.size("mz").cast("long").alias("n"), F.round(signal.tic(F.col("mz")), 6).alias("mz"), F.round(signal.tic(F.col("intensity")), 4).alias("tic"))
+
+
+@query(f"""SELECT spectrum, round(sum(intensity), 4) AS tic, count(*) AS n FROM {MASKED} WHERE mz BETWEEN 20000 AND 30000 GROUP BY 1""")
+def archived_window(spark, sf_dir):
+    """A window of m/z from an archive's chunks: the others are pruned by their bounds."""
+    rows = archive.window_rows(spark, archived_run(spark, sf_dir), 20000.0, 30000.0)
+    inside = F.filter(F.arrays_zip("mz", "intensity"), lambda p: p["mz"].between(20000.0, 30000.0))
+    part = rows.select("spectrum_index", inside.alias("p")).filter(F.size("p") > 0)
+    return part.groupBy(F.col("spectrum_index").alias("spectrum")).agg(F.round(F.sum(signal.tic(F.col("p.intensity"))), 4).alias("tic"), F.sum(F.size("p")).cast("long").alias("n"))
+
+
+@once("traces")
+def traces(spark: SparkSession, sf_dir: str, at: str) -> str:
+    """parts as traces of reactions, in several documents without a spectrum."""
+    def run(batches):
+        import numpy as np
+
+        yield pa.RecordBatch.from_arrays([pa.array(["<mzML><run><chromatogramList>"])], names=["value"])
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                k, n = r["p_partkey"], r["p_size"]
+                shown = lambda a, v="": f'<cvParam cvRef="MS" accession="{a}" name="n" value="{v}"/>'
+                part = lambda a, w, kind, v: f'<binaryDataArray encodedLength="0">{shown(a)}{shown(w)}{shown(terms.ZLIB)}<binary>{encoded(v, kind)}</binary></binaryDataArray>'
+                ends = "".join(f"<{tag}><isolationWindow>{shown(terms.ISOLATION_TARGET, v)}</isolationWindow>{more}</{tag}>" for tag, v, more in (("precursor", k + 0.5, f"<activation>{shown(terms.COLLISION_ENERGY, n)}</activation>"), ("product", k / 2, "")))
+                flags = f'<binaryDataArray encodedLength="0"><cvParam accession="MS:1000786" name="non-standard data array" value="level"/>{shown(terms.INTEGER_64)}{shown(terms.ZLIB)}<binary>{encoded(np.arange(n) + 2**60 + k, "<i8")}</binary></binaryDataArray>'
+                arrays = part(terms.TIME_ARRAY, terms.FLOAT_64, "<f8", np.arange(n) / 4) + part(terms.INTENSITY_ARRAY, terms.FLOAT_32, "<f4", np.arange(n) * 1.0 + k % 10) + flags
+                out.append(f'<chromatogram index="{k}" id="part {k}" defaultArrayLength="{n}">{shown("MS:1001473")}{ends}<binaryDataArrayList count="3">{arrays}</binaryDataArrayList></chromatogram>')
+            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["</chromatogramList></run></mzML>"])], names=["value"])
+
+    table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "value string").write.text(f"{at}/traces")
+    convert.convert_run(spark, f"{at}/traces", f"{at}/archive")
+    return f"{at}/archive"
+
+
+@query("""SELECT p_partkey AS trace, 'part ' || p_partkey AS id, p_size AS n, (p_size - 1) / 4.0 AS ends, p_size * (p_size - 1) / 2.0 + p_size * (p_partkey % 10) AS total, p_partkey + 0.5 AS precursor, CAST(p_size AS DOUBLE) AS energy, p_partkey / 2.0 AS product,
+    'MS:1001473' AS kind, 1152921504606846976 + p_partkey + p_size - 1 AS last_level FROM part""")
+def archived_traces(spark, sf_dir):
+    """Traces with their precursor, product and a whole-number array out of an archive."""
+    t = archive.read_chromatograms(spark, traces(spark, sf_dir))
+    of = lambda params, accession: F.get(F.filter(params, lambda p: p["accession"] == accession), F.lit(0))["value"].cast("double")
+    return t.select(
+        F.col("chrom_index").alias("trace"), "id", F.size("time").alias("n"), F.element_at("time", -1).alias("ends"), signal.tic(F.col("intensity")).alias("total"), of(F.col("precursor.isolation"), terms.ISOLATION_TARGET).alias("precursor"), of(F.col("precursor.activation"), terms.COLLISION_ENERGY).alias("energy"),
+        of(F.col("product"), terms.ISOLATION_TARGET).alias("product"), F.get("params", F.lit(0))["accession"].alias("kind"), F.element_at(F.get("others", F.lit(0))["integers"], -1).alias("last_level"),
+    )
+
+
 @query(f"""SELECT (SELECT count(*) FROM orders) AS spectra, 'double' AS intensity_width, FALSE AS narrowed, (SELECT count(*) FROM {MASKED}) AS points, (SELECT round(sum(mz) / 2, 1) FROM {MASKED} WHERE spectrum % 5 = 0) AS mobility, 'maker,peakloom' AS software""")
 def mzml_archive(spark, sf_dir):
     """A run in an archive at the source's width; arrays beside m/z are masked along with it, and the source's software is listed before ours."""
@@ -254,10 +334,9 @@ def numpress_bound(spark, sf_dir):
 
 @query("SELECT vec_id, len(embedding) AS n, TRUE AS within FROM embeddings")
 def delta_round_trip(spark, sf_dir):
-    """Differences and their running sums."""
-    both = axes(spark, sf_dir).withColumn("back", signal.delta_decode(signal.delta_encode(F.col("mz"))))
-    off = F.array_max(F.zip_with("mz", "back", lambda x, y: F.abs(x - y)))
-    return both.select(F.col("spectrum_index").alias("vec_id"), F.size("back").cast("long").alias("n"), (off < 1e-9).alias("within"))
+    """Differences of bit patterns and their running sums: every value comes back, bit for bit."""
+    both = axes(spark, sf_dir).withColumn("back", signal.from_bit_deltas(signal.bit_deltas(F.col("mz"))))
+    return both.select(F.col("spectrum_index").alias("vec_id"), F.size("back").cast("long").alias("n"), (F.col("mz") == F.col("back")).alias("within"))
 
 
 @query("""SELECT vec_id, i - 1 AS place, round(m, 6) AS mz, round(d, 6) AS mobility, round(v, 6) AS intensity FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY m, d, k) AS i, m, d, v FROM
@@ -390,6 +469,32 @@ def isa_json_files(spark, sf_dir):
     return samples.isa_files(samples.read_isa_json(spark, path))
 
 
+@once("isa-values")
+def isa_values_json(spark: SparkSession, sf_dir: str, at: str) -> str:
+    """The suppliers of `isa` as an ISA-JSON document: nations are the sources', halves factor values, balances have a unit."""
+    rows = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name", "s_nationkey", F.col("s_acctbal").cast("string").alias("balance")).toLocalIterator()
+    sources, found = {}, []
+    for r in rows:
+        k, n = r["s_suppkey"], r["s_nationkey"]
+        term = {"annotationValue": f"nation {n}", "termSource": "EFO", "termAccession": ("http://x/" if k % 2 else "EFO:") + str(n)}
+        sources[k] = {"@id": f"#source/{k}", "name": f"src{n}", "characteristics": [{"category": {"@id": "#category/1"}, "value": term}]}
+        own = [{"category": {"@id": "#characteristic_category/balance"}, "value": float(r["balance"]), "unit": {"@id": "#unit/eur"}}]
+        found.append({"@id": f"#sample/{k}", "name": r["s_name"], "derivesFrom": [{"@id": f"#source/{k}"}], "characteristics": own, "factorValues": [{"category": {"@id": "#factor/half"}, "value": {"annotationValue": "low" if n < 12 else "high"}}]})
+    study = {"materials": {"sources": list(sources.values()), "samples": found}, "characteristicCategories": [{"@id": "#category/1", "characteristicType": {"annotationValue": "nation"}}], "factors": [{"@id": "#factor/half", "factorName": "half"}], "unitCategories": [{"@id": "#unit/eur", "annotationValue": "euro", "termSource": "UO", "termAccession": "UO:7"}], "assays": []}
+    with open(f"{at}/i.json", "w") as f:
+        json.dump({"identifier": "I1", "studies": [study]}, f)
+    return f"{at}/i.json"
+
+
+@query("""SELECT s_name AS sample, 0 AS pos, 'nation' AS category, 'nation ' || s_nationkey AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'EFO:' || s_nationkey END AS accession, CASE WHEN s_suppkey % 2 = 1 THEN 'http://x/' || s_nationkey END AS extra, NULL AS unit, NULL AS amount FROM supplier
+    UNION ALL SELECT s_name, 1, 'balance', NULL, NULL, NULL, 'UO:7', s_acctbal FROM supplier UNION ALL SELECT s_name, 2, 'half', CASE WHEN s_nationkey < 12 THEN 'low' ELSE 'high' END, NULL, NULL, NULL, NULL FROM supplier""")
+def isa_json_values(spark, sf_dir):
+    """Characteristics of sources and samples and factor values of an ISA-JSON document, with categories and units resolved."""
+    found = samples.isa_json_traits(samples.read_isa_json(spark, isa_values_json(spark, sf_dir)))
+    number = F.col("category") == "balance"
+    return found.select("sample", "pos", "category", F.when(~number, F.col("value.value")).alias("value"), "value.accession", "value.extra", F.col("unit.accession").alias("unit"), F.when(number, F.col("value.value").cast("double")).alias("amount"))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/tiff' WHEN 2 THEN 'image/jpeg' END AS media_type, CASE WHEN p_partkey % 4 < 3 THEN p_size END AS width, CASE WHEN p_partkey % 4 < 3 THEN p_size * 2 + 1 END AS height FROM part""")
 def image_headers(spark, sf_dir):
     """Format and size from the headers of PNG, TIFF and JPEG files; anything else is none."""

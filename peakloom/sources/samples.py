@@ -236,8 +236,13 @@ def locate_isa(path: str) -> dict:
 
 
 REF = "struct<`@id`:string>"
+TERM = "annotationValue:string,termSource:string,termAccession:string"
+#: A value is an annotation, a text or a number: read as its JSON text.
+VALUES = f"array<struct<category:{REF},value:string,unit:{REF}>>"
+MATERIAL = f"`@id`:string,name:string,characteristics:{VALUES}"
 ISA_JSON = (
-    f"identifier string, title string, studies array<struct<identifier:string,title:string,materials:struct<sources:array<struct<`@id`:string,name:string>>,samples:array<struct<`@id`:string,name:string>>>,"
+    f"identifier string, title string, studies array<struct<identifier:string,title:string,materials:struct<sources:array<struct<{MATERIAL}>>,samples:array<struct<{MATERIAL},derivesFrom:array<{REF}>,factorValues:{VALUES}>>>,"
+    f"characteristicCategories:array<struct<`@id`:string,characteristicType:struct<{TERM}>>>,factors:array<struct<`@id`:string,factorName:string>>,unitCategories:array<struct<`@id`:string,{TERM}>>,"
     f"assays:array<struct<filename:string,dataFiles:array<struct<`@id`:string,name:string,type:string>>,processSequence:array<struct<`@id`:string,inputs:array<{REF}>,outputs:array<{REF}>>>>>>>"
 )
 
@@ -259,3 +264,32 @@ def isa_files(doc: DataFrame) -> DataFrame:
     pairs = steps.select(F.explode("p.inputs").alias("i"), F.col("p.outputs").alias("o")).select(F.col("i.`@id`").alias("input"), F.explode("o").alias("o")).select("input", F.col("o.`@id`").alias("id"))
     found = lookup.resolve(pairs.join(files, "id"), "input", [(named("samples"), "key", "name"), (named("sources"), "key", "name")])
     return found.select("file", F.col("resolved").alias("sample"), "diagnostic").distinct()
+
+
+def isa_json_traits(doc: DataFrame) -> DataFrame:
+    """(place, sample, kind, pos, category, value, unit) of an ISA-JSON document's samples: characteristics of the sources that they derive from, then their own, then factor values.
+
+    Categories, factors and units are resolved in the document; one that it doesn't declare has the last part of its id
+    as its name. value and unit are typed as in ISA-Tab: an address is no accession and stays in extra. place is the
+    sample's, pos the value's among all of its sample.
+    """
+    study = doc.select("study.*")
+    listed = lambda c, *fields: study.select(F.posexplode(c).alias("place", "m")).select("place", *fields)
+    key = F.col("m.`@id`").alias("key")
+    one = lambda kind, values: F.transform(F.coalesce(values, F.array().cast(VALUES)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    samples = listed("materials.samples", key, F.col("m.name").alias("sample"), one("characteristic", F.col("m.characteristics")).alias("own"), one("factor", F.col("m.factorValues")).alias("factors"), F.col("m.derivesFrom").alias("derives"))
+    sources = listed("materials.sources", key, one("characteristic", F.col("m.characteristics")).alias("given")).select(F.col("key").alias("source"), "given")
+    given = samples.select("key", F.posexplode("derives").alias("k", "d")).select("key", "k", F.col("d.`@id`").alias("source")).join(sources, "source")
+    given = given.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "given"))), lambda g: g["given"])).alias("given"))
+    all_ = samples.join(given, "key", "left").select("place", "sample", F.posexplode(F.concat(F.coalesce("given", F.array().cast(f"array<struct<kind:string,v:{VALUES[6:-1]}>>")), "own", "factors")).alias("pos", "t"))
+    flat = all_.select("place", "sample", F.col("t.kind").alias("kind"), "pos", F.col("t.v.category.`@id`").alias("category_id"), F.col("t.v.value").alias("text"), F.col("t.v.unit.`@id`").alias("unit_id"))
+    names = listed("characteristicCategories", key, F.col("m.characteristicType.annotationValue").alias("named")).select("key", "named").unionByName(listed("factors", key, F.col("m.factorName").alias("named")).select("key", "named"))
+    names = names.groupBy(F.col("key").alias("category_id")).agg(F.first("named", ignorenulls=True).alias("named"))
+    term = lambda t: isa_value_of(t["annotationValue"], t["termSource"], F.coalesce(t["termAccession"], F.lit("")))
+    units = listed("unitCategories", key, term(F.col("m")).alias("unit")).select(F.col("key").alias("unit_id"), "unit").dropDuplicates(["unit_id"])
+    parsed = F.when(F.startswith(F.trim("text"), F.lit("{")), F.from_json("text", TERM.replace(":", " ")))
+    plain = F.struct(F.trim("text").alias("value"), *[F.lit(None).cast("string").alias(c) for c in ("accession", "term_source", "extra")])
+    value = F.when(parsed.isNotNull(), term(parsed)).otherwise(plain)
+    category = F.coalesce("named", F.regexp_extract("category_id", "([^/]*)$", 1))
+    found = flat.join(names, "category_id", "left").join(units, "unit_id", "left")
+    return found.select("place", "sample", "kind", "pos", category.alias("category"), value.alias("value"), "unit")

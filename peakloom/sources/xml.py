@@ -21,16 +21,24 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from peakloom.sources import terms
 
-PARAM = "struct<_accession:string,_name:string,_value:string,_unitAccession:string>"
-PARAMS = f"cvParam array<{PARAM}>, referenceableParamGroupRef array<struct<_ref:string>>"
-INNER = f"cvParam:array<{PARAM}>,referenceableParamGroupRef:array<struct<_ref:string>>"
+#: A parameter of either kind: those of a user have no accession but a type.
+PARAM = "struct<_accession:string,_name:string,_value:string,_unitAccession:string,_unitName:string,_type:string>"
+PARAMS = f"cvParam array<{PARAM}>, userParam array<{PARAM}>, referenceableParamGroupRef array<struct<_ref:string>>"
+INNER = f"cvParam:array<{PARAM}>,userParam:array<{PARAM}>,referenceableParamGroupRef:array<struct<_ref:string>>"
 ARRAYS = f"binaryDataArrayList struct<binaryDataArray:array<struct<{INNER},binary:string,_encodedLength:long,_arrayLength:long>>>"
+PRECURSOR = f"_spectrumRef:string,_sourceFileRef:string,_externalSpectrumID:string,isolationWindow:struct<{INNER}>,activation:struct<{INNER}>,selectedIonList:struct<selectedIon:array<struct<{INNER}>>>"
+PRODUCT = f"isolationWindow:struct<{INNER}>"
 SPECTRUM = (
-    f"_index long, _id string, _defaultArrayLength long, {PARAMS}, scanList struct<scan:array<struct<{INNER}>>>, "
-    f"precursorList struct<precursor:array<struct<_spectrumRef:string,isolationWindow:struct<{INNER}>,activation:struct<{INNER}>,selectedIonList:struct<selectedIon:array<struct<{INNER}>>>>>>, {ARRAYS}"
+    f"_index long, _id string, _defaultArrayLength long, {PARAMS}, "
+    f"scanList struct<{INNER},scan:array<struct<_instrumentConfigurationRef:string,_spectrumRef:string,{INNER},scanWindowList:struct<scanWindow:array<struct<{INNER}>>>>>>, "
+    f"precursorList struct<precursor:array<struct<{PRECURSOR}>>>, productList struct<product:array<struct<{PRODUCT}>>>, {ARRAYS}"
 )
-CHROMATOGRAM = f"_index long, _id string, _defaultArrayLength long, {PARAMS}, {ARRAYS}"
-GROUP = f"_id string, cvParam array<{PARAM}>"
+#: What is read of a pixel's element.
+PIXEL = f"_index long, _id string, {PARAMS}, scanList struct<scan:array<struct<{INNER}>>>, {ARRAYS}"
+CHROMATOGRAM = f"_index long, _id string, _defaultArrayLength long, {PARAMS}, precursor struct<{PRECURSOR}>, product struct<{PRODUCT}>, {ARRAYS}"
+GROUP = f"_id string, cvParam array<{PARAM}>, userParam array<{PARAM}>"
+#: A list of parameters as the readers return it and archives keep it, the source's order and spelling unchanged.
+KEPT = "array<struct<accession:string,name:string,value:string,unit:string,unit_name:string,type:string>>"
 
 
 def spectrum_texts(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -40,9 +48,17 @@ def spectrum_texts(spark: SparkSession, path: str, encoding: str | None = None)
     return spark.read.option("lineSep", "</spectrum>").option("encoding", encoding).text(path)
 
 
-def fields_of(element: ElementTree.Element, kind: StructType) -> dict:
-    """An element as a row of a schema: attributes are fields with an underscore, children structs, arrays of structs or their text."""
+def fields_of(element: ElementTree.Element, kind: StructType, shared: dict[str, list] = {}) -> dict:  # noqa: B006
+    """An element as a row of a schema: attributes are fields with an underscore, children structs, arrays of structs or their text.
+
+    shared: parameter groups, whose parameters come before the own ones of elements that refer to them.
+    """
     children: dict[str, list] = {}
+    for child in element:
+        if child.tag == "referenceableParamGroupRef":
+            for p in shared.get(child.get("ref"), ()):
+                tag = "userParam" if p["_accession"] is None else "cvParam"
+                children.setdefault(tag, []).append(ElementTree.Element(tag, {k[1:]: v for k, v in p.items() if v is not None}))
     for child in element:
         children.setdefault(child.tag, []).append(child)
     out = {}
@@ -52,17 +68,17 @@ def fields_of(element: ElementTree.Element, kind: StructType) -> dict:
             v = element.get(name[1:])
             out[name] = int(v) if v is not None and isinstance(t, LongType | IntegerType) else v
         elif isinstance(t, ArrayType):
-            out[name] = [fields_of(c, t.elementType) for c in children[name]] if name in children else None
+            out[name] = [fields_of(c, t.elementType, shared) for c in children[name]] if name in children else None
         elif isinstance(t, StructType):
-            out[name] = fields_of(children[name][0], t) if name in children else None
+            out[name] = fields_of(children[name][0], t, shared) if name in children else None
         else:
             out[name] = children[name][0].text if name in children else None
     return out
 
 
-def parse_element(text: str, kind: StructType) -> dict:
+def parse_element(text: str, kind: StructType, shared: dict[str, list] = {}) -> dict:  # noqa: B006
     try:
-        return fields_of(ElementTree.fromstring(text), kind)
+        return fields_of(ElementTree.fromstring(text), kind, shared)
     except (ElementTree.ParseError, ValueError) as error:
         raise ValueError(f"MALFORMED: {error}: {text[:200]}") from error
 
@@ -87,29 +103,118 @@ def cut_elements(text: str, tag: str, close: str | None = None) -> list[str]:
     return out
 
 
-def parsed(texts: DataFrame, schema: str, tag: str, close: str | None = None) -> DataFrame:
-    """Elements in texts as rows of a schema, cut and parsed by the tasks; a malformed one fails."""
+def parsed(texts: DataFrame, schema: str, tag: str, close: str | None = None, shared: dict[str, list] = {}) -> DataFrame:  # noqa: B006
+    """Elements in texts as rows of a schema, cut and parsed by the tasks, with the parameters of their groups; a malformed one fails."""
     kind = StructType.fromDDL(schema)
     columns = [(f.name, to_arrow_type(f.dataType)) for f in kind.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, DECODE_ROWS):
-                rows = [parse_element(x, kind) for t in b.column(0).slice(lo, DECODE_ROWS).to_pylist() for x in cut_elements(t, tag, close)]
+                rows = [parse_element(x, kind, shared) for t in b.column(0).slice(lo, DECODE_ROWS).to_pylist() for x in cut_elements(t, tag, close)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in columns], names=[n for n, _ in columns])
 
     return texts.mapInArrow(run, kind)
 
 
-def spectrum_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None) -> DataFrame:
+def spectrum_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None, shared: dict[str, list] = {}) -> DataFrame:  # noqa: B006
     """One row per spectrum element, in no particular order; a malformed one fails."""
-    return parsed(spectrum_texts(spark, path, encoding), schema, "spectrum")
+    return parsed(spectrum_texts(spark, path, encoding), schema, "spectrum", shared=shared)
+
+
+def chromatogram_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None, shared: dict[str, list] = {}) -> DataFrame:  # noqa: B006
+    """One row per chromatogram element. They follow the spectra, so files are read from where their own index says the
+    first one is, or as a whole without one, by byte ranges; a gzipped file's end is one task's."""
+    encoding = encoding or detect_encoding(spark, path)
+    if any(f.endswith(".gz") for f, _ in files_of(spark, path)):
+        some = spectrum_texts(spark, path, encoding).filter(F.contains("value", F.lit("<chromatogram")))
+        return parsed(some, schema, "chromatogram", "</chromatogram>", shared)
+    texts = element_texts(file_ranges(spark, path, first_chromatogram), "chromatogram", encoding)
+    return parsed(texts, schema, "chromatogram", "</chromatogram>", shared)
+
+
+#: Bytes of a file that one task looks through for elements.
+RANGE_BYTES = 8 << 20
+#: Bytes at the end of a file in which its index's place is looked for, and of the index that are read at once.
+TAIL_BYTES = 1 << 16
+
+
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(address, bytes) of a file or of a folder's files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    status = fs.getFileStatus(at)
+    found = [f for f in fs.listStatus(at) if f.isFile() and f.getPath().getName()[:1] not in "._"] if status.isDirectory() else [status]
+    return [(f.getPath().toString(), f.getLen()) for f in found if f.getLen()]
+
+
+def read_at(spark: SparkSession, path: str, start: int, size: int) -> bytes:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        stream.seek(start)
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def first_chromatogram(spark: SparkSession, path: str, size: int) -> int:
+    """Where a file's first chromatogram begins, by its own index; 0 if that doesn't say so or isn't right."""
+    tail = read_at(spark, path, max(0, size - TAIL_BYTES), TAIL_BYTES)
+    if not (found := re.search(rb"<indexListOffset>\s*(\d+)\s*</indexListOffset>", tail)):
+        return 0
+    at, kept = int(found[1]), b""
+    while at < size:  # the index of spectra, which may be long, comes first; it is only looked through
+        part = read_at(spark, path, at, 16 * TAIL_BYTES)
+        kept, at = kept[-512:] + part, at + len(part)
+        if first := re.search(rb"""<index\s+name=["']chromatogram["']\s*>\s*<offset[^>]*>\s*(\d+)""", kept):
+            start = int(first[1])
+            return start if start < size and read_at(spark, path, start, 13) == b"<chromatogram" else 0
+        if not part:
+            break
+    return 0
+
 
+def file_ranges(spark: SparkSession, path: str, begin=None) -> DataFrame:
+    """(path, start, stop): a file's bytes, or a folder's files', in ranges that tasks share. begin: a function that says where to start."""
+    rows = []
+    for file, size in files_of(spark, path):
+        start = begin(spark, file, size) if begin else 0
+        rows += [(file, lo, min(lo + RANGE_BYTES, size)) for lo in range(start, size, RANGE_BYTES)]
+    return spark.createDataFrame(rows, "path string, start long, stop long").repartition(max(1, len(rows)))
 
-def chromatogram_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None) -> DataFrame:
-    """One row per chromatogram element; they follow the spectra."""
-    some = spectrum_texts(spark, path, encoding).filter(F.contains("value", F.lit("<chromatogram")))
-    return parsed(some, schema, "chromatogram", "</chromatogram>")
+
+def element_texts(ranges: DataFrame, tag: str, encoding: str) -> DataFrame:
+    """(value): each element whose opening tag begins in a range, up to its closing tag, which may lie beyond."""
+    opening, closing = re.compile(rb"<" + tag.encode() + rb"(?=[\s>/])"), f"</{tag}>".encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for path, start, stop in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                store, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:///{path.removeprefix('file:').lstrip('/')}")
+                with store.open_input_file(inner) as f:
+                    f.seek(start)
+                    data = f.read(stop - start + len(tag) + 2)
+                    at, out = 0, []
+                    while (found := opening.search(data, at)) and start + found.start() < stop:
+                        at, sought = found.start(), found.start()
+                        while (end := data.find(closing, sought)) < 0:
+                            sought = max(at, len(data) - len(closing))
+                            if not (more := f.read(1 << 20)):
+                                raise ValueError(f"MALFORMED: {path} ends within a {tag}")
+                            data += more
+                        out.append(data[at : end + len(closing)].decode(encoding, "replace"))
+                        at = end + len(closing)
+                        if len(out) == DECODE_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                            out = []
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return ranges.mapInArrow(run, "value string")
 
 
 def chunks(spark: SparkSession, path: str, size: int = 1 << 16) -> Iterator[bytes]:
@@ -139,19 +244,21 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return sniff_encoding(next(chunks(spark, path, 512), b""))
 
 
-#: Headers end before the spectra; a file that has none is read up to so many bytes.
-HEADER_END, HEADER_LIMIT = b"<spectrumList", 64 << 20
+#: Headers end before the spectra, or the chromatograms of a file without spectra; one that is longer than so many bytes fails.
+HEADER_END, HEADER_LIMIT = re.compile(rb"<spectrumList|<chromatogramList"), 64 << 20
 
 
 def header_text(spark: SparkSession, path: str, encoding: str | None = None) -> str:
     """What stands before the spectra: the file is read no further."""
     data = b""
     for chunk in chunks(spark, path):
-        before = max(0, len(data) - len(HEADER_END))
+        before = max(0, len(data) - 20)  # a tag may be cut in two
         data += chunk
-        if HEADER_END in data[before:] or len(data) > HEADER_LIMIT:
+        if HEADER_END.search(data, before):
             break
-    return data.partition(HEADER_END)[0].decode(encoding or sniff_encoding(data), "replace")
+        if len(data) > HEADER_LIMIT:
+            raise ValueError(f"MALFORMED: {path} has no spectra within its first {HEADER_LIMIT >> 20} MiB")
+    return HEADER_END.split(data, 1)[0].decode(encoding or sniff_encoding(data), "replace")
 
 
 def header_elements(spark: SparkSession, path: str, tag: str, schema: str, encoding: str | None = None) -> DataFrame:
@@ -162,21 +269,51 @@ def header_elements(spark: SparkSession, path: str, tag: str, schema: str, encod
 
 
 def groups(spark: SparkSession, path: str, encoding: str | None = None) -> dict[str, list]:
-    """Parameter groups of a file by id: a header table of a few rows."""
+    """Parameter groups of a file by id, those of users last: a header table of a few rows."""
     rows = header_elements(spark, path, "referenceableParamGroup", GROUP, encoding).collect()
-    return {r["_id"]: [p.asDict() for p in r["cvParam"] or []] for r in rows}
+    return {r["_id"]: [p.asDict() for p in [*(r["cvParam"] or []), *(r["userParam"] or [])]] for r in rows}
 
 
 def params_of(own: Column, refs: Column, shared: dict[str, list]) -> Column:
-    """Parameters of an element, those of the groups that it refers to first."""
+    """Vocabulary parameters of a header's element, those of the groups that it refers to first."""
     out = F.coalesce(own, F.array().cast(f"array<{PARAM}>"))
     for name, found in shared.items():
-        if found:
-            lit = F.array(*[F.struct(*[F.lit(p[k]).cast("string").alias(k) for k in ("_accession", "_name", "_value", "_unitAccession")]) for p in found])
+        if found := [p for p in found if p["_accession"] is not None]:
+            lit = F.array(*[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in p.items()]) for p in found])
             out = F.when(F.array_contains(F.coalesce(refs["_ref"], F.array().cast("array<string>")), name), F.concat(lit, out)).otherwise(out)
     return out
 
 
+def own_params(e: Column) -> Column:
+    """Vocabulary parameters of a parsed element."""
+    return F.coalesce(e["cvParam"], F.array().cast(f"array<{PARAM}>"))
+
+
+def kept_params(cv: Column, user: Column) -> Column:
+    """Both kinds of parameters as KEPT."""
+    both = F.concat(*[F.coalesce(c, F.array().cast(f"array<{PARAM}>")) for c in (cv, user)])
+    return F.transform(both, lambda p: F.struct(p["_accession"].alias("accession"), p["_name"].alias("name"), p["_value"].alias("value"), p["_unitAccession"].alias("unit"), p["_unitName"].alias("unit_name"), p["_type"].alias("type")))
+
+
+def kept(e: Column) -> Column:
+    """A parsed element's parameters as KEPT; null where there is no element."""
+    return F.when(e.isNotNull(), kept_params(e["cvParam"], e["userParam"]))
+
+
+def listed(a: Column, shape) -> Column:
+    """shape of each of an array, which may be absent."""
+    return F.coalesce(F.transform(a, shape), F.array())
+
+
+def kept_scan(scan: Column) -> Column:
+    return F.struct(scan["_instrumentConfigurationRef"].alias("instrument"), scan["_spectrumRef"].alias("spectrum_ref"), kept(scan).alias("params"), F.transform(scan["scanWindowList"]["scanWindow"], kept).alias("windows"))
+
+
+def kept_precursor(p: Column) -> Column:
+    """An isolated precursor: what it refers to, its isolation window, its ions and how it was activated."""
+    return F.struct(p["_spectrumRef"].alias("ref"), p["_sourceFileRef"].alias("source_file"), p["_externalSpectrumID"].alias("external_id"), kept(p["isolationWindow"]).alias("isolation"), F.transform(p["selectedIonList"]["selectedIon"], kept).alias("ions"), kept(p["activation"]).alias("activation"))
+
+
 def value_of(params: Column, accession: str) -> Column:
     """Value of the last parameter with the accession; null if there is none."""
     return F.try_element_at(F.filter(params, lambda p: p["_accession"] == accession), F.lit(-1))["_value"]
@@ -186,10 +323,10 @@ def has(params: Column, accession: str) -> Column:
     return F.exists(params, lambda p: p["_accession"] == accession)
 
 
-def array_entries(lists: Column, shared: dict[str, list]) -> Column:
+def array_entries(lists: Column) -> Column:
     """Array of (params, binary, own_length) of a binaryDataArrayList."""
     items = F.coalesce(lists["binaryDataArray"], F.array().cast(f"array<struct<{INNER},binary:string,_encodedLength:long,_arrayLength:long>>"))
-    return F.transform(items, lambda a: F.struct(params_of(a["cvParam"], a["referenceableParamGroupRef"], shared).alias("params"), a["binary"].alias("binary"), a["_arrayLength"].alias("own_length")))
+    return F.transform(items, lambda a: F.struct(own_params(a).alias("params"), a["binary"].alias("binary"), a["_arrayLength"].alias("own_length")))
 
 
 def entry(entries: Column, accession: str) -> Column:
@@ -227,9 +364,9 @@ def array_term(p: Column) -> Column:
     return F.try_element_at(F.filter(p, lambda x: F.coalesce(x["_name"].endswith(" array"), F.lit(False))), F.lit(1))
 
 
-def other_arrays(entries: Column, wanted: Column | None = None) -> Column:
-    """Array of (accession, name, unit, stored) of all arrays but m/z and intensity, such as ion mobility."""
-    others = F.filter(entries, lambda a: ~has(a["params"], terms.MZ_ARRAY) & ~has(a["params"], terms.INTENSITY_ARRAY))
+def other_arrays(entries: Column, wanted: Column | None = None, axis: str = terms.MZ_ARRAY) -> Column:
+    """Array of (accession, name, unit, stored) of all arrays but the axis (m/z, or a chromatogram's time) and intensity, such as ion mobility."""
+    others = F.filter(entries, lambda a: ~has(a["params"], axis) & ~has(a["params"], terms.INTENSITY_ARRAY))
     return F.transform(others, lambda a: F.struct(
         array_term(a["params"])["_accession"].alias("accession"), array_term(a["params"])["_name"].alias("name"),
         array_term(a["params"])["_unitAccession"].alias("unit"), description(a, wanted, True).alias("stored"),
@@ -271,8 +408,8 @@ def decode(a: dict | None, sidecar=None) -> np.ndarray | None:
     return out
 
 
-#: Arrays beside m/z and intensity.
-OTHERS = "array<struct<accession:string,name:string,unit:string,values:array<double>>>"
+#: Arrays beside m/z and intensity: floats as values, whole numbers as integers; type is the source's (f4, f8, i4, i8).
+OTHERS = "array<struct<accession:string,name:string,unit:string,type:string,values:array<double>,integers:array<long>>>"
 
 
 def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> DataFrame:
@@ -283,8 +420,7 @@ def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> Data
     more = [c for c in ("others",) if c in df.columns]
     kept = [c for c in df.columns if c not in pairs and c not in more]
     schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} array<double>" for c in pairs] + [f"{c} {OTHERS}" for c in more])
-    doubles = pa.list_(pa.float64())
-    listed = pa.list_(pa.struct([("accession", pa.string()), ("name", pa.string()), ("unit", pa.string()), ("values", doubles)]))
+    listed = to_arrow_type(StructType.fromDDL(f"o {OTHERS}")["o"].dataType)
 
     def column(arrays: list[np.ndarray | None]) -> pa.Array:
         """Lists from arrays without a Python object per value."""
@@ -293,6 +429,12 @@ def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> Data
         gone = pa.array([x is None for x in arrays], pa.bool_())
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat), mask=gone)
 
+    def other(e: dict, values: np.ndarray | None) -> dict:
+        whole = values is not None and values.dtype.kind == "i"
+        kind = None if values is None else f"{values.dtype.kind}{values.dtype.itemsize}"
+        own = {"values": None if values is None or whole else values.astype(np.float64), "integers": values.astype(np.int64) if whole else None}
+        return {k: e[k] for k in ("accession", "name", "unit")} | {"type": kind} | own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = open(sidecar, "rb") if sidecar else None
         try:
@@ -302,8 +444,7 @@ def decoded(df: DataFrame, pairs: list[str], sidecar: str | None = None) -> Data
                     cols = [b.column(b.schema.get_field_index(c)) for c in kept]
                     cols += [column([decode(a.as_py(), source) for a in b.column(b.schema.get_field_index(c))]) for c in pairs]
                     for c in more:
-                        out = [[{k: e[k] for k in ("accession", "name", "unit")} | {"values": decode(e["stored"], source)} for e in a.as_py() or []] for a in b.column(b.schema.get_field_index(c))]
-                        cols.append(pa.array([[e | {"values": None if e["values"] is None else e["values"].astype(np.float64)} for e in a] for a in out], listed))
+                        cols.append(pa.array([[other(e, decode(e["stored"], source)) for e in a.as_py() or []] for a in b.column(b.schema.get_field_index(c))], listed))
                     yield pa.RecordBatch.from_arrays(cols, names=kept + pairs + more)
         finally:
             if source:
@@ -328,17 +469,17 @@ def seconds(p: Column) -> Column:
 
 
 def read_mzml(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(spectrum_index, native_id, ms_level, level_absent, representation, rt_seconds, precursor, mz_type, intensity_type, mz, intensity, others) of an mzML file, gzipped or not.
+    """(spectrum_index, native_id, ms_level, level_absent, representation, rt_seconds, precursor, params, combination, scans, precursors, products, mz_type, intensity_type, mz, intensity, others) of an mzML file, gzipped or not.
 
     An absent MS level is 1; a spectrum without arrays has null arrays; m/z and intensities of another type than floats
     fail, and so do arrays of an unknown compression or of another length than the spectrum's or their own. The types
-    are those of the source (f64, f32); arrays are doubles here. others has all further arrays.
+    are those of the source (f64, f32); arrays are doubles here. others has all further arrays. precursor has the first
+    one's numbers; params, combination (the scan list's), scans, precursors and products have all parameters as the
+    source gives them, groups resolved.
     """
-    shared = groups(spark, path, encoding)
-    df = spectrum_elements(spark, path, SPECTRUM, encoding)
-    p = params_of(F.col("cvParam"), F.col("referenceableParamGroupRef"), shared)
-    scan = F.get(F.col("scanList.scan"), F.lit(0))
-    scan_params = F.coalesce(scan["cvParam"], F.array().cast(f"array<{PARAM}>"))
+    df = spectrum_elements(spark, path, SPECTRUM, encoding, groups(spark, path, encoding))
+    p = F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>"))
+    scan_params = F.coalesce(F.get(F.col("scanList.scan"), F.lit(0))["cvParam"], F.array().cast(f"array<{PARAM}>"))
     first = F.get(F.col("precursorList.precursor"), F.lit(0))
     ion = F.get(first["selectedIonList"]["selectedIon"], F.lit(0))
     window = lambda a: value_of(first["isolationWindow"]["cvParam"], a).try_cast("double")
@@ -347,36 +488,47 @@ def read_mzml(spark: SparkSession, path: str, encoding: str | None = None) -> Da
         value_of(ion["cvParam"], terms.SELECTED_MZ).try_cast("double").alias("selected_mz"), value_of(ion["cvParam"], terms.CHARGE).try_cast("int").alias("charge"),
         value_of(first["activation"]["cvParam"], terms.COLLISION_ENERGY).try_cast("double").alias("energy"),
     ))
-    entries = array_entries(F.col("binaryDataArrayList"), shared)
+    entries = array_entries(F.col("binaryDataArrayList"))
     level = value_of(p, terms.MS_LEVEL).try_cast("int")
     rows = df.select(
         F.col("_index").alias("spectrum_index"), F.col("_id").alias("native_id"), F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level).alias("ms_level"), (F.coalesce(level, F.lit(0)) == 0).alias("level_absent"),
         representation(p).alias("representation"), seconds(scan_params).alias("rt_seconds"), precursor.alias("precursor"),
+        kept_params(F.col("cvParam"), F.col("userParam")).alias("params"), kept(F.col("scanList")).alias("combination"), listed(F.col("scanList.scan"), kept_scan).alias("scans"),
+        listed(F.col("precursorList.precursor"), kept_precursor).alias("precursors"), listed(F.col("productList.product"), lambda x: kept(x["isolationWindow"])).alias("products"),
         described(entries, terms.MZ_ARRAY, F.col("_defaultArrayLength")).alias("mz"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"),
         other_arrays(entries, F.col("_defaultArrayLength")).alias("others"),
     )
     return decoded(with_types(rows), ["mz", "intensity"])
 
 
+def mzml_heads(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(spectrum_index, native_id) of an mzML file's spectra; no array is decoded."""
+    return spectrum_elements(spark, path, "_index long, _id string", encoding).select(F.col("_index").alias("spectrum_index"), F.col("_id").alias("native_id"))
+
+
 def with_types(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"mz_type": stored_type(F.col("mz")), "intensity_type": stored_type(F.col("intensity"))})
 
 
 def read_chromatograms(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(chrom_index, id, time, intensity) of an mzML file."""
-    entries = array_entries(F.col("binaryDataArrayList"), groups(spark, path, encoding))
-    rows = chromatogram_elements(spark, path, CHROMATOGRAM, encoding).select(F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), described(entries, terms.TIME_ARRAY, F.col("_defaultArrayLength")).alias("time"), described(entries, terms.INTENSITY_ARRAY, F.col("_defaultArrayLength")).alias("intensity"))
+    """(chrom_index, id, params, precursor, product, time, intensity, others) of an mzML file: parameters, precursor and product as the source gives them."""
+    df = chromatogram_elements(spark, path, CHROMATOGRAM, encoding, groups(spark, path, encoding))
+    entries = array_entries(F.col("binaryDataArrayList"))
+    length = F.col("_defaultArrayLength")
+    rows = df.select(
+        F.col("_index").alias("chrom_index"), F.col("_id").alias("id"), kept_params(F.col("cvParam"), F.col("userParam")).alias("params"),
+        F.when(F.col("precursor").isNotNull(), kept_precursor(F.col("precursor"))).alias("precursor"), kept(F.col("product.isolationWindow")).alias("product"),
+        described(entries, terms.TIME_ARRAY, length).alias("time"), described(entries, terms.INTENSITY_ARRAY, length).alias("intensity"), other_arrays(entries, length, terms.TIME_ARRAY).alias("others"),
+    )
     return decoded(rows, ["time", "intensity"])
 
 
 def imzml_rows(spark: SparkSession, path: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
     """What read_imzml gives before any array is read: mz and intensity say where the arrays are stored."""
-    shared = groups(spark, path, encoding)
-    df = spectrum_elements(spark, path, SPECTRUM, encoding)
-    p = params_of(F.col("cvParam"), F.col("referenceableParamGroupRef"), shared)
-    scan = F.get(F.col("scanList.scan"), F.lit(0))
-    at = params_of(scan["cvParam"], scan["referenceableParamGroupRef"], shared)
-    entries = array_entries(F.col("binaryDataArrayList"), shared)
+    df = spectrum_elements(spark, path, PIXEL, encoding, groups(spark, path, encoding))
+    p = F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>"))
+    at = F.coalesce(F.get(F.col("scanList.scan"), F.lit(0))["cvParam"], F.array().cast(f"array<{PARAM}>"))
+    entries = array_entries(F.col("binaryDataArrayList"))
     level = value_of(p, terms.MS_LEVEL).try_cast("int")
     coordinate = lambda a: value_of(at, a).try_cast("long")
     rows = df.select(

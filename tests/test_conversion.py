@@ -5,12 +5,14 @@ import hashlib
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import arrays, lookup, verify
 from peakloom.plans import convert, corpus, export, fidelity
 from peakloom.sources import archive, samples, terms, xml
+from peakloom.streaming import ingest
 
 SCHEMA = "spectrum_index long, native_id string, ms_level int, representation string, x long, y long, z long, intensity_type string, mz array<double>, intensity array<double>"
 PIXELS = [
@@ -61,19 +63,80 @@ def test_index_says_what_was_done(spark, pixels, tmp_path):
     assert only.count() == 2 and "spectra_peaks" not in "".join(only.inputFiles())
 
 
-def test_row_groups_of_a_preset(spark, tmp_path):
-    many = spark.range(500).selectExpr("id AS spectrum_index", "'centroid' AS representation", "transform(sequence(1, 50), k -> k + id / 7D) AS mz", "transform(sequence(1, 50), k -> rand()) AS intensity").coalesce(1)
-    archive.write_archive(many, str(tmp_path / "a"), group_points=100)
-    groups = archive.row_groups(spark, str(tmp_path / "a" / "facet=spectra_peaks")).collect()
-    assert sum(g["rows"] for g in groups) == 500 and max(g["rows"] for g in groups) <= 100
-    assert archive.oversized_row_groups(spark, str(tmp_path / "a"), 1 << 30).count() == 0
+def made(spark, n=600, points=400):
+    """Centroid spectra over 10 to 2000 Th whose neighbouring m/z may lie a factor of two apart."""
+    draw = lambda seed: f"(xxhash64(id, j, {seed}) & 1048575) / 1048576D"
+    steps = f"sequence(1, {points})"
+    return spark.range(n).selectExpr("id AS spectrum_index", "concat('s', id) AS native_id", "'centroid' AS representation", "id % 30 + 1 AS x", "floor(id / 30) + 1 AS y", f"array_sort(transform({steps}, j -> 10 + 1990 * {draw(1)})) AS mz", f"transform({steps}, j -> {draw(2)}) AS intensity")
+
+
+@pytest.mark.parametrize("encoding", ["delta", "numpress"])
+def test_chunks_are_pruned_by_windows(spark, tmp_path, encoding):
+    rows = made(spark).coalesce(2)
+    rows.write.parquet(str(tmp_path / "source"))
+    rows = spark.read.parquet(str(tmp_path / "source"))
+    archive.write_archive(rows, str(tmp_path / "a"), mz_encoding=encoding, group_bytes=20_000, intensity_width="source")
+    groups = []
+    for folder, _, files in os.walk(tmp_path / "a" / "facet=spectra_peaks"):
+        for f in files:
+            if f.endswith(".parquet"):
+                meta = pq.ParquetFile(os.path.join(folder, f)).metadata
+                for g in range(meta.num_row_groups):
+                    cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+                    groups.append((cols["intensity.list.element"].num_values, cols["chunk_start"].statistics.min, cols["chunk_end"].statistics.max))
+    assert len(groups) > 60 and max(g[0] for g in groups) < 12_000 and sum(g[0] for g in groups) >= 600 * 400
+    low, high = 400.0, 430.0
+    met = [g for g in groups if g[2] >= low and g[1] <= high]
+    assert len(met) < len(groups) / 10
+    image = {(r["x"], r["y"]): r["tic"] for r in archive.window_image(spark, str(tmp_path / "a"), low, high).filter("present").collect()}
+    want = {(r["x"], r["y"]): r["t"] for r in rows.selectExpr("x", "y", f"aggregate(filter(arrays_zip(mz, intensity), p -> p.mz BETWEEN {low} AND {high}), 0D, (s, p) -> s + p.intensity) AS t").filter("t > 0").collect()}
+    if encoding == "delta":
+        assert image.keys() == want.keys() and all(abs(image[k] - want[k]) < 1e-9 for k in want)
+    plan = archive.window_rows(spark, str(tmp_path / "a"), low, high)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(chunk_end" in plan
+
+
+def test_lossless_is_exact(spark, tmp_path):
+    rows = made(spark, 300, 12)
+    rows.write.parquet(str(tmp_path / "source"))
+    rows = spark.read.parquet(str(tmp_path / "source"))
+    archive.write_archive(rows, str(tmp_path / "a"), mz_encoding="delta", intensity_width="source")
+    back = archive.read_archive(spark, str(tmp_path / "a"))
+    assert fidelity.report(rows, back, fidelity.Level.L1, by="index").first()["equal"]
+    assert {r["spectrum_index"]: r["mz"] for r in rows.collect()} == {r["spectrum_index"]: r["mz"] for r in back.collect()}
+
+
+@pytest.mark.parametrize("encoding", ["plain", "delta", "numpress"])
+def test_archives_are_read_without_an_exchange(spark, pixels, tmp_path, encoding):
+    archive.write_archive(pixels, str(tmp_path / "a"), mz_encoding=encoding)
+    back = archive.read_archive(spark, str(tmp_path / "a"))
+    assert sorted(len(r["mz"]) for r in back.collect()) == [0, 0, 2, 3, 3]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_further_arrays_in_chunks(spark, tmp_path):
+    mz = [float(v) for v in range(10, 200, 3)]
+    whole = [2**60 + k for k in range(len(mz))]
+    rows = [(0, "centroid", mz, mz, [("i", "whole array", None, "i8", None, whole), ("s", "short array", None, "f4", [1.5], None)]), (1, "centroid", [], [], None)]
+    df = spark.createDataFrame(rows, f"spectrum_index long, representation string, mz array<double>, intensity array<double>, others {xml.OTHERS}")
+    archive.write_archive(df, str(tmp_path / "a"), mz_encoding="delta")
+    a, b = archive.read_archive(spark, str(tmp_path / "a")).orderBy("spectrum_index").collect()
+    assert a["mz"] == mz and a["others"][0]["integers"] == whole and a["others"][0]["values"] is None and a["others"][1]["values"] == [1.5] and not b["others"] and b["mz"] == []
+
+
+def test_late_wide_intensities(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "SAMPLED", 2)
+    rows = spark.createDataFrame([(k, "centroid", "f64" if k == 5 else "f32", [1.0], [0.1]) for k in range(6)], "spectrum_index long, representation string, intensity_type string, mz array<double>, intensity array<double>").coalesce(1)
+    index = archive.write_archive(rows, str(tmp_path / "a"), intensity_width="source")
+    assert index["intensity_width"] == "double" and archive.read_archive(spark, str(tmp_path / "a")).filter("intensity[0] = 0.1D").count() == 6
 
 
 def test_other_arrays_follow_mz(spark):
-    rows = [(0, "profile", [3.0, 1.0, 2.0, 4.0], [0.0, 0.0, 0.0, 9.0], [("m", "mobility array", None, [30.0, 10.0, 20.0, 40.0]), ("s", "short array", None, [1.0])]), (1, "centroid", None, None, None)]
+    rows = [(0, "profile", [3.0, 1.0, 2.0, 4.0], [0.0, 0.0, 0.0, 9.0], [("m", "mobility array", None, "f8", [30.0, 10.0, 20.0, 40.0], None), ("s", "short array", None, "f4", [1.0], None), ("i", "whole array", None, "i8", None, [3, 1, 2, 2**60 + 1])]), (1, "centroid", None, None, None)]
     df = spark.createDataFrame(rows, f"spectrum_index long, representation string, mz array<double>, intensity array<double>, others {xml.OTHERS}")
     a, b = arrays.canonical(df, True, True).orderBy("spectrum_index").collect()
-    assert a["mz"] == [3.0, 4.0] and a["intensity"] == [0.0, 9.0] and [o["values"] for o in a["others"]] == [[30.0, 40.0], [1.0]] and a["was_unsorted"]
+    assert a["mz"] == [3.0, 4.0] and a["intensity"] == [0.0, 9.0] and [o["values"] for o in a["others"]] == [[30.0, 40.0], [1.0], None] and a["others"][2]["integers"] == [3, 2**60 + 1] and a["was_unsorted"]
     assert b["mz"] is None and b["others"] is None and not b["was_unsorted"]
     uneven = spark.createDataFrame([(0, "profile", [2.0, 1.0], [5.0], None), (1, "profile", [2.0, 1.0, 3.0], [0.0, 4.0, 0.0], None)], df.schema)
     a, b = arrays.canonical(uneven, True, True).orderBy("spectrum_index").collect()
@@ -89,7 +152,7 @@ def test_round_trip_with_header_and_pictures(spark, run, tmp_path):
     m = index["metadata"]
     assert m["imaging"]["pixel_size"] == {"x": 10.0, "y": 20.0} and "offset" not in m["imaging"] and m["imaging"]["grid"]["source"] == "declared"
     assert [f["id"] for f in m["source_files"]] == ["imzml", "ibd"] and m["run"]["default_source_file"] == "imzml" and m["software"][0]["parameters"][0]["accession"] == terms.CUSTOM_SOFTWARE
-    assert [e["status"] for e in m["imaging"]["images"]] == ["ok"] and {t["accession"] for t in index["content_terms"]} >= {terms.MS1_SPECTRUM, terms.MSN_SPECTRUM}
+    assert [e["status"] for e in m["imaging"]["images"]] == ["ok"] and {t["accession"] for t in m["content"]} >= {terms.MS1_SPECTRUM, terms.MSN_SPECTRUM}
     (tmp_path / "out").mkdir()
     got = convert.convert(spark, str(tmp_path / "a"), str(tmp_path / "out" / "again.imzML"))
     assert got["images"] == ["slide.png"] and (tmp_path / "out" / "slide.png").read_bytes() == (tmp_path / "slide.png").read_bytes() and got["warnings"] == []
@@ -230,7 +293,7 @@ def test_isa_bundles(spark, tmp_path):
 
 
 def test_own_reporter_arrays(spark):
-    rows = [(0, 2, [126.127726, 130.0], [9.0, 1.0], None), (1, 2, [1.0], [1.0], [("u", convert.REPORTER_ARRAY, None, [4.0])]), (2, 1, [1.0], [1.0], None)]
+    rows = [(0, 2, [126.127726, 130.0], [9.0, 1.0], None), (1, 2, [1.0], [1.0], [("u", convert.REPORTER_ARRAY, None, "f8", [4.0], None)]), (2, 1, [1.0], [1.0], None)]
     df = spark.createDataFrame(rows, f"spectrum_index long, ms_level int, mz array<double>, intensity array<double>, others {xml.OTHERS}")
     got = [r["reporters"] and [(c["channel"], c["intensity"]) for c in r["reporters"]] for r in convert.with_reporters(df, [("A", 126.127726), ("B", 127.1)]).orderBy("spectrum_index").collect()]
     assert got == [[("A", 9.0), ("B", 0.0)], [("A", 4.0), ("B", 0.0)], None]
@@ -247,3 +310,76 @@ def test_corpus_tables(spark, tmp_path):
     assert (total["files"], total["bytes"], total["stored_files"], total["stored_bytes"]) == (2, 12, 1, 5)
     assert hashlib.sha1(b"").hexdigest() == export.file_sha1(spark, str((tmp_path / "e").touch() or tmp_path / "e"))
     assert verify.EXACT.mz == 0
+
+
+def test_streams_into_archives(spark, pixels, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "run")
+    stream = lambda: ingest.into_archives(ingest.arriving(spark, source, pixels.schema, files=1), target, str(tmp_path / "checkpoint")).awaitTermination(120)
+    pixels.filter("spectrum_index < 3").coalesce(1).write.parquet(source)
+    stream()
+    fold = ingest.committed_fold(spark, target).first()
+    assert (fold["batches"], fold["spectra"], fold["resorted"], fold["max_x"], fold["max_y"], fold["mz_lo"], fold["mz_hi"], fold["has_msn"]) == (1, 3, 1, 3, 3, 3.0, 103.0, True)
+    files = {f: os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(target) for f in names}
+    assert not ingest.commit(spark, pixels, target, 0)  # a batch that comes again changes nothing
+    assert files == {f: os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(target) for f in names}
+    pixels.filter("spectrum_index >= 3").coalesce(1).write.mode("append").parquet(source)
+    stream()
+    stream()
+    assert ingest.committed_fold(spark, target).first()["spectra"] == 5 and len(ingest.committed(spark, target)) == 2
+    back = {r["spectrum_index"]: (r["batch"], r["mz"]) for r in ingest.read_committed(spark, target).collect()}
+    assert len(back) == 5 and back[1] == (0, [3.0, 4.0, 5.0]) and back[3][0] == 1
+    # a commit that didn't end is written anew
+    (tmp_path / "run" / "batch=7" / "facet=spectra_data").mkdir(parents=True)
+    (tmp_path / "run" / "batch=7" / "facet=spectra_data" / "part-0.parquet").write_text("half")
+    assert len(ingest.committed(spark, target)) == 2 and ingest.commit(spark, pixels.limit(2), target, 7) and len(ingest.committed(spark, target)) == 3
+
+
+PIECES = """<indexedmzML><mzML><referenceableParamGroupList count="1"><referenceableParamGroup id="g"><cvParam accession="MS:1000130" name="positive scan" value=""/><userParam name="lab" type="xsd:string" value="x"/></referenceableParamGroup></referenceableParamGroupList>
+<run id="r"><spectrumList count="1"><spectrum index="0" id="s0" defaultArrayLength="0"><referenceableParamGroupRef ref="g"/><cvParam accession="MS:1000511" name="ms level" value="2"/><scanList count="1"><cvParam accession="MS:1000795" name="no combination"/><scan instrumentConfigurationRef="IC2"><cvParam accession="MS:1000512" name="filter string" value="a &lt; b"/><scanWindowList count="1"><scanWindow><cvParam accession="MS:1000501" name="scan window lower limit" value="50" unitAccession="MS:1000040" unitName="m/z"/></scanWindow></scanWindowList></scan></scanList>
+<precursorList count="2"><precursor spectrumRef="p1"/><precursor spectrumRef="p2"><isolationWindow><cvParam accession="MS:1000827" name="target" value="7.5"/></isolationWindow></precursor></precursorList><productList count="1"><product><isolationWindow><cvParam accession="MS:1000827" name="target" value="9"/></isolationWindow></product></productList></spectrum></spectrumList>
+"""
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_many_chromatograms_are_split(spark, tmp_path, monkeypatch, indexed):
+    monkeypatch.setattr(xml, "RANGE_BYTES", 40_000)
+    one = '<chromatogram index="{k}" id="SRM {k}" defaultArrayLength="0"><cvParam accession="MS:1001473" name="SRM" value=""/><userParam name="n" value="{k}"/><precursor><isolationWindow><cvParam accession="MS:1000827" name="target" value="{k}"/></isolationWindow></precursor><product><isolationWindow><cvParam accession="MS:1000827" name="target" value="{h}"/></isolationWindow></product></chromatogram>\n'
+    head = PIECES + '<chromatogramList count="5000">\n'
+    offset = len(head.encode())
+    text = head + "".join(one.format(k=k, h=k / 2) for k in range(5000)) + "</chromatogramList></run></mzML>"
+    if indexed:
+        text += f'<indexList count="2"><index name="spectrum"><offset idRef="s0">9</offset></index>\n<index name="chromatogram"><offset idRef="SRM 0">{offset}</offset></index></indexList>'
+        text += f"<indexListOffset>{text.index('<indexList ')}</indexListOffset></indexedmzML>"
+    (tmp_path / "run.mzML").write_text(text)
+    path = str(tmp_path / "run.mzML")
+    assert xml.first_chromatogram(spark, path, len(text.encode())) == (offset if indexed else 0)
+    traces = xml.read_chromatograms(spark, path)
+    assert traces.rdd.getNumPartitions() > 10
+    rows = {r["chrom_index"]: r for r in traces.collect()}
+    assert len(rows) == 5000 and rows[77]["id"] == "SRM 77" and rows[77]["product"][0]["value"] == "38.5" and rows[77]["precursor"]["isolation"][0]["value"] == "77" and rows[77]["params"][1]["name"] == "n"
+
+
+def test_parameters_are_kept_whole(spark, tmp_path):
+    (tmp_path / "run.mzML").write_text(PIECES + "</run></mzML></indexedmzML>")
+    convert.convert(spark, str(tmp_path / "run.mzML"), str(tmp_path / "a"), check=True)
+    r = archive.read_archive(spark, str(tmp_path / "a")).first()
+    assert [(p["accession"], p["name"], p["value"], p["type"]) for p in r["params"]] == [("MS:1000130", "positive scan", "", None), ("MS:1000511", "ms level", "2", None), (None, "lab", "x", "xsd:string")]
+    assert r["scans"][0]["instrument"] == "IC2" and r["scans"][0]["params"][0]["value"] == "a < b" and r["scans"][0]["windows"][0][0]["unit_name"] == "m/z" and r["combination"][0]["accession"] == "MS:1000795"
+    assert [p["ref"] for p in r["precursors"]] == ["p1", "p2"] and r["precursors"][0]["isolation"] is None and r["precursors"][1]["isolation"][0]["value"] == "7.5" and r["products"][0][0]["value"] == "9"
+
+
+def test_long_headers_fail(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(xml, "HEADER_LIMIT", 1000)
+    (tmp_path / "long.imzML").write_text("<mzML>" + " " * 200_000 + "<spectrumList>")
+    with pytest.raises(ValueError, match="no spectra"):
+        xml.header_text(spark, str(tmp_path / "long.imzML"))
+
+
+def test_places_of_mismatches(spark, pixels, tmp_path):
+    archive.write_archive(pixels, str(tmp_path / "a"))
+    output = archive.read_archive(spark, str(tmp_path / "a"))
+    changed = output.withColumn("intensity", F.when(F.col("spectrum_index") == 0, F.transform("intensity", lambda v: (v + 1).cast("float"))).otherwise(F.col("intensity")))
+    got = {r["s_index"]: r for r in fidelity.mismatches(pixels, changed, by="index").collect()}
+    assert got[0]["mz_first"] is None and got[0]["intensity_first"] == 1  # the first point that masking kept
+    lost = output.withColumns({"mz": F.expr("filter(mz, m -> m <> 102)"), "intensity": F.expr("filter(intensity, v -> v <> 5)")})
+    assert {r["s_index"]: r["mz_first"] for r in fidelity.mismatches(pixels, lost, by="index").collect()}[0] == 2
