@@ -1,23 +1,29 @@
 """Exact dedup on a persistent digest index (DataFrame functions only).
 
-The index is a table bucketed and sorted by digest. New data is reduced to one row per digest by a partial
-aggregation and anti-joined to the index by sort-merge (the index side is read bucket by bucket and isn't shuffled).
-Digests that the index lacks are appended with the id of the document that stays; of known digests only a count is
-appended, so group sizes grow with later batches. Documents come in batches from the largest ids down.
+The index is a folder of Parquet files bucketed and sorted by digest; the folder alone says what it holds and how it is
+bucketed, so any session goes on with it. New data is reduced to one row per digest by a partial aggregation and
+anti-joined to the index by sort-merge (the index side is read bucket by bucket and isn't shuffled). Digests that the
+index lacks are appended with the id of the document that stays; of known digests only a count is appended, so group
+sizes grow with later batches. Buckets that have gathered many files are merged to one file each. Documents come in
+batches from the largest ids down.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from peakloom.llm.common import ascii_lower, join_groups, release, text_of
+from peakloom.llm.common import ascii_lower, join_groups, text_of
 from peakloom.session import materialize, scratch_path
 
 #: Batches in which documents meet the index, by ranges of their ids.
 BATCHES = 2
+#: Files a bucket of the index may gather, on average, before its buckets are merged.
+MOST_FILES = 8
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,17 +33,61 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A table of (digest, keep_id, group_size), bucketed and sorted by digest; sizes of a digest are summed when it is read."""
+    """A folder with (digest, keep_id, group_size), bucketed and sorted by digest; sizes of a digest are summed when it is read.
 
-    def __init__(self, spark: SparkSession, table: str, path: str | None = None, buckets: int | None = None):
-        self.spark, self.table, self.path = spark, table, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Under `path` lie generations of the data, `data-N`, and for each a file in `layouts` that is written when the
+    generation is whole; the highest one counts. The number of buckets is that of the first append. One writer at a
+    time: an append that another one overtakes isn't guarded against.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        jvm = spark.sparkContext._jvm
+        self.at = jvm.org.apache.hadoop.fs.Path
+        self.store = self.at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def layout(self) -> dict | None:
+        """The highest generation's: its number, buckets and columns; None where nothing was ever appended."""
+        folder = self.at(f"{self.path}/layouts")
+        names = [f.getPath().getName() for f in self.store.listStatus(folder)] if self.store.exists(folder) else []
+        whole = [n for n in names if n.endswith(".json") and n[0] not in "._"]
+        if not whole:
+            return None
+        stream = self.store.open(self.at(f"{self.path}/layouts/{max(whole)}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def publish(self, layout: dict) -> None:
+        """Write a layout under another name and rename it: it is there whole or not at all."""
+        name = f"{layout['generation']:09d}.json"
+        stream = self.store.create(self.at(f"{self.path}/layouts/_{name}"), True)
+        try:
+            stream.write(bytearray(json.dumps(layout).encode()))
+        finally:
+            stream.close()
+        if not self.store.rename(self.at(f"{self.path}/layouts/_{name}"), self.at(f"{self.path}/layouts/{name}")):
+            raise OSError(f"{self.path} has a layout {name} already: another writer was at work")
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        return self.layout() is not None
+
+    def table(self, layout: dict) -> str:
+        """The generation's folder under a name in this session's catalogue, bucketed as its layout says."""
+        place = f"{self.path}/data-{layout['generation']}"
+        name = f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, place).hex}"
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromJson(layout["schema"]).fields)
+            quoted = place.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {layout['buckets']} BUCKETS LOCATION '{quoted}'")
+        return name
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        name = self.table(self.layout())
+        self.spark.catalog.refreshTable(name)  # another session may have added files
+        return self.spark.table(name)
 
     def read(self) -> DataFrame:
         """One row per digest. The table is bucketed by it, so nothing is shuffled."""
@@ -57,17 +107,51 @@ class DigestIndex:
         return known.withColumn("keep_id", F.lit(None).cast(groups.schema["keep_id"].dataType))
 
     def append(self, groups: DataFrame) -> None:
-        """Add groups: new digests with their documents, known ones with their counts."""
-        out = self.unseen(groups).unionByName(self.seen(groups)) if self.exists() else groups
-        out = out.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
-        writer = out.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
+        """Add groups: new digests with their documents, known ones with their counts. What is there stays, whoever wrote it."""
+        layout = self.layout()
+        if layout is None:
+            self.generation(0, groups, self.wanted)
+            return
+        out = self.unseen(groups).unionByName(self.seen(groups)).select("digest", "keep_id", "group_size")
+        kinds = [f.dataType for f in StructType.fromJson(layout["schema"]).fields]
+        out = out.select(*[F.col(c).cast(t) for c, t in zip(out.columns, kinds, strict=True)])
+        self.written(out, layout["buckets"], self.table(layout))
+        if len(self.rows().inputFiles()) > MOST_FILES * layout["buckets"]:
+            self.compact()
+
+    def written(self, rows: DataFrame, buckets: int, table: str, **options) -> None:
+        dealt = rows.select("digest", "keep_id", "group_size").repartition(buckets, "digest")
+        dealt.write.mode("append").format("parquet").options(**options).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
+
+    def generation(self, number: int, rows: DataFrame, buckets: int) -> None:
+        """Write a generation, then the layout by which it counts. What a writer that was lost left of it goes first."""
+        place = f"{self.path}/data-{number}"
+        self.store.delete(self.at(place), True)
+        rows = rows.select("digest", "keep_id", "group_size")
+        layout = {"generation": number, "buckets": buckets, "schema": rows.schema.jsonValue()}
+        name = f"digests_{uuid.uuid4().hex}"
+        try:
+            self.written(rows, buckets, name, path=place)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay
+        self.publish(layout)
+
+    def compact(self) -> None:
+        """Merge each bucket to one file with one row per digest, in a new generation; the old one goes when that is whole."""
+        layout = self.layout()
+        self.generation(layout["generation"] + 1, self.read(), layout["buckets"])
+        self.forget(layout)
+
+    def forget(self, layout: dict) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table(layout)}")
+        for left in (f"{self.path}/layouts/{layout['generation']:09d}.json", f"{self.path}/data-{layout['generation']}"):
+            self.store.delete(self.at(left), True)
 
     def drop(self) -> None:
-        """Take the table out of the catalogue and delete its files."""
-        files = self.rows()
-        release(files)
-        self.spark.sql(f"DROP TABLE {self.table}")
+        """Delete the index."""
+        if layout := self.layout():
+            self.forget(layout)
+        self.store.delete(self.at(self.path), True)
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -101,7 +185,7 @@ def batches_of(rows: DataFrame, batches: int) -> list[DataFrame]:
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
     """An empty index in the shared folder."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"))
+    return DigestIndex(spark, scratch_path(spark, "digest-index"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
