@@ -632,12 +632,10 @@ def row_group_rows(spark, sf_dir):
     return sums[0].join(sums[1], "k").join(groups, "k").drop("k")
 
 
-@query("SELECT page_id, length(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')) AS bare FROM pages WHERE coalesce(html, '') NOT LIKE '%&amp;%' AND coalesce(html, '') NOT LIKE '%&times;%'")
+@query("SELECT page_id, sha256(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '&amp;', '&'), '&times;', chr(215))) AS bare FROM pages")
 def plain_texts(spark, sf_dir):
-    """Text without inline tags and entities."""
-    html = F.coalesce("html", F.lit(""))
-    rows = table(spark, sf_dir, "pages").filter(~F.contains(html, F.lit("&amp;")) & ~F.contains(html, F.lit("&times;")))
-    return rows.select("page_id", F.length(cells.plain_text(html)).cast("long").alias("bare"))
+    """Text without inline tags, and with entities as their characters."""
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(cells.plain_text(F.coalesce("html", F.lit(""))), 256).alias("bare"))
 
 
 @query("SELECT CASE l_linenumber WHEN 1 THEN 'done' WHEN 2 THEN 'integrity' WHEN 5 THEN 'verification' ELSE CAST(l_linenumber AS VARCHAR) END AS outcome, count(*) AS n FROM lineitem GROUP BY 1")

@@ -7,6 +7,7 @@ explicit schemas. Headers are read on their own, and no further than they go.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -117,9 +118,17 @@ def parsed(texts: DataFrame, schema: str, tag: str, close: str | None = None, sh
     return texts.mapInArrow(run, kind)
 
 
-def spectrum_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None, shared: dict[str, list] = {}) -> DataFrame:  # noqa: B006
-    """One row per spectrum element, in no particular order; a malformed one fails."""
-    return parsed(spectrum_texts(spark, path, encoding), schema, "spectrum", shared=shared)
+def spectrum_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None, shared: dict[str, list] = {}, between: tuple[int, int] | None = None) -> DataFrame:  # noqa: B006
+    """One row per spectrum element, in no particular order; a malformed one fails.
+
+    between: the first and last index of those wanted. Where the file's own index says where they lie, no more is read.
+    """
+    ranges = between and spectrum_ranges(spark, path, *between)
+    if ranges is None:
+        df = parsed(spectrum_texts(spark, path, encoding), schema, "spectrum", shared=shared)
+    else:
+        df = parsed(element_texts(ranges, "spectrum", encoding or detect_encoding(spark, path)), schema, "spectrum", "</spectrum>", shared)
+    return df.filter(F.col("_index").between(*between)) if between else df
 
 
 def chromatogram_elements(spark: SparkSession, path: str, schema: str, encoding: str | None = None, shared: dict[str, list] = {}) -> DataFrame:  # noqa: B006
@@ -160,21 +169,58 @@ def read_at(spark: SparkSession, path: str, start: int, size: int) -> bytes:
         stream.close()
 
 
-def first_chromatogram(spark: SparkSession, path: str, size: int) -> int:
-    """Where a file's first chromatogram begins, by its own index; 0 if that doesn't say so or isn't right."""
+def indexed_offsets(spark: SparkSession, path: str, size: int, name: str) -> Iterator[int]:
+    """Where a file's own index says its elements of a kind begin, in order; nothing where it has no index. The index is read as far as is asked for."""
     tail = read_at(spark, path, max(0, size - TAIL_BYTES), TAIL_BYTES)
     if not (found := re.search(rb"<indexListOffset>\s*(\d+)\s*</indexListOffset>", tail)):
-        return 0
-    at, kept = int(found[1]), b""
-    while at < size:  # the index of spectra, which may be long, comes first; it is only looked through
-        part = read_at(spark, path, at, 16 * TAIL_BYTES)
-        kept, at = kept[-512:] + part, at + len(part)
-        if first := re.search(rb"""<index\s+name=["']chromatogram["']\s*>\s*<offset[^>]*>\s*(\d+)""", kept):
-            start = int(first[1])
-            return start if start < size and read_at(spark, path, start, 13) == b"<chromatogram" else 0
-        if not part:
-            break
-    return 0
+        return
+    at, kept, inside = int(found[1]), b"", False
+    opening = re.compile(rb"""<index\s+name=["']%s["']\s*>""" % name.encode())
+    while at < size and (part := read_at(spark, path, at, 16 * TAIL_BYTES)):
+        kept, at = kept + part, at + len(part)
+        if not inside:
+            if not (begin := opening.search(kept)):
+                kept = kept[-64:]
+                continue
+            inside, kept = True, kept[begin.end() :]
+        stop = kept.find(b"</index>")
+        last = 0
+        for offset in re.finditer(rb"<offset[^>]*>\s*(\d+)\s*</offset>", kept if stop < 0 else kept[:stop]):
+            last = offset.end()
+            yield int(offset[1])
+        if stop >= 0:
+            return
+        kept = kept[last:]
+
+
+def begins(spark: SparkSession, path: str, offset: int, tag: str) -> bool:
+    return read_at(spark, path, offset, len(tag) + 1) == f"<{tag}".encode()
+
+
+def first_chromatogram(spark: SparkSession, path: str, size: int) -> int:
+    """Where a file's first chromatogram begins, by its own index; 0 if that doesn't say so or isn't right."""
+    start = next(indexed_offsets(spark, path, size, "chromatogram"), 0)
+    return start if 0 < start < size and begins(spark, path, start, "chromatogram") else 0
+
+
+def spectrum_ranges(spark: SparkSession, path: str, first: int, last: int) -> DataFrame | None:
+    """(path, start, stop) of the spectra from one index to another, by the index of the one file; None if it has none or isn't right."""
+    files = files_of(spark, path)
+    if len(files) != 1 or files[0][0].endswith(".gz"):
+        return None
+    file, size = files[0]
+    offsets = list(itertools.islice(indexed_offsets(spark, file, size, "spectrum"), max(0, first), max(0, last + 2)))
+    wanted = max(0, last - max(0, first) + 1)
+    if not offsets or offsets != sorted(offsets) or not all(begins(spark, file, o, "spectrum") for o in (offsets[0], offsets[-1])):
+        return None
+    own = offsets[:wanted]
+    stop = offsets[wanted] if len(offsets) > wanted else own[-1] + 1  # an element is read to its end
+    cuts = [own[0]]
+    for o in own[1:]:
+        if o - cuts[-1] >= RANGE_BYTES:
+            cuts.append(o)
+    rows = [(file, a, b) for a, b in zip(cuts, [*cuts[1:], stop], strict=True)]
+    return spark.createDataFrame(rows, "path string, start long, stop long").repartition(len(rows))
 
 
 def file_ranges(spark: SparkSession, path: str, begin=None) -> DataFrame:
@@ -468,16 +514,17 @@ def seconds(p: Column) -> Column:
     return F.when(t["_unitAccession"] == terms.MINUTE, v * 60).otherwise(v)
 
 
-def read_mzml(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_mzml(spark: SparkSession, path: str, encoding: str | None = None, between: tuple[int, int] | None = None) -> DataFrame:
     """(spectrum_index, native_id, ms_level, level_absent, representation, rt_seconds, precursor, params, combination, scans, precursors, products, mz_type, intensity_type, mz, intensity, others) of an mzML file, gzipped or not.
 
     An absent MS level is 1; a spectrum without arrays has null arrays; m/z and intensities of another type than floats
     fail, and so do arrays of an unknown compression or of another length than the spectrum's or their own. The types
     are those of the source (f64, f32); arrays are doubles here. others has all further arrays. precursor has the first
     one's numbers; params, combination (the scan list's), scans, precursors and products have all parameters as the
-    source gives them, groups resolved.
+    source gives them, groups resolved. between: only the spectra from one index to another; with an index of offsets in
+    the file only their bytes are read.
     """
-    df = spectrum_elements(spark, path, SPECTRUM, encoding, groups(spark, path, encoding))
+    df = spectrum_elements(spark, path, SPECTRUM, encoding, groups(spark, path, encoding), between)
     p = F.coalesce("cvParam", F.array().cast(f"array<{PARAM}>"))
     scan_params = F.coalesce(F.get(F.col("scanList.scan"), F.lit(0))["cvParam"], F.array().cast(f"array<{PARAM}>"))
     first = F.get(F.col("precursorList.precursor"), F.lit(0))

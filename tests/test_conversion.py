@@ -195,6 +195,10 @@ def test_unsafe_names_are_left_out(spark, tmp_path):
     assert done == [] and len(warnings) == 2
 
 
+def test_equal_names_are_numbered():
+    assert export.numbered({"a": "x.png", "b": "X.png", "c": "x-2.png", "d": "", "e": "x.png"}) == {"a": "x.png", "b": "X-3.png", "c": "x-2.png", "d": "", "e": "x-4.png"}
+
+
 def test_errors_have_their_class(spark, run, tmp_path):
     convert_ = lambda path, **o: convert.convert(spark, path, str(tmp_path / "x"), **o)
     with pytest.raises(convert.ConversionError, match="no conversion") as e:
@@ -383,3 +387,27 @@ def test_places_of_mismatches(spark, pixels, tmp_path):
     assert got[0]["mz_first"] is None and got[0]["intensity_first"] == 1  # the first point that masking kept
     lost = output.withColumns({"mz": F.expr("filter(mz, m -> m <> 102)"), "intensity": F.expr("filter(intensity, v -> v <> 5)")})
     assert {r["s_index"]: r["mz_first"] for r in fidelity.mismatches(pixels, lost, by="index").collect()}[0] == 2
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_few_spectra_read_few_bytes(spark, tmp_path, indexed):
+    head, tail, offsets = "<indexedmzML><mzML><run><spectrumList>", "</spectrumList></run></mzML>", []
+    text = head
+    for k in range(1000):
+        offsets.append(len(text))
+        text += f'<spectrum index="{k}" id="s{k}" defaultArrayLength="0"><cvParam accession="MS:1000511" name="ms level" value="{k % 3}"/>{" " * 500}</spectrum>\n'
+    text += tail
+    if indexed:
+        listed = "".join(f'<offset idRef="s{k}">{o}</offset>' for k, o in enumerate(offsets))
+        text += f'<indexList count="1"><index name="spectrum">{listed}</index></indexList><indexListOffset>{len(text)}</indexListOffset></indexedmzML>'
+    path = tmp_path / "run.mzML"
+    path.write_text(text)
+    ranges = xml.spectrum_ranges(spark, str(path), 300, 309)
+    if indexed:
+        r = ranges.collect()
+        assert sum(x["stop"] - x["start"] for x in r) < 0.015 * len(text)
+        assert sorted(x["spectrum_index"] for x in xml.read_mzml(spark, str(path), between=(995, 2000)).collect()) == [995, 996, 997, 998, 999]
+    else:
+        assert ranges is None
+    got = xml.read_mzml(spark, str(path), between=(300, 309)).collect()
+    assert sorted((x["spectrum_index"], x["ms_level"]) for x in got) == [(k, k % 3 or 1) for k in range(300, 310)]
