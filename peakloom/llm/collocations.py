@@ -28,7 +28,9 @@ MOST_WORDS, LEAST = 5, 100
 #: Phrases that are listed of each language.
 LISTED = 2000
 #: Bytes of text in a shard; a longer text is one of its own.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 3 << 20
+#: Rows that a task returns at once, and rows of its shards that it merges before it returns them.
+STEP_ROWS, MERGE_ROWS = 1 << 16, 1 << 20
 #: Bits of the filter of frequent hashes, for each of which it has FILTER_SHARE, within these bounds.
 FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 27
 #: Parts into which a language's candidates are dealt before its first ones are taken.
@@ -102,7 +104,7 @@ class Shard:
         piece = np.searchsorted(np.flatnonzero(code == BREAK), starts)
         last = np.r_[(piece[1:] != piece[:-1]) | (text[1:] != text[:-1]), np.ones(min(1, len(starts)), bool)]
         n = max(1, len(found.dictionary))
-        return cls(word, until(last), kinds % n, kinds // n, found.dictionary, names.dictionary.to_pylist())
+        return cls(word.astype(np.int32), until(last).astype(np.int32), kinds % n, kinds // n, found.dictionary, names.dictionary.to_pylist())
 
     def spelled(self, at: np.ndarray, n: int) -> pa.Array:
         """The phrases of n words that begin at the places, joined by spaces."""
@@ -142,7 +144,7 @@ def until(last: np.ndarray) -> np.ndarray:
 
 def suffix_order(word: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the words from there, `depth` of them or as many as are left, by prefix doubling."""
-    rank, have = word + 1, 1
+    rank, have = word.astype(np.int64) + 1, 1
     order = np.argsort(rank, kind="stable") if depth == 1 else None
     while have < depth:
         after = np.zeros(len(rank), np.int64)
@@ -210,19 +212,17 @@ def rows_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def hash_counts(rows: DataFrame) -> DataFrame:
-    """(lang, hash, c): counts of words and of pairs of words by hash (lang null), and the words of each language (hash null), a row for each shard."""
+    """(hash, c): counts of words and of pairs of words by hash, a row for each shard that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shards(batches):
             own, langs = hashes(s.words), hashes(pa.array([x.encode() for x in s.langs], pa.large_binary()))
-            found = [(s.hashed(at, n, own, langs), counts) for n, at, counts in ngrams(s.word, s.left, range(1, 3))]
-            totals = np.bincount(s.language[s.word], minlength=len(s.langs))
-            h, c = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            rest = [pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())]
-            yield pa.RecordBatch.from_arrays(rest, names=["lang", "hash", "c"])
-            yield pa.RecordBatch.from_arrays([pa.array(s.langs, pa.string()), pa.nulls(len(s.langs), pa.int64()), pa.array(totals, pa.int64())], names=["lang", "hash", "c"])
+            for n, at, counts in ngrams(s.word, s.left, range(1, 3)):
+                for lo in range(0, len(at), STEP_ROWS):
+                    h = s.hashed(at[lo : lo + STEP_ROWS], n, own, langs).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts[lo : lo + STEP_ROWS], pa.int64())], names=["hash", "c"])
 
-    return rows.mapInArrow(run, "lang string, hash long, c long")
+    return rows.mapInArrow(run, "hash long, c long")
 
 
 def filter_bits(frequent: DataFrame) -> np.ndarray:
@@ -247,11 +247,34 @@ def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
+def combined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, words, c) of a task's shards with the counts of equal phrases added up, as far as MERGE_ROWS of them go together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def added_up() -> pa.Table:
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("c", "sum")])
+        return table.rename_columns(["lang", "phrase", "words", "c"])
+
+    for b in parts:
+        held.append(b)
+        n += b.num_rows
+        if n >= MERGE_ROWS:
+            table = added_up()
+            if table.num_rows > MERGE_ROWS // 2:  # little was equal
+                yield from table.to_batches(STEP_ROWS)
+                held, n = [], 0
+            else:
+                held, n = table.to_batches(), table.num_rows
+    if held:
+        yield from added_up().to_batches(STEP_ROWS)
+
+
 def phrase_counts(rows: DataFrame, bits: np.ndarray, most_words: int) -> DataFrame:
-    """(lang, phrase, words, c): the words and phrases that the filter leaves, a row for each shard."""
+    """(lang, phrase, words, c): the words and phrases that the filter leaves, and all words of a language with a null phrase."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_MOST bits at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "phrase", "words", "c"]
 
         def out(s: Shard, langs: np.ndarray, phrases: pa.Array, n: int, counts: np.ndarray) -> pa.RecordBatch:
@@ -264,6 +287,8 @@ def phrase_counts(rows: DataFrame, bits: np.ndarray, most_words: int) -> DataFra
             counts, place = np.bincount(s.word, minlength=n_kinds), np.zeros(n_kinds, np.int64)
             place[s.word] = np.arange(len(s.word))  # some occurrence of each
             fit = passing(bits := shared.value, s.hashed(place, 1, own, langs)) if n_kinds else np.zeros(0, bool)
+            totals = np.bincount(s.language[s.word], minlength=len(s.langs))
+            yield out(s, np.arange(len(s.langs)), pa.nulls(len(s.langs), pa.string()), 0, totals)
             if fit.any():
                 yield out(s, s.language[fit], s.spelled(place[fit], 1), 1, counts[fit])
             pairs = np.flatnonzero((s.left > 1) & fit[s.word])
@@ -275,24 +300,23 @@ def phrase_counts(rows: DataFrame, bits: np.ndarray, most_words: int) -> DataFra
             goes_on = np.zeros(len(s.word), bool)
             goes_on[pairs] = True
             inside = np.flatnonzero(goes_on | np.r_[False, goes_on[:-1]])
-            last = ~goes_on[inside]
-            for n, at, c in ngrams(s.word[inside], until(last), range(2, most_words + 1)):
-                if n > 1 and len(at):
-                    at = inside[at]
-                    yield out(s, s.language[s.word[at]], s.spelled(at, n), n, c)
+            for n, at, c in ngrams(s.word[inside], until(~goes_on[inside]), range(2, most_words + 1)):
+                for lo in range(0, len(at), STEP_ROWS):
+                    part = inside[at[lo : lo + STEP_ROWS]]
+                    yield out(s, s.language[s.word[part]], s.spelled(part, n), n, c[lo : lo + STEP_ROWS])
 
-    return rows.mapInArrow(run, "lang string, phrase string, words int, c long")
+    return rows.mapInArrow(lambda batches: combined(counted(batches)), "lang string, phrase string, words int, c long")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_words: int = MOST_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all words and phrases that occur at least `least` times, (lang, n): all words of each language)."""
     rows = rows_of(docs, text_col, lang_col)
-    merged = hash_counts(rows).groupBy("lang", "hash").agg(F.sum("c").alias("c")).filter(F.col("lang").isNotNull() | (F.col("c") >= least))
-    merged = materialize(merged, "frequent-hashes")
-    totals = merged.filter("lang is not null").select("lang", F.col("c").alias("n"))
-    bits = filter_bits(merged.filter("lang is null").select("hash"))
+    # shards have each hash once and tasks few shards, so nothing is gained by adding up before the exchange
+    merged = hash_counts(rows).repartition("hash").groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    bits = filter_bits(materialize(merged.select("hash"), "frequent-hashes"))
     counted = phrase_counts(rows, bits, most_words).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("c").alias("f"))
-    return materialize(counted.filter(F.col("f") >= least), "frequent-phrases"), totals
+    counted = materialize(counted.filter(F.col("phrase").isNull() | (F.col("f") >= least)), "frequent-phrases")
+    return counted.filter("phrase is not null"), counted.filter("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:

@@ -98,3 +98,18 @@ def test_hashes_agree_between_shards():
     assert (co.hashes(pa.array([b"zz", *words], pa.large_binary()).slice(1)) == one).all()
     bits = np.zeros(1024, np.uint64)
     assert not co.passing(bits, one).any() and co.passing(~bits, one).all()
+
+
+def test_shards_of_a_task_are_added_up(monkeypatch):
+    monkeypatch.setattr(co, "MERGE_ROWS", 6)
+    row = lambda p, c: pa.record_batch([pa.array(["en"]), pa.array([p]), pa.array([1], pa.int32()), pa.array([c], pa.int64())], names=["lang", "phrase", "words", "c"])
+    phrases = list("abababababcdefghijkaab")
+    out = list(co.combined(row(p, k) for k, p in enumerate(phrases)))
+    total = Counter()
+    for k, p in enumerate(phrases):
+        total[p] += k
+    got = Counter()
+    for b in out:
+        for p, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            got[p] += c
+    assert got == total and sum(b.num_rows for b in out) < len(phrases)
