@@ -51,6 +51,15 @@ def least_rows(rows: DataFrame, key: str, draw: str, limit: int, ties: list[str]
     return near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit)
 
 
+def within_budget(drawn: DataFrame, key: str, size: Column, budget: int) -> DataFrame:
+    """Rows of least_rows up to a total size for each key: in the order of their draw, each as a whole, until the budget is used up.
+
+    The row that uses it up is the last one, so the total is less than the budget and one row.
+    """
+    before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    return drawn.withColumn("__before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("__before") < budget).drop("__before")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows left-joined to groups, which has one row per key and its row count in `size`.
 

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import least_rows
+from peakloom.llm.common import least_rows, within_budget
 
-#: The fit takes at most FIT_DOCS texts of each language and FIT_WINDOWS windows of each text.
-FIT_DOCS, FIT_WINDOWS = 1000, 3
+#: The fit draws at most FIT_DOCS texts of each language and takes them as a whole, until they have FIT_WINDOWS windows.
+FIT_DOCS, FIT_WINDOWS = 1000, 4000
 WINDOW = 256
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 6, 64, 0.01
@@ -109,19 +109,17 @@ class Network:
 
 
 def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """(lang, windows) of a bounded sample: texts are drawn by a hash of the id, windows spread over each text."""
+    """(lang, windows) of a bounded sample: texts are drawn by a hash of the id, each with all its windows, until the budget of windows is used up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = []
-            for t in batch.column(1):
-                w = windows_of(str(t).encode("utf-8", "replace"))
-                drawn.append(w[np.linspace(0, len(w) - 1, min(FIT_WINDOWS, len(w))).astype(int)].tobytes())
+            drawn = [windows_of(str(t).encode("utf-8", "replace")).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=["lang", "windows"])
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("draw"), F.col(text_col).alias("text"))
     drawn = least_rows(rows, "lang", "draw", FIT_DOCS, [F.xxhash64("text"), "text"])
+    drawn = within_budget(drawn, "lang", F.ceil(F.octet_length("text") / WINDOW), FIT_WINDOWS)
     return drawn.select("lang", "text").mapInArrow(run, "lang string, windows binary").collect()
 
 

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import least_rows, text_of
+from peakloom.llm.common import least_rows, text_of, within_budget
 
-#: The fit takes at most FIT_ROWS labelled texts of each class; of a text beyond FIT_BYTES it takes blocks spread evenly over the whole.
-FIT_ROWS, FIT_BYTES = 1000, 65_536
+#: The fit draws at most FIT_ROWS labelled texts of each class and takes them as a whole, until they have FIT_BYTES.
+FIT_ROWS, FIT_BYTES = 1000, 16 << 20
 DICTIONARY_BYTES = 112_640
 #: A text is compressed block by block, so that each block leans on the dictionary.
 BLOCK = 1024
@@ -31,14 +31,6 @@ def blocks(data: bytes) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
-def spread(data: bytes) -> bytes:
-    """The text, or as many of its blocks as FIT_BYTES hold, evenly spaced from the first to the last."""
-    parts = blocks(data)
-    if len(data) <= FIT_BYTES:
-        return data
-    return b"".join(parts[k] for k in np.linspace(0, len(parts) - 1, FIT_BYTES // BLOCK).astype(int))
-
-
 def dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary, or the texts themselves where they are too few to train on."""
     import zstandard
@@ -97,12 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     wanted = texts.join(F.broadcast(drawn), "__id").select("__y", "__k", "__text")
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [spread(str(t).encode("utf-8", "replace")).decode("utf-8", "replace") for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cut, pa.string())], names=["__y", "__k", "__text"])
-
-    got = wanted.mapInArrow(shorten, wanted.schema).orderBy("__y", "__k", "__text").select("__text", "__y").limit(2 * FIT_ROWS).collect()
+    taken = within_budget(wanted.withColumnRenamed("__k", "k"), "__y", F.octet_length("__text"), FIT_BYTES)
+    got = taken.orderBy("__y", "k", "__text").select("__text", "__y").limit(2 * FIT_ROWS).collect()
     y = np.array([r["__y"] for r in got], int)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
