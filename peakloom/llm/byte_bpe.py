@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ FOLD_BYTES = 256
 LIMIT = 1 << 20
 #: Entries of the literal rank map that share a slot, about.
 SLOT_ENTRIES = 2
+#: Places are 64-bit numbers: a block's number, then a word's in so many bits.
+PLACE_BITS = 27
+#: Bytes of text that a task splits at once.
+STEP_BYTES = 2 << 20
 #: Ids that a task returns at once.
 STEP_IDS = 500_000
 
@@ -156,10 +161,91 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return first.unionByName(rest)
 
 
+#: The pattern of the byte-level tokenizers that split words, numbers, other signs and white space; it is also split by whole arrays.
+COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 0
+
+
+@functools.lru_cache(maxsize=1)
+def kinds_of_characters() -> np.ndarray:
+    """LETTER, NUMBER, WHITE or OTHER for each code point."""
+    import regex
+
+    table = np.zeros(0x110000, np.uint8)
+    for base, stop in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(base, stop)))
+        for kind, text in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+            for found in regex.finditer(text, every):
+                table[base + found.start() : base + found.end()] = kind
+    return table
+
+
+def common_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which characters begin a match of COMMON_PATTERN, in texts that begin where `first` says; every character is in one.
+
+    A run of letters, numbers or other signs is a match, with a space right before it. Of white space before anything
+    else the last character stands alone, or is that space. An apostrophe that begins a match takes s, t, m, d, re, ve
+    or ll with it.
+    """
+    kind = kinds_of_characters()[code]
+    n = len(code)
+    white = kind == WHITE
+    last = np.r_[first[1:], True]  # of its text
+    before = np.r_[np.uint8(255), kind[:-1]]
+    before[first] = 255
+    starts = first | (kind != before)
+    starts |= white & ~last & np.r_[~white[1:], True]  # the last white character before another sign
+    spaced = np.r_[False, code[:-1] == 0x20] & ~first & ~white
+    starts &= ~spaced
+    at = np.flatnonzero(starts & (code == 0x27) & ~last)
+    if len(at):
+        one = code[at + 1]
+        there = ~last[at + 1]
+        two = code[np.minimum(at + 2, n - 1)]
+        double = there & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        taken = np.where(single, 1, np.where(double, 2, 0))
+        at, taken = at[taken > 0], taken[taken > 0]
+        starts[at + 1] = False
+        after = at + 1 + taken
+        starts[after[after < n]] = True
+    return starts
+
+
+def split_common(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(matches of COMMON_PATTERN in all texts one after another, how many each text has)."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    offsets, data = offsets - offsets[0], (texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[offsets[0] : offsets[-1]]
+    raw = np.frombuffer(data, np.uint8)
+    code = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+    place = np.flatnonzero((raw & 0xC0) != 0x80)  # of each character
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets[:-1]] = True
+    at = place[common_starts(code, first[:-1][place])] if len(code) else place
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[at, len(raw)]), pa.py_buffer(data)])
+    return words, np.diff(np.searchsorted(at, offsets))
+
+
+def splitter(pattern: str):
+    """A function like split_common for the pattern."""
+    if pattern == COMMON_PATTERN:
+        return split_common
+    import regex
+
+    found = regex.compile(pattern).findall
+
+    def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        lists = [found(t) for t in texts.to_pylist()]
+        return pa.array([w.encode() for ws in lists for w in ws], pa.large_binary()), np.array([len(ws) for ws in lists], np.int64)
+
+    return split
+
+
 class Numbering(dict):
     """Numbers for words in the order in which they are met."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         return number
 
@@ -167,7 +253,7 @@ class Numbering(dict):
 def packed(numbers: np.ndarray) -> bytes:
     """32-bit numbers, compressed plane by plane of their bytes."""
     planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=4).compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
@@ -181,44 +267,67 @@ def blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFra
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
         from pyspark import TaskContext
 
-        split = regex.compile(pattern).findall
-        first, done = TaskContext.get().partitionId() << 32, 0
+        split = splitter(pattern)
+        first, done = TaskContext.get().partitionId() << 16, 0
         held: list[pa.Array] = []
         index, numbers, sizes, size = Numbering(), [], [], 0
 
         def block() -> pa.RecordBatch:
+            if len(index) >> PLACE_BITS or done >> 16:
+                raise ValueError("a block has too many words, or a task too many blocks")
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            ids = pa.chunked_array(held).combine_chunks()
-            words = pa.array([w.encode() for w in index], pa.binary())
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (ids, pa.array(sizes, pa.int32()), words)]
-            return pa.RecordBatch.from_arrays([pa.array([first + done], pa.int64()), lists[0], lists[1], pa.array([packed(flat)], pa.binary()), lists[2]], names=["block", "ids", "sizes", "numbers", "words"])
+            often = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")  # frequent words get small numbers
+            again = np.empty(len(index), np.int32)
+            again[often] = np.arange(len(index), dtype=np.int32)
+            ids, words = pa.chunked_array(held).combine_chunks(), pa.array(list(index), pa.binary()).take(often)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (ids, pa.array(np.concatenate(sizes), pa.int32()), words)]
+            return pa.RecordBatch.from_arrays([pa.array([first + done], pa.int64()), lists[0], lists[1], pa.array([packed(again[flat])], pa.binary()), lists[2]], names=["block", "ids", "sizes", "numbers", "words"])
 
         for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
             lo = 0
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py()
-                words = split(text)
-                numbers.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                sizes.append(len(words))
-                size += len(text)
+            while lo < batch.num_rows:
+                base = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + STEP_BYTES, "right")))
+                words, counts = split(batch.column(1).slice(lo, hi - lo))
+                found = words.dictionary_encode()
+                own = np.fromiter(map(index.__getitem__, found.dictionary.to_pylist()), np.int32, len(found.dictionary))
+                numbers.append(own[found.indices.to_numpy()])
+                sizes.append(counts)
+                held.append(batch.column(0).slice(lo, hi - lo))
+                size, lo = size + int(ends[hi - 1] - base), hi
                 if size >= BLOCK_BYTES:
-                    held.append(batch.column(0).slice(lo, k + 1 - lo))
                     yield block()
-                    lo, done = k + 1, done + 1
+                    done += 1
                     held, index, numbers, sizes, size = [], Numbering(), [], [], 0
-            if lo < batch.num_rows:
-                held.append(batch.column(0).slice(lo))
         if held:
             yield block()
 
     return rows.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<int>, numbers binary, words array<binary>")
 
 
-def spelled(joined: DataFrame) -> DataFrame:
-    """(id, tokens, token_bytes) of blocks (ids, sizes, numbers, found), where found has the ids of each word by number.
+def entries(found: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of words, (places, counts) of their ids, all ids) of binary entries: four bytes of number, then `width` of each id, the highest first."""
+    found = found.cast(pa.large_binary())
+    offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+    data = np.frombuffer(found.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(found) else np.zeros(0, np.uint8)
+    starts = offsets[:-1] - offsets[0]
+    counts = (np.diff(offsets) - 4) // width
+    body = np.ones(len(data), bool)
+    number = np.zeros(len(starts), np.int64)
+    for k in range(4):
+        number = number << 8 | data[starts + k]
+        body[starts + k] = False
+    digits, ids = data[body].reshape(-1, width).astype(np.int32), np.zeros(int(counts.sum()), np.int32)
+    for k in range(width):
+        ids = ids << 8 | digits[:, k]
+    return number, np.stack([np.cumsum(counts) - counts, counts]), ids
+
+
+def spelled(joined: DataFrame, width: int) -> DataFrame:
+    """(id, tokens, token_bytes) of blocks (ids, sizes, numbers, found), where found has each word's number and ids as `entries` reads them, `width` bytes an id.
 
     token_bytes: the tokens as unsigned 32-bit numbers, the lowest byte first.
     """
@@ -230,11 +339,8 @@ def spelled(joined: DataFrame) -> DataFrame:
                 ids, sizes, numbers, found = (batch.column(c).slice(k, 1) for c in range(4))
                 ids, sizes = ids.flatten(), sizes.flatten().to_numpy()
                 numbers = unpacked(numbers[0].as_py(), int(sizes.sum()))
-                found = found.flatten()
-                lists = found.field(1)
-                at = np.zeros((2, len(found)), np.int64)
-                at[:, found.field(0).to_numpy()] = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.value_lengths().to_numpy()
-                flat = lists.flatten().to_numpy()
+                own, at, flat = entries(found.flatten(), width)
+                at = at[:, np.argsort(own)]  # by number: each has one entry
                 ends = np.r_[0, np.cumsum(sizes)]
                 n = np.r_[0, np.cumsum(at[1][numbers])][ends]
                 lo = 0
@@ -265,14 +371,17 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """
     spark: SparkSession = docs.sparkSession
     table = bucketed(blocks(docs, pattern, id_col, text_col), "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    places = table.select("block", F.posexplode("words").alias("number", "word"))
-    # a word comes once, with the places it has in blocks: one for each block at most
-    words = places.groupBy("word").agg(F.collect_list(F.struct("block", "number")).alias("places"))
-    back = encode_words(words, path).select(F.explode("places").alias("p"), F.col("ids").alias("t")).select("p.block", "p.number", "t")
-    found = back.groupBy("block").agg(F.collect_list(F.struct("number", F.col("t").alias("ids"))).alias("found"))
+    numbered = table.select("block", F.posexplode("words").alias("number", "word"))
+    # a word comes once, with its places: one for each block at most
+    words = numbered.groupBy("word").agg(F.collect_list(F.shiftleft("block", PLACE_BITS) + F.col("number")).alias("places"))
+    width = 2 if max(load(path).ranks.values()) < 1 << 16 else 3
+    packed_ids = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2 * width, "0")), ""))
+    back = encode_words(words, path).select(packed_ids.alias("packed"), F.explode("places").alias("p"))
+    entry = F.concat(F.unhex(F.lpad(F.hex(F.col("p").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))), 8, "0")), F.col("packed"))
+    found = back.groupBy(F.shiftright("p", PLACE_BITS).alias("block")).agg(F.collect_list(entry).alias("found"))
     joined = table.select("block", "ids", "sizes", "numbers").join(found.hint("merge"), "block", "left")
-    empty = F.array().cast("array<struct<number:int,ids:array<int>>>")
-    out = spelled(joined.withColumn("found", F.coalesce("found", empty))).withColumnsRenamed({"tokens": "ids", "token_bytes": "ids_bytes"})
+    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
+    out = spelled(joined, width).withColumnsRenamed({"tokens": "ids", "token_bytes": "ids_bytes"})
     return out if with_bytes else out.drop("ids_bytes")
 
 

@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 
 from peakloom.llm import byte_bpe
@@ -92,3 +94,22 @@ def test_unknown_ids_fail(spark):
 def test_planes():
     numbers = np.array([0, 5, 70_000, 2**31 - 1], np.int32)
     assert byte_bpe.unpacked(byte_bpe.packed(numbers), 4).tolist() == numbers.tolist() and len(byte_bpe.unpacked(byte_bpe.packed(numbers[:0]), 0)) == 0
+
+
+def test_common_pattern_is_split_alike():
+    assert byte_bpe.COMMON_PATTERN == PATTERN
+    find = regex.compile(PATTERN).findall
+    rng = random.Random(9)
+    signs = ["'", "s", "t", "re", "ve", "ll", "d", "m", "r", "v", "l", "e", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "a", "É", "日", "1", "²", "Ⅷ", "!", "😀", "\u0301", "S", "-"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    words, counts = byte_bpe.split_common(pa.array(texts))
+    assert counts.tolist() == [len(find(t)) for t in texts]
+    assert words.to_pylist() == [w.encode() for t in texts for w in find(t)]
+    words, counts = byte_bpe.split_common(pa.array(["", "x"]).slice(0, 1))
+    assert words.to_pylist() == [] and counts.tolist() == [0]
+
+
+def test_other_patterns(spark, library):
+    table = spark.createDataFrame([(1, "ab cd, e"), (2, None)], "doc_id long, text string")
+    got = {r["id"]: r["ids"] for r in byte_bpe.encode_texts(table, PATH, r"\w").collect()}
+    assert got == {1: [i for c in "abcde" for i in library.encode_ordinary(c)], 2: []}
