@@ -2,9 +2,10 @@
 
 A shard (the texts of one step of a task) is numbered by words; its suffixes, each as long as a phrase can be, are
 sorted by prefix doubling, and intervals of the sorted suffixes that share n words are the shard's n-grams with their
-counts. Counts are merged by key. A phrase that is frequent has frequent words and frequent pairs of words, so the
-first pass merges counts of words and pairs by 64-bit hashes, and the second emits only what those leave: a hash that
-two pairs share lets more through, never less. What comes out is counted by its words and exact.
+counts. Counts are merged by key. A phrase that is frequent has frequent words, pairs and triples of words, so the
+first pass merges counts of words and pairs by 64-bit hashes, the second those of triples that these leave, and the
+third emits only what all leave: a hash that two phrases share lets more through, never less. What comes out is
+counted by its words and exact.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ SHARD_BYTES = 3 << 20
 #: Rows that a task returns at once, and rows of its shards that it merges before it returns them.
 STEP_ROWS, MERGE_ROWS = 1 << 16, 1 << 20
 #: Bits of the filter of frequent hashes, for each of which it has FILTER_SHARE, within these bounds.
-FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 27
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 64, 1 << 16, 1 << 27
+#: Where the numbers of a hash's bits in the filter begin in it.
+FILTER_SHIFTS = (0, 18, 36)
 #: Parts into which a language's candidates are dealt before its first ones are taken.
 SALTS = 64
 
@@ -211,27 +214,54 @@ def rows_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE_LANG)).alias("lang"), text_of(text_col).alias("text"))
 
 
-def hash_counts(rows: DataFrame) -> DataFrame:
-    """(hash, c): counts of words and of pairs of words by hash, a row for each shard that has them."""
+def passing_pairs(s: Shard, bits: np.ndarray, own: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each word, whether it passes the filter, places at which pairs begin that pass with both their words)."""
+    place = np.zeros(len(s.spelling), np.int64)
+    place[s.word] = np.arange(len(s.word))
+    fit = passing(bits, s.hashed(place, 1, own, langs)) if len(place) else np.zeros(0, bool)
+    pairs = np.flatnonzero((s.left > 1) & fit[s.word])
+    pairs = pairs[fit[s.word[pairs + 1]]]
+    return place, fit, pairs[passing(bits, s.hashed(pairs, 2, own, langs))]
+
+
+def run_places(begins: np.ndarray, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in phrases of `size` words that begin at the given ones of all, words from each on in such phrases one place after another; 1 where none begins)."""
+    goes_on, inside = np.zeros(total, bool), np.zeros(total, bool)
+    goes_on[begins] = True
+    for k in range(size):
+        inside[begins + k] = True
+    places = np.flatnonzero(inside)
+    begun = goes_on[places]
+    return places, np.where(begun, until(~begun) + size - 2, 1).astype(np.int32)
+
+
+def hash_counts(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """(hash, c): counts by hash, a row for each shard that has them: of words and pairs, or of triples whose pairs pass the filter of those."""
+    shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shards(batches):
             own, langs = hashes(s.words), hashes(pa.array([x.encode() for x in s.langs], pa.large_binary()))
-            for n, at, counts in ngrams(s.word, s.left, range(1, 3)):
+            if shared is None:
+                inside, left, lengths = np.arange(len(s.word)), s.left, range(1, 3)
+            else:
+                inside, left = run_places(passing_pairs(s, shared.value, own, langs)[2], 2, len(s.word))
+                lengths = range(3, 4)
+            for n, at, counts in ngrams(s.word[inside], left, lengths):
                 for lo in range(0, len(at), STEP_ROWS):
-                    h = s.hashed(at[lo : lo + STEP_ROWS], n, own, langs).view(np.int64)
+                    h = s.hashed(inside[at[lo : lo + STEP_ROWS]], n, own, langs).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts[lo : lo + STEP_ROWS], pa.int64())], names=["hash", "c"])
 
     return rows.mapInArrow(run, "hash long, c long")
 
 
 def filter_bits(frequent: DataFrame) -> np.ndarray:
-    """A Bloom filter of the hashes, two bits for each, as 64-bit words: at most FILTER_MOST bits however many there are (then it lets more through)."""
+    """A Bloom filter of the hashes, three bits for each, as 64-bit words: at most FILTER_MOST bits however many there are (then it lets more through)."""
     bits = FILTER_LEAST
     wanted = FILTER_SHARE * frequent.count()
     while bits < min(wanted, FILTER_MOST):
         bits *= 2
-    places = F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)])
+    places = F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(bits - 1)) for s in FILTER_SHIFTS])
     slots = frequent.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("slot"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
     out = np.zeros(bits // 64, np.int64)
     got = slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # bits / 64 rows at most
@@ -241,7 +271,7 @@ def filter_bits(frequent: DataFrame) -> np.ndarray:
 
 def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     ok = np.ones(len(h), bool)
-    for shift in (0, 32):
+    for shift in FILTER_SHIFTS:
         at = (h >> np.uint64(shift)) & np.uint64(64 * len(bits) - 1)
         ok &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return ok
@@ -283,27 +313,23 @@ def phrase_counts(rows: DataFrame, bits: np.ndarray, most_words: int) -> DataFra
 
         for s in shards(batches):
             own, langs = hashes(s.words), hashes(pa.array([x.encode() for x in s.langs], pa.large_binary()))
-            n_kinds = len(s.spelling)
-            counts, place = np.bincount(s.word, minlength=n_kinds), np.zeros(n_kinds, np.int64)
-            place[s.word] = np.arange(len(s.word))  # some occurrence of each
-            fit = passing(bits := shared.value, s.hashed(place, 1, own, langs)) if n_kinds else np.zeros(0, bool)
+            counts, (place, fit, pairs) = np.bincount(s.word, minlength=len(s.spelling)), passing_pairs(s, bits := shared.value, own, langs)
             totals = np.bincount(s.language[s.word], minlength=len(s.langs))
             yield out(s, np.arange(len(s.langs)), pa.nulls(len(s.langs), pa.string()), 0, totals)
             if fit.any():
                 yield out(s, s.language[fit], s.spelled(place[fit], 1), 1, counts[fit])
-            pairs = np.flatnonzero((s.left > 1) & fit[s.word])
-            pairs = pairs[fit[s.word[pairs + 1]]]
-            pairs = pairs[passing(bits, s.hashed(pairs, 2, own, langs))]
-            if not len(pairs):
-                continue
-            # runs of words, each pair of which passes, one after another
-            goes_on = np.zeros(len(s.word), bool)
-            goes_on[pairs] = True
-            inside = np.flatnonzero(goes_on | np.r_[False, goes_on[:-1]])
-            for n, at, c in ngrams(s.word[inside], until(~goes_on[inside]), range(2, most_words + 1)):
-                for lo in range(0, len(at), STEP_ROWS):
-                    part = inside[at[lo : lo + STEP_ROWS]]
-                    yield out(s, s.language[s.word[part]], s.spelled(part, n), n, c[lo : lo + STEP_ROWS])
+            paired = np.zeros(len(s.word) + 1, bool)
+            paired[pairs] = True
+            triples = pairs[paired[pairs + 1]]
+            triples = triples[passing(bits, s.hashed(triples, 3, own, langs))]
+            for size, begins, lengths in ((2, pairs, range(2, min(2, most_words) + 1)), (3, triples, range(3, most_words + 1))):
+                if not lengths or not len(begins):
+                    continue
+                inside, left = run_places(begins, size, len(s.word))
+                for n, at, c in ngrams(s.word[inside], left, lengths):
+                    for lo in range(0, len(at), STEP_ROWS):
+                        part = inside[at[lo : lo + STEP_ROWS]]
+                        yield out(s, s.language[s.word[part]], s.spelled(part, n), n, c[lo : lo + STEP_ROWS])
 
     return rows.mapInArrow(lambda batches: combined(counted(batches)), "lang string, phrase string, words int, c long")
 
@@ -312,8 +338,11 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """((lang, phrase, words, f) of all words and phrases that occur at least `least` times, (lang, n): all words of each language)."""
     rows = rows_of(docs, text_col, lang_col)
     # shards have each hash once and tasks few shards, so nothing is gained by adding up before the exchange
-    merged = hash_counts(rows).repartition("hash").groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    bits = filter_bits(materialize(merged.select("hash"), "frequent-hashes"))
+    merged = lambda counts: counts.repartition("hash").groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("hash")
+    frequent = materialize(merged(hash_counts(rows)), "frequent-hashes")
+    bits = filter_bits(frequent)
+    if most_words > 2:
+        bits = filter_bits(frequent.union(materialize(merged(hash_counts(rows, bits)), "frequent-triples")))
     counted = phrase_counts(rows, bits, most_words).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("c").alias("f"))
     counted = materialize(counted.filter(F.col("phrase").isNull() | (F.col("f") >= least)), "frequent-phrases")
     return counted.filter("phrase is not null"), counted.filter("phrase is null").select("lang", F.col("f").alias("n"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.llm import collocations as co
 
@@ -113,3 +114,35 @@ def test_shards_of_a_task_are_added_up(monkeypatch):
         for p, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
             got[p] += c
     assert got == total and sum(b.num_rows for b in out) < len(phrases)
+
+
+def test_phrases_of_rare_triples_stay_in_their_tasks(spark):
+    # all pairs of neighbours are frequent, hardly a triple is
+    rng = random.Random(7)
+    after = {w: rng.sample(range(40), 3) for w in range(40)}
+    texts = []
+    for _ in range(300):
+        w = [rng.randrange(40)]
+        for _ in range(29):
+            w.append(rng.choice(after[w[-1]]))
+        texts.append(" ".join(f"w{k}" for k in w))
+    least = 40
+    rows = co.rows_of(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(1), "text", "lang")
+    frequent = co.hash_counts(rows).groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("hash")
+    triples = co.hash_counts(rows, co.filter_bits(frequent)).groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("hash")
+    out = co.phrase_counts(rows, co.filter_bits(frequent.union(triples)), 5).filter("words > 2").collect()
+    counts = Counter()
+    for t in texts:
+        w = t.split()
+        counts.update(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    assert sum(c >= least for c in counts.values()) == triples.count() > 0
+    often = {" ".join(p) for p, c in counts.items() if c >= least}
+    assert {r["phrase"] for r in out if r["words"] == 3} == often
+    assert all(" ".join(r["phrase"].split()[i : i + 3]) in often for r in out for i in range(r["words"] - 2))
+    assert {tuple(r) for r in co.collocations(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), least=least).collect()} == brute([(t, "en") for t in texts], 5, least, 2000)
+
+
+@pytest.mark.parametrize("most", [2, 3, 4])
+def test_shorter_phrases_against_counting(spark, most):
+    rows = sample(11, 3, 60)
+    assert set(got(spark, rows, most_words=most, least=3)) == brute(rows, most, 3, 2000)
