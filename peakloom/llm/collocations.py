@@ -32,6 +32,8 @@ LISTED = 2000
 SHARD_BYTES = 3 << 20
 #: Rows that a task returns at once, and rows of its shards that it merges before it returns them.
 STEP_ROWS, MERGE_ROWS = 1 << 16, 1 << 20
+#: Most splits of the input whose phrases one task counts.
+GATHERED = 8
 #: Bits of the filter of frequent hashes, for each of which it has FILTER_SHARE, within these bounds.
 FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 64, 1 << 16, 1 << 27
 #: Where the numbers of a hash's bits in the filter begin in it.
@@ -300,6 +302,12 @@ def combined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from added_up().to_batches(STEP_ROWS)
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """The rows in fewer partitions: up to GATHERED together, as long as there are two for each core."""
+    n = rows.rdd.getNumPartitions()
+    return rows.coalesce(max(1, min(n, max(-(-n // GATHERED), 2 * rows.sparkSession.sparkContext.defaultParallelism))))
+
+
 def phrase_counts(rows: DataFrame, bits: np.ndarray, most_words: int) -> DataFrame:
     """(lang, phrase, words, c): the words and phrases that the filter leaves, and all words of a language with a null phrase."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_MOST bits at most
@@ -343,7 +351,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     bits = filter_bits(frequent)
     if most_words > 2:
         bits = filter_bits(frequent.union(materialize(merged(hash_counts(rows, bits)), "frequent-triples")))
-    counted = phrase_counts(rows, bits, most_words).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("c").alias("f"))
+    # a task of more texts adds up more counts of a phrase before the exchange
+    counted = phrase_counts(gathered(rows), bits, most_words).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("c").alias("f"))
     counted = materialize(counted.filter(F.col("phrase").isNull() | (F.col("f") >= least)), "frequent-phrases")
     return counted.filter("phrase is not null"), counted.filter("phrase is null").select("lang", F.col("f").alias("n"))
 

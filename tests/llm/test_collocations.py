@@ -146,3 +146,15 @@ def test_phrases_of_rare_triples_stay_in_their_tasks(spark):
 def test_shorter_phrases_against_counting(spark, most):
     rows = sample(11, 3, 60)
     assert set(got(spark, rows, most_words=most, least=3)) == brute(rows, most, 3, 2000)
+
+
+def test_tasks_take_several_splits(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for n, want in ((1, 1), (2 * cores, 2 * cores), (6 * cores, 2 * cores), (32 * cores, 4 * cores)):
+        rows = spark.range(0, 1000, 1, n)
+        found = co.gathered(rows)
+        assert found.rdd.getNumPartitions() == want and found.count() == 1000
+    texts = spark.createDataFrame([(f"a b c d{k % 2}", "en") for k in range(400)], "text string, lang string").repartition(32 * cores)
+    rows = co.rows_of(texts, "text", "lang")
+    every = co.filter_bits(spark.range(0).select(F.col("id").alias("hash"))) | ~np.uint64(0)
+    assert co.phrase_counts(co.gathered(rows), every, 5).filter("phrase = 'a b c'").count() <= 4 * cores
