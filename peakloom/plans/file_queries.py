@@ -180,6 +180,15 @@ def encoded(values, kind: str) -> str:
     return base64.b64encode(zlib.compress(values.astype(kind).tobytes())).decode()
 
 
+#: Spectra or traces in a document, about.
+DOCUMENT = 1 << 14
+
+
+def documents(rows: DataFrame) -> int:
+    """Documents that rows are written as, a task's work each: the rows may lie in one file, and be little beside what is made of them."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // DOCUMENT))
+
+
 @once("mzml")
 def mzml(spark: SparkSession, sf_dir: str, at: str) -> str:
     """A run in parts, each a whole document with the same header; intensities of even spectra in 32 bits."""
@@ -290,7 +299,8 @@ def traces(spark: SparkSession, sf_dir: str, at: str) -> str:
             yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["</chromatogramList></run></mzML>"])], names=["value"])
 
-    table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "value string").write.text(f"{at}/traces")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts.repartition(documents(parts)).mapInArrow(run, "value string").write.text(f"{at}/traces")
     convert.convert_run(spark, f"{at}/traces", f"{at}/archive")
     return f"{at}/archive"
 
