@@ -181,7 +181,7 @@ def encoded(values, kind: str) -> str:
 
 
 #: Spectra or traces in a document, about.
-DOCUMENT = 1 << 14
+DOCUMENT = 1 << 15
 
 
 def documents(rows: DataFrame) -> int:
@@ -191,7 +191,7 @@ def documents(rows: DataFrame) -> int:
 
 @once("mzml")
 def mzml(spark: SparkSession, sf_dir: str, at: str) -> str:
-    """A run in parts, each a whole document with the same header; intensities of even spectra in 32 bits."""
+    """A run in parts, each a whole gzipped document with the same header; intensities of even spectra in 32 bits."""
     names = ["place", "value"]
 
     def run(batches):
@@ -224,8 +224,9 @@ def mzml(spark: SparkSession, sf_dir: str, at: str) -> str:
         yield pa.RecordBatch.from_arrays([pa.array(["</spectrumList></run></mzML>"])], names=["value"])
 
     # dealt out before the elements are made, as ranges are told from a first pass over the rows
-    rows = materialize(spectra(spark, sf_dir), "mzml-spectra").repartitionByRange("spectrum_index").sortWithinPartitions("spectrum_index")
-    rows.withColumn("intensity", F.col("intensity").cast("array<double>")).mapInArrow(run, "place long, value string").select("value").mapInArrow(document, "value string").write.text(f"{at}/run")
+    stored = materialize(spectra(spark, sf_dir), "mzml-spectra")
+    rows = stored.repartitionByRange(documents(stored), "spectrum_index").sortWithinPartitions("spectrum_index")
+    rows.withColumn("intensity", F.col("intensity").cast("array<double>")).mapInArrow(run, "place long, value string").select("value").mapInArrow(document, "value string").write.option("compression", "gzip").text(f"{at}/run")
     return f"{at}/run"
 
 
